@@ -1,0 +1,15 @@
+"""Fallback for a user's own function per group."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def group_apply(
+    df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+) -> DataFrame:
+    """Apply a pandas function to every group. A group must fit one worker; prefer the built-in operators."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)

@@ -1,0 +1 @@
+"""The survey workload is batch only: every source is read once, so nothing streams here."""
