@@ -45,9 +45,10 @@ def with_stratum_frame(
     """Attach stratum area, cell count and area swept.
 
     The cells were counted beforehand, so each summary row meets one frame row. The area is
-    rounded to print precision before use unless ``area_digits`` is None.
+    rounded to print precision before use unless ``area_digits`` is None; a first rounding to nine
+    decimals keeps the order of addition from tipping a tie.
     """
-    area = F.col("sq_nm") if area_digits is None else F.round("sq_nm", area_digits)
+    area = F.col("sq_nm") if area_digits is None else F.round(F.round("sq_nm", 9), area_digits)
     return (
         summary.join(frame, list(by))
         .withColumn("sq_nm", area)
@@ -104,9 +105,8 @@ def recovery_rates(recovery: DataFrame, by: Sequence[str], whole: str, meat: str
 
     Text keys are compared without case or outer blanks, so they are normalised here.
     """
-    keys = [
-        norm_key(k).alias(k) if dict(recovery.dtypes)[k] == "string" else F.col(k) for k in by
-    ]
+    text = {k for k in by if recovery.select(k).dtypes[0][1] == "string"}
+    keys = [norm_key(k).alias(k) if k in text else F.col(k) for k in by]
     return recovery.groupBy(*keys).agg(ratio_of_sums(meat, whole).alias("mr_rate"))
 
 

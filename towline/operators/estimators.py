@@ -58,10 +58,10 @@ def _estimate_fields(measure: str, n: Column, area: Column) -> dict[str, Column]
         "var_dbar": var,
         "cv": F.try_divide(F.sqrt(var), mean) * 100,
         "ss": ss,
-        "N": total,
-        "varN": var_total,
-        "cvN": F.try_divide(F.sqrt(var_total), total) * 100,
-        "sdN": F.sqrt(var_total),
+        "total": total,
+        "var_total": var_total,
+        "cv_total": F.try_divide(F.sqrt(var_total), total) * 100,
+        "sd_total": F.sqrt(var_total),
     }
 
 
@@ -92,7 +92,7 @@ def expand_estimate_wide(
     size = F.max(F.col(area).cast("double"))
     aggs = [n.alias("n"), size.alias("area")]
     for suffix, m in densities.items():
-        aggs += [c.alias(f"{k}_{suffix}") for k, c in _estimate_fields(m, n, size).items() if k != "sdN"]
+        aggs += [c.alias(f"{k}_{suffix}") for k, c in _estimate_fields(m, n, size).items() if k != "sd_total"]
     return df.groupBy(*strata).agg(*aggs)
 
 

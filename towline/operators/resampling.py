@@ -57,7 +57,7 @@ def _draws(base: int, start: int, count: int, rows: int) -> np.ndarray:
     """Row positions of draws ``start`` to ``start + count - 1`` of a stratum."""
     z = np.arange(start + 1, start + count + 1, dtype=np.uint64)
     z *= np.uint64(GOLDEN)
-    z += np.uint64(base)
+    z ^= np.uint64(base)
     return (mix64(z) % np.uint64(rows)).astype(np.int64)
 
 
@@ -233,9 +233,9 @@ def resample(
     kept += ["__groups", "__group", "__peers", "__slot"] if split else []
     plan = plan.select(*kept)
     schema = T.StructType([plan.schema[k] for k in keys])
-    schema.add("replicate", "bigint")
+    schema.add("replicate", T.LongType())
     for v in values:
-        schema.add(f"sum_{v}", "double").add(f"cnt_{v}", "bigint")
+        schema.add(f"sum_{v}", T.DoubleType()).add(f"cnt_{v}", T.LongType())
     out = plan.mapInPandas(_kernel(keys, values), schema)
     if split:
         sums = [F.sum(f"{p}_{v}").alias(f"{p}_{v}") for v in values for p in ("sum", "cnt")]
@@ -280,7 +280,7 @@ def bootstrap(
     cells = F.array(*[F.struct(F.lit(v).alias("variable"), c.alias("dbar")) for v, c in means.items()])
     long = sums.select(*strata, "area", "replicate", F.inline(cells))
     return long.select(
-        *strata, "variable", "replicate", "dbar", (F.col("area") * F.col("dbar")).alias("N")
+        *strata, "variable", "replicate", "dbar", (F.col("area") * F.col("dbar")).alias("total")
     )
 
 
@@ -351,9 +351,9 @@ def poisson_sums(
     by, values, carry = list(by), list(values), dict(carry or {})
     rows = df.select(*by, F.col(key).cast("bigint").alias("__key"), *[F.col(v).cast("double") for v in values])
     schema = T.StructType([rows.schema[b] for b in by])
-    schema.add("replicate", "bigint").add("weight", "bigint")
+    schema.add("replicate", T.LongType()).add("weight", T.LongType())
     for v in values:
-        schema.add(f"sum_{v}", "double")
+        schema.add(f"sum_{v}", T.DoubleType())
     block = 100
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from towline.functions import units
 from towline.functions.aggregates import sum0
+from towline.functions.scalar import precision_columns
 from towline.operators import cleaning, estimators, resampling
 from towline.operators.joins import complete_with_zero
 from towline.operators.reshape import pivot_sum
@@ -74,11 +75,11 @@ def abundance_tables(
 
     original = estimators.expand_estimate(numbers, STRATA, measures)
     boot_n = resampling.bootstrap(numbers, STRATA, "event", measures, "area", s.reps, s.seed)
-    n_summary = resampling.bootstrap_summary(boot_n, ["bed", "year", "variable"], {"N": "N", "dbar": "dbar"})
+    n_summary = resampling.bootstrap_summary(boot_n, ["bed", "year", "variable"], {"total": "total", "dbar": "dbar"})
 
     boot_w = resampling.bootstrap(grams, STRATA, "event", measures, "area", s.reps, s.seed + 1)
-    pounds = boot_w.withColumns({c: F.col(c) * units.POUNDS_PER_GRAM for c in ("N", "dbar")})
-    w_summary = resampling.bootstrap_summary(pounds, [*STRATA, "variable"], {"W": "N", "dbar": "dbar"})
+    pounds = boot_w.withColumns({c: F.col(c) * units.POUNDS_PER_GRAM for c in ("total", "dbar")})
+    w_summary = resampling.bootstrap_summary(pounds, [*STRATA, "variable"], {"weight": "total", "dbar": "dbar"})
 
     ratios = cleaning.meat_ratio(t["individuals"], events, s.species).filter(F.col("ratio") > 0)
     ratios = ratios.withColumn("animal", F.struct("event", "number"))
@@ -99,11 +100,11 @@ def abundance_tables(
         .join(meat.select("year", "bed", "mean_ratio"), ["year", "bed"])
     )
     number_ghl = estimators.number_harvest(
-        by_number, "mean_ratio", "mean_wt", {"ll": "ll_N", "meat": "mean_N", "ul": "ul_N"}, keep=["year", "bed"]
+        by_number, "mean_ratio", "mean_wt", {"ll": "ll_total", "meat": "mean_total", "ul": "ul_total"}, keep=["year", "bed"]
     )
     by_weight = w_summary.filter(F.col("variable") == large).join(meat.select(*STRATA, "mean_ratio"), list(STRATA))
     weight_ghl = estimators.weight_harvest(
-        by_weight, "mean_ratio", {"ll": "ll_W", "meat": "mean_W", "ul": "ul_W"}, keep=["bed"]
+        by_weight, "mean_ratio", {"ll": "ll_weight", "meat": "mean_weight", "ul": "ul_weight"}, keep=["bed"]
     )
 
     return {
@@ -119,7 +120,7 @@ def abundance_tables(
         "weight_GHL": weight_ghl,
         "clapper_summary": clapper_summary(t, s, n_summary, w_summary, large),
         "precision_target": original.filter(F.col("variable") == large).withColumns(
-            {"mean_20": F.col("N") * 0.20, "half_mean_20": F.col("N") * 0.10}
+            precision_columns("total")
         ),
     }
 
@@ -131,7 +132,7 @@ def clapper_estimate(tables: Mapping[str, DataFrame], s: SurveySettings) -> Data
     wide = densities(tables["events"], per_haul, ["c", "wt"], total=None)
     est = estimators.expand_estimate_wide(wide, STRATA, {"c": "c", "wt": "wt"})
     return est.withColumns(
-        {"dbar_wt_lb": F.col("dbar_wt") * units.POUNDS_PER_KG_SHORT, "W_lb": F.col("N_wt") * units.POUNDS_PER_KG_SHORT}
+        {"dbar_wt_lb": F.col("dbar_wt") * units.POUNDS_PER_KG_SHORT, "total_wt_lb": F.col("total_wt") * units.POUNDS_PER_KG_SHORT}
     )
 
 
@@ -139,16 +140,16 @@ def clapper_summary(
     tables: Mapping[str, DataFrame], s: SurveySettings, numbers: DataFrame, weights: DataFrame, variable: str
 ) -> DataFrame:
     """Share of dead shells among all, in number and in weight, for every bed surveyed."""
-    dead = clapper_estimate(tables, s).select(*STRATA, "n", "N_c", "W_lb")
-    live_n = numbers.filter(F.col("variable") == variable).select("bed", "year", F.col("mean_N").alias("__n"))
-    live_w = weights.filter(F.col("variable") == variable).select(*STRATA, F.col("mean_W").alias("__w"))
+    dead = clapper_estimate(tables, s).select(*STRATA, "n", "total_c", "total_wt_lb")
+    live_n = numbers.filter(F.col("variable") == variable).select("bed", "year", F.col("mean_total").alias("__n"))
+    live_w = weights.filter(F.col("variable") == variable).select(*STRATA, F.col("mean_weight").alias("__w"))
     joined = live_w.join(live_n.join(dead, ["bed", "year"], "right"), list(STRATA), "right")
     return joined.select(
         "bed",
         "year",
         "n",
-        estimators.share_of_total("N_c", "__n").alias("percent_clap"),
-        estimators.share_of_total("W_lb", "__w").alias("percent_clap_wt"),
+        estimators.share_of_total("total_c", "__n").alias("percent_clap"),
+        estimators.share_of_total("total_wt_lb", "__w").alias("percent_clap_wt"),
     )
 
 

@@ -37,7 +37,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
 
 
 def read_lookup(
-    spark: SparkSession, path: str, schema: str, key: str | Sequence[str], max_rows: int = 100_000
+    spark: SparkSession, path: str, schema: str | None, key: str | Sequence[str], max_rows: int = 100_000
 ) -> DataFrame:
     """Read a lookup table; fails if it is too long or its key is not unique.
 
@@ -85,11 +85,11 @@ def _t_quantile(level: float, df: int) -> float:
             low = mid
         else:
             high = mid
-    return round((low + high) / 2, 6)
+    return math.floor((low + high) / 2 * 1e6) / 1e6
 
 
 def student_t_rows(n_max: int = 100) -> list[tuple[int, int, float, float, float]]:
-    """``(n, df, t90, t95, t99)`` for sample sizes 2..n_max, two-tailed, six decimals."""
+    """``(n, df, t90, t95, t99)`` for sample sizes 2..n_max, two-tailed, cut after six decimals."""
     return [(n, n - 1, *(_t_quantile(level, n - 1) for level in (0.90, 0.95, 0.99))) for n in range(2, n_max + 1)]
 
 
