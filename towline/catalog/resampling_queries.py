@@ -218,8 +218,8 @@ def b05(spark, sf):
     "b06_compare_designs",
     tidy_sql(
         f"""WITH {DESIGN}, diffs AS (
-              SELECT s.district, s.bed, s.fraction, avg(100 * abs((r.p_mean - s.p_mean) / r.p_mean)) AS mean_diff,
-                     avg(100 * abs((r.p_sd - s.p_sd) / r.p_sd)) AS sd_diff
+              SELECT s.district, s.bed, s.fraction, avg(100 * abs((r.p_mean - s.p_mean) / nullif(r.p_mean, 0))) AS mean_diff,
+                     avg(100 * abs((r.p_sd - s.p_sd) / nullif(r.p_sd, 0))) AS sd_diff
               FROM study s JOIN study r ON s.district = r.district AND s.bed = r.bed AND s.year = r.year AND r.fraction = 0.5
               WHERE s.fraction <> 0.5 GROUP BY s.district, s.bed, s.fraction)
             SELECT district, bed, fraction, 'mean' AS type, mean_diff AS value FROM diffs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from towline.catalog import base
@@ -246,7 +247,7 @@ def f05(spark, sf):
 )
 def g01(spark, sf):
     def middle(pdf):
-        return pdf.groupby("station", as_index=False).agg(n=("effort", "size"), mid=("effort", "median"))
+        return pd.DataFrame({"station": pdf["station"][:1], "n": len(pdf), "mid": pdf["effort"].median()})
 
     chosen = base.hauls(spark, sf).select("station", "effort")
     return tidy(group_apply(chosen, ["station"], middle, "station bigint, n bigint, mid double"))

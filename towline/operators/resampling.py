@@ -67,10 +67,11 @@ def _allot(total: int, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarra
 
 def _tile_share(row, replicate: int) -> int:
     """Draws that fall to this tile: first split over groups of tiles, then within the group."""
-    rng = np.random.Generator(np.random.Philox(key=[row.__base, replicate]))
-    group = _allot(int(row.__m), np.asarray(row.__groups, dtype=float), rng)
-    inner = np.random.Generator(np.random.Philox(key=[row.__base ^ (row.__group + 1), replicate]))
-    return int(_allot(int(group[row.__group]), np.asarray(row.__peers, dtype=float), inner)[row.__slot])
+    base, group = int(row.__base), int(row.__group)
+    outer = np.random.Generator(np.random.Philox(key=[base, replicate]))
+    share = _allot(int(row.__m), np.asarray(row.__groups, dtype=float), outer)[group]
+    inner = np.random.Generator(np.random.Philox(key=[base ^ (group + 1), replicate]))
+    return int(_allot(int(share), np.asarray(row.__peers, dtype=float), inner)[int(row.__slot)])
 
 
 def _sums(values: list[np.ndarray], idx: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:

@@ -64,7 +64,7 @@ def population_tables(
     rates = db.recovery_rates(by_year, ["bed", "year"], "WHOLE_WT_KG", "MEAT_WT_KG")
     with_meat = db.recovery_estimate(interval, rates, ["bed"], ["year"])
     projects = tows.select(*STRATA, "project_code").distinct()
-    final = db.final_report(with_meat.join(projects, list(STRATA)), ["year", "project_code", "bed"])
+    final = db.final_report(with_meat.join(projects, list(STRATA)), ["year", "project_code", "area", "bed"])
     return {
         "tows": tows,
         "summary": summary,
@@ -73,5 +73,5 @@ def population_tables(
         "interval": interval,
         "rates": rates,
         "with_meat": with_meat,
-        "report": final.orderBy("project_code", "bed", "year"),
+        "report": final.orderBy("project_code", "area", "bed", "year"),
     }
