@@ -247,10 +247,11 @@ def test_quantiles_match_numpy(spark, uneven):
 def test_running_totals(spark, uneven):
     clean = uneven.dropna()
     ties = clean.groupby(["g", "x"], as_index=False).agg(c=("s", "sum"))
-    got = ordering.running_totals(spark.createDataFrame(ties), ["g"], "x", ["c"], bins=8).toPandas()
+    got = ordering.running_totals(spark.createDataFrame(clean), ["g"], "x", {"c": F.col("s")}, bins=8).toPandas()
     want = ties.sort_values(["g", "x"]).assign(c=lambda d: d.groupby("g").c.cumsum())
     merged = got.merge(want, on=["g", "x"])
     assert len(merged) == len(want) and (merged.c_x == merged.c_y).all()
+    assert (got.total_c == got.g.map(clean.groupby("g").s.sum())).all()
 
 
 def ks_by_hand(a, b):

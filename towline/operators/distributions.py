@@ -207,14 +207,11 @@ def ks_two_sample(df: DataFrame, by: Sequence[str], group: str, x: str, first: o
     """
     by = list(by)
     one, two = F.col(group) == F.lit(first), F.col(group) == F.lit(second)
-    ties = df.where(F.col(x).isNotNull() & (one | two)).groupBy(*by, F.col(x).alias("__x")).agg(
-        F.count(F.when(one, 1)).alias("__c1"), F.count(F.when(two, 1)).alias("__c2")
-    )
-    sizes = ties.groupBy(*by).agg(F.sum("__c1").alias("n1"), F.sum("__c2").alias("n2")).where("n1 > 0 and n2 > 0")
-    steps = running_totals(ties, by, "__x", ["__c1", "__c2"])
-    joined = null_safe_join(steps, bounded_broadcast(sizes), by)
-    gap = F.abs(F.col("__c1") / F.col("n1") - F.col("__c2") / F.col("n2"))
-    d = joined.groupBy(*by, "n1", "n2").agg(F.max(gap).alias("d"))
+    counts = {"c1": F.when(one, 1).otherwise(0), "c2": F.when(two, 1).otherwise(0)}
+    steps = running_totals(df.where(one | two), by, x, counts)
+    both = steps.withColumnsRenamed({"total_c1": "n1", "total_c2": "n2"}).where("n1 > 0 and n2 > 0")
+    gap = F.abs(F.col("c1") / F.col("n1") - F.col("c2") / F.col("n2"))
+    d = both.groupBy(*by, "n1", "n2").agg(F.max(gap).alias("d"))
     lam2 = F.col("d") * F.col("d") * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
     d = d.withColumn("__l", lam2)
     terms = F.transform(

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 from towline.functions.scalar import norm_key
 from towline.operators.cleaning import zero_fill
 
-# Longest side that is broadcast after its length was counted.
-BROADCAST_ROWS = 200_000
+# Longest side that is broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a count shows it is short; otherwise leave the join to a shuffle.
+    """Broadcast ``df`` if it turns out to be short; otherwise leave the join to a shuffle.
 
-    For narrow, aggregated frames whose length is not known beforehand. The count stops
-    at ``max_rows + 1``.
+    For narrow, aggregated frames whose length is not known beforehand. At most
+    ``max_rows + 1`` rows are fetched; if that is all, they stand in for ``df``, so its input is
+    not read a second time.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

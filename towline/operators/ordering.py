@@ -6,9 +6,9 @@ range totals are few, and the rows are ordered within one range at a time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from towline.operators.joins import bounded_broadcast, null_safe_join
@@ -61,7 +61,8 @@ def group_quantiles(
     inside = F.filter(ranks, lambda r: (r["rank"] >= start) & (r["rank"] < F.col("__end")))
     hit = hist.select(*by, "__bin", start.alias("__start"), inside.alias("__ranks")).where(F.size("__ranks") > 0)
 
-    values = null_safe_join(binned, bounded_broadcast(hit.select(*by, "__bin")), [*by, "__bin"], "left_semi")
+    hit = bounded_broadcast(hit)
+    values = null_safe_join(binned, hit.select(*by, "__bin"), [*by, "__bin"], "left_semi")
     ties = values.groupBy(*by, "__bin", "__x").agg(F.count(F.lit(1)).alias("__c"))
     within = Window.partitionBy(*by, "__bin").orderBy("__x")
     ties = null_safe_join(ties, hit, [*by, "__bin"])
@@ -79,21 +80,29 @@ def group_quantiles(
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], bins: int = BINS
+    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, Column], bins: int = BINS
 ) -> DataFrame:
-    """Replace each column by its running total in ``order`` within the group.
+    """Sums per distinct ``order`` value, added up along it: ``(*by, order, <name>, total_<name>)``.
 
-    ``order`` holds distinct non-null values within a group.
+    Equal values are summed before they are ordered, and each range starts from the total of the
+    ranges below it. Rows without an ``order`` value are left out.
     """
-    by = list(by)
-    binned = ordered_bins(df, by, order, bins)
-    totals = binned.groupBy(*by, "__bin").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
-    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    by, names = list(by), list(columns)
+    rows = df.where(F.col(order).isNotNull()).select(*by, order, *[c.alias(n) for n, c in columns.items()])
+    binned = ordered_bins(rows, by, order, bins)
+    totals = binned.groupBy(*by, "__bin").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "__bin", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns]
+        *by,
+        "__bin",
+        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names],
+        *[F.sum(f"__t_{n}").over(group).alias(f"total_{n}") for n in names],
     )
+    ties = binned.groupBy(*by, "__bin", order).agg(*[F.sum(n).alias(n) for n in names])
     within = Window.partitionBy(*by, "__bin").orderBy(order)
-    local = binned.select("*", *[F.sum(c).over(within).alias(f"__w_{c}") for c in columns])
-    joined = null_safe_join(local, offsets, [*by, "__bin"])
-    out = joined.withColumns({c: F.col(f"__w_{c}") + F.col(f"__o_{c}") for c in columns})
-    return out.drop("__bin", *[f"__w_{c}" for c in columns], *[f"__o_{c}" for c in columns])
+    local = ties.select(*by, "__bin", order, *[F.sum(n).over(within).alias(n) for n in names])
+    joined = null_safe_join(local, bounded_broadcast(offsets), [*by, "__bin"])
+    return joined.select(
+        *by, order, *[(F.col(n) + F.col(f"__o_{n}")).alias(n) for n in names], *[f"total_{n}" for n in names]
+    )

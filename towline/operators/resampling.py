@@ -29,6 +29,8 @@ TILE_ROWS = 65_536
 DRAWS_PER_BLOCK = 2_000_000
 # Draws held in memory at once.
 DRAW_BATCH = 1_000_000
+# Partial results put into one output frame.
+FRAME_PARTS = 200
 
 # Increment and multipliers of the SplitMix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -36,6 +38,10 @@ MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
 
+class _Row(dict):
+    __getattr__ = dict.__getitem__
+
+
 def mix64(z: np.ndarray) -> np.ndarray:
     """SplitMix64 output function on unsigned 64-bit arrays; works in place."""
     z ^= z >> np.uint64(30)
@@ -114,30 +120,34 @@ def _replicate_sums(row, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray,
 
 
 def _kernel(keys: list[str], values: list[str]):
-    columns = [*keys, "replicate", *[f"{p}_{v}" for v in values for p in ("sum", "cnt")]]
+    stats = [f"{p}_{v}" for v in values for p in ("sum", "cnt")]
+
+    def frame(recs: list[_Row], reps: list[np.ndarray], sums: list[list[np.ndarray]]) -> pd.DataFrame:
+        sizes = [len(r) for r in reps]
+        data = {k: pd.Series([rec[k] for rec in recs]).repeat(sizes).array for k in keys}
+        data["replicate"] = np.concatenate(reps)
+        data.update({name: np.concatenate([s[i] for s in sums]) for i, name in enumerate(stats)})
+        return pd.DataFrame(data)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recs, reps, sums = [], [], []
         for pdf in batches:
             for row in pdf.itertuples(index=False, name=None):
-                rec = _Row(dict(zip(pdf.columns, row)))
+                rec = _Row(zip(pdf.columns, row))
                 arrays = [np.asarray(rec[f"__v_{v}"], dtype=float) for v in values]
-                reps, sums = [], []
                 for ids, part in _replicate_sums(rec, arrays):
+                    recs.append(rec)
                     reps.append(ids)
                     sums.append(part)
-                data = {k: [rec[k]] * sum(map(len, reps)) for k in keys}
-                data["replicate"] = np.concatenate(reps)
-                for i, name in enumerate(columns[len(keys) + 1 :]):
-                    data[name] = np.concatenate([s[i] for s in sums])
-                yield pd.DataFrame(data)[columns]
+                if len(reps) >= FRAME_PARTS:
+                    yield frame(recs, reps, sums)
+                    recs, reps, sums = [], [], []
+        if reps:
+            yield frame(recs, reps, sums)
 
     return run
 
 
-class _Row(dict):
-    __getattr__ = dict.__getitem__
-
-
 def _tile_splits(rows: DataFrame, by: Sequence[str], tile: str) -> DataFrame:
     """For strata of several tiles: sizes of the tile groups, and of the tiles in each group.
 
@@ -147,9 +157,9 @@ def _tile_splits(rows: DataFrame, by: Sequence[str], tile: str) -> DataFrame:
     span = F.ceil(F.sqrt("__tiles")).cast("bigint")
     counts = counts.withColumn("__gid", F.floor(F.col(tile) / span))
     peers = counts.groupBy(*by, "__gid").agg(
-        F.sum("__c").alias("__gc"), F.array_sort(F.collect_list(F.struct(tile, "__c"))).alias("__list")
+        F.sum("__c").alias("__gc"), F.sort_array(F.collect_list(F.struct(tile, "__c"))).alias("__list")
     )
-    groups = peers.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__gid", "__gc"))).alias("__glist"))
+    groups = peers.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__gid", "__gc"))).alias("__glist"))
     both = null_safe_join(peers, groups, by)
     return both.select(
         *by,
@@ -190,7 +200,7 @@ def resample(
     split = (largest or 0) > tile_rows
     columns = {v: F.col(v).cast("double") for v in values}
     entry = F.struct(F.col(key).alias("__key"), *[c.alias(f"__x_{v}") for v, c in columns.items()])
-    packed = F.array_sort(F.collect_list(entry))
+    packed = F.sort_array(F.collect_list(entry))
     extra = [c.alias(name) for name, c in carry.items()]
     if split:
         sizes = df.groupBy(*by).agg(n.alias("n"), *extra)
