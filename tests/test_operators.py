@@ -234,20 +234,31 @@ def uneven(spark):
     return pdf
 
 
-def test_quantiles_match_numpy(spark, uneven):
+@pytest.mark.parametrize("limit", [50, 1_000_000])
+def test_quantiles_match_numpy(spark, uneven, limit):
     df = spark.createDataFrame(uneven).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
     probs = (0.0, 0.025, 0.25, 0.5, 0.975, 1.0)
-    got = {(r.g, r.prob): r.quantile for r in ordering.group_quantiles(df, ["g"], "x", probs, bins=16).collect()}
+    got = {(r.g, r.prob): r.quantile for r in ordering.group_quantiles(df, ["g"], "x", probs, limit=limit).collect()}
     for g, part in uneven.dropna().groupby("g"):
         for p in probs:
             assert got[g, p] == pytest.approx(np.quantile(part.x, p), rel=1e-12)
     assert len(got) == uneven.dropna().g.nunique() * len(probs)
 
 
-def test_running_totals(spark, uneven):
+def test_ranges_stay_small_and_ordered(spark, uneven):
+    df = spark.createDataFrame(uneven.dropna())
+    pdf = ordering.ordered_bins(df, ["g"], "x", limit=50).toPandas()
+    spans = pdf.groupby(["g", "__bin"]).x.agg(["min", "max", "size", "nunique"]).reset_index()
+    assert ((spans["size"] <= 50) | (spans["nunique"] == 1)).all()
+    for _, part in spans.sort_values(["g", "__bin"]).groupby("g"):
+        assert (part["min"].to_numpy()[1:] > part["max"].to_numpy()[:-1]).all()
+
+
+@pytest.mark.parametrize("limit", [40, 1_000_000])
+def test_running_totals(spark, uneven, limit):
     clean = uneven.dropna()
     ties = clean.groupby(["g", "x"], as_index=False).agg(c=("s", "sum"))
-    got = ordering.running_totals(spark.createDataFrame(clean), ["g"], "x", {"c": F.col("s")}, bins=8).toPandas()
+    got = ordering.running_totals(spark.createDataFrame(clean), ["g"], "x", {"c": F.col("s")}, limit).toPandas()
     want = ties.sort_values(["g", "x"]).assign(c=lambda d: d.groupby("g").c.cumsum())
     merged = got.merge(want, on=["g", "x"])
     assert len(merged) == len(want) and (merged.c_x == merged.c_y).all()

@@ -41,7 +41,7 @@ def draws(strata: str, keep: str, reps: int) -> str:
     grid = f"SELECT {keep}, base, m, n, r, k FROM ({strata}), range({reps}) a(r), LATERAL (SELECT unnest(range(m)) AS k)"
     z = counter(grid, cols, "r * m + k + 1")
     z = f"SELECT {cols}, xor(z, base::UBIGINT) AS z FROM ({z})"
-    return f"SELECT {keep}, m, n, r, (z % n::UBIGINT)::BIGINT AS i FROM ({mixed(z, cols)})"
+    return f"SELECT {keep}, m, n, r, (((z >> 24) * n::UBIGINT) >> 40)::BIGINT AS i FROM ({mixed(z, cols)})"
 
 
 def base_hash(seed: int, *keys: str) -> str:

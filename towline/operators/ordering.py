@@ -1,7 +1,8 @@
 """Ordered work on groups of any size: range binning, exact quantiles, running totals.
 
-A plain window sorts a whole group in one task. Here a group is first cut into value ranges;
-range totals are few, and the rows are ordered within one range at a time.
+A plain window sorts a whole group in one task. Here a crowded group is first cut into value
+ranges of a bounded number of rows; range totals are few, and rows are ordered within one range at
+a time. Groups that are short anyway stay whole.
 """
 
 from __future__ import annotations
@@ -13,74 +14,125 @@ from pyspark.sql import functions as F
 
 from towline.operators.joins import bounded_broadcast, null_safe_join
 
-BINS = 1024
+# Rows that one range should hold at most.
+RANGE_ROWS = 200_000
+QUANTILE_ROWS = 50_000
+# Longest list of ranges that is broadcast.
+RANGES = 1_000_000
+# Parts one range is cut into at most, and how often ranges are cut again.
+MAX_PARTS = 1024
+MAX_LEVELS = 8
 
 
-def ordered_bins(df: DataFrame, by: Sequence[str], x: str, bins: int = BINS) -> DataFrame:
-    """Add ``__bin``, 0..bins-1, which never falls as ``x`` rises within the group."""
-    span = df.groupBy(*by).agg(
-        F.min(F.col(x).cast("double")).alias("__lo"), F.max(F.col(x).cast("double")).alias("__hi")
+def _range_stats(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    value = F.col(x).cast("double")
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
     )
-    joined = null_safe_join(df, bounded_broadcast(span), by)
+    return bounded_broadcast(stats, RANGES)
+
+
+def _cuts(stats: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
+    """Ranges with the number of parts to cut each into and the number of its first part.
+
+    None if no range is too long. Copies of one value cannot be cut.
+    """
+    crowded = (F.col("__n") > limit) & (F.col("__lo") < F.col("__hi"))
+    if stats.where(crowded).limit(1).count() == 0:
+        return None
+    parts = F.least(F.lit(MAX_PARTS), F.ceil(F.col("__n") * 4 / limit))
+    split = stats.withColumn("__parts", F.when(crowded, parts).otherwise(1).cast("bigint"))
+    below = F.sum("__parts").over(Window.partitionBy(*by).orderBy("__bin")) - F.col("__parts")
+    return split.withColumn("__first", below)
+
+
+def _cut(rows: DataFrame, cuts: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """Renumber ``__bin`` by the cuts; rows in ranges that are not listed drop."""
+    joined = null_safe_join(rows, cuts, [*by, "__bin"])
     share = F.try_divide(F.col(x).cast("double") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    number = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int"), F.lit(bins - 1))
-    return joined.withColumn("__bin", number).drop("__lo", "__hi")
+    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("__parts")), F.col("__parts") - 1)
+    return joined.withColumn("__bin", F.col("__first") + part).drop("__n", "__lo", "__hi", "__parts", "__first")
+
+
+def ordered_bins(df: DataFrame, by: Sequence[str], x: str, limit: int = RANGE_ROWS) -> DataFrame:
+    """Add ``__bin``, which never falls as ``x`` rises within the group.
+
+    A bin of more than ``limit`` rows is cut into equal parts of its range; if the values crowd in
+    one part, that part is cut again by its own range. Each cut is one pass that combines on the
+    map side. Only copies of a single value, or values apart by rounding alone, stay together.
+    """
+    rows = df.withColumn("__bin", F.lit(0).cast("bigint"))
+    for _ in range(MAX_LEVELS):
+        cuts = _cuts(_range_stats(rows, [*by, "__bin"], x), by, limit)
+        if cuts is None:
+            break
+        rows = _cut(rows, cuts, by, x)
+    return rows
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], x: str, probs: Sequence[float], name: str = "quantile", bins: int = BINS
+    df: DataFrame,
+    by: Sequence[str],
+    x: str,
+    probs: Sequence[float],
+    name: str = "quantile",
+    limit: int = QUANTILE_ROWS,
 ) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics: ``(*by, prob, <name>)``.
 
-    Counts per range locate each wanted rank; only rows in the ranges hit are looked at again,
-    with equal values counted before they are ordered. Rows are not shuffled as such at any step.
+    Range sizes tell which ranges hold a wanted rank. Only those are cut further, and only their
+    rows are ordered in the end, with equal values counted first.
     """
     by = list(by)
     rows = df.select(*by, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    binned = ordered_bins(rows, by, "__x", bins)
-    hist = binned.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*by)
-    order = group.orderBy("__bin")
-    hist = hist.withColumn("__end", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(group))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("__pos"))
-            for p in probs
-        ]
-    )
-    start = F.col("__end") - F.col("__c")
-    ranks = F.flatten(
-        F.transform(
-            wanted,
-            lambda w: F.array(
-                F.struct(w["prob"].alias("prob"), w["__pos"].alias("pos"), F.floor(w["__pos"]).alias("rank")),
-                F.struct(w["prob"].alias("prob"), w["__pos"].alias("pos"), F.ceil(w["__pos"]).alias("rank")),
-            ),
-        )
-    )
-    inside = F.filter(ranks, lambda r: (r["rank"] >= start) & (r["rank"] < F.col("__end")))
-    hit = hist.select(*by, "__bin", start.alias("__start"), inside.alias("__ranks")).where(F.size("__ranks") > 0)
+    rows = rows.withColumns({"__bin": F.lit(0).cast("bigint"), "__base": F.lit(0).cast("bigint")})
+    stats = _range_stats(rows, [*by, "__base", "__bin"], "__x")
+    wanted = stats.select(*by, _ranks(probs, F.col("__n")).alias("__wanted"))
+    hit = _hit(stats, wanted, by)
+    for _ in range(MAX_LEVELS):
+        cuts = _cuts(hit, by, limit)
+        if cuts is None:
+            break
+        cuts = cuts.select(*by, "__bin", "__lo", "__hi", "__n", "__parts", "__first", "__start")
+        rows = _cut(rows.drop("__base"), cuts, by, "__x").withColumnRenamed("__start", "__base")
+        hit = _hit(_range_stats(rows, [*by, "__base", "__bin"], "__x"), wanted, by)
 
-    hit = bounded_broadcast(hit)
-    values = null_safe_join(binned, hit.select(*by, "__bin"), [*by, "__bin"], "left_semi")
+    values = null_safe_join(rows, hit.select(*by, "__bin"), [*by, "__bin"], "left_semi")
     ties = values.groupBy(*by, "__bin", "__x").agg(F.count(F.lit(1)).alias("__c"))
     within = Window.partitionBy(*by, "__bin").orderBy("__x")
-    ties = null_safe_join(ties, hit, [*by, "__bin"])
-    ties = ties.withColumn("__to", F.col("__start") + F.sum("__c").over(within))
-    found = ties.select(
-        *by,
-        "__x",
-        F.explode(
-            F.filter("__ranks", lambda r: (r["rank"] >= F.col("__to") - F.col("__c")) & (r["rank"] < F.col("__to")))
-        ).alias("__r"),
-    )
+    ties = ties.withColumn("__upto", F.sum("__c").over(within))
+    ties = null_safe_join(ties, hit, [*by, "__bin"]).withColumn("__to", F.col("__start") + F.col("__upto"))
+    found = ties.select(*by, "__x", F.explode(_inside(F.col("__to") - F.col("__c"), F.col("__to"))).alias("__r"))
     low, high = F.min("__x"), F.max("__x")
     part = F.max("__r.pos") - F.floor(F.max("__r.pos"))
     return found.groupBy(*by, F.col("__r.prob").alias("prob")).agg((low + (high - low) * part).alias(name))
 
 
+def _ranks(probs: Sequence[float], n: Column) -> Column:
+    """For each probability the two ranks its quantile lies between."""
+    out = []
+    for p in probs:
+        pos = F.lit(float(p)) * (n - 1)
+        for f in (F.floor, F.ceil):
+            out.append(F.struct(F.lit(float(p)).alias("prob"), pos.alias("pos"), f(pos).alias("rank")))
+    return F.array(*out)
+
+
+def _inside(start: Column, end: Column) -> Column:
+    return F.filter("__wanted", lambda r: (r["rank"] >= start) & (r["rank"] < end))
+
+
+def _hit(stats: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ranges that hold a wanted rank, with the number of rows below each."""
+    order = Window.partitionBy(*by, "__base").orderBy("__bin")
+    start = F.col("__base") + F.sum("__n").over(order) - F.col("__n")
+    placed = null_safe_join(stats.withColumn("__start", start), wanted, by)
+    kept = placed.where(F.size(_inside(F.col("__start"), F.col("__start") + F.col("__n"))) > 0)
+    return bounded_broadcast(kept.drop("__base"), RANGES)
+
+
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, Column], bins: int = BINS
+    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, Column], limit: int = RANGE_ROWS
 ) -> DataFrame:
     """Sums per distinct ``order`` value, added up along it: ``(*by, order, <name>, total_<name>)``.
 
@@ -89,7 +141,7 @@ def running_totals(
     """
     by, names = list(by), list(columns)
     rows = df.where(F.col(order).isNotNull()).select(*by, order, *[c.alias(n) for n, c in columns.items()])
-    binned = ordered_bins(rows, by, order, bins)
+    binned = ordered_bins(rows, by, order, limit)
     totals = binned.groupBy(*by, "__bin").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
     group = Window.partitionBy(*by)
     before = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +154,7 @@ def running_totals(
     ties = binned.groupBy(*by, "__bin", order).agg(*[F.sum(n).alias(n) for n in names])
     within = Window.partitionBy(*by, "__bin").orderBy(order)
     local = ties.select(*by, "__bin", order, *[F.sum(n).over(within).alias(n) for n in names])
-    joined = null_safe_join(local, bounded_broadcast(offsets), [*by, "__bin"])
+    joined = null_safe_join(local, bounded_broadcast(offsets, RANGES), [*by, "__bin"])
     return joined.select(
         *by, order, *[(F.col(n) + F.col(f"__o_{n}")).alias(n) for n in names], *[f"total_{n}" for n in names]
     )

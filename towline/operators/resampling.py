@@ -27,8 +27,8 @@ from towline.operators.joins import BROADCAST_ROWS, null_safe_join
 TILE_ROWS = 65_536
 # Draws that one task row should make, so a few strata still fill a cluster.
 DRAWS_PER_BLOCK = 2_000_000
-# Draws held in memory at once.
-DRAW_BATCH = 1_000_000
+# Draws held in memory at once; small enough to stay in a processor's cache.
+DRAW_BATCH = 65_536
 # Partial results put into one output frame.
 FRAME_PARTS = 200
 
@@ -60,11 +60,18 @@ def stratum_hash(seed: int, keys: Sequence[str | Column]) -> Column:
 
 
 def _draws(base: int, start: int, count: int, rows: int) -> np.ndarray:
-    """Row positions of draws ``start`` to ``start + count - 1`` of a stratum."""
+    """Row positions of draws ``start`` to ``start + count - 1`` of a stratum.
+
+    The upper 40 bits of the hash pick the position, for up to 2^24 rows.
+    """
     z = np.arange(start + 1, start + count + 1, dtype=np.uint64)
     z *= np.uint64(GOLDEN)
     z ^= np.uint64(base)
-    return (mix64(z) % np.uint64(rows)).astype(np.int64)
+    z = mix64(z)
+    z >>= np.uint64(24)
+    z *= np.uint64(rows)
+    z >>= np.uint64(40)
+    return z.view(np.int64)
 
 
 def _allot(total: int, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -192,6 +199,8 @@ def resample(
     Returns ``(*by, [design], n, *carry, m, replicate, sum_<value>, cnt_<value>)`` where ``m`` is
     the number of draws and ``cnt`` the drawn values that were not missing.
     """
+    if not 0 < tile_rows <= 1 << 22:
+        raise ValueError("tile_rows is between 1 and 4194304")
     by, values = list(by), list(values)
     carry = dict(carry or {})
     spark = df.sparkSession
