@@ -31,6 +31,10 @@ def test_csv_round_trip_with_missing_values(spark, tmp_path):
     back = read_table(spark, path, "x double, id int, name string")
     assert back.columns == ["x", "id", "name"]
     assert rows(back, "id") == [(2.5, 1, "a"), (None, 2, None)]
+    raw = tmp_path / "raw.csv"
+    raw.write_text('id,name,x,extra\n1,,2.5,q\n2,NA,,r\n3,"b c",NA,\n')
+    got = rows(read_table(spark, str(raw), "id int, name string, x double, extra string"), "id")
+    assert got == [(1, None, 2.5, "q"), (2, None, None, "r"), (3, "b c", None, None)]
     with pytest.raises(ValueError):
         read_table(spark, path)
     with pytest.raises(ValueError):
@@ -186,8 +190,10 @@ def test_domain_order(spark):
 
 
 def test_small_strata(spark):
-    df = spark.createDataFrame([("one", 4.0, 10.0), ("two", 1.0, 10.0), ("two", 3.0, 10.0), ("zero", 0.0, 10.0), ("zero", 0.0, 10.0)], "bed string, d double, area double")
-    got = {r.bed: r for r in estimators.expand_estimate(df, ["bed"], ["d"]).collect()}
+    df = spark.createDataFrame([("one", 4.0), ("two", 1.0), ("two", 3.0), ("zero", 0.0), ("zero", 0.0), ("no_area", 1.0)], "bed string, d double")
+    areas = spark.createDataFrame([(b, 10.0) for b in ("one", "two", "zero", "unused")], "bed string, area double")
+    got = {r.bed: r for r in estimators.expand_estimate(df, ["bed"], ["d"], areas).collect()}
+    assert set(got) == {"one", "two", "zero", "no_area"} and got["no_area"].total is None and got["no_area"].dbar == 1.0
     assert (got["one"].n, got["one"].total, got["one"].var_total, got["one"].cv_total) == (1, 40.0, None, None)
     assert (got["two"].ss, got["two"].total, got["two"].var_total) == (2.0, 20.0, 100.0)
     assert (got["zero"].total, got["zero"].var_total, got["zero"].cv, got["zero"].cv_total) == (0.0, 0.0, None, None)

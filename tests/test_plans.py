@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from towline.operators import report
 from towline.plans import biology
 from towline.plans.population import population_tables, tow_counts, used_tows
-from towline.plans.sample_size import sample_size_tables, study_tows
+from towline.plans.sample_size import bed_areas, sample_size_tables, study_tows
 from towline.sources import schemas, student_t_table
 
 
@@ -60,17 +60,17 @@ def test_used_tows_order(inputs):
 
 def test_sample_size_study(spark, inputs):
     hauls, catch, stations, _ = inputs
-    tows = study_tows(hauls, catch, stations, {"Near Dredge": "Near", "Far Dredge": "Far"}, 850)
+    tows = study_tows(hauls, catch, {"Near Dredge": "Near", "Far Dredge": "Far"}, 850)
     assert {r.area_name for r in tows.select("area_name").distinct().collect()} == {"Near", "Far"}
     # Tow 2 was 30 % longer in the field than planned, so the field length counts.
     assert {r.tow for r in tows.where("event like '%2'").select("tow").collect()} == {1.3}
     assert tows.where("s_count is null").count() == 9
     named = stations.withColumn("SURVEY_AREA", F.regexp_replace("SURVEY_AREA", " Dredge", ""))
-    tows = study_tows(hauls, catch, named, {"Near Dredge": "Near", "Far Dredge": "Far"}, 850)
-    got = sample_size_tables(tows, reps=60, na_rm=True)
+    areas = bed_areas(named)
+    got = sample_size_tables(tows, areas, reps=60, na_rm=True)
     study = got["study"].toPandas()
     assert set(study.m) == {2, 4, 5, 6} and study.p_mean.notna().all()
-    strict = sample_size_tables(tows, reps=60)["study"].toPandas()
+    strict = sample_size_tables(tows, areas, reps=60)["study"].toPandas()
     assert strict.p_mean.isna().all()
     assert set(got["comparison"].columns) == {"area_name", "bed", "fraction", "type", "value"}
 

@@ -16,10 +16,14 @@ def sample():
     pdf = pd.DataFrame({"g": np.where(np.arange(1300) < 900, "hot", "cold"), "id": np.arange(1300)})
     pdf.loc[1299, "g"] = "single"
     pdf["x"] = rng.gamma(2, 3, 1300)
-    pdf["area"] = 10.0
     return pdf
 
 
+@pytest.fixture(scope="module")
+def areas(spark):
+    return spark.createDataFrame([("hot", 10.0), ("cold", 10.0), ("single", 10.0)], "g string, area double")
+
+
 def test_draws_are_rows_of_the_stratum(spark, sample):
     out = rs.resample(spark.createDataFrame(sample), ["g"], "id", ["x"], reps=5, seed=3).toPandas()
     single = sample[sample.g == "single"].x.iloc[0]
@@ -49,15 +53,15 @@ def test_exact_draws(spark, sample):
         assert r.sum_x == pytest.approx(want[r.g, r.replicate], rel=1e-12)
 
 
-def test_same_seed_same_answer_under_other_partitioning(spark, sample):
+def test_same_seed_same_answer_under_other_partitioning(spark, sample, areas):
     df = spark.createDataFrame(sample)
     for tile in (65_536, 100):
-        a = rs.bootstrap(df, ["g"], "id", ["x"], "area", 20, 5, tile_rows=tile).toPandas()
-        b = rs.bootstrap(df.repartition(7, F.rand(1)), ["g"], "id", ["x"], "area", 20, 5, tile_rows=tile).toPandas()
+        a = rs.bootstrap(df, ["g"], "id", ["x"], areas, ["g"], 20, 5, tile_rows=tile).toPandas()
+        b = rs.bootstrap(df.repartition(7, F.rand(1)), ["g"], "id", ["x"], areas, ["g"], 20, 5, tile_rows=tile).toPandas()
         order = ["g", "replicate"]
         a, b = a.sort_values(order).reset_index(drop=True), b.sort_values(order).reset_index(drop=True)
         assert np.allclose(a.dbar, b.dbar, rtol=1e-12)
-    other = rs.bootstrap(df, ["g"], "id", ["x"], "area", 20, 6).toPandas()
+    other = rs.bootstrap(df, ["g"], "id", ["x"], areas, ["g"], 20, 6).toPandas()
     assert not np.allclose(sorted(a.dbar), sorted(other.dbar))
 
 
@@ -103,8 +107,8 @@ def test_key_of_equal_groups_and_null_stratum(spark):
         assert sorted(out.sum_x) == [6.0, 6.0, 30.0, 30.0]
 
 
-def test_poisson(spark, sample):
-    out = rs.bootstrap(spark.createDataFrame(sample), ["g"], "id", ["x"], "area", 400, 4, "poisson").toPandas()
+def test_poisson(spark, sample, areas):
+    out = rs.bootstrap(spark.createDataFrame(sample), ["g"], "id", ["x"], areas, ["g"], 400, 4, "poisson").toPandas()
     part = sample[sample.g == "hot"]
     got = out[out.g == "hot"]
     assert got.dbar.mean() == pytest.approx(part.x.mean(), rel=0.01)
@@ -131,9 +135,10 @@ def test_summary(spark):
 
 
 def test_design_sizes_and_study(spark):
-    rows = [("a", y, i, float(i % 5), 90.2) for y in (1, 2) for i in range(30)]
-    df = spark.createDataFrame(rows, "bed string, year int, id int, d double, area double")
-    study = rs.design_study(df, ["bed", "year"], "id", "d", "area", reps=150, seed=1)
+    rows = [("a", y, i, float(i % 5)) for y in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "bed string, year int, id int, d double")
+    areas = spark.createDataFrame([("a", 90.2)], "bed string, area double")
+    study = rs.design_study(df, ["bed", "year"], "id", "d", areas, ["bed"], reps=150, seed=1)
     got = study.toPandas()
     assert got.groupby("fraction").m.first().to_dict() == {0.2: 18, 0.3: 27, 0.35: 31, 0.4: 36, 0.5: 45}
     assert got.p_mean.to_numpy() == pytest.approx(2 * 90.2, rel=0.05)

@@ -187,11 +187,11 @@ class_counts AS (
 
 
 def haul_densities(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per located haul with densities per class and the area of its bed."""
+    """One row per located haul with densities per class."""
     from towline.operators.estimators import add_density, haul_frame
     from towline.operators.joins import complete_with_zero
 
-    frame = haul_frame(located_hauls(spark, sf), bed_areas(spark, sf), "bed", "effort")
+    frame = haul_frame(located_hauls(spark, sf), "effort")
     full = complete_with_zero(class_counts(spark, sf), frame, ["haul"], ["large", "small"], how="frame")
     return add_density(full, ["large", "small"])
 

@@ -61,7 +61,7 @@ ESTIMATE_COLUMNS = ("area", "dbar", "var_dbar", "cv", "ss", "total", "var_total"
 
 
 def estimates(spark, sf):
-    return est.expand_estimate(base.haul_densities(spark, sf), STRATA, MEASURES)
+    return est.expand_estimate(base.haul_densities(spark, sf), STRATA, MEASURES, base.bed_areas(spark, sf))
 
 
 @query(
@@ -84,13 +84,17 @@ dense AS (
 
 
 def clapper_density(spark, sf):
-    frame = est.haul_frame(base.located_hauls(spark, sf), base.bed_areas(spark, sf), "bed", "effort")
+    frame = est.haul_frame(base.located_hauls(spark, sf), "effort")
     dead = base.catch(spark, sf).where(F.col("cond") == "R").groupBy("haul")
     dead = dead.agg(F.sum("count").alias("c"), F.sum("weight").alias("wt"))
     full = complete_with_zero(dead, frame, ["haul"], ["c", "wt"], how="frame")
     return est.add_density(full, ["c", "wt"], total=None)
 
 
+def clapper_estimate(spark, sf, densities):
+    return est.expand_estimate_wide(clapper_density(spark, sf), STRATA, densities, base.bed_areas(spark, sf))
+
+
 def _wide(suffix: str) -> str:
     return f"""sum({suffix}) / count(*) AS dbar_{suffix}, var_samp({suffix}) AS var_dbar_{suffix},
       100 * sqrt(var_samp({suffix})) / nullif(avg({suffix}), 0) AS cv_{suffix}, var_samp({suffix}) * (count(*) - 1) AS ss_{suffix},
@@ -108,7 +112,7 @@ def _wide(suffix: str) -> str:
     ),
 )
 def e04(spark, sf):
-    return tidy(est.expand_estimate_wide(clapper_density(spark, sf), STRATA, {"c": "c", "wt": "wt"}))
+    return tidy(clapper_estimate(spark, sf, {"c": "c", "wt": "wt"}))
 
 
 CPUE = f"""{base.LOCATED}, {base.CATCH},
@@ -438,7 +442,7 @@ def e18(spark, sf):
     ),
 )
 def e19(spark, sf):
-    dead = est.expand_estimate_wide(clapper_density(spark, sf), STRATA, {"c": "c"})
+    dead = clapper_estimate(spark, sf, {"c": "c"})
     live = estimates(spark, sf).where(F.col("variable") == "large").select(*STRATA, "total")
     joined = live.join(dead, STRATA, "right")
     return tidy(joined.select("year", "bed", "n", est.share_of_total("total_c", "total").alias("percent_clap")))

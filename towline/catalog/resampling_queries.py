@@ -38,7 +38,14 @@ SUMMARY_STATS = ("mean", "ll", "ul", "var", "cv")
 
 def boot(spark, sf, method="exact", reps=REPS):
     return rs.bootstrap(
-        base.haul_densities(spark, sf), ["district", "bed"], "haul", MEASURES, "area", reps, SEED, method
+        base.haul_densities(spark, sf),
+        ["district", "bed"],
+        "haul",
+        MEASURES,
+        base.bed_areas(spark, sf),
+        reps=reps,
+        seed=SEED,
+        method=method,
     )
 
 
@@ -71,15 +78,15 @@ def b03(spark, sf):
 WEIGHTS = " + ".join(f"CASE WHEN (z >> 32) >= {c} THEN 1 ELSE 0 END" for c in POISSON_CUTS)
 # Rows are hashed once, then once per replicate.
 ROW_HASH = draws_sql.mixed(
-    f"""SELECT haul, priority, area, large,
+    f"""SELECT haul, district, bed, area, large,
         ((haul::HUGEINT + {SEED * GOLDEN % 2**64}::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS z
         FROM densities""",
-    "haul, priority, area, large",
+    "haul, district, bed, area, large",
 )
 POISSON_DRAW = draws_sql.mixed(
-    f"""SELECT priority, area, large, r, ((h::HUGEINT + z::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS z
-        FROM ({draws_sql.counter(f"SELECT priority, area, large, z AS h, r FROM hashed, range({FEW}) t(r)", "priority, area, large, h, r", "r + 1")})""",
-    "priority, area, large, r",
+    f"""SELECT district, bed, area, large, r, ((h::HUGEINT + z::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS z
+        FROM ({draws_sql.counter(f"SELECT district, bed, area, large, z AS h, r FROM hashed, range({FEW}) t(r)", "district, bed, area, large, h, r", "r + 1")})""",
+    "district, bed, area, large, r",
 )
 
 
@@ -87,19 +94,17 @@ POISSON_DRAW = draws_sql.mixed(
     "b01_bootstrap_poisson",
     tidy_sql(
         f"""WITH {base.DENSITIES}, hashed AS MATERIALIZED ({ROW_HASH}),
-            weighted AS (SELECT priority, area, large, r, {WEIGHTS} AS w FROM ({POISSON_DRAW}))
-            SELECT priority, 'large' AS variable, r AS replicate, sum(w * large) / sum(w) AS dbar,
+            weighted AS (SELECT district, bed, area, large, r, {WEIGHTS} AS w FROM ({POISSON_DRAW}))
+            SELECT district, bed, 'large' AS variable, r AS replicate, sum(w * large) / sum(w) AS dbar,
                    max(area) * (sum(w * large) / sum(w)) AS total
-            FROM weighted GROUP BY priority, r""",
+            FROM weighted GROUP BY district, bed, r""",
         "dbar",
         "total",
     ),
 )
 def b01_poisson(spark, sf):
-    out = rs.bootstrap(
-        base.haul_densities(spark, sf), ["priority"], "haul", ["large"], "area", FEW, SEED, "poisson"
-    )
-    return tidy(out)
+    out = boot(spark, sf, "poisson", FEW)
+    return tidy(out.where(F.col("variable") == "large"))
 
 
 RATIO = f"""numbered AS (
@@ -148,10 +153,13 @@ rows AS MATERIALIZED ({_rows("area, s_count", "tows", "district, bed, year", "ha
 frame AS MATERIALIZED (SELECT district, bed, year, max(area) AS area, count(*) AS n FROM rows GROUP BY district, bed, year)"""
 
 
+def cell_counts(spark, sf):
+    return base.stations(spark, sf).groupBy("bed").agg(F.count(F.lit(1)).cast("double").alias("area"))
+
+
 def study_rows(spark, sf):
-    cells = base.stations(spark, sf).groupBy("bed").agg(F.count(F.lit(1)).cast("double").alias("area"))
     sums = base.catch(spark, sf).groupBy("haul").agg(F.sum("count").alias("count"))
-    tows = base.located_hauls(spark, sf).join(cells, "bed").join(sums, "haul", "left")
+    tows = base.located_hauls(spark, sf).join(sums, "haul", "left")
     return tows.withColumn("s_count", F.col("count") / (F.col("effort") * F.lit(units.DREDGE_WIDTH_NMI)))
 
 
@@ -181,7 +189,8 @@ def b04(spark, sf):
         FEW,
         SEED,
         draws={0.4: F.bround(F.col("area") * 0.4)},
-        carry={"area": F.max("area")},
+        attributes=cell_counts(spark, sf),
+        on=["bed"],
     )
     return tidy(sums.drop("area"))
 
@@ -202,7 +211,15 @@ study AS MATERIALIZED (
 
 def study(spark, sf):
     return rs.design_study(
-        study_rows(spark, sf), STUDY_STRATA, "haul", "s_count", "area", reps=FEW, seed=SEED, na_rm=True
+        study_rows(spark, sf),
+        STUDY_STRATA,
+        "haul",
+        "s_count",
+        cell_counts(spark, sf),
+        ["bed"],
+        reps=FEW,
+        seed=SEED,
+        na_rm=True,
     )
 
 

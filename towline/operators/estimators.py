@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 
 from towline.functions import units
 from towline.functions.aggregates import sum_where
-from towline.functions.scalar import guarded_div, null_div
+from towline.functions.scalar import guarded_div, null_div, swept_area
 from towline.operators.cleaning import zero_fill
+from towline.operators.joins import null_safe_join
 
 
 def haul_frame(
     hauls: DataFrame,
-    areas: DataFrame,
-    bed: str,
     length: str,
     width: float = units.DREDGE_WIDTH_NMI,
     efficiency: float = units.DREDGE_EFFICIENCY,
 ) -> DataFrame:
-    """Hauls with swept area ``ai`` and the area of their bed (null for a bed without one)."""
-    swept = F.col(length) * F.lit(width) * F.lit(efficiency)
-    return hauls.withColumn("ai", swept).join(areas.select(bed, "area"), bed, "left")
+    """Hauls with swept area ``ai``.
+
+    The area of the bed is a property of the stratum, so it joins the estimates and not the hauls.
+    """
+    return hauls.withColumn("ai", swept_area(length, width, efficiency))
 
 
 def sample_sizes(hauls: DataFrame, areas: DataFrame, bed: str) -> DataFrame:
@@ -45,13 +46,21 @@ def add_density(df: DataFrame, measures: Sequence[str], area: str = "ai", total:
     return out.withColumns({m: null_div(F.col(m).cast("double"), F.col(area)) for m in names})
 
 
-def _estimate_fields(measure: str, n: Column, area: Column) -> dict[str, Column]:
-    d = F.col(measure).cast("double")
-    mean = F.sum(d) / n
-    var = F.var_samp(d)
+def _moments(densities: Sequence[str]) -> list[Column]:
+    """Sum and variance of each density, one pass over the hauls."""
+    out = [F.count(F.lit(1)).alias("n")]
+    for m in densities:
+        d = F.col(m).cast("double")
+        out += [F.sum(d).alias(f"__sum_{m}"), F.var_samp(d).alias(f"__var_{m}")]
+    return out
+
+
+def _estimate_fields(measure: str) -> dict[str, Column]:
+    """Statistics from the moments; a single haul has no variance, an empty total no CV."""
+    n, area = F.col("n"), F.col("area")
+    mean, var = F.col(f"__sum_{measure}") / n, F.col(f"__var_{measure}")
     ss = var * (n - 1)
     total = area * mean
-    # The corrected sum of squares over n (n - 1); null when n is 1, as the variance is.
     var_total = area * area * ss / F.nullif(n * (n - 1), F.lit(0))
     return {
         "dbar": mean,
@@ -61,39 +70,42 @@ def _estimate_fields(measure: str, n: Column, area: Column) -> dict[str, Column]
         "total": total,
         "var_total": var_total,
         "cv_total": F.try_divide(F.sqrt(var_total), total) * 100,
-        "sd_total": F.sqrt(var_total),
     }
 
 
-def expand_estimate(df: DataFrame, strata: Sequence[str], densities: Sequence[str], area: str = "area") -> DataFrame:
+def expand_estimate(
+    df: DataFrame, strata: Sequence[str], densities: Sequence[str], areas: DataFrame, on: Sequence[str] = ("bed",)
+) -> DataFrame:
     """Area-expansion estimate per stratum and measure, long form.
 
     ``df`` holds one row per haul, zero hauls included, with one density column per measure.
-    All measures are aggregated in one pass over the wide rows; only the few stratum rows are
-    turned long. Rows whose density is null make the sum skip them but count in ``n``.
+    ``areas`` has the columns ``on`` and ``area``; a stratum without an area has no total. All
+    measures are aggregated in one pass over the wide rows, and only the few stratum rows meet the
+    areas and are turned long. Rows whose density is null count in ``n`` only.
     """
-    n = F.count(F.lit(1))
-    size = F.max(F.col(area).cast("double"))
-    aggs = [n.alias("n"), size.alias("area")]
+    moments = df.groupBy(*strata).agg(*_moments(densities))
+    placed = null_safe_join(moments, areas.select(*on, F.col("area").cast("double").alias("area")), on, "left")
+    rows = []
     for m in densities:
-        fields = _estimate_fields(m, n, size)
-        aggs.append(F.struct(*[c.alias(k) for k, c in fields.items()]).alias(f"__{m}"))
-    wide = df.groupBy(*strata).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(m).alias("variable"), F.col(f"__{m}").alias("e")) for m in densities])
-    out = wide.select(*strata, "n", "area", F.inline(rows))
-    return out.select(*strata, "variable", "n", "area", "e.*")
+        fields = {k: c.alias(k) for k, c in _estimate_fields(m).items()}
+        rows.append(F.struct(F.lit(m).alias("variable"), *fields.values()))
+    out = placed.select(*strata, "n", "area", F.inline(F.array(*rows)))
+    out = out.withColumn("sd_total", F.sqrt("var_total"))
+    return out.select(*strata, "variable", *[c for c in out.columns if c not in (*strata, "variable")])
 
 
 def expand_estimate_wide(
-    df: DataFrame, strata: Sequence[str], densities: Mapping[str, str], area: str = "area"
+    df: DataFrame,
+    strata: Sequence[str],
+    densities: Mapping[str, str],
+    areas: DataFrame,
+    on: Sequence[str] = ("bed",),
 ) -> DataFrame:
     """Same statistics side by side, one row per stratum: ``{column suffix: density column}``."""
-    n = F.count(F.lit(1))
-    size = F.max(F.col(area).cast("double"))
-    aggs = [n.alias("n"), size.alias("area")]
-    for suffix, m in densities.items():
-        aggs += [c.alias(f"{k}_{suffix}") for k, c in _estimate_fields(m, n, size).items() if k != "sd_total"]
-    return df.groupBy(*strata).agg(*aggs)
+    moments = df.groupBy(*strata).agg(*_moments(list(densities.values())))
+    placed = null_safe_join(moments, areas.select(*on, F.col("area").cast("double").alias("area")), on, "left")
+    fields = [c.alias(f"{k}_{s}") for s, m in densities.items() for k, c in _estimate_fields(m).items()]
+    return placed.select(*strata, "n", "area", *fields)
 
 
 def catch_table(df: DataFrame, bed: str, counts: Sequence[str], grams: Sequence[str]) -> DataFrame:

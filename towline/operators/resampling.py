@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from towline.functions import units
-from towline.operators.joins import BROADCAST_ROWS, null_safe_join
+from towline.operators.joins import BROADCAST_ROWS, bounded_broadcast, null_safe_join
 
 TILE_ROWS = 65_536
 # Draws that one task row should make, so a few strata still fill a cluster.
@@ -186,23 +186,24 @@ def resample(
     seed: int = 1,
     draws: Mapping[object, Column] | None = None,
     design: str = "design",
-    carry: Mapping[str, Column] | None = None,
+    attributes: DataFrame | None = None,
+    on: Sequence[str] = (),
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Draw rows with replacement within each stratum, ``reps`` times, and sum the values drawn.
 
     ``key`` is unique within a stratum and fixes the row order. By default a replicate draws as
-    many rows as the stratum has. ``draws`` gives other sizes instead, as ``{label: size}`` with
-    sizes made of columns of ``carry`` and of ``n`` (rows in the stratum); every label is drawn in
-    the same job and named in column ``design``. ``carry`` holds aggregates per stratum to keep.
+    many rows as the stratum has. ``draws`` gives other sizes instead, as ``{label: size}``; every
+    label is drawn in the same job and named in column ``design``. Sizes are made of ``n`` (rows in
+    the stratum) and of the columns of ``attributes``, a table that is unique in ``on``, some of
+    the stratum's keys.
 
-    Returns ``(*by, [design], n, *carry, m, replicate, sum_<value>, cnt_<value>)`` where ``m`` is
+    Returns ``(*by, [design], n, *attributes, m, replicate, sum_<value>, cnt_<value>)`` where ``m`` is
     the number of draws and ``cnt`` the drawn values that were not missing.
     """
     if not 0 < tile_rows <= 1 << 22:
         raise ValueError("tile_rows is between 1 and 4194304")
     by, values = list(by), list(values)
-    carry = dict(carry or {})
     spark = df.sparkSession
     n = F.count(F.lit(1))
     largest, strata = df.groupBy(*by).agg(n.alias("n")).agg(F.max("n"), F.count("n")).first()
@@ -210,9 +211,8 @@ def resample(
     columns = {v: F.col(v).cast("double") for v in values}
     entry = F.struct(F.col(key).alias("__key"), *[c.alias(f"__x_{v}") for v, c in columns.items()])
     packed = F.sort_array(F.collect_list(entry))
-    extra = [c.alias(name) for name, c in carry.items()]
     if split:
-        sizes = df.groupBy(*by).agg(n.alias("n"), *extra)
+        sizes = df.groupBy(*by).agg(n.alias("n"))
         sizes = sizes.withColumn("__tiles", F.ceil(F.col("n") / tile_rows).cast("bigint"))
         sizes = F.broadcast(sizes) if strata <= BROADCAST_ROWS else sizes
         rows = null_safe_join(df.select(*by, key, *[v for v in values if v != key]), sizes.select(*by, "__tiles"), by)
@@ -221,7 +221,7 @@ def resample(
         splits = _tile_splits(rows.filter("__tiles > 1"), by, "__tile")
         tiled = null_safe_join(tiled, splits, [*by, "__tile"], "left")
     else:
-        tiled = df.groupBy(*by).agg(packed.alias("__rows"), n.alias("n"), *extra)
+        tiled = df.groupBy(*by).agg(packed.alias("__rows"), n.alias("n"))
         tiled = tiled.withColumns({"__tile": F.lit(0).cast("bigint"), "__tiles": F.lit(1).cast("bigint")})
     # Missing values travel as NaN, so the arrays reach Python as plain double arrays.
     arrays = {
@@ -229,7 +229,12 @@ def resample(
     }
     tiled = tiled.withColumns(arrays).drop("__rows")
 
-    keys = [*by, "n", *carry, "m"]
+    extra = []
+    if attributes is not None:
+        extra = [c for c in attributes.columns if c not in on]
+        tiled = null_safe_join(tiled, bounded_broadcast(attributes), on, "left")
+
+    keys = [*by, "n", *extra, "m"]
     hashed: list[str] = list(by)
     if draws is None:
         plan = tiled.withColumn("m", F.col("n"))
@@ -276,7 +281,8 @@ def bootstrap(
     strata: Sequence[str],
     key: str,
     measures: Sequence[str],
-    area: str,
+    areas: DataFrame,
+    on: Sequence[str] = ("bed",),
     reps: int = units.REPLICATES,
     seed: int = 1,
     method: str = "exact",
@@ -284,21 +290,21 @@ def bootstrap(
 ) -> DataFrame:
     """Bootstrap of mean density and total per stratum, measure and replicate, long form.
 
-    All measures of a stratum share its draws. ``exact`` draws as many rows as the stratum has;
+    ``areas`` has the columns ``on`` and ``area``; it joins the replicates, not the rows. All measures of a stratum share its draws. ``exact`` draws as many rows as the stratum has;
     ``poisson`` gives each row a Poisson(1) weight and needs no shuffle of rows, for strata of
     hundreds of rows or more.
     """
-    carry = {"area": F.max(F.col(area).cast("double"))}
     if method == "exact":
-        sums = resample(df, strata, key, measures, reps, seed, carry=carry, tile_rows=tile_rows)
+        sums = resample(df, strata, key, measures, reps, seed, tile_rows=tile_rows)
         means = {v: F.try_divide(F.col(f"sum_{v}"), F.col("n")) for v in measures}
     elif method == "poisson":
-        sums = poisson_sums(df, strata, key, measures, reps, seed, carry)
+        sums = poisson_sums(df, strata, key, measures, reps, seed)
         means = {v: F.try_divide(F.col(f"sum_{v}"), F.col("weight")) for v in measures}
     else:
         raise ValueError("method is 'exact' or 'poisson'")
     cells = F.array(*[F.struct(F.lit(v).alias("variable"), c.alias("dbar")) for v, c in means.items()])
-    long = sums.select(*strata, "area", "replicate", F.inline(cells))
+    placed = null_safe_join(sums, bounded_broadcast(areas.select(*on, "area")), on, "left")
+    long = placed.select(*strata, F.col("area").cast("double").alias("area"), "replicate", F.inline(cells))
     return long.select(
         *strata, "variable", "replicate", "dbar", (F.col("area") * F.col("dbar")).alias("total")
     )
@@ -360,7 +366,6 @@ def poisson_sums(
     values: Sequence[str],
     reps: int,
     seed: int = 1,
-    carry: Mapping[str, Column] | None = None,
     max_groups: int = 500,
 ) -> DataFrame:
     """Poisson-weighted sums per (stratum, replicate), one pass without a shuffle of rows.
@@ -368,7 +373,7 @@ def poisson_sums(
     ``key`` is an integer that differs between the rows of a stratum. Each task adds up its rows
     per stratum and only partial sums leave it. Rows with a null value add their weight only.
     """
-    by, values, carry = list(by), list(values), dict(carry or {})
+    by, values = list(by), list(values)
     rows = df.select(*by, F.col(key).cast("bigint").alias("__key"), *[F.col(v).cast("double") for v in values])
     schema = T.StructType([rows.schema[b] for b in by])
     schema.add("replicate", T.LongType()).add("weight", T.LongType())
@@ -405,13 +410,9 @@ def poisson_sums(
         yield from flush()
 
     partial = rows.mapInPandas(run, schema)
-    total = partial.groupBy(*by, "replicate").agg(
+    return partial.groupBy(*by, "replicate").agg(
         F.sum("weight").alias("weight"), *[F.sum(f"sum_{v}").alias(f"sum_{v}") for v in values]
     )
-    if not carry:
-        return total
-    extra = df.groupBy(*by).agg(*[c.alias(n) for n, c in carry.items()])
-    return null_safe_join(total, extra, by)
 
 
 def design_sizes(
@@ -427,7 +428,8 @@ def design_study(
     strata: Sequence[str],
     key: str,
     density: str,
-    area: str,
+    areas: DataFrame,
+    on: Sequence[str],
     fractions: Sequence[float] = units.DESIGN_FRACTIONS,
     floored: Sequence[float] = (0.35,),
     reps: int = units.REPLICATES,
@@ -437,7 +439,8 @@ def design_study(
 ) -> DataFrame:
     """Mean, sd and variance of the replicate totals for each stratum and sampled fraction.
 
-    All fractions are drawn in one job from one packing of the rows. A replicate that drew a
+    ``areas`` has the columns ``on`` and ``area``, which also sets the sample sizes. All fractions
+    are drawn in one job from one packing of the rows. A replicate that drew a
     missing value is null; ``na_rm`` drops such replicates, otherwise they make the summary null.
     """
     sums = resample(
@@ -449,7 +452,8 @@ def design_study(
         seed,
         draws=design_sizes(fractions, floored),
         design="fraction",
-        carry={"area": F.max(F.col(area).cast("double"))},
+        attributes=areas.select(*on, F.col("area").cast("double").alias("area")),
+        on=on,
         tile_rows=tile_rows,
     )
     p = sums.withColumn("P", drawn_mean(density) * F.col("area"))

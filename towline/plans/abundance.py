@@ -37,7 +37,7 @@ STRATA = ("year", "district", "bed")
 def survey_tables(hauls: DataFrame, catch: DataFrame, individuals: DataFrame, areas: DataFrame, s: SurveySettings) -> dict[str, DataFrame]:
     """Cleaned tables the estimates start from: hauls with effort, catch by class, individuals."""
     area = cleaning.project(areas, {"bed": "Bed", "area": "area_nm2"})
-    events = estimators.haul_frame(cleaning.clean_hauls(hauls), area, "bed", "length", s.width, s.efficiency)
+    events = estimators.haul_frame(cleaning.clean_hauls(hauls), "length", s.width, s.efficiency)
     caught = cleaning.project(catch, schemas.CATCH_COLUMNS)
     animals = cleaning.project(individuals, schemas.INDIVIDUAL_COLUMNS)
     live = caught.filter((F.col("species") == s.species) & (F.col("cond") == s.live))
@@ -73,11 +73,11 @@ def abundance_tables(
     )
     catch_table = estimators.catch_table(raw, "bed", classes, [f"{c}_g" for c in classes])
 
-    original = estimators.expand_estimate(numbers, STRATA, measures)
-    boot_n = resampling.bootstrap(numbers, STRATA, "event", measures, "area", s.reps, s.seed)
+    original = estimators.expand_estimate(numbers, STRATA, measures, t["areas"])
+    boot_n = resampling.bootstrap(numbers, STRATA, "event", measures, t["areas"], reps=s.reps, seed=s.seed)
     n_summary = resampling.bootstrap_summary(boot_n, ["bed", "year", "variable"], {"total": "total", "dbar": "dbar"})
 
-    boot_w = resampling.bootstrap(grams, STRATA, "event", measures, "area", s.reps, s.seed + 1)
+    boot_w = resampling.bootstrap(grams, STRATA, "event", measures, t["areas"], reps=s.reps, seed=s.seed + 1)
     pounds = boot_w.withColumns({c: F.col(c) * units.POUNDS_PER_GRAM for c in ("total", "dbar")})
     w_summary = resampling.bootstrap_summary(pounds, [*STRATA, "variable"], {"weight": "total", "dbar": "dbar"})
 
@@ -113,7 +113,7 @@ def abundance_tables(
         "numbers_original": original,
         "numbers": boot_n,
         "N_summary": n_summary,
-        "weights_original": estimators.expand_estimate(grams, STRATA, measures),
+        "weights_original": estimators.expand_estimate(grams, STRATA, measures, t["areas"]),
         "weights_summary": w_summary,
         "meat_wts": meat,
         "number_GHL": number_ghl,
@@ -130,7 +130,7 @@ def clapper_estimate(tables: Mapping[str, DataFrame], s: SurveySettings) -> Data
     dead = tables["catch"].filter((F.col("species") == s.species) & (F.col("cond") == s.clapper))
     per_haul = dead.groupBy("event").agg(sum0("count").alias("c"), sum0("sample_wt").alias("wt"))
     wide = densities(tables["events"], per_haul, ["c", "wt"], total=None)
-    est = estimators.expand_estimate_wide(wide, STRATA, {"c": "c", "wt": "wt"})
+    est = estimators.expand_estimate_wide(wide, STRATA, {"c": "c", "wt": "wt"}, tables["areas"])
     return est.withColumns(
         {"dbar_wt_lb": F.col("dbar_wt") * units.POUNDS_PER_KG_SHORT, "total_wt_lb": F.col("total_wt") * units.POUNDS_PER_KG_SHORT}
     )

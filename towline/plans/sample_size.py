@@ -19,14 +19,13 @@ STRATA = ("area_name", "bed", "year")
 def study_tows(
     hauls: DataFrame,
     catch: DataFrame,
-    stations: DataFrame,
     area_names: Mapping[str, str],
     species: int,
     condition: int = 1,
     tolerance: float = 0.10,
     width: float = units.DREDGE_WIDTH_NMI,
 ) -> DataFrame:
-    """Used tows with standardised count and bed area. A tow with no catch record stays null."""
+    """Used tows with standardised count. A tow with no catch record stays null."""
     used = hauls.filter(F.col("USED_IN_ESTIMATE") == "YES")
     used = recode(used, "SURVEY_AREA", area_names).select(
         F.col("YEAR").alias("year"),
@@ -39,18 +38,23 @@ def study_tows(
     sums = chosen.groupBy(F.col("EVENT_ID").alias("event")).agg(
         sum_strict("COUNT").alias("count"), sum_strict("SAMPLE_WT_KG").alias("weight")
     )
-    area = stations.groupBy(F.col("SURVEY_AREA").alias("area_name"), F.col("BED").alias("bed"))
-    area = area.agg(F.sum("Area_Sq_NM").alias("area"))
-    tows = used.join(sums, "event", "left").join(area, ["area_name", "bed"], "left")
+    tows = used.join(sums, "event", "left")
     swept = F.col("tow") * F.lit(width)
     return tows.withColumns(
         {"s_wt": F.try_divide(F.col("weight"), swept), "s_count": F.try_divide(F.col("count"), swept)}
     )
 
 
+def bed_areas(stations: DataFrame) -> DataFrame:
+    """Area of each bed from its station cells."""
+    return stations.groupBy(F.col("SURVEY_AREA").alias("area_name"), F.col("BED").alias("bed")).agg(
+        F.sum("Area_Sq_NM").alias("area")
+    )
+
+
 def sample_size_tables(
-    tows: DataFrame, reps: int = units.REPLICATES, seed: int = 1, na_rm: bool = False
+    tows: DataFrame, areas: DataFrame, reps: int = units.REPLICATES, seed: int = 1, na_rm: bool = False
 ) -> dict[str, DataFrame]:
     """Replicate summary per design and its difference from sampling half the area."""
-    study = design_study(tows, STRATA, "event", "s_count", "area", reps=reps, seed=seed, na_rm=na_rm)
+    study = design_study(tows, STRATA, "event", "s_count", areas, ["area_name", "bed"], reps=reps, seed=seed, na_rm=na_rm)
     return {"study": study, "comparison": compare_designs(study, STRATA, ["year"])}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from towline.session import cut_lineage
 from towline.sources import schemas
@@ -26,7 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
         raise ValueError("a CSV source needs an explicit schema")
     options = {"header": True, "nullValue": "NA", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     header = spark.read.options(**options).csv(path).columns
-    wanted = {f.name.lower(): f for f in spark.createDataFrame([], schema).schema.fields}
+    wanted = {f.name.lower(): f for f in T.StructType.fromDDL(schema).fields}
     missing = [f.name for k, f in wanted.items() if k not in {h.lower() for h in header}]
     if missing:
         raise ValueError(f"columns not in the header: {missing}")
