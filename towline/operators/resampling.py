@@ -13,10 +13,12 @@ partitioning nor on retries.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ from pyspark.sql import types as T
 from towline.functions import units
 from towline.operators.joins import BROADCAST_ROWS, bounded_broadcast, null_safe_join
 
+# The functions that run in tasks travel with them, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TILE_ROWS = 65_536
 # Draws that one task row should make, so a few strata still fill a cluster.
 DRAWS_PER_BLOCK = 2_000_000
@@ -206,7 +211,7 @@ def resample(
     by, values = list(by), list(values)
     spark = df.sparkSession
     n = F.count(F.lit(1))
-    largest, strata = df.groupBy(*by).agg(n.alias("n")).agg(F.max("n"), F.count("n")).first()
+    largest, strata, rows_all = df.groupBy(*by).agg(n.alias("n")).agg(F.max("n"), F.count("n"), F.sum("n")).first()
     split = (largest or 0) > tile_rows
     columns = {v: F.col(v).cast("double") for v in values}
     entry = F.struct(F.col(key).alias("__key"), *[c.alias(f"__x_{v}") for v, c in columns.items()])
@@ -251,7 +256,9 @@ def resample(
     edge = lambda b: F.floor(b * F.lit(reps) / F.col("__blocks")).cast("int")
     plan = plan.withColumn("__first", edge(F.col("__block"))).withColumn("__last", edge(F.col("__block") + 1))
     # A fixed number of partitions, as adaptive merging goes by bytes and these rows are small but costly.
-    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    work = (rows_all or 0) * reps * len(draws or "1") // DRAWS_PER_BLOCK
+    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(spark.sparkContext.defaultParallelism, min(work, most))
     plan = plan.repartition(tasks, *hashed, "__tile", "__block")
 
     kept = [*keys, *[f"__v_{v}" for v in values], "__m", "__base", "__tiles", "__tile", "__first", "__last"]
@@ -353,7 +360,7 @@ POISSON_CUTS = [
 
 def poisson_weights(keys: np.ndarray, seed: int, first: int, last: int) -> np.ndarray:
     """Weights of rows (down) and replicates ``first`` to ``last - 1`` (across)."""
-    rows = mix64(keys.astype(np.uint64) + np.uint64(seed) * np.uint64(GOLDEN))
+    rows = mix64(keys.astype(np.uint64) + np.uint64(seed * GOLDEN % 2**64))
     reps = np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(GOLDEN)
     u = mix64(rows[:, None] + reps[None, :]) >> np.uint64(32)
     return np.searchsorted(np.array(POISSON_CUTS, dtype=np.uint64), u, side="right").astype(np.int64)
