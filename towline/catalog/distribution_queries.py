@@ -85,9 +85,9 @@ def d03(spark, sf):
     tidy_sql(
         """WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
            SELECT l_returnflag, least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49)::BIGINT AS bin,
-                  any_value(lo) + least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49) * any_value((hi - lo) / 50) AS low,
+                  lo + least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49) * ((hi - lo) / 50) AS low,
                   count(*) AS n
-           FROM lineitem, r GROUP BY ALL""".replace("any_value(lo)", "lo").replace("any_value((hi - lo) / 50)", "((hi - lo) / 50)"),
+           FROM lineitem, r GROUP BY ALL""",
         "low",
     ),
 )

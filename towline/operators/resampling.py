@@ -297,7 +297,8 @@ def bootstrap(
 ) -> DataFrame:
     """Bootstrap of mean density and total per stratum, measure and replicate, long form.
 
-    ``areas`` has the columns ``on`` and ``area``; it joins the replicates, not the rows. All measures of a stratum share its draws. ``exact`` draws as many rows as the stratum has;
+    ``areas`` has the columns ``on`` and ``area``; it joins the replicates, not the rows.
+    All measures of a stratum share its draws. ``exact`` draws as many rows as the stratum has;
     ``poisson`` gives each row a Poisson(1) weight and needs no shuffle of rows, for strata of
     hundreds of rows or more.
     """
