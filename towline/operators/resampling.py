@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from towline.functions import units
-from towline.operators.joins import BROADCAST_ROWS, bounded_broadcast, null_safe_join
+from towline.operators.joins import bounded_broadcast, null_safe_join
 
 # The functions that run in tasks travel with them, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +34,9 @@ TILE_ROWS = 65_536
 DRAWS_PER_BLOCK = 2_000_000
 # Draws held in memory at once; small enough to stay in a processor's cache.
 DRAW_BATCH = 65_536
+# Longest lists of tile sizes, and of tiles with the sizes of their peers, that are broadcast.
+TILES = 1_000_000
+SPLITS = 10_000
 # Partial results put into one output frame.
 FRAME_PARTS = 200
 
@@ -166,6 +169,7 @@ def _tile_splits(rows: DataFrame, by: Sequence[str], tile: str) -> DataFrame:
     Both lists have about the square root of the number of tiles as length.
     """
     counts = rows.groupBy(*by, "__tiles", tile).agg(F.count(F.lit(1)).alias("__c"))
+    counts = bounded_broadcast(counts, TILES)
     span = F.ceil(F.sqrt("__tiles")).cast("bigint")
     counts = counts.withColumn("__gid", F.floor(F.col(tile) / span))
     peers = counts.groupBy(*by, "__gid").agg(
@@ -211,19 +215,18 @@ def resample(
     by, values = list(by), list(values)
     spark = df.sparkSession
     n = F.count(F.lit(1))
-    largest, strata, rows_all = df.groupBy(*by).agg(n.alias("n")).agg(F.max("n"), F.count("n"), F.sum("n")).first()
+    sizes = bounded_broadcast(df.groupBy(*by).agg(n.alias("n")))
+    largest, rows_all = sizes.agg(F.max("n"), F.sum("n")).first()
     split = (largest or 0) > tile_rows
     columns = {v: F.col(v).cast("double") for v in values}
     entry = F.struct(F.col(key).alias("__key"), *[c.alias(f"__x_{v}") for v, c in columns.items()])
     packed = F.sort_array(F.collect_list(entry))
     if split:
-        sizes = df.groupBy(*by).agg(n.alias("n"))
         sizes = sizes.withColumn("__tiles", F.ceil(F.col("n") / tile_rows).cast("bigint"))
-        sizes = F.broadcast(sizes) if strata <= BROADCAST_ROWS else sizes
         rows = null_safe_join(df.select(*by, key, *[v for v in values if v != key]), sizes.select(*by, "__tiles"), by)
         rows = rows.withColumn("__tile", F.pmod(F.xxhash64(key), F.col("__tiles")))
         tiled = null_safe_join(rows.groupBy(*by, "__tile").agg(packed.alias("__rows")), sizes, by)
-        splits = _tile_splits(rows.filter("__tiles > 1"), by, "__tile")
+        splits = bounded_broadcast(_tile_splits(rows.filter("__tiles > 1"), by, "__tile"), SPLITS)
         tiled = null_safe_join(tiled, splits, [*by, "__tile"], "left")
     else:
         tiled = df.groupBy(*by).agg(packed.alias("__rows"), n.alias("n"))
