@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bpe, decontaminate, language_id
+from towline.llm import bit_sliced, bpe, decontaminate, language_id
 from towline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_pred_score").alias("score"),
         F.col("lang_pred_rejected").alias("rejected"),
     )
+
+
+@registered
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of largest integer inner product with every query vector."""
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    queries = vectors.where(F.col("vec_id") % 50 == 0)  # the query set; candidates are all rows
+    found = bit_sliced.top_k(queries, vectors, 5, "vec_id", "embedding")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+SQL["op9_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores
+QUALIFY rank <= 5"""
