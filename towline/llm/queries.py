@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bit_sliced, bpe, decontaminate, language_id
+from towline.llm import bit_sliced, bpe, decontaminate, language_id, passage_dedup
 from towline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,32 @@ scores AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores
 QUALIFY rank <= 5"""
+
+
+@registered
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that repeats an earlier one, with its offsets and the document that keeps it."""
+    return passage_dedup.repeated_passages(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL["op10_repeated_passages"] = r"""
+WITH pieces AS (
+  SELECT doc_id, unnest(p) AS u, generate_subscripts(p, 1) AS n
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*?(?:[.!?]+[ \t]+|\n)|[^\n]+\z') AS p FROM documents WHERE text <> '')),
+placed AS (
+  SELECT doc_id, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY n) AS stop, length(u) AS size,
+         list_filter(regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM pieces),
+units AS (
+  SELECT doc_id, CAST(stop - size AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, w, len(w) AS words FROM placed WHERE len(w) > 0),
+firsts AS (SELECT w, min((doc_id, start)) AS f FROM units GROUP BY w),
+repeated AS (
+  SELECT doc_id, start, stop, words, f[1] AS first_doc, f[2] AS first_start
+  FROM units JOIN firsts USING (w) WHERE (doc_id, start) > f),
+runs AS (
+  SELECT *, sum(CASE WHEN start = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run
+  FROM (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM repeated))
+SELECT doc_id, min(start) AS start, max(stop) AS "end", CAST(sum(words) AS INTEGER) AS words,
+       arg_min(first_doc, start) AS from_doc, arg_min(first_start, start) AS from_start
+FROM runs GROUP BY doc_id, run HAVING sum(words) >= 25"""
