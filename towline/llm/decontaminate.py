@@ -11,16 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from towline.llm.common import staged
+from towline.llm.common import bounded_parts, staged
 
 # What is between words, given that A-Z count as lower case.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Rows of a broadcast at most. Rows of more than so many are joined in several parts.
-BROADCAST_ROWS = 200_000
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
@@ -37,14 +33,6 @@ def count_words(pieces: Column) -> Column:
     return (n - ends).cast("long")
 
 
-def bounded_parts(df: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> list[DataFrame]:
-    """``df`` dealt by ``key`` into as many parts as it takes for each to have about ``rows`` rows or fewer."""
-    n = -(-df.count() // rows)
-    if n <= 1:
-        return [df]
-    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
-
-
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10) -> DataFrame:
     """``item_id, words, phrase``: every window of ``window`` consecutive words of an item, or all words of a shorter one."""
     words = F.filter(F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), BETWEEN_WORDS), lambda w: w != "")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bit_sliced, bpe, decontaminate, language_id, passage_dedup
+from towline.llm import bit_sliced, bpe, decontaminate, language_id, line_templates, minhash, passage_dedup
 from towline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,32 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of near duplicates it belongs to."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL["op5_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[s : s + 4] AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
 @registered
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items, and the items."""
@@ -88,6 +114,46 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as recurring templates, and what stays."""
+    cleaned = line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op8_line_templates"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+masked AS (
+  SELECT doc_id, n, line,
+         list_transform(list_filter(regexp_split_to_array(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''),
+           lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w
+  FROM lines),
+known AS (SELECT *, (len(w), w[1:3]) AS leaf FROM masked WHERE len(w) >= 4),
+kinds AS (SELECT leaf, w, count(DISTINCT doc_id) AS docs FROM known GROUP BY ALL),
+placed AS (SELECT leaf, w, docs, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM kinds),
+constant AS (
+  SELECT leaf, place, token FROM placed WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
+shaped AS (
+  SELECT p.leaf, p.w, count(c.token) AS constants, list((p.place, p.token) ORDER BY p.place) FILTER (WHERE c.token IS NOT NULL) AS shape
+  FROM placed p LEFT JOIN constant c ON p.leaf = c.leaf AND p.place = c.place AND p.token = c.token GROUP BY ALL),
+fixed AS (SELECT * FROM shaped WHERE constants >= 0.7 * len(w)),
+support AS (
+  SELECT leaf, shape, count(DISTINCT doc_id) AS docs FROM known JOIN fixed USING (leaf, w) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+found AS (SELECT leaf, w, docs FROM fixed JOIN support USING (leaf, shape)),
+rated AS (
+  SELECT m.doc_id, m.n, m.line, len(m.w) AS tokens, coalesce(f.docs, 1) AS docs
+  FROM masked m LEFT JOIN found f ON (len(m.w), m.w[1:3]) = f.leaf AND m.w = f.w),
+usual AS (SELECT doc_id, quantile_disc(docs, 0.5) AS usual FROM rated WHERE tokens > 0 GROUP BY doc_id),
+decided AS (
+  SELECT r.*, coalesce(tokens > 0 AND docs >= 5 AND docs >= 4 * usual, false) AS dropped FROM rated r LEFT JOIN usual USING (doc_id))
+SELECT doc_id, CAST(coalesce(sum(CASE WHEN tokens > 0 THEN 1 END), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(sum(CASE WHEN dropped THEN 1 END), 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM documents LEFT JOIN decided USING (doc_id) GROUP BY doc_id"""
+
+
 @registered
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors of largest integer inner product with every query vector."""
