@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bit_sliced, bpe, decontaminate, language_id, line_templates, minhash, passage_dedup
+from towline.llm import bit_sliced, bpe, decontaminate, html_tree, language_id, line_templates, minhash, passage_dedup
 from towline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def registered(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+@registered
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_tree.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 @registered
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
