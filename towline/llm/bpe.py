@@ -192,7 +192,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; remembers the ids of up to ``most`` words."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 800_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000) -> None:
         self.v, self.most, self.known = vocabulary, most, {}
 
     def _learn(self, parts: list[list[str]]) -> dict[str, bytes]:
@@ -211,11 +211,11 @@ class Encoder:
         return self.known
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, packed, in order. Words of some four million characters of text are learned together."""
+        """Ids of each text, packed, in order. Words of some two million characters of text are learned together."""
         at = 0
         while at < len(texts):
             group, size = [], 0
-            while at < len(texts) and (size < 1 << 22 or not group):
+            while at < len(texts) and (size < 1 << 21 or not group):
                 group.append(self._pieces(texts[at]))
                 size += len(texts[at])
                 at += 1

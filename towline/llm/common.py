@@ -14,7 +14,7 @@ from towline.session import checkpoint_folder
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 # Bytes of text that reach a Python task at once; texts are long, so rows alone are no bound.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 # Rows of a broadcast at most. Rows of more than so many are joined in several parts.
