@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bit_sliced, bpe, decontaminate, html_tree, language_id, line_templates, minhash, passage_dedup
+from towline.llm import bit_sliced, bpe, decontaminate, html_tree, language_id, line_templates, minhash, passage_dedup, token_counts
 from towline.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, the document encoded as a whole; one row with nulls if it has no lines."""
+    counted = token_counts.section_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path())
+    return counted.select("doc_id", F.explode_outer("section_tokens").alias("s")).select("doc_id", "s.*")
+
+
 @registered
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near duplicates it belongs to."""
