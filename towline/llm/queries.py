@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bit_sliced, bpe, decontaminate, html_tree, language_id, line_templates, minhash, passage_dedup, token_counts
-from towline.llm.common import fold, read_table
+from towline.llm import bit_sliced, bloom_lm, bpe, decontaminate, html_tree, language_id, line_templates, minhash, passage_dedup, token_counts
+from towline.llm.common import fold, read_table, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,16 @@ def registered(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+@registered
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model and under word counts, learned outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    learned = docs.where(fold("doc_id", 7) != 2)
+    counts = staged(bloom_lm.word_counts(learned, "text"))
+    scored = bloom_lm.score(docs, bloom_lm.train(learned, counts), counts)
+    return scored.withColumn("held_out", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
+
+
 @registered
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
