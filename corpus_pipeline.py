@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from towline.llm import bpe, decontaminate, language_id, line_templates, minhash
-from towline.llm.common import read_table, staged
+from towline.llm.common import bound_batches, read_table, staged
 from towline.llm.queries import vocabulary_path
 
 
@@ -24,6 +24,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; rejected are texts without letters and narrow margins."""
+    bound_batches(spark)
     dictionaries = language_id.learn_dictionaries(docs)
     told = language_id.identify(docs, dictionaries, out="told")
     return told.where(~F.col("told_rejected")).select(docs.columns)
@@ -31,6 +32,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines whose template recurs across documents; ``n_chars`` follows."""
+    bound_batches(spark)
     cleaned = line_templates.drop_recurring_lines(docs)
     texts = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}
     return cleaned.withColumns(texts).select(docs.columns)
@@ -38,6 +40,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
+    bound_batches(spark)
     return _without(docs, minhash.near_duplicates(docs).where(~F.col("kept")))
 
 
@@ -49,6 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text they decode to."""
+    bound_batches(spark)
     path = vocabulary_path()
     decoded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
     return decoded.select(
