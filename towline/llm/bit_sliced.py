@@ -160,7 +160,7 @@ def top_k(
     Exact for components up to 2^24 in magnitude after scaling. Vectors that are null, empty or hold null or non-finite
     components, and null ids, take no part; a query meets vectors of its own length only. All candidates count, in
     blocks: each block of the index meets each block of queries, and ``k`` rows per query leave the pair. Repeated rows
-    are rows of their own; an empty table gives no rows. Other columns are not looked at.
+    are candidates of their own; of queries that share an id the one of the smallest vector is asked. An empty table gives no rows. Other columns are not looked at.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -170,7 +170,8 @@ def top_k(
     n = max(1, -(-candidates.count() // block_rows))
     index = staged(blocks(candidates.repartition(n), block_rows, "v").withColumn("place", F.spark_partition_id()))
     # A block of queries goes to every place of the index: the stated query set against all rows.
-    asked = blocks(valid(queries), query_rows, "q").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    once = valid(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = blocks(once, query_rows, "q").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = index.join(asked, ["dims", "place"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
