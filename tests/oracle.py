@@ -38,7 +38,7 @@ def _sortable(row):
     return tuple((v is None, str(type(v).__name__), v if v is not None else 0) for v in row)
 
 
-SPARK_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
+SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 def compare(df, con, sql: str) -> str | None:
