@@ -9,7 +9,7 @@ from survey_data import AREAS, BED_E, BED_W, EXPECTED, EXPECTED_CATCH, POPULATIO
 from towline.operators import design_based as db
 from towline.plans.abundance import SurveySettings, abundance_tables, write_results
 from towline.functions.scalar import norm_key, trailing
-from towline.sources import schemas, student_t_table
+from towline.sources import schemas
 
 SPECIES = 74120
 
@@ -121,7 +121,7 @@ def test_population_chain_matches_printed_values(spark):
     summary = spark.createDataFrame(rows, cols)
     frame = summary.select("bed", "year", "sq_nm", "big_n")
     est = db.population_estimate(db.with_stratum_frame(summary.drop("sq_nm", "big_n"), frame, ["bed", "year"]))
-    est = db.t_interval(est, student_t_table(spark))
+    est = db.t_interval(est)
     recovery = spark.createDataFrame(RECOVERY, schemas.RECOVERY)
     recovery = recovery.withColumn("year", trailing("SURVEY_AND_YEAR", 4).try_cast("int"))
     rates = db.recovery_rates(recovery, ["bed", "year"], "WHOLE_WT_KG", "MEAT_WT_KG")

@@ -14,7 +14,8 @@ from towline.functions import scalar
 from towline.operators import cleaning, distributions, estimators, joins, ordering, reshape
 from towline.operators import design_based as db
 from towline.operators.groups import group_apply
-from towline.sources import read_lookup, read_table, read_t_table, stage, student_t_rows, student_t_table, write_table
+from towline.functions.student_t import EXPANSION_FROM, _expanded, _two_tail, quantile
+from towline.sources import read_lookup, read_table, read_t_table, stage, write_table
 
 
 def rows(df, *order):
@@ -57,12 +58,11 @@ def test_t_table_file_and_rule(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('"ID","N","df","90_2tail","95_2tail","99_2tail"\n1,2,1,6.313751,12.706204,63.656741\n')
     assert rows(read_t_table(spark, str(path))) == [(2, 1, 6.313751, 12.706204, 63.656741)]
-    table = {r[0]: r for r in student_t_rows(100)}
-    assert len(table) == 99
-    assert table[2] == (2, 1, 6.313751, 12.706204, 63.656741)
-    assert table[5] == (5, 4, 2.131846, 2.776445, 4.604094)
-    assert table[51] == (51, 50, 1.675905, 2.008559, 2.677793)
-    assert table[100] == (100, 99, 1.660391, 1.984216, 2.626405)
+    table = {n: tuple(quantile(level, n - 1) for level in (0.90, 0.95, 0.99)) for n in (2, 5, 51, 100)}
+    assert table[2] == (6.313751, 12.706204, 63.656741)
+    assert table[5] == (2.131846, 2.776445, 4.604094)
+    assert table[51] == (1.675905, 2.008559, 2.677793)
+    assert table[100] == (1.660391, 1.984216, 2.626405)
 
 
 def test_stage(spark):
@@ -140,16 +140,30 @@ def test_complete_with_zero(spark):
     assert rows(joins.complete_with_zero(fact, frame, ["h"], ["c"], "frame"), "h") == [("h1", "a", 3), ("h2", "a", 0)]
 
 
-def test_t_quantile_modes(spark):
-    df = spark.createDataFrame([(1,), (2,), (100,), (250,)], "n long")
-    t = student_t_table(spark)
-    assert rows(joins.with_t_quantile(df, "n", t), "n") == [(2, 12.706204), (100, 1.984216)]
-    assert rows(joins.with_t_quantile(df, "n", t, strict=False), "n") == [
-        (1, None, False),
-        (2, 12.706204, False),
-        (100, 1.984216, False),
-        (250, 1.984216, True),
-    ]
+def test_t_quantile_of_any_size(spark):
+    sizes = [None, 0, 1, 2, 100, 101, 151, 1000, 5000, 1_000_000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    got = dict(rows(joins.with_t_quantile(df, "n")))
+    assert [got[n] for n in sizes[:3]] == [None] * 3
+    # Published values.
+    want = {2: 12.706204, 100: 1.984216, 101: 1.983971, 151: 1.975905, 1000: 1.962341, 5000: 1.960438, 1_000_000: 1.959966}
+    assert {n: got[n] for n in want} == pytest.approx(want, abs=1.1e-6)
+    assert joins.with_t_quantile(df.limit(0), "n").count() == 0
+
+
+def test_t_quantile_is_smooth_where_its_formula_changes():
+    for level in (0.90, 0.95, 0.99):
+        for df in range(EXPANSION_FROM, EXPANSION_FROM + 40):
+            assert _two_tail(_expanded(level, df), df) == pytest.approx(level, abs=1e-11)
+
+
+def test_t_quantile_equals_the_comparison_sql():
+    import duckdb
+
+    from towline.catalog.join_queries import t_sql
+
+    got = duckdb.sql(f"SELECT n, {t_sql('n')} FROM range(2, 3000) s(n)").fetchall()
+    assert [n for n, t in got if t != quantile(0.95, n - 1)] == []
 
 
 def test_normalised_join(spark):
@@ -214,7 +228,7 @@ def test_cpue_expansion(spark):
 
 def test_finite_population_limits(spark):
     df = spark.createDataFrame([("a", 4, 4, 2.0, 2.0, 3.0, 3.0, 10.0), ("b", 5, 4, 2.0, 2.0, 3.0, 3.0, 10.0)], "bed string, number_of_tows long, big_n long, mean_count_per_nm double, mean_wt_kg_per_nm double, var_of_count double, var_of_wt double, sq_nm double")
-    got = {r.bed: r for r in db.t_interval(db.population_estimate(df), student_t_table(spark)).collect()}
+    got = {r.bed: r for r in db.t_interval(db.population_estimate(df)).collect()}
     assert got["a"].var_cbar_count == 0 and got["a"].ci_pop_count == 0
     assert got["b"].var_cbar_count < 0 and got["b"].ci_pop_count is None and got["b"].cv_count is None
 

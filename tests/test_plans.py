@@ -9,7 +9,7 @@ from towline.operators import report
 from towline.plans import biology
 from towline.plans.population import population_tables, tow_counts, used_tows
 from towline.plans.sample_size import bed_areas, sample_size_tables, study_tows
-from towline.sources import schemas, student_t_table
+from towline.sources import schemas
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def inputs(spark):
 
 def test_population_chain(spark, inputs):
     hauls, catch, stations, recovery = inputs
-    t = population_tables(hauls, catch, stations, recovery, student_t_table(spark), 850, 1)
+    t = population_tables(hauls, catch, stations, recovery, 850, 1)
     assert t["tows"].count() == 30
     assert t["tows"].where("count = 0").count() == 6
     frame = {(r.area, r.bed): (r.sq_nm, r.big_n) for r in t["frame"].collect()}

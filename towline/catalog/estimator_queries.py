@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from towline.catalog import base
 from towline.catalog.base import query, tidy, tidy_sql
-from towline.catalog.join_queries import T_SQL
+from towline.catalog.join_queries import t_sql
 from towline.functions import units
 from towline.functions.scalar import precision_columns, swept_area
 from towline.operators import design_based as db
 from towline.operators import estimators as est
+from towline.operators import joins
 from towline.operators.cleaning import meat_ratio
 from towline.operators.joins import complete_with_zero
 from towline.operators.reshape import pivot_sum
 from towline.plans.population import population_tables, used_tows
-from towline.sources import student_t_table
 
 STRATA = ["year", "district", "bed"]
 MEASURES = ["large", "small", "all"]
@@ -157,7 +157,7 @@ def e05(spark, sf):
 
 
 # The design-based chain. A bed is a nation and a market segment; tow length is effort in thousands.
-CHAIN = f"""{base.LOCATED}, {base.CATCH}, {T_SQL},
+CHAIN = f"""{base.LOCATED}, {base.CATCH},
 tows AS (
   SELECT l.district AS area, l.bed || '-' || l.segment AS bed, l.year, l.haul, l.effort / 1000 AS length,
          coalesce(c.count, 0) AS count, coalesce(c.weight, 0) AS weight
@@ -182,11 +182,11 @@ h AS (
          var_of_wt / number_of_tows * (1 - number_of_tows / big_n) AS var_cbar_wt
   FROM g),
 i AS (
-  SELECT h.*, t.t::DOUBLE AS t, CASE WHEN var_cbar_count >= 0 THEN t.t * sqrt(var_cbar_count) END AS ci_mean_count,
-         CASE WHEN var_cbar_wt >= 0 THEN t.t * sqrt(var_cbar_wt) END AS ci_mean_wt,
+  SELECT h.*, CASE WHEN var_cbar_count >= 0 THEN t * sqrt(var_cbar_count) END AS ci_mean_count,
+         CASE WHEN var_cbar_wt >= 0 THEN t * sqrt(var_cbar_wt) END AS ci_mean_wt,
          var_cbar_count * (sq_nm * 759.5) * (sq_nm * 759.5) AS var_pop_count,
          var_cbar_wt * (sq_nm * 759.5) * (sq_nm * 759.5) AS var_pop_wt
-  FROM h JOIN t_table t ON t.n = h.number_of_tows),
+  FROM (SELECT *, {t_sql("number_of_tows")} AS t FROM h) h),
 j AS (
   SELECT *, CASE WHEN var_pop_count >= 0 THEN t * sqrt(var_pop_count) END AS ci_pop_count,
          CASE WHEN var_pop_wt >= 0 THEN t * sqrt(var_pop_wt) END AS ci_pop_wt,
@@ -234,7 +234,7 @@ def chain(spark, sf):
         F.col("l_extendedprice").alias("WHOLE_WT_KG"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("MEAT_WT_KG"),
     )
-    return hauls, population_tables(hauls, records, cells, recovery, student_t_table(spark), 850, 1)
+    return hauls, population_tables(hauls, records, cells, recovery, 850, 1)
 
 
 def _chain_query(name: str, step: str, table: str, columns: tuple[str, ...], doubles: tuple[str, ...]):
@@ -286,6 +286,26 @@ FPC = ("var_cbar_count", "var_cbar_wt")
 _chain_query("e11_var_mean_fpc", "h", "population", FPC, FPC)
 INTERVAL = ("ci_mean_count", "ci_mean_wt", "var_pop_count", "var_pop_wt", "ci_pop_count", "ci_pop_wt", "cv_count", "cv_wt")
 _chain_query("e12_t_interval", "j", "interval", ("t", *INTERVAL), INTERVAL)
+
+
+@query(
+    "e12_t_interval_large_strata",
+    tidy_sql(
+        f"""WITH {base.LOCATED}, per AS (SELECT district, count(*) AS n, var_samp(effort) AS v, avg(effort) AS m FROM located GROUP BY district)
+            SELECT district, n, t, m, t * sqrt(v / n) AS half FROM (SELECT *, {t_sql("n")} AS t FROM per)""",
+        "m",
+        "half",
+    ),
+)
+def e12_large(spark, sf):
+    """Interval of the mean effort with a district as stratum: thousands of tows in each."""
+    per = base.located_hauls(spark, sf).groupBy("district").agg(
+        F.count(F.lit(1)).alias("n"), F.var_samp("effort").alias("v"), F.avg("effort").alias("m")
+    )
+    with_t = joins.with_t_quantile(per, "n").withColumn("half", F.col("t") * F.sqrt(F.col("v") / F.col("n")))
+    return tidy(with_t.select("district", "n", "t", "m", "half"))
+
+
 MEAT = ("mr_rate", "mean_wt_lb_per_nm", "pop_wt_lb", "meat_kg", "meat_lb")
 _chain_query("e13_recovery_estimate", "l", "with_meat", MEAT, MEAT)
 

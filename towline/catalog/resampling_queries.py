@@ -11,7 +11,6 @@ from towline.operators import resampling as rs
 from towline.operators.resampling import GOLDEN, POISSON_CUTS
 
 REPS = units.REPLICATES
-FEW = 200
 SEED = 20160414
 MEASURES = ["large", "small", "all"]
 
@@ -78,15 +77,15 @@ def b03(spark, sf):
 WEIGHTS = " + ".join(f"CASE WHEN (z >> 32) >= {c} THEN 1 ELSE 0 END" for c in POISSON_CUTS)
 # Rows are hashed once, then once per replicate.
 ROW_HASH = draws_sql.mixed(
-    f"""SELECT haul, district, bed, area, large,
+    f"""SELECT haul, district, bed, area, large, small, "all",
         ((haul::HUGEINT + {SEED * GOLDEN % 2**64}::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS z
         FROM densities""",
-    "haul, district, bed, area, large",
+    "haul, district, bed, area, large, small, \"all\"",
 )
 POISSON_DRAW = draws_sql.mixed(
-    f"""SELECT district, bed, area, large, r, ((h::HUGEINT + z::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS z
-        FROM ({draws_sql.counter(f"SELECT district, bed, area, large, z AS h, r FROM hashed, range({FEW}) t(r)", "district, bed, area, large, h, r", "r + 1")})""",
-    "district, bed, area, large, r",
+    f"""SELECT district, bed, area, large, small, "all", r, ((h::HUGEINT + z::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS z
+        FROM ({draws_sql.counter(f'SELECT district, bed, area, large, small, "all", z AS h, r FROM hashed, range({REPS}) t(r)', 'district, bed, area, large, small, "all", h, r', "r + 1")})""",
+    'district, bed, area, large, small, "all", r',
 )
 
 
@@ -94,17 +93,19 @@ POISSON_DRAW = draws_sql.mixed(
     "b01_bootstrap_poisson",
     tidy_sql(
         f"""WITH {base.DENSITIES}, hashed AS MATERIALIZED ({ROW_HASH}),
-            weighted AS (SELECT district, bed, area, large, r, {WEIGHTS} AS w FROM ({POISSON_DRAW}))
-            SELECT district, bed, 'large' AS variable, r AS replicate, sum(w * large) / sum(w) AS dbar,
-                   max(area) * (sum(w * large) / sum(w)) AS total
-            FROM weighted GROUP BY district, bed, r""",
+            weighted AS (SELECT district, bed, area, large, small, "all", r, {WEIGHTS} AS w FROM ({POISSON_DRAW})),
+            means AS (
+              SELECT district, bed, max(area) AS area, r, sum(w * large) / sum(w) AS large, sum(w * small) / sum(w) AS small,
+                     sum(w * "all") / sum(w) AS "all"
+              FROM weighted GROUP BY district, bed, r)
+            SELECT district, bed, variable, r AS replicate, dbar, area * dbar AS total
+            FROM (UNPIVOT means ON large, small, "all" INTO NAME variable VALUE dbar)""",
         "dbar",
         "total",
     ),
 )
 def b01_poisson(spark, sf):
-    out = boot(spark, sf, "poisson", FEW)
-    return tidy(out.where(F.col("variable") == "large"))
+    return tidy(boot(spark, sf, "poisson"))
 
 
 RATIO = f"""numbered AS (
@@ -112,7 +113,7 @@ RATIO = f"""numbered AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 rows AS MATERIALIZED ({_rows("ratio", "numbered", "bed", "animal, l_suppkey, ratio")}),
 strata AS MATERIALIZED (SELECT bed, {draws_sql.base_hash(SEED, "bed")} AS base, count(*) AS m, count(*) AS n FROM rows GROUP BY bed),
-drawn AS ({draws_sql.draws("SELECT bed, base, m, n FROM strata", "bed", FEW)}),
+drawn AS ({draws_sql.draws("SELECT bed, base, m, n FROM strata", "bed", REPS)}),
 replicates AS (SELECT d.bed, d.r AS replicate, avg(w.ratio) AS ratio FROM drawn d JOIN rows w ON d.bed = w.bed AND d.i = w.i
   GROUP BY d.bed, d.r)"""
 
@@ -125,7 +126,7 @@ def ratio_boot(spark, sf):
     animal = F.struct(number.alias("number"), "l_suppkey", ratio.alias("ratio"))
     rows = line.join(part, line.l_partkey == part.p_partkey)
     rows = rows.select(F.col("p_brand").alias("bed"), ratio.alias("ratio"), animal.alias("animal"))
-    return rs.bootstrap_ratio(rows, ["bed"], "animal", "ratio", FEW, SEED)
+    return rs.bootstrap_ratio(rows, ["bed"], "animal", "ratio", REPS, SEED)
 
 
 @query("b02_bootstrap_ratio", tidy_sql(f"WITH {RATIO} SELECT bed, replicate, ratio FROM replicates", "ratio"))
@@ -172,7 +173,7 @@ STUDY_STRATA = ["district", "bed", "year"]
         f"""WITH {STUDY}, sized AS MATERIALIZED (
               SELECT *, {draws_sql.base_hash(SEED, "district", "bed", "year", "0.4")} AS base, round_even(area * 0.4, 0)::BIGINT AS m
               FROM frame),
-            drawn AS ({draws_sql.draws("SELECT district, bed, year, base, m, n FROM sized", "district, bed, year", FEW)})
+            drawn AS ({draws_sql.draws("SELECT district, bed, year, base, m, n FROM sized", "district, bed, year", REPS)})
             SELECT d.district, d.bed, d.year, 0.4::DOUBLE AS design, any_value(d.n) AS n, any_value(d.m) AS m, d.r AS replicate,
                    coalesce(sum(w.s_count), 0) AS sum_s_count, count(w.s_count) AS cnt_s_count
             FROM drawn d JOIN rows w ON d.district = w.district AND d.bed = w.bed AND d.year = w.year AND d.i = w.i
@@ -186,7 +187,7 @@ def b04(spark, sf):
         STUDY_STRATA,
         "haul",
         ["s_count"],
-        FEW,
+        REPS,
         SEED,
         draws={0.4: F.bround(F.col("area") * 0.4)},
         attributes=cell_counts(spark, sf),
@@ -199,7 +200,7 @@ DESIGN = f"""{STUDY}, sized AS MATERIALIZED (
   SELECT *, {draws_sql.base_hash(SEED, "district", "bed", "year", "fraction")} AS base FROM (
     SELECT f.*, p.fraction, CASE WHEN p.fraction = 0.35 THEN floor(round_even(area, 0) * 0.35) ELSE round_even(area * p.fraction, 0) END::BIGINT AS m
     FROM frame f, (SELECT unnest([0.2, 0.3, 0.35, 0.4, 0.5]::DOUBLE[]) AS fraction) p)),
-drawn AS ({draws_sql.draws("SELECT district, bed, year, area, fraction, base, m, n FROM sized", "district, bed, year, area, fraction", FEW)}),
+drawn AS ({draws_sql.draws("SELECT district, bed, year, area, fraction, base, m, n FROM sized", "district, bed, year, area, fraction", REPS)}),
 replicates AS (
   SELECT d.district, d.bed, d.year, d.fraction, any_value(d.m) AS m, d.r, any_value(d.area) * avg(w.s_count) AS P
   FROM drawn d JOIN rows w ON d.district = w.district AND d.bed = w.bed AND d.year = w.year AND d.i = w.i
@@ -217,7 +218,7 @@ def study(spark, sf):
         "s_count",
         cell_counts(spark, sf),
         ["bed"],
-        reps=FEW,
+        reps=REPS,
         seed=SEED,
         na_rm=True,
     )
@@ -259,12 +260,12 @@ def b07(spark, sf):
 
 @query(
     "b08_replicate_numbers",
-    f"""WITH {base.LOCATED} SELECT bed, {FEW}::BIGINT AS reps, 0::BIGINT AS first, {FEW - 1}::BIGINT AS last, count(*) AS draws
+    f"""WITH {base.LOCATED} SELECT bed, {REPS}::BIGINT AS reps, 0::BIGINT AS first, {REPS - 1}::BIGINT AS last, count(*) AS draws
         FROM located GROUP BY bed""",
 )
 def b08(spark, sf):
     rows = base.located_hauls(spark, sf).select("bed", "haul", "effort")
-    sums = rs.resample(rows, ["bed"], "haul", ["effort"], FEW, SEED)
+    sums = rs.resample(rows, ["bed"], "haul", ["effort"], REPS, SEED)
     return sums.groupBy("bed").agg(
         F.count(F.lit(1)).alias("reps"),
         F.min("replicate").alias("first"),

@@ -72,15 +72,15 @@ def population_estimate(df: DataFrame) -> DataFrame:
     )
 
 
-def t_interval(df: DataFrame, t_table: DataFrame, strict: bool = True) -> DataFrame:
+def t_interval(df: DataFrame) -> DataFrame:
     """95 % half-widths of means and totals, population variances and CVs as ratios.
 
-    A finite-population variance is negative where more tows than cells were made; its root,
+    Every stratum stays: one tow has no interval. A finite-population variance is negative where more tows than cells were made; its root,
     and all that follows from it, is then null.
     """
     scale = F.col("sq_nm") * F.lit(WIDTHS_PER_NMI)
     se = {m: F.when(F.col(f"var_cbar_{m}") >= 0, F.sqrt(f"var_cbar_{m}")) for m in ("count", "wt")}
-    out = with_t_quantile(df, "number_of_tows", t_table, 95, strict)
+    out = with_t_quantile(df, "number_of_tows", 95)
     out = out.withColumns(
         {
             "ci_mean_count": F.col("t") * se["count"],

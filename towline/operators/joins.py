@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from towline.functions.scalar import norm_key
+from towline.functions.student_t import t_quantile
 from towline.operators.cleaning import zero_fill
 
 # Longest side that is broadcast.
@@ -51,20 +52,9 @@ def complete_with_zero(
     return zero_fill(joined, measures)
 
 
-def with_t_quantile(df: DataFrame, n_col: str, t_table: DataFrame, level: int = 95, strict: bool = True) -> DataFrame:
-    """Add ``t`` for the row's sample size.
-
-    ``strict`` drops sample sizes the table lacks, as an inner join does. Otherwise sizes beyond
-    the last row use that row, and ``t_extended`` says so; sizes below 2 get a null. The table's
-    readers mark it for broadcast once its length is known.
-    """
-    quantile = t_table.select(F.col("n").alias("__n"), F.col(f"t{level}").alias("t"))
-    if strict:
-        return df.join(quantile, F.col(n_col) == F.col("__n")).drop("__n")
-    last = quantile.agg(F.max("__n")).scalar()
-    capped = df.withColumn("__last", last).withColumn("__cap", F.least(F.col(n_col), F.col("__last")))
-    out = capped.join(quantile, F.col("__cap") == F.col("__n"), "left")
-    return out.withColumn("t_extended", F.col(n_col) > F.col("__last")).drop("__n", "__cap", "__last")
+def with_t_quantile(df: DataFrame, n_col: str, level: int = 95) -> DataFrame:
+    """Add ``t`` for the row's sample size, whatever it is; null below 2. No row is dropped."""
+    return df.withColumn("t", t_quantile(n_col, level))
 
 
 def lookup_sum(

@@ -381,11 +381,14 @@ def poisson_sums(
 ) -> DataFrame:
     """Poisson-weighted sums per (stratum, replicate), one pass without a shuffle of rows.
 
-    ``key`` is an integer that differs between the rows of a stratum. Each task adds up its rows
+    ``key`` differs between the rows of a stratum; one that is no integer is hashed. Weights end at 12, which is beyond
+    what a 32-bit uniform number can ask for. Each task adds up its rows
     per stratum and only partial sums leave it. Rows with a null value add their weight only.
     """
     by, values = list(by), list(values)
-    rows = df.select(*by, F.col(key).cast("bigint").alias("__key"), *[F.col(v).cast("double") for v in values])
+    whole = isinstance(df.select(key).schema[0].dataType, T.IntegralType)
+    number = F.col(key).cast("bigint") if whole else F.xxhash64(key)
+    rows = df.select(*by, number.alias("__key"), *[F.col(v).cast("double") for v in values])
     schema = T.StructType([rows.schema[b] for b in by])
     schema.add("replicate", T.LongType()).add("weight", T.LongType())
     for v in values:
@@ -482,11 +485,15 @@ def compare_designs(
 ) -> DataFrame:
     """Percent difference of mean and sd from the reference design, averaged over ``over``, long form."""
     keys = list(strata)
-    ref = study.filter(F.col("fraction") == reference).select(
-        *keys, F.col("p_mean").alias("__mean"), F.col("p_sd").alias("__sd")
+    is_ref = F.col("fraction") == reference
+    # A stratum has one row per fraction, so its designs travel together and the study is read once.
+    designs = study.groupBy(*keys).agg(
+        F.max(F.when(is_ref, F.col("p_mean"))).alias("__mean"),
+        F.max(F.when(is_ref, F.col("p_sd"))).alias("__sd"),
+        F.max(is_ref).alias("__has"),
+        F.collect_list(F.struct("fraction", "p_mean", "p_sd")).alias("__designs"),
     )
-    other = study.filter(F.col("fraction") != reference)
-    joined = null_safe_join(other, ref, keys)
+    joined = designs.filter("__has").select(*keys, "__mean", "__sd", F.inline("__designs")).filter(F.col("fraction") != reference)
 
     def diff(x: str, r: str) -> Column:
         return F.try_divide(F.abs(F.col(r) - F.col(x)), F.abs(F.col(r))) * 100

@@ -44,7 +44,6 @@ def population_tables(
     catch: DataFrame,
     stations: DataFrame,
     recovery: DataFrame,
-    t_table: DataFrame,
     species: int,
     condition: int,
     after_year: int = 1995,
@@ -59,7 +58,7 @@ def population_tables(
     cells = stations.withColumns({"area": norm_key("SURVEY_AREA"), "bed": norm_key("BED")})
     frame = db.stratum_frame(cells, ["area", "bed"], "Area_Sq_NM")
     total = db.population_estimate(db.with_stratum_frame(summary, frame, ["area", "bed"]))
-    interval = db.t_interval(total, t_table)
+    interval = db.t_interval(total)
     by_year = recovery.withColumn("year", trailing("SURVEY_AND_YEAR", 4).try_cast("int"))
     rates = db.recovery_rates(by_year, ["bed", "year"], "WHOLE_WT_KG", "MEAT_WT_KG")
     with_meat = db.recovery_estimate(interval, rates, ["bed"], ["year"])

@@ -6,8 +6,6 @@ from towline.sources.tables import (
     read_table,
     read_t_table,
     stage,
-    student_t_rows,
-    student_t_table,
     write_table,
 )
 
@@ -17,7 +15,5 @@ __all__ = [
     "read_table",
     "read_t_table",
     "stage",
-    "student_t_rows",
-    "student_t_table",
     "write_table",
 ]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,40 +64,6 @@ def read_t_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _t_two_tail(t: float, df: int) -> float:
-    """P(|T| <= t) by the finite sum that holds for whole degrees of freedom."""
-    theta = math.atan(t / math.sqrt(df))
-    cos, sin = math.cos(theta), math.sin(theta)
-    term = total = cos if df % 2 else 1.0
-    for j in range(3 if df % 2 else 2, df - 1, 2):
-        term *= cos * cos * (j - 1) / j
-        total += term
-    if df % 2 == 0:
-        return sin * total
-    return 2 / math.pi * (theta + (sin * total if df > 1 else 0.0))
-
-
-def _t_quantile(level: float, df: int) -> float:
-    low, high = 0.0, 1e4
-    for _ in range(200):
-        mid = (low + high) / 2
-        if _t_two_tail(mid, df) < level:
-            low = mid
-        else:
-            high = mid
-    return math.floor((low + high) / 2 * 1e6) / 1e6
-
-
-def student_t_rows(n_max: int = 100) -> list[tuple[int, int, float, float, float]]:
-    """``(n, df, t90, t95, t99)`` for sample sizes 2..n_max, two-tailed, cut after six decimals."""
-    return [(n, n - 1, *(_t_quantile(level, n - 1) for level in (0.90, 0.95, 0.99))) for n in range(2, n_max + 1)]
-
-
-def student_t_table(spark: SparkSession, n_max: int = 100) -> DataFrame:
-    """Lookup table of two-tailed Student-t quantiles; one row per sample size, so its size is known."""
-    return F.broadcast(spark.createDataFrame(student_t_rows(n_max), schemas.T_TABLE))
-
-
 def write_table(
     df: DataFrame,
     path: str,
