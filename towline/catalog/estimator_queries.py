@@ -322,32 +322,44 @@ def e14_used(spark, sf):
     )
 
 
+# Columns of the printed report: rounded numbers, and texts of numbers with two decimals, some of whole numbers.
+REPORT_NUMBERS = {
+    "sq_nm": "round_even(l.sq_nm, 2)",
+    "total_nm_towed": "round_even(l.total_nm_towed, 2)",
+    "area_swept": "round_even(l.area_swept, 6)",
+    "raw_count": "l.raw_count",
+    "wt_kg_per_nm": "round_even(l.wt_kg_per_nm, 1)",
+    "mean_count_per_nm": "round_even(l.mean_count_per_nm, 2)",
+    "mean_wt_kg_per_nm": "round_even(l.mean_wt_kg_per_nm, 1)",
+    "mr_rate": "round_even(l.mr_rate, 3)",
+    "density_m2": "round_even(l.pop_count / nullif(l.sq_nm * 3429904, 0), 3)",
+    "avg_weight_g": "round_even(l.pop_wt_kg * 1000 / nullif(l.pop_count, 0), 0)",
+}
+REPORT_TEXTS = {
+    **{c: f"round(l.{c}, 2)" for c in ("var_of_count", "var_of_wt", "ci_mean_wt", "pop_wt_kg", "pop_wt_lb", "var_cbar_count")},
+    **{c: f"round(l.{c}, 2)" for c in ("var_cbar_wt", "var_pop_count", "var_pop_wt", "ci_pop_wt", "cv_wt", "meat_kg", "meat_lb")},
+    **{c: f"round_even(l.{c}, 0)" for c in ("ci_mean_count", "pop_count", "ci_pop_count")},
+    "cv_count": "round_even(l.cv_count, 2)",
+}
+REPORT = {**REPORT_NUMBERS, **REPORT_TEXTS}
+
+
 @query(
     "e14_final_report",
-    f"""WITH {CHAIN} SELECT DISTINCT l.year, p.priority AS project_code, lower(l.bed) AS bed, l.number_of_tows, l.raw_count,
-          round_even(l.area_swept, 6) AS area_swept, round_even(l.mr_rate, 3) AS mr_rate,
-          round_even(l.pop_count / (l.sq_nm * 3429904), 3) AS density_m2, round_even(l.mean_count_per_nm, 2) AS mean_count_per_nm,
-          format('{{:,.2f}}', round_even(l.cv_count, 2)) AS cv_count, format('{{:,.2f}}', round_even(l.pop_count, 0)) AS pop_count,
-          format('{{:,.2f}}', round(l.var_of_count, 2)) AS var_of_count
-        FROM l JOIN (SELECT DISTINCT district, bed || '-' || segment AS bed, year, priority FROM located
-                     WHERE status = 'F') p ON p.bed = l.bed AND p.year = l.year""",
+    tidy_sql(
+        f"""WITH {CHAIN} SELECT DISTINCT l.year, p.priority AS project_code, lower(l.area) AS area, lower(l.bed) AS bed, l.number_of_tows,
+              {', '.join(f'({sql})::DOUBLE AS {c}' for c, sql in REPORT.items())}
+            FROM l JOIN (SELECT DISTINCT district, bed || '-' || segment AS bed, year, priority FROM located
+                         WHERE status = 'F') p ON p.district = l.area AND p.bed = l.bed AND p.year = l.year""",
+        *REPORT,
+    ),
 )
 def e14(spark, sf):
+    """All columns of the report; texts are read back as numbers, so that both sides round alike."""
     report = chain(spark, sf)[1]["report"]
-    return report.select(
-        "year",
-        "project_code",
-        "bed",
-        "number_of_tows",
-        "raw_count",
-        "area_swept",
-        "mr_rate",
-        "density_m2",
-        "mean_count_per_nm",
-        "cv_count",
-        "pop_count",
-        "var_of_count",
-    )
+    texts = {c: F.replace(c, F.lit(","), F.lit("")).cast("double") for c in REPORT_TEXTS}
+    numbers = {c: F.col(c).cast("double") for c in REPORT_NUMBERS}
+    return tidy(report.withColumns(texts | numbers))
 
 
 @query(

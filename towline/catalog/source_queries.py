@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from towline.catalog import base
 from towline.catalog.base import query, tidy, tidy_sql, whole
 from towline.functions import scalar, units
-from towline.operators.groups import group_apply
 from towline.operators.reshape import domain_order
 from towline.session import checkpoint_folder
 from towline.sources import read_lookup, read_table, stage, write_table
@@ -27,18 +25,17 @@ def s01(spark, sf):
 
 @query(
     "s02_reread_results",
-    """SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
-       UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part""",
+    f"""WITH {base.LOCATED}, {base.AREAS}, per AS (SELECT bed, year, count(*) AS hauls FROM located GROUP BY bed, year)
+        SELECT p.bed, p.year, p.hauls, round(a.area, 2) AS area FROM per p JOIN areas a ON p.bed = a.bed""",
 )
 def s02(spark, sf):
-    counts = [
-        read_table(spark, f"{sf}/{t}.parquet").agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n"))
-        for t in ("orders", "lineitem", "customer", "part")
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Two result tables are written, one as CSV and one as parquet, read back and put together."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    write_table(base.located_hauls(spark, sf).groupBy("bed", "year").agg(F.count(F.lit(1)).alias("hauls")), f"{folder}/samples")
+    write_table(base.bed_areas(spark, sf), f"{folder}/areas.parquet", fmt="parquet")
+    samples = read_table(spark, f"{folder}/samples", "bed STRING, year BIGINT, hauls BIGINT")
+    areas = read_table(spark, f"{folder}/areas.parquet", "bed STRING, area DOUBLE")
+    return samples.join(areas, "bed").withColumn("area", F.round("area", 2))
 
 
 @query(
@@ -246,8 +243,5 @@ def f05(spark, sf):
     ),
 )
 def g01(spark, sf):
-    def middle(pdf):
-        return pd.DataFrame({"station": pdf["station"][:1], "n": len(pdf), "mid": pdf["effort"].median()})
-
-    chosen = base.hauls(spark, sf).select("station", "effort")
-    return tidy(group_apply(chosen, ["station"], middle, "station bigint, n bigint, mid double"))
+    per = base.hauls(spark, sf).groupBy("station")
+    return tidy(per.agg(F.count(F.lit(1)).alias("n"), F.median("effort").alias("mid")))

@@ -12,7 +12,6 @@ DREDGE_EFFICIENCY = 0.83
 FEET_PER_NMI = 6076
 DREDGE_WIDTH_FEET = 8
 SQUARE_METRES_PER_SQUARE_NMI = 3429904
-SQUARE_METRES_PER_SQUARE_NMI_SHORT = 3.43e6
 HARVEST_RATES = (0.05, 0.10)
 INTERVAL_PROBS = (0.025, 0.975)
 DESIGN_FRACTIONS = (0.2, 0.3, 0.35, 0.4, 0.5)

@@ -7,9 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 1000
-
-
 def pivot_sum(
     df: DataFrame, ids: Sequence[str], column: str, value: str | Column, levels: Mapping[object, str]
 ) -> DataFrame:
@@ -31,24 +28,21 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], variable="va
     return df.unpivot(list(ids), list(columns), variable, value)
 
 
-def observed_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values of a category; too many is an error, never a cut."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; it is not a category")
-    return sorted(r[0] for r in rows)
-
-
 def crosstab(df: DataFrame, row: str, by: Sequence[str], levels: Sequence | None = None) -> DataFrame:
     """Counts of ``row`` classes within ``by``, absent cells 0, rows with a null left out.
 
-    Long form ``(*by, row, n)``. All cells of a column group come from one aggregate; the grid is
-    completed by unpivoting it. ``levels`` declares the classes, else they are looked up first.
+    Long form ``(*by, row, n)``. With declared ``levels`` all cells of a column group come from one aggregate. Otherwise
+    the observed classes, however many, complete the grid of each column group; they never reach the driver.
     """
-    levels = list(levels) if levels is not None else observed_levels(df, row)
     kept = df.where(F.col(row).isNotNull())
     for b in by:
         kept = kept.where(F.col(b).isNotNull())
+    if levels is None:
+        counts = kept.groupBy(*by, row).agg(F.count(F.lit(1)).alias("n"))
+        observed = counts.agg(F.sort_array(F.collect_set(row))).scalar()
+        grid = counts.select(*by).distinct().select(*by, F.explode(observed).alias(row))
+        return grid.join(counts, [*by, row], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    levels = list(levels)
     cells = [F.count(F.when(F.col(row) == F.lit(v), F.lit(1))).alias(f"__{i}") for i, v in enumerate(levels)]
     wide = kept.where(F.col(row).isin(levels)).groupBy(*by).agg(*cells)
     entries = F.array(*[F.struct(F.lit(v).alias(row), F.col(f"__{i}").alias("n")) for i, v in enumerate(levels)])

@@ -60,7 +60,7 @@ def densities(events: DataFrame, catch: DataFrame, measures: list[str], total: s
 def abundance_tables(
     hauls: DataFrame, catch: DataFrame, individuals: DataFrame, areas: DataFrame, settings: SurveySettings
 ) -> dict[str, DataFrame]:
-    """All result tables of the survey, by name. Nothing runs until one is used."""
+    """All result tables of the survey, by name. Building the bootstraps already counts their strata."""
     s = settings
     t = survey_tables(hauls, catch, individuals, areas, s)
     events, classes = t["events"], list(s.classes.values())
@@ -75,7 +75,7 @@ def abundance_tables(
 
     original = estimators.expand_estimate(numbers, STRATA, measures, t["areas"])
     boot_n = resampling.bootstrap(numbers, STRATA, "event", measures, t["areas"], reps=s.reps, seed=s.seed)
-    n_summary = resampling.bootstrap_summary(boot_n, ["bed", "year", "variable"], {"total": "total", "dbar": "dbar"})
+    n_summary = resampling.bootstrap_summary(boot_n, [*STRATA, "variable"], {"total": "total", "dbar": "dbar"})
 
     boot_w = resampling.bootstrap(grams, STRATA, "event", measures, t["areas"], reps=s.reps, seed=s.seed + 1)
     pounds = boot_w.withColumns({c: F.col(c) * units.POUNDS_PER_GRAM for c in ("total", "dbar")})
@@ -92,19 +92,19 @@ def abundance_tables(
         (F.col("species") == s.species) & (F.col("size_class") == 1) & F.col("clapper").isNull()
     )
     weights = estimators.mean_of_means(
-        live.join(events.select("event", "year", "bed"), "event"), ["event", "year", "bed"], ["year", "bed"], "weight", "mean_wt"
+        live.join(events.select("event", *STRATA), "event"), ["event", *STRATA], STRATA, "weight", "mean_wt"
     )
     by_number = (
         n_summary.filter(F.col("variable") == large)
-        .join(weights, ["year", "bed"])
-        .join(meat.select("year", "bed", "mean_ratio"), ["year", "bed"])
+        .join(weights, list(STRATA))
+        .join(meat.select(*STRATA, "mean_ratio"), list(STRATA))
     )
     number_ghl = estimators.number_harvest(
-        by_number, "mean_ratio", "mean_wt", {"ll": "ll_total", "meat": "mean_total", "ul": "ul_total"}, keep=["year", "bed"]
+        by_number, "mean_ratio", "mean_wt", {"ll": "ll_total", "meat": "mean_total", "ul": "ul_total"}, keep=STRATA
     )
     by_weight = w_summary.filter(F.col("variable") == large).join(meat.select(*STRATA, "mean_ratio"), list(STRATA))
     weight_ghl = estimators.weight_harvest(
-        by_weight, "mean_ratio", {"ll": "ll_weight", "meat": "mean_weight", "ul": "ul_weight"}, keep=["bed"]
+        by_weight, "mean_ratio", {"ll": "ll_weight", "meat": "mean_weight", "ul": "ul_weight"}, keep=STRATA
     )
 
     return {
@@ -141,12 +141,11 @@ def clapper_summary(
 ) -> DataFrame:
     """Share of dead shells among all, in number and in weight, for every bed surveyed."""
     dead = clapper_estimate(tables, s).select(*STRATA, "n", "total_c", "total_wt_lb")
-    live_n = numbers.filter(F.col("variable") == variable).select("bed", "year", F.col("mean_total").alias("__n"))
+    live_n = numbers.filter(F.col("variable") == variable).select(*STRATA, F.col("mean_total").alias("__n"))
     live_w = weights.filter(F.col("variable") == variable).select(*STRATA, F.col("mean_weight").alias("__w"))
-    joined = live_w.join(live_n.join(dead, ["bed", "year"], "right"), list(STRATA), "right")
+    joined = live_w.join(live_n.join(dead, list(STRATA), "right"), list(STRATA), "right")
     return joined.select(
-        "bed",
-        "year",
+        *STRATA,
         "n",
         estimators.share_of_total("total_c", "__n").alias("percent_clap"),
         estimators.share_of_total("total_wt_lb", "__w").alias("percent_clap_wt"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from towline.session import cut_lineage
+from towline.session import checkpoint_folder
 from towline.sources import schemas
 
 
@@ -39,17 +40,15 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
 def read_lookup(
     spark: SparkSession, path: str, schema: str | None, key: str | Sequence[str], max_rows: int = 100_000
 ) -> DataFrame:
-    """Read a lookup table; fails if it is too long or its key is not unique.
+    """Read a lookup table; fails if its key is not unique.
 
-    The length check is what makes broadcasting the table safe.
+    One of up to ``max_rows`` rows is marked for broadcast; a longer one joins by shuffle.
     """
     df = read_table(spark, path, schema)
     keys = [key] if isinstance(key, str) else list(key)
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"{path} has more than {max_rows} rows, too long for a lookup table")
     if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"{path} repeats a key of {keys}")
-    return F.broadcast(df)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def read_t_table(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +81,14 @@ def write_table(
 
 
 def stage(df: DataFrame, name: str, materialize: bool = False) -> DataFrame:
-    """Name a result for SQL use. By default a view; ``materialize`` stores it in the shared folder."""
-    out = cut_lineage(df) if materialize else df
+    """Name a result for SQL use. By default a view; ``materialize`` writes it to the shared folder as parquet.
+
+    The written table keeps column pruning and filters on its files; a lost executor loses nothing of it.
+    """
+    out = df
+    if materialize:
+        path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.createOrReplaceTempView(name)
     return out.sparkSession.table(name)
