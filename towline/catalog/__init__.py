@@ -7,6 +7,7 @@ from towline.catalog import (  # noqa: F401  (importing a module registers its q
     distribution_queries,
     estimator_queries,
     join_queries,
+    pipeline_queries,
     resampling_queries,
     source_queries,
 )
