@@ -353,6 +353,9 @@ def test_histogram_closes_last_bin(spark):
     assert rows(distributions.histogram(df, "x", bins=2), "bin") == [(0, 0.0, 1), (1, 5.0, 2)]
     weighted = spark.createDataFrame([(0.4, 3), (0.6, 4)], "x double, w int")
     assert rows(distributions.histogram(weighted, "x", width=0.5, weight="w"), "bin") == [(0, 0.0, 3), (1, 0.5, 4)]
+    gaps = spark.createDataFrame([("a", 0.5), ("a", 3.5), ("b", 2.0), (None, 1.0)], "g string, x double")
+    got = sorted(rows(distributions.histogram(gaps, "x", ["g"], width=1.0)), key=str)
+    assert got == sorted([("a", 0, 0.0, 1), ("a", 1, 1.0, 0), ("a", 2, 2.0, 0), ("a", 3, 3.0, 1), ("b", 2, 2.0, 1), (None, 1, 1.0, 1)], key=str)
 
 
 def test_fit(spark):

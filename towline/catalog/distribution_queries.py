@@ -73,8 +73,9 @@ def d02(spark, sf):
 
 @query(
     "d03_histogram_width",
-    f"""WITH {base.INDIVIDUALS} SELECT brand, floor(height / 1)::BIGINT AS bin, 0.0::DOUBLE + floor(height / 1) AS low, count(*) AS n
-        FROM individuals GROUP BY ALL""",
+    f"""WITH {base.INDIVIDUALS}, h AS (SELECT brand, floor(height / 1)::BIGINT AS bin, count(*) AS n FROM individuals GROUP BY ALL),
+        g AS (SELECT brand, unnest(range(min(bin), max(bin) + 1)) AS bin FROM h GROUP BY brand)
+        SELECT g.brand, g.bin, 0.0::DOUBLE + g.bin AS low, coalesce(h.n, 0) AS n FROM g LEFT JOIN h USING (brand, bin)""",
 )
 def d03(spark, sf):
     return dist.histogram(base.individuals(spark, sf), "height", ["brand"], width=1.0)
@@ -84,10 +85,12 @@ def d03(spark, sf):
     "d03_histogram_bins",
     tidy_sql(
         """WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
-           SELECT l_returnflag, least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49)::BIGINT AS bin,
-                  lo + least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49) * ((hi - lo) / 50) AS low,
-                  count(*) AS n
-           FROM lineitem, r GROUP BY ALL""",
+           , h AS (
+             SELECT l_returnflag, least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49)::BIGINT AS bin, count(*) AS n
+             FROM lineitem, r GROUP BY ALL),
+           g AS (SELECT l_returnflag, unnest(range(50)) AS bin FROM lineitem GROUP BY l_returnflag)
+           SELECT g.l_returnflag, g.bin, r.lo + g.bin * ((r.hi - r.lo) / 50) AS low, coalesce(h.n, 0) AS n
+           FROM g CROSS JOIN r LEFT JOIN h ON g.l_returnflag = h.l_returnflag AND g.bin = h.bin""",
         "low",
     ),
 )

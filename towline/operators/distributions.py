@@ -106,10 +106,10 @@ def histogram(
     low: float = 0.0,
     weight: str | None = None,
 ) -> DataFrame:
-    """Counts per bin: ``(*by, bin, low, n)``, occupied bins only.
+    """Counts per bin: ``(*by, bin, low, n)``, empty bins with 0.
 
-    ``width`` cuts from ``low`` on; ``bins`` cuts the range of the whole table into equal parts,
-    the last one closed.
+    ``width`` cuts from ``low`` on, and each group has all bins between its lowest and highest; ``bins`` cuts the range
+    of the whole table into equal parts, the last one closed, and each group has all of them.
     """
     value = F.col(x).cast("double")
     rows = df.where(F.col(x).isNotNull())
@@ -126,6 +126,10 @@ def histogram(
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     cut = rows.withColumns({"bin": number.cast("bigint"), "__start": start, "__size": size})
     out = cut.groupBy(*by, "bin", "__start", "__size").agg(n.cast("bigint").alias("n"))
+    ends = (F.min("bin"), F.max("bin")) if bins is None else (F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
+    groups = out.groupBy(*by, "__start", "__size").agg(F.sequence(*ends).alias("bins"))
+    empty = groups.select(*by, F.explode("bins").alias("bin"), "__start", "__size", F.lit(0).cast("bigint").alias("n"))
+    out = out.unionByName(empty).groupBy(*by, "bin", "__start", "__size").agg(F.sum("n").alias("n"))
     return out.select(*by, "bin", (F.col("__start") + F.col("bin") * F.col("__size")).alias("low"), "n")
 
 
