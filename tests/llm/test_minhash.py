@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from helpers import documents, rows
 from towline.llm import minhash
-from towline.llm.common import WordHashes
 from towline.llm.components import components
 
 
@@ -82,12 +81,33 @@ def test_large_group_of_copies_and_of_near_copies(spark):
     assert {c for i, c, _ in got if i < 450} == {0}
 
 
-def test_pairs_of_one_bucket_beyond_its_leader_are_found(spark):
+def test_links_of_one_bucket_beyond_its_leader_are_found(spark):
     # The leader of the bucket is like none of the others, which are alike among themselves.
-    buckets = spark.createDataFrame([(7, 1, 100, 1), (7, 2, 100, 1), (7, 3, 100, 1)], "key long, node long, n_shingles long, leader long")
-    assert sorted(rows(minhash._unconnected(buckets, None))) == [(2, 1), (3, 1), (3, 2)]
-    label = spark.createDataFrame([(2, 2), (3, 2)], "node long, component long")
-    assert sorted(rows(minhash._unconnected(buckets, label))) == [(2, 1), (3, 1)]
+    buckets = spark.createDataFrame([(7, 1, 100, 1), (7, 2, 100, 1), (7, 3, 100, 1), (8, 4, 9, 4), (8, 5, 9, 4)], "key long, node long, n_shingles long, leader long")
+    label = spark.createDataFrame([(4, 4), (5, 4)], "node long, component long")
+    assert sorted(rows(minhash._unconnected(buckets, label))) == [(7, 1, 100, 1), (7, 2, 100, 2), (7, 3, 100, 3)]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_links_between_blocks_against_all_pairs(spark, block):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    texts = {k: " ".join(edited(rng, base, rng.choice([1, 2, 3, 4, 5, 9]))) for k in range(60)}
+    of = {k: k if k % 3 else 0 for k in texts}
+    entries = [(key, k, len(shingles(texts[k])), of[k]) for key in (1, 2) for k in texts if key == 1 or k % 2]
+    got = minhash.links_between(
+        spark.createDataFrame(entries, "key long, node long, n_shingles long, of long"),
+        spark.createDataFrame(list(texts.items()), "node long, text string"),
+        75,
+        block,
+    )
+    want = set()
+    for a in texts:
+        for b in texts:
+            x, y = shingles(texts[a]), shingles(texts[b])
+            if a > b and of[a] != of[b] and 100 * len(x & y) >= 75 * len(x | y):
+                want.add((a, b))
+    assert set(rows(got)) == want and 20 < len(want) < 1500
 
 
 def test_nulls_repeats_empty_and_clashing_columns(spark):
@@ -116,7 +136,7 @@ def test_shingle_hashes_count_distinct_shingles():
     rng = random.Random(2)
     for _ in range(50):
         t = " ".join(rng.choices(["a", "B", "c"], k=rng.randint(0, 60)))
-        assert len(minhash.shingles_of(t, WordHashes(5))) == len(shingles(t))
+        assert len(next(minhash.shingle_sets([t]))) == len(shingles(t))
 
 
 def test_components(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 from towline.session import checkpoint_folder
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 # Bytes of text that reach a Python task at once; texts are long, so rows alone are no bound.
 ARROW_BYTES = 8 << 20
 
@@ -68,6 +67,58 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+# One value per byte, and an odd base: the letters and the places of a polynomial hash modulo 2**64.
+_LETTERS = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95
+_IN_WORD = np.array([c not in b"\x20\x09\x0a\x0b\x0c\x0d" for c in range(256)])
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` of them at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
+    return _POWERS
+
+
+def hashed_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and where each text's begin (one entry more than texts).
+
+    Words are those of :func:`words_of`. Texts are hashed together, some hundred thousand bytes at a time, without a look
+    at single words: a word's hash is the difference of two sums over the bytes before its ends, moved to place zero.
+    """
+    hashes, counts, group, size = [], [], [], 0
+
+    def flush() -> None:
+        data = np.frombuffer(b"\n".join(group).lower() + b"\n", np.uint8)
+        inside = _IN_WORD[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.concatenate([[0], edges])
+        begin, end = edges[::2], edges[1::2]
+        powers, inverse = _powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_LETTERS[data] * powers[: len(data)], out=sums[1:])
+        hashes.append(mix((sums[end] - sums[begin]) * inverse[begin]))
+        places = np.cumsum([0, *(len(g) + 1 for g in group)])
+        counts.append(np.diff(np.searchsorted(begin, places)))
+
+    for t in texts:
+        group.append(t.encode() if t else b"")
+        size += len(group[-1]) + 1
+        if size >= 1 << 18:
+            flush()
+            group, size = [], 0
+    if group:
+        flush()
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *hashes]), np.concatenate([[0], np.cumsum(np.concatenate([none.astype(np.int64), *counts]))])
+
+
 class WordHashes(dict):
     """64-bit hash of each word asked for; forgets all when it holds too many words."""
 

@@ -3,12 +3,12 @@
 Two permutations of one universe make all coordinates of a signature: the first scatters the shingles, the second,
 shifted circularly by k places, ranks them for coordinate k. Documents that agree on a band of coordinates meet in a
 bucket. Buckets are not expanded into pairs: copies of one set count once, members are compared with leaders first, and
-afterwards only members of a bucket that are not yet connected are.
+afterwards the members of a bucket that are not yet connected block against block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from towline.llm.common import WordHashes, bounded_parts, mix, staged, words_of
+from towline.llm.common import bounded_parts, hashed_words, mix, staged
 from towline.llm.components import components
 
 WIDTH = 5
@@ -47,10 +47,15 @@ class CirculantMinHash:
         return keys.view(np.int64)
 
 
-def shingles_of(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; the whole sequence as one if it is shorter."""
-    words = words_of(text)
-    h = hashes.of(words)
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text."""
+    words, starts = hashed_words(texts)
+    for a, b in zip(starts[:-1], starts[1:]):
+        yield shingles_of(words[a:b])
+
+
+def shingles_of(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Shingle set of hashed words; the whole sequence as one shingle if it is shorter."""
     if len(h) > width:
         n = len(h) - width + 1
         s = np.zeros(n, np.uint64)
@@ -69,11 +74,10 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
     """``doc_id, n_shingles, h1, h2, keys, signature`` of every row; the last four null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, minhash = WordHashes(), CirculantMinHash(bands, rows)
+        minhash = CirculantMinHash(bands, rows)
         for batch in batches:
             out = []
-            for t in batch["text"]:
-                s = shingles_of(t, hashes)
+            for s in shingle_sets(batch["text"]):
                 if not len(s):
                     out.append((0, None, None, None, None))
                     continue
@@ -116,13 +120,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` with ``100 * intersection >= percent * union`` of their full shingle sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, theirs = WordHashes(), None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch["t_a"], batch["t_b"]):
-                if y != last:
-                    last, theirs = y, shingles_of(y, hashes)
-                mine = shingles_of(x, hashes)
+            for mine, theirs in zip(shingle_sets(batch["t_a"]), shingle_sets(batch["t_b"])):
                 common = len(np.intersect1d(mine, theirs, assume_unique=True))
                 keep.append(100 * common >= percent * (len(mine) + len(theirs) - common))
             yield batch.loc[keep, ["a", "b"]]
@@ -158,25 +158,18 @@ def near_duplicates(
     entries = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     buckets = staged(entries.join(leaders.select("key", "leader"), "key"))
-    links = tested = label = None
-    for candidates in (_first_leaders, _leaders, _unconnected):
-        pairs = candidates(buckets, label)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs.distinct())
-        good = staged(promising(pairs, nodes, percent))
+    links = label = None
+    for candidates in (_first_leaders, _leaders):
+        good = staged(promising(candidates(buckets, label), nodes, percent))
         wanted = staged(good.select(F.col("a").alias("node")).union(good.select("b")).distinct())
-        if wanted.isEmpty():
-            continue
         new = verified(good, staged(texts_of(docs, doc_id, text, wanted)), percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         links = staged(new if links is None else new.unionByName(links))
         label = components(links)
+    entries = staged(_unconnected(buckets, label))
+    rest = staged(texts_of(docs, doc_id, text, staged(entries.select("node").distinct())))
+    label = components(links.unionByName(links_between(entries, rest, percent)))
     answer = sketch.select("doc_id", "n_shingles", "h1", "h2").join(sets, ["h1", "h2"], "left")
-    if label is None:
-        answer = answer.withColumn("component_id", F.coalesce("node", "doc_id"))
-    else:
-        answer = answer.join(label, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
+    answer = answer.join(label, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
     answer = answer.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return answer.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -200,11 +193,81 @@ def _leaders(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
     return _apart(label, buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
 
 
+def alone_counts(texts: DataFrame) -> DataFrame:
+    """``node, alone``: how many shingles of each text no other of the texts has."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = list(shingle_sets(batch["text"]))
+            nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in sets])
+            yield pd.DataFrame({"node": nodes, "shingle": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)})
+
+    owners = texts.mapInPandas(cut, "node long, shingle long").groupBy("shingle")
+    single = owners.agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return single.groupBy("node").agg(F.count("*").alias("alone"))
+
+
 def _unconnected(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
-    """All pairs of a bucket whose ends lie in different components."""
+    """Entries ``key, node, n_shingles, of`` of buckets whose members are not all connected; ``of`` is the component."""
     one = buckets.select("key", "node", "n_shingles")
     one = one.withColumn("of", F.col("node")) if label is None else one.join(label.toDF("node", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))
     several = one.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key")
-    one = staged(one.join(several, "key"))
-    a, b = one.toDF("key", "a", "n_a", "of_a"), one.toDF("key", "b", "n_b", "of_b")
-    return a.join(b, "key").where("a > b AND of_a <> of_b").select("a", "b")
+    return one.join(several, "key")
+
+
+def links_between(entries: DataFrame, texts: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links ``a, b`` between members of a bucket that lie in different components, all of them.
+
+    What A has alone, B has not, and the other way round: a link needs ``alone_a + alone_b`` at most ``(100 - percent)``
+    in ``100 + percent`` of both sizes together. Members that no other of their bucket can make up for are left out. The
+    rest of a bucket is dealt into blocks of about ``block`` members; a task compares the sets of two blocks at once and
+    gives the links only, so a bucket is never expanded into pairs nor held in one task.
+    """
+    spare = F.lit(100 - percent) * F.col("n_shingles") - F.lit(100 + percent) * F.coalesce("alone", F.lit(0))
+    rated = staged(entries.join(alone_counts(texts), "node", "left").withColumn("spare", spare))
+    best = rated.groupBy("key").agg(F.max("spare").alias("best"))
+    able = staged(rated.join(best, "key").where("spare + best >= 0").select("key", "node", "of"))
+    sizes = able.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = able.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "items": [s.tobytes() for s in shingle_sets(batch["text"])]})
+
+    sets = texts.mapInPandas(hashed, "node long, items binary")
+    packed = placed.join(sets, "node").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "of", "items")).alias("members"))
+    packed = staged(packed)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = packed.select("key", F.col("block").alias("i"), F.explode(F.filter(every, lambda j: j >= F.col("block"))).alias("j"), F.col("members").alias("x"))
+    right = packed.select("key", F.explode(F.filter(every, lambda i: i <= F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("members").alias("y"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"]):
+                yield pd.DataFrame(_linked(x, y, percent), columns=["a", "b"])
+
+    return left.join(right, ["key", "i", "j"]).mapInPandas(compare, "a long, b long").distinct()
+
+
+def _linked(x: list, y: list, percent: int) -> np.ndarray:
+    """Linked pairs, larger id first, of members of two blocks that lie in different components."""
+    sets = [[np.frombuffer(m["items"], np.uint64) for m in side] for side in (x, y)]
+    sizes = [np.array([len(s) for s in side]) for side in sets]
+    # Only shingles on both sides count; they become columns of two 0/1 matrices whose product has the common numbers.
+    flat = [np.concatenate(side) for side in sets]
+    shared = np.intersect1d(*(np.unique(f) for f in flat), assume_unique=True)
+    if not len(shared):
+        return np.zeros((0, 2), np.int64)
+    matrices = []
+    for f, n in zip(flat, sizes):
+        at = np.minimum(np.searchsorted(shared, f), len(shared) - 1)
+        hit, row = shared[at] == f, np.repeat(np.arange(len(n)), n)
+        m = np.zeros((len(n), len(shared)), np.float32)
+        m[row[hit], at[hit]] = 1
+        matrices.append(m)
+    common = np.rint(matrices[0] @ matrices[1].T).astype(np.int64)
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    nodes, of = ([np.array([m[c] for m in side], np.int64) for side in (x, y)] for c in ("node", "of"))
+    i, j = np.nonzero((100 * common >= percent * union) & (of[0][:, None] != of[1][None, :]))
+    pairs = np.stack([nodes[0][i], nodes[1][j]], axis=1)
+    return np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1)
