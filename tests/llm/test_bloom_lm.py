@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helpers import documents, rows
 from towline.llm import bloom_lm as lm
-from towline.llm.common import WordHashes, fold
+from towline.llm.common import fold, hashed_words, words_of
 from towline.llm.queries import QUERIES
 
 
@@ -120,9 +120,16 @@ def test_nulls_empty_tables_repeats_and_clashing_columns(spark):
     assert scored(spark, df.limit(0), df).count() == 0
 
 
-def test_hashes_forget_without_harm():
-    words = [str(k % 50).encode() for k in range(500)]
-    assert np.array_equal(WordHashes(7).of(words), WordHashes().of(words))
+def test_hashes_are_those_of_words():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abAB é\t\n\r\x0b\x0c\x1c\x85\xa0", k=rng.choice([0, 1, 5, 200]))) for _ in range(300)] + [None, "", "x" * 300_000, " y"]
+    hashes, starts = hashed_words(texts)
+    words = [words_of(t) for t in texts]
+    assert np.diff(starts).tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    seen = dict(zip(flat, hashes.tolist()))
+    assert [seen[w] for w in flat] == hashes.tolist() and len(set(seen.values())) == len(seen)
+    assert np.array_equal(np.concatenate([hashed_words([t])[0] for t in texts]), hashes)
 
 
 def test_query_covers_the_table(spark, sf_dir):

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from towline.llm.common import WordHashes, mix, staged, words_of
+from towline.llm.common import hashed_words, mix, staged
 
 # Stands before the first word and behind the last one; no word has a line feed in it.
 BOUNDARY = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -29,12 +29,12 @@ _HALF = np.uint64(32)
 
 @dataclass(frozen=True)
 class Setting:
-    word_base: float = 1.2  # levels of word counts: level L stands for base ** (L - 1) up to base ** L
-    pair_base: float = 1.3
+    word_base: float = 1.3  # levels of word counts: level L stands for base ** (L - 1) up to base ** L
+    pair_base: float = 1.5
     min_pair: int = 2  # bigrams seen less often in training are left to the word model
     discount: float = 0.75  # taken from the count of every kept bigram
     share_steps: int = 32
-    bits_per_entry: int = 12
+    bits_per_entry: int = 10
     probes: int = 6
     most_bytes: int = 256 << 20  # of the filter, whatever the corpus
     shard_tokens: int = 1 << 21  # training tokens per shard of the bigram counts
@@ -44,15 +44,12 @@ class Setting:
 SETTING = Setting()
 
 
-def tokens_of(texts, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's closed by the boundary, and where each text starts."""
-    lists = [words_of(t) for t in texts]
-    starts = np.cumsum([0, *(len(w) + 1 for w in lists)])
-    out = np.empty(int(starts[-1]), np.uint64)
-    for a, b, words in zip(starts[:-1], starts[1:], lists):
-        out[a : b - 1] = hashes.of(words)
-        out[b - 1] = BOUNDARY
-    return out, starts
+    words, starts = hashed_words(texts)
+    out = np.full(len(words) + len(starts) - 1, BOUNDARY)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(starts) - 1), np.diff(starts))] = words
+    return out, starts + np.arange(len(starts))
 
 
 def pairs_of(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,9 +88,9 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """``token, c``: training count of each token hash (64 bits; equal hashes of different words add up)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, known = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
-            tokens, n = np.unique(tokens_of(batch[text], hashes)[0], return_counts=True)
+            tokens, n = np.unique(tokens_of(batch[text])[0], return_counts=True)
             known = added_up(np.concatenate([known[0], tokens]), np.concatenate([known[1], n]))
             if len(known[0]) > 1 << 20:
                 yield pd.DataFrame({"token": known[0].view(np.int64), "n": known[1]})
@@ -112,7 +109,7 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
     """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, waiting, size = WordHashes(), [], 0
+        waiting, size = [], 0
 
         def rows() -> pd.DataFrame:
             keys, counts = added_up(np.concatenate(waiting), np.ones(size, np.int64))
@@ -123,7 +120,7 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
             return pd.DataFrame(out, columns=["shard", "data"])
 
         for batch in batches:
-            waiting.append(pairs_of(*tokens_of(batch[text], hashes)))
+            waiting.append(pairs_of(*tokens_of(batch[text])))
             size += len(waiting[-1])
             if size >= s.buffer:
                 yield rows()
@@ -174,19 +171,21 @@ class Model:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by probing members 1, 2, .. until one is missing."""
         out, live, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+        base = keys % np.uint64(self.shards) * np.uint64(self.shard_bits)
         while len(live) and step < 256:
-            for probe in range(self.setting.probes):
-                k = keys[live]
-                at = k % np.uint64(self.shards) * np.uint64(self.shard_bits) + place(k, step, probe, self.shard_bits)
-                live = live[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+            here, stride = start_of(keys[live], step)
+            for _ in range(self.setting.probes):
+                at = base[live] + here % np.uint64(self.shard_bits)
+                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                live, stride = live[hit], stride[hit]
+                here = here[hit] + stride
             out[live] = step
             step += 1
         return out
 
-    def log10(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text of :func:`tokens_of`."""
+    def log10(self, tokens: np.ndarray, starts: np.ndarray, words: np.ndarray, word_at: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text of :func:`tokens_of`, given the distinct tokens and where they are."""
         s, pairs = self.setting, pairs_of(tokens, starts)
-        words, word_at = np.unique(tokens, return_inverse=True)
         word_level = self.levels(mix(words, WORD))
         count = np.where(word_level > 0, s.word_base ** (word_level - 1.0), 0.0)
         alone = ((count + 1) / self.mass)[word_at]
@@ -203,11 +202,13 @@ class Model:
         return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts[:-1]) if len(tokens) else np.zeros(0)
 
 
-def place(keys: np.ndarray, step: int, probe: int, shard_bits: int) -> np.ndarray:
-    """Bit within a key's shard of one probe for its member ``step``. All members of a key lie in shard ``key % shards``."""
+def start_of(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and stride of the probes for member ``step`` of each key, modulo the bits of a shard.
+
+    All members of a key lie in shard ``key % shards``.
+    """
     f = mix(keys ^ np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    with np.errstate(over="ignore"):
-        return (f + np.uint64(probe) * (mix(f, 1) | np.uint64(1))) % np.uint64(shard_bits)
+    return f, mix(f, 1) | np.uint64(1)
 
 
 def packed_entries(rows: DataFrame, family: int, shards: int, s: Setting) -> DataFrame:
@@ -240,13 +241,15 @@ def filter_bits(entries: DataFrame, shards: int, shard_bits: int, s: Setting) ->
         for k, lev in zip(group["keys"], group["levels"]):
             keys, lev = np.frombuffer(k, np.uint64), np.frombuffer(lev, np.uint8)
             for step in range(1, int(lev.max(initial=0)) + 1):
-                in_step = keys[lev >= step]
-                for probe in range(s.probes):
-                    bits[place(in_step, step, probe, shard_bits)] = True
+                here, stride = start_of(keys[lev >= step], step)
+                for _ in range(s.probes):
+                    bits[here % np.uint64(shard_bits)] = True
+                    here = here + stride
         return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros(shards * shard_bits // 8, np.uint8)
-    for r in entries.groupBy("shard").applyInPandas(build, "shard int, bits binary").toLocalIterator():
+    built = staged(entries.groupBy("shard").applyInPandas(build, "shard int, bits binary"))
+    for r in built.toLocalIterator():  # read from the folder, so shards are built side by side
         out[r["shard"] * shard_bits // 8 : (r["shard"] + 1) * shard_bits // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -301,13 +304,13 @@ def score(
     columns = ["row", "doc_id", "token", "tf", "known", "logs", "n_tokens", "score"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, (known, known_counts) = WordHashes(), top.value
+        known, known_counts = top.value
         logs_of = np.append(np.log10(known_counts + 1.0), 0.0)
         for batch in batches:
-            tokens, starts = tokens_of(batch["text"], hashes)
-            scores = shared.value.log10(tokens, starts)
-            signed = tokens.view(np.int64)
-            distinct, where = np.unique(signed, return_inverse=True)
+            tokens, starts = tokens_of(batch["text"])
+            words, where = np.unique(tokens, return_inverse=True)
+            scores = shared.value.log10(tokens, starts, words, where)
+            distinct = words.view(np.int64)
             at = np.searchsorted(known, distinct)
             found = np.append(known, 0)[at] == distinct
             found &= at < len(known)
@@ -316,20 +319,21 @@ def score(
             # The other words of each text, once per text.
             rest = ~found[where]
             pairs, tf = np.unique(row_of[rest] * len(distinct) + where[rest], return_counts=True)
-            rows = batch["row"].to_numpy()
-            frames = {
-                "row": np.concatenate([rows, rows[pairs // len(distinct)]]) if len(pairs) else rows,
-                "doc_id": np.concatenate([batch["doc_id"].astype("Int64").to_numpy(object, na_value=None), np.full(len(pairs), None)]),
-                "token": np.concatenate([mix(rows.astype(np.uint64)).view(np.int64), distinct[pairs % len(distinct)]]) if len(pairs) else mix(rows.astype(np.uint64)).view(np.int64),
-                "tf": np.concatenate([np.zeros(len(rows), np.int64), tf]),
+            rows = batch["row"].to_numpy(np.int64)
+            texts = {
+                "row": rows,
+                "doc_id": batch["doc_id"].astype("Int64"),
+                "token": mix(rows.view(np.uint64)).view(np.int64),
+                "tf": np.zeros(len(rows), np.int64),
                 "known": np.bincount(row_of, weights=found[where], minlength=len(rows)).astype(np.int64),
                 "logs": np.bincount(row_of, weights=logs_of[at][where], minlength=len(rows)),
                 "n_tokens": np.diff(starts),
                 "score": scores,
             }
-            for c in columns[4:]:
-                frames[c] = np.concatenate([frames[c], np.zeros(len(pairs), frames[c].dtype)])
-            yield pd.DataFrame(frames, columns=columns)
+            yield pd.DataFrame(texts, columns=columns)
+            others = {"row": rows[pairs // len(distinct)], "token": distinct[pairs % len(distinct)], "tf": tf}
+            none = {"doc_id": pd.array([pd.NA] * len(pairs), "Int64"), "known": 0, "logs": 0.0, "n_tokens": 0, "score": 0.0}
+            yield pd.DataFrame(others | none, columns=columns)
 
     numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # A row per text, with no words (tf 0) under a token spread at random, and one per text and other word.

@@ -6,14 +6,13 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from towline.session import checkpoint_folder
 
 # Bytes of text that reach a Python task at once; texts are long, so rows alone are no bound.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 # Rows of a broadcast at most. Rows of more than so many are joined in several parts.
@@ -119,25 +118,6 @@ def hashed_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *hashes]), np.concatenate([[0], np.cumsum(np.concatenate([none.astype(np.int64), *counts]))])
 
 
-class WordHashes(dict):
-    """64-bit hash of each word asked for; forgets all when it holds too many words."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Bijective 64-bit mixer (the finaliser of SplitMix64)."""
     with np.errstate(over="ignore"):
