@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from towline.llm.common import temporary_name, words_of
+from towline.llm.common import staged, temporary_name, words_of
 
 # Patterns of units; each tiles a text, ends included with what they end.
 UNITS = {
@@ -55,6 +55,8 @@ def repeats(units: DataFrame) -> DataFrame:
         .where("first < last")
         .select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     )
+    # Written first, so both sides of the join are plain shuffles and adaptive execution can split a very common digest.
+    firsts = staged(firsts)
     later = "doc_id > first_doc OR doc_id = first_doc AND start > first_start"
     return units.join(firsts, ["h1", "h2"]).where(later)
 
