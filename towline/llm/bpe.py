@@ -192,7 +192,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; remembers the ids of up to ``most`` words."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 250_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 150_000) -> None:
         self.v, self.most, self.known = vocabulary, most, {}
 
     def _learn(self, parts: list[list[str]]) -> dict[str, bytes]:
@@ -254,6 +254,7 @@ def encode_column(text: Column, vocabulary: str) -> Column:
         e = encoder(vocabulary)
         for texts in batches:
             yield pd.Series(list(e.packed([t or "" for t in texts])), dtype=object)
+        e.known = {}  # the process goes on to other work; what it has learned must not stay in its memory
 
     return run.asNondeterministic()(text)  # evaluated once per row
 

@@ -107,6 +107,7 @@ def counted_column(text: Column, sections: Column | None, vocabulary: str, rule:
             e, lengths = tools()
             for texts in batches:
                 yield count(texts, None, e, lengths)
+            e.known = {}
 
         return run.asNondeterministic()(text)
 
@@ -115,6 +116,7 @@ def counted_column(text: Column, sections: Column | None, vocabulary: str, rule:
         e, lengths = tools()
         for texts, spans in batches:
             yield count(texts, spans, e, lengths)
+        e.known = {}
 
     return run_given.asNondeterministic()(text, sections)
 
