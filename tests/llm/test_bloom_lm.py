@@ -95,6 +95,20 @@ def test_bound_of_the_filter_holds(spark):
     assert model.shards > 3 and len(model.bits) <= 2048 + 8 * model.shards
 
 
+def test_a_filter_beyond_the_bound_keeps_its_bits_and_scores(spark):
+    texts = [*corpus(300, 7), "", None, "never seen", "w1 w2"]
+    df = documents(spark, texts, ids=[*range(len(texts) - 1), None]).repartition(5)
+    learned = df.where(fold("doc_id", 7) != 2)
+    counts = lm.word_counts(learned, "text").cache()
+    whole, parted = (lm.train(learned, counts, s=lm.Setting(shard_tokens=1000, most_bytes=m)) for m in (1 << 20, 512))
+    assert whole.stored is None and parted.stored is not None and len(parted.bits) == 0
+    assert parted.entries == whole.entries and parted.shard_bits * parted.shards >= 10 * parted.entries
+    a, b = (sorted(rows(lm.score(df, m, counts, most_frequent=3)), key=str) for m in (whole, parted))
+    assert len(a) == len(b) == len(texts)
+    for x, y in zip(a, b):
+        assert x[:4] == y[:4] and y[4:] == pytest.approx(x[4:], abs=1e-9)
+
+
 def test_splitting_the_work_changes_nothing(spark):
     df = documents(spark, corpus(120, 5))
     counts = lm.word_counts(df, "text").cache()

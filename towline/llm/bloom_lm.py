@@ -3,14 +3,15 @@
 The model is an interpolated bigram model. The filter holds counts on a logarithmic scale: an n-gram of level L is entered
 as L members (n-gram, 1) .. (n-gram, L), and its level is read back by asking for ever higher members until one is missing.
 Three families are in it: counts of words, counts of bigrams, and for each history the share of its mass that kept bigrams
-take, which is what the rest of the words must be discounted by. The filter is broadcast; its size follows the corpus up to
-a bound, beyond which only its false-positive rate grows. Exact word counts for a baseline come from a join.
+take, which is what the rest of the words must be discounted by. The filter has the same bits an entry at every size. Up to
+a bound it is broadcast; beyond that its shards stay in the shared folder and n-grams are sent to the shard that has them.
+Exact word counts for a baseline come from a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ class Setting:
     share_steps: int = 32
     bits_per_entry: int = 10
     probes: int = 6
-    most_bytes: int = 256 << 20  # of the filter, whatever the corpus
+    most_bytes: int = 256 << 20  # of a filter that is broadcast; a larger one is asked shard by shard
     shard_tokens: int = 1 << 21  # training tokens per shard of the bigram counts
     buffer: int = 1 << 21  # bigrams that a task holds before it adds them up
 
@@ -161,47 +162,60 @@ def pair_floor(s: Setting) -> int:
 class Model:
     """The filter with what turns levels into probabilities."""
 
-    bits: np.ndarray  # bytes of all shards
+    bits: np.ndarray  # bytes of all shards; none if they stay in ``stored``
     shards: int
     shard_bits: int
     mass: float  # sum of what word levels stand for, plus vocabulary, plus one
     setting: Setting
     entries: int
+    stored: DataFrame | None = None  # ``shard, bits`` of a filter too large to broadcast
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key by probing members 1, 2, .. until one is missing."""
-        out, live, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        base = keys % np.uint64(self.shards) * np.uint64(self.shard_bits)
-        while len(live) and step < 256:
-            here, stride = start_of(keys[live], step)
-            for _ in range(self.setting.probes):
-                at = base[live] + here % np.uint64(self.shard_bits)
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                live, stride = live[hit], stride[hit]
-                here = here[hit] + stride
-            out[live] = step
-            step += 1
-        return out
-
-    def log10(self, tokens: np.ndarray, starts: np.ndarray, words: np.ndarray, word_at: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text of :func:`tokens_of`, given the distinct tokens and where they are."""
+        """Level of each key in the filter at hand."""
+        return levels_in(self.bits, keys, keys % np.uint64(self.shards) * np.uint64(self.shard_bits), self.shard_bits, self.setting)
+
+    def log10(self, tokens: np.ndarray, starts: np.ndarray, words: np.ndarray, word_at: np.ndarray, told: np.ndarray | None = None) -> np.ndarray:
+        """Log10 probability of each text of :func:`tokens_of`, given the distinct tokens and where they are.
+
+        ``told`` has the levels of :func:`asked` if they come from elsewhere.
+        """
         s, pairs = self.setting, pairs_of(tokens, starts)
-        word_level = self.levels(mix(words, WORD))
+        distinct, pair_at = np.unique(pairs, return_inverse=True)
+        keys = asked(words, distinct)
+        word_level, share_level, pair_level = np.split(self.levels(keys) if told is None else told, [len(words), 2 * len(words)])
         count = np.where(word_level > 0, s.word_base ** (word_level - 1.0), 0.0)
         alone = ((count + 1) / self.mass)[word_at]
         before = np.roll(word_at, 1)
         before[starts[:-1]] = np.searchsorted(words, BOUNDARY)
         seen = (word_level > 0)[before]
         history_count = s.word_base ** word_level[before].astype(float)  # not under the true count
-        share = np.minimum(self.levels(mix(words >> _HALF, SHARE)), s.share_steps)[before] / s.share_steps
-        distinct, pair_at = np.unique(pairs, return_inverse=True)
-        pair_level = self.levels(mix(distinct, PAIR))
+        share = np.minimum(share_level, s.share_steps)[before] / s.share_steps
         together = np.where(pair_level > 0, s.pair_base ** (pair_level + pair_floor(s) - 1.0) - s.discount, 0.0)[pair_at]
         # At least a thousandth of a word's own probability is left, should false positives have taken it all.
         p = np.where(seen, np.minimum(together / history_count, 1.0) + np.maximum(1 - share, 1e-3) * alone, alone)
         return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts[:-1]) if len(tokens) else np.zeros(0)
 
 
+def asked(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Keys whose levels score texts of these distinct tokens and bigrams: words, shares of the words, bigrams."""
+    return np.concatenate([mix(words, WORD), mix(words >> _HALF, SHARE), mix(pairs, PAIR)])
+
+
+def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits: int, s: Setting) -> np.ndarray:
+    """Level of each key by probing members 1, 2, .. until one is missing; its shard begins at bit ``base``."""
+    out, live, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while len(live) and step < 256:
+        here, stride = start_of(keys[live], step)
+        for _ in range(s.probes):
+            at = base[live] + here % np.uint64(shard_bits)
+            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            live, stride = live[hit], stride[hit]
+            here = here[hit] + stride
+        out[live] = step
+        step += 1
+    return out
+
+
 def start_of(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and stride of the probes for member ``step`` of each key, modulo the bits of a shard.
 
@@ -233,8 +247,8 @@ def packed_entries(rows: DataFrame, family: int, shards: int, s: Setting) -> Dat
     )
 
 
-def filter_bits(entries: DataFrame, shards: int, shard_bits: int, s: Setting) -> np.ndarray:
-    """Bits of the filter, made shard by shard in tasks; the driver receives no more than ``most_bytes``."""
+def filter_shards(entries: DataFrame, shard_bits: int, s: Setting) -> DataFrame:
+    """``shard, bits`` of the filter, made shard by shard in tasks and written to the shared folder."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(shard_bits, bool)
@@ -247,8 +261,12 @@ def filter_bits(entries: DataFrame, shards: int, shard_bits: int, s: Setting) ->
                     here = here + stride
         return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
+    return staged(entries.groupBy("shard").applyInPandas(build, "shard int, bits binary"))
+
+
+def filter_bits(built: DataFrame, shards: int, shard_bits: int) -> np.ndarray:
+    """All shards of :func:`filter_shards` in one array on the driver."""
     out = np.zeros(shards * shard_bits // 8, np.uint8)
-    built = staged(entries.groupBy("shard").applyInPandas(build, "shard int, bits binary"))
     for r in built.toLocalIterator():  # read from the folder, so shards are built side by side
         out[r["shard"] * shard_bits // 8 : (r["shard"] + 1) * shard_bits // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -267,11 +285,61 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", s: Setting =
     words = words.unionByName(packed_entries(shares, SHARE, shards, s).withColumn("mass", F.lit(0.0)))
     entries = staged(words.unionByName(pairs.select("shard", "keys", "levels", "entries", F.lit(0.0).alias("mass"))))
     total, mass = entries.agg(F.sum("entries"), F.sum("mass")).first()
-    size = min(int(total or 0) * s.bits_per_entry, s.most_bytes * 8)
+    size = int(total or 0) * s.bits_per_entry
     shard_bits = max(64, -(-size // shards // 8) * 8)
     vocabulary = counts.count()
-    bits = filter_bits(entries, shards, shard_bits, s)
-    return Model(bits, shards, shard_bits, (mass or 0.0) + vocabulary + 1, s, int(total or 0))
+    built, short = filter_shards(entries, shard_bits, s), size <= s.most_bytes * 8
+    bits = filter_bits(built, shards, shard_bits) if short else np.zeros(0, np.uint8)
+    return Model(bits, shards, shard_bits, (mass or 0.0) + vocabulary + 1, s, int(total or 0), None if short else built)
+
+
+def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
+    """``batch, rows, doc_ids, texts, told``: batches of texts with the levels of their :func:`asked` keys, parts by shard.
+
+    Each batch sends its keys to the shards that have them. A task reads a shard's bits first and then the keys that ask
+    it, so it holds one shard and one Arrow batch of keys, whatever the corpus.
+    """
+    shards, shard_bits, s = model.shards, model.shard_bits, model.setting
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                one = {"batch": [int(b["row"].iloc[0])], "rows": [b["row"].tolist()], "texts": [b["text"].tolist()]}
+                ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
+                yield pd.DataFrame(one | {"doc_ids": [ids]})[["batch", "rows", "doc_ids", "texts"]]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for batch, texts in zip(b["batch"], b["texts"]):
+                tokens, starts = tokens_of(texts)
+                keys = asked(np.unique(tokens), np.unique(pairs_of(tokens, starts)))
+                shard = (keys % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                parts = np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
+                out = [(k, batch, keys[p].tobytes()) for k, p in enumerate(parts) if len(p)]
+                yield pd.DataFrame(out, columns=["shard", "batch", "data"])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, bits = None, None
+        for b in batches:
+            out = []
+            for shard, batch, data in zip(b["shard"].tolist(), b["batch"], b["data"]):
+                if pd.isna(batch):
+                    here, bits = shard, np.frombuffer(data, np.uint8)
+                    continue
+                keys = np.frombuffer(data, np.uint64)
+                # A shard without bits has no entries.
+                told = levels_in(bits, keys, np.zeros(len(keys), np.uint64), shard_bits, s) if shard == here else np.zeros(len(keys))
+                out.append((int(batch), shard, told.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["batch", "shard", "told"])
+
+    packed = staged(numbered.mapInPandas(pack, "batch long, rows array<long>, doc_ids array<long>, texts array<string>"))
+    keys = packed.select("batch", "texts").mapInPandas(deal, "shard int, batch long, data binary")
+    bits = model.stored.select("shard", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("data"))
+    met = bits.unionByName(keys).repartition("shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first())
+    told = met.mapInPandas(look, "batch long, shard int, told binary")
+    told = told.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("shard", "told"))).alias("told"))
+    return packed.join(told, "batch")
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,16 +368,32 @@ def score(
     """
     spark = df.sparkSession
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    shared, top = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(frequent(counts, most_frequent))
+    # What is broadcast has no data frame in it.
+    shared, top = spark.sparkContext.broadcast(replace(model, stored=None)), spark.sparkContext.broadcast(frequent(counts, most_frequent))
     columns = ["row", "doc_id", "token", "tf", "known", "logs", "n_tokens", "score"]
 
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray | None]]:
+        """Batches of texts, with levels if shards were asked for them."""
+        for b in batches:
+            if "told" not in b:
+                yield b, None
+                continue
+            for rows, ids, texts, parts in zip(b["rows"], b["doc_ids"], b["texts"], b["told"]):
+                tokens, starts = tokens_of(texts)
+                keys = asked(np.unique(tokens), np.unique(pairs_of(tokens, starts)))
+                order = np.argsort((keys % np.uint64(shared.value.shards)).astype(np.int64), kind="stable")
+                told = np.zeros(len(keys), np.int64)
+                told[order] = np.frombuffer(b"".join(p["told"] for p in parts), np.uint8)
+                ids = pd.array([pd.NA if pd.isna(i) else int(i) for i in ids], "Int64")
+                yield pd.DataFrame({"row": np.asarray(rows, np.int64), "doc_id": ids, "text": pd.Series(list(texts), dtype=object)}), told
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, known_counts = top.value
         logs_of = np.append(np.log10(known_counts + 1.0), 0.0)
-        for batch in batches:
+        for batch, told in apart(batches):
             tokens, starts = tokens_of(batch["text"])
             words, where = np.unique(tokens, return_inverse=True)
-            scores = shared.value.log10(tokens, starts, words, where)
+            scores = shared.value.log10(tokens, starts, words, where, told)
             distinct = words.view(np.int64)
             at = np.searchsorted(known, distinct)
             found = np.append(known, 0)[at] == distinct
@@ -337,7 +421,8 @@ def score(
 
     numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # A row per text, with no words (tf 0) under a token spread at random, and one per text and other word.
-    flat = numbered.mapInPandas(look, "row long, doc_id long, token long, tf int, known long, logs double, n_tokens long, score double")
+    texts = numbered if model.stored is None else with_levels(numbered, model)
+    flat = texts.mapInPandas(look, "row long, doc_id long, token long, tf int, known long, logs double, n_tokens long, score double")
     met = flat.join(counts, "token", "left").withColumn("tf", F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))
     total = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
