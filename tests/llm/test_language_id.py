@@ -51,6 +51,18 @@ def test_undetermined_and_ties(spark, labelled):
     assert (name, score, rejected) == ("x", 0.5, True)
 
 
+def test_narrow_margins_are_rejected_at_the_default(spark, labelled):
+    d, rng = learn_dictionaries(labelled), random.Random(5)
+    clear = [text(rng, g, n) for g in SYLLABLES for n in (20, 150, 3000)]
+    mixed = [text(rng, a, n) + " " + text(rng, b, n) for a, b in (("aa", "bb"), ("bb", "cc"), ("cc", "aa")) for n in (1500, 6000)]
+    other = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz  ", k=3000))
+    unlearned = ["".join(rng.choices("абвгдежзик  ", k=300)), other]
+    out = rows(identify(documents(spark, [*clear, *mixed, *unlearned]), d), "lang_pred_rejected")
+    assert out == [(False,)] * len(clear) + [(True,)] * (len(mixed) + len(unlearned))
+    tie = {"x": b"abc " * 500, "y": b"abc " * 500}
+    assert rows(identify(documents(spark, ["zzz", "abc abc abc"]), tie), "lang_pred", "lang_pred_rejected") == [("x", True)] * 2
+
+
 def test_empty_tables_repeated_rows_and_clashing_columns(spark, labelled):
     empty = labelled.limit(0)
     assert learn_dictionaries(empty) == {}
