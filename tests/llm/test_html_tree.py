@@ -33,6 +33,27 @@ def test_only_the_article(page):
     assert main_blocks(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><section id='discussion'>{BODY}</section></article>",
+        f"<article><div class='notice-of-meeting'>{BODY}</div></article>",
+        f"<main><section id=Related_work><div class=social-history>{BODY}</div></section></main>",
+        "<article>" + "".join(f"<p id='comment-on-{k}' class=notice>{p}</p>" for k, p in enumerate(PARAS)) + "</article>",
+        f"<article>{BODY}<div class='related-posts'><a href=1>One other post of this site, which is long enough, and more</a> x</div>"
+        "<div class='share-buttons'>Share</div></article>",
+    ],
+)
+def test_names_of_sections_inside_an_article(page):
+    assert main_blocks(page) == TEXT
+
+
+def test_headings_and_articles_side_by_side():
+    page = f"<main><h1>Title</h1><p>lead</p><article><h2 id='Related_work'>One</h2>{BODY}</article><article>part two</article><nav>menu</nav></main>"
+    assert main_blocks(page) == ["Title", "lead", "One", *TEXT, "part two"]
+    assert main_blocks("<article>a</article><article>b</article>") == ["a", "b"]
+
+
 def test_blocks_and_white_space():
     page = "<article><h1>Ti\n tle&nbsp;</h1>bare <b>bold\t</b>text<br>next<br><br>new<ul><li>x<li>y &lt;z&gt;</ul><table><tr><td>1<td>2</table></article>"
     assert main_blocks(page) == ["Ti tle", "bare bold text next", "new", "x", "y <z>", "1", "2"]

@@ -53,6 +53,13 @@ NOT_TEXT_NAMES = set(
     " pager widget copyright disclaimer skip hidden teaser outbrain taboola".split()
 )
 COMMENT_NAMES = set("comment comments commentary reply replies respond discussion disqus ad ads advert advertisement sponsored hidden related teaser".split())
+# Names that sections of a text bear too; inside an article or main element these and parts of longer names only raise a doubt.
+DOUBTFUL_NAMES = set(
+    "discussion commentary reply respond related recommended recommendations notice notices notification alert social share"
+    " sharing promotion copyright disclaimer consent cookie cookies skip menu subscription head navigation"
+    " aside banner overlay".split()
+)
+DOUBTFUL_CHARS, DOUBTFUL_LINKS = 80, 0.33  # a doubtful element with fewer characters or a larger share in links is left out
 HEADER_NAMES = {"header", "head", "top"}
 TEXT_NAMES = set("article post entry story content main text body page title headline".split())
 
@@ -68,6 +75,7 @@ class Node:
     chars: int = 0
     link_chars: int = 0
     links: int = 0
+    doubt: bool = False  # named as something else, but inside an article or main element
 
 
 @dataclass
@@ -80,8 +88,8 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_out(tag: str, raw: str, in_text: bool) -> bool:
-    """Whether an element is something other than main text."""
+def _is_out(tag: str, raw: str, in_text: bool) -> bool | None:
+    """Whether an element is something other than main text; null if its own text must decide."""
     if tag in NOT_TEXT:
         return True
     if tag == "header" and not in_text:
@@ -93,11 +101,21 @@ def _is_out(tag: str, raw: str, in_text: bool) -> bool:
         return True
     if a.get("role", "").lower() in NOT_TEXT_ROLES:
         return True
+    if in_text:
+        whole = {w.lower() for w in f"{a.get('class', '')} {a.get('id', '')}".split()} - DOUBTFUL_NAMES
+        if tag in ("article", "main"):
+            return bool(whole & COMMENT_NAMES)
+        if tag == "p" or tag in HEADINGS:
+            return False
+        if whole & NOT_TEXT_NAMES:
+            return True
     names = {p.lower() for p in _NAME_PARTS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     if tag in ("article", "main"):
         return bool(names & COMMENT_NAMES)
     if names & HEADER_NAMES and not in_text and not names & TEXT_NAMES and tag not in HEADINGS:
         return True
+    if in_text:
+        return None if names & NOT_TEXT_NAMES and tag not in INLINE else False
     return bool(names & NOT_TEXT_NAMES)
 
 
@@ -176,7 +194,8 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         in_text = parent.in_text or tag in ("article", "main")
-        nodes.append(Node(tag, stack[-1], parent.out or _is_out(tag, raw, parent.in_text), in_text, parent.link or tag == "a"))
+        out = parent.out or _is_out(tag, raw, parent.in_text)
+        nodes.append(Node(tag, stack[-1], bool(out), in_text, parent.link or tag == "a", doubt=out is None))
         if tag == "a":
             parent.links += 1
         if tag in RAW:
@@ -224,13 +243,23 @@ def main_blocks(source: str) -> list[str]:
     kept: set[int] = set()
     if values[best] <= 0:  # nothing long enough to score
         named = [k for k, n in enumerate(nodes) if n.tag in ("article", "main") and not n.out and n.chars]
-        kept = {named[0]} if named else {0}
+        kept = set(named) or {0}
     else:
         inside = best
         while inside > 0 and nodes[inside].tag not in ("article", "main"):
             inside = nodes[inside].parent
         if inside > 0:
             kept = {inside}
+            parent = nodes[inside].parent
+            for k, n in enumerate(nodes):
+                # Beside it other articles, and inside a main element what heads or leads them.
+                alike = n.tag == "article" or nodes[parent].in_text and (n.tag == "p" or n.tag in HEADINGS)
+                if k and n.parent == parent and not n.out and n.chars and alike:
+                    low = _density(n)
+                    if n.tag in HEADINGS or n.chars > 80 and low < 0.25 or n.chars <= 80 and low == 0:
+                        kept.add(k)
+                elif k and n.parent == parent and not n.out and nodes[parent].in_text and values[k] >= max(10.0, 0.2 * values[inside]):
+                    kept.add(k)
         else:
             kept = {best}
             for k, n in enumerate(nodes):
@@ -246,7 +275,8 @@ def main_blocks(source: str) -> list[str]:
     taken = [False] * len(nodes)
     for k, n in enumerate(nodes):
         links = n.tag in ("ul", "ol", "div", "table", "section", "p") and n.links >= 3 and _density(n) > 0.66 and k not in kept
-        taken[k] = (k in kept or n.parent >= 0 and taken[n.parent]) and not links
+        other = n.doubt and (n.chars < DOUBTFUL_CHARS or _density(n) > DOUBTFUL_LINKS)
+        taken[k] = (k in kept or n.parent >= 0 and taken[n.parent]) and not links and not other
     return [text for owner, text, _ in page.blocks if taken[owner]]
 
 
