@@ -9,7 +9,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from towline.llm import bit_sliced, bloom_lm, bpe, decontaminate, html_tree, language_id, line_templates, minhash, passage_dedup, token_counts
+from towline.llm import (
+    bit_sliced,
+    bloom_lm,
+    bpe,
+    decontaminate,
+    html_tree,
+    language_id,
+    line_templates,
+    minhash,
+    passage_dedup,
+    periodic_runs,
+    token_counts,
+)
 from towline.llm.common import fold, read_table, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +238,37 @@ runs AS (
 SELECT doc_id, min(start) AS start, max(stop) AS "end", CAST(sum(words) AS INTEGER) AS words,
        arg_min(first_doc, start) AS from_doc, arg_min(first_start, start) AS from_start
 FROM runs GROUP BY doc_id, run HAVING sum(words) >= 25"""
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where every tenth document, by the crc32 ``h`` of its id, repeats a stretch of its words to its end.
+
+    With g = h div 10, words from place a = g mod n on become those from a on, repeated with period 1 + (n - a) div (3 + g mod 8).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n, a, p = F.size("w"), F.col("a"), F.col("p")
+    chosen = chosen.withColumn("a", (F.col("g") % F.greatest(n, F.lit(1))).cast("int"))
+    chosen = chosen.withColumn("p", (F.floor((n - a) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("w", F.lit(1), a), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@registered
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of them with a periodic tail."""
+    docs = with_periodic_tails(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
