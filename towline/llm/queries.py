@@ -20,6 +20,7 @@ from towline.llm import (
     minhash,
     passage_dedup,
     periodic_runs,
+    simhash,
     token_counts,
 )
 from towline.llm.common import fold, read_table, staged
@@ -272,3 +273,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@registered
+def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the component of fingerprints within three bits that it belongs to."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
