@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from towline.llm import (
+    alignment,
     bit_sliced,
     bloom_lm,
     bpe,
@@ -279,3 +280,14 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the component of fingerprints within three bits that it belongs to."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@registered
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers in every document, and how common their links are in all documents."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    aligned = alignment.align(docs, vocabulary_path(), vocabulary_path("piece_bpe_32k.model")).drop("text")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = staged(aligned.withColumn("groups_sha256", digest).drop("groups").withColumn("row", F.monotonically_increasing_id()))
+    counted = alignment.scored(aligned, "row", alignment.pair_counts(aligned))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
