@@ -159,21 +159,21 @@ def test_fragment_by_hand():
     assert same(Fragment().whole(), Groups())
 
 
-def test_stretches_give_the_tokens_of_whole_texts(brute):
+def test_many_texts_together_and_their_stretches_give_the_tokens_of_whole_texts(brute):
     rng = random.Random(1)
-    texts = [t for t in HARD if t] + [mixed(rng, n) for n in (1, 5, 50, 500)]
-    for most in (300_000, 3):
-        both = alignment.Aligner(A_PATH, B_PATH, most)
-        for _ in range(2):
-            for t in texts:
-                parts = alignment.stretches(" " + t)
-                both.learn([parts])
-                found = both.whole([parts])[0]
-                groups = brute.groups(t)
-                assert (found is None) == (not groups), t
-                if groups:
-                    pairs = {divmod(p, alignment.PAIR): n for p, n in zip(found.pairs.tolist(), found.times.tolist())}
-                    assert (found.text.decode(), pairs) == (text_of(groups), dict(links_of(groups))), t
+    texts = [*HARD, *(mixed(rng, n) for n in (1, 5, 50, 500)), "x" + " " * 5000 + "y", " " * 300_000, "a" * 100_000]
+    both = alignment.Aligner(A_PATH, B_PATH)
+    for t, found in zip(texts, both.whole(texts)):
+        groups = brute.groups(t)
+        assert (found is None) == (not groups), t
+        if groups:
+            pairs = {divmod(p, alignment.PAIR): n for p, n in zip(found.pairs.tolist(), found.times.tolist())}
+            assert (found.text.decode(), pairs) == (text_of(groups), dict(links_of(groups))), t
+            assert (found.n_a, found.n_b, found.n) == (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups))
+            (a, _), (b, _) = brute.sides(t)
+            apart = both.encode(alignment.stretches(" " + t))
+            assert ([i for x, _ in apart for i in x], [i for _, y in apart for i in y]) == (a, b)
+    assert both.whole([]) == [] and both.whole([None, ""]) == [None, None]
 
 
 def test_ranges_cover_every_byte_once():
@@ -182,9 +182,9 @@ def test_ranges_cover_every_byte_once():
         for size in (7, 64, 400):
             ranges = list(alignment.ranges_of(" " + text, size))
             assert [r[0] for r in ranges] == [0, *(r[1] for r in ranges[:-1])] and ranges[-1][1] == len((" " + text).encode())
-            for low, high, offset, parts in ranges:
-                joined = "".join(parts).encode()
-                assert offset <= low and offset + len(joined) >= high and (" " + text).encode()[offset : offset + len(joined)] == joined
+            for low, high, offset, part in ranges:
+                data = part.encode()
+                assert offset <= low and offset + len(data) >= high and (" " + text).encode()[offset : offset + len(data)] == data
 
 
 @pytest.mark.parametrize("range_bytes,fan", [(1 << 16, 8), (20, 2), (64, 3)])

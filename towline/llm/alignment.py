@@ -3,14 +3,12 @@
 Byte offsets at which tokens of both tokenizers end cut a text into groups. A fragment is what a range of bytes tells of
 that: tokens before its first common end (an open prefix), whole groups, and tokens behind its last common end (an open
 suffix). Fragments compose associatively, so any cut of a text into ranges and any order of composing neighbours give the
-groups of the whole. Two uses are made of it. Stretches between two places that no token of either crosses are closed
-fragments; they recur, so each is encoded and aligned once and summed up thereafter. Long documents are cut into byte
-ranges, wherever those fall in a token; their fragments are made in different tasks and composed by a tree reduction.
+groups of the whole. Long documents are cut into byte ranges, wherever those fall in a token; their fragments are made in
+different tasks and composed by a tree reduction. Whole documents are closed fragments, aligned many at a time.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from towline.llm.bpe import byte_characters
+from towline.llm.bpe import WORD_PATTERN, byte_characters
 from towline.llm.common import staged, temporary_name
 
 # A pair of ids as one integer: first id times PAIR plus second id.
@@ -34,10 +32,8 @@ FAN = 8
 BROADCAST_PAIRS = 1_500_000
 # No token of either tokenizer crosses such a place: no piece has a space but at its begin, none a line feed.
 _PLACE = re.compile(r"(?<=\S)(?=[ \n])")
-# Stretches that stay apart from what stands before and behind them.
-_JOINS = re.compile(r"[ \n].*\S", re.DOTALL)
-# Characters of stretches that are encoded together.
-_JOINED_CHARS = 1 << 17
+# White space of such length is too much for the quick encoder.
+_BLANK = re.compile(r"\s{2000}")
 
 
 def stretches(text: str) -> list[str]:
@@ -63,6 +59,13 @@ class Tokens:
     def __len__(self) -> int:
         return len(self.a) + len(self.b)
 
+    def common_ends(self) -> np.ndarray:
+        """Byte offsets at which a token of either side ends, in order."""
+        if not len(self.b):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.b[:, 1], self.a[:, 1]), len(self.b) - 1)
+        return self.a[self.b[at, 1] == self.a[:, 1], 1]
+
     def packed(self) -> bytes:
         return np.array([len(self.a)], "<i8").tobytes() + np.concatenate([self.a, self.b]).astype("<i8").tobytes()
 
@@ -91,10 +94,11 @@ class Groups:
         return Groups(self.n_a + other.n_a, self.n_b + other.n_b, self.n + other.n, text, pairs, times)
 
 
-def _linked(tokens: Tokens, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Pairs of all links of the groups that end at ``ends``, the number of the group of each, and the groups' texts.
+def _linked(tokens: Tokens, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of all links of the groups that end at ``ends``, the number of the group of each, and the tokens in order.
 
-    The last group ends with the last token of both sides.
+    The last group ends with the last token of both sides. Tokens in order are those of the first side, then those of the
+    second, group by group; one is its id times 4, plus 2 for the second side, plus 1 if it is the last of its side there.
     """
     ids = [s[:, 0] for s in (tokens.a, tokens.b)]
     cuts = [np.searchsorted(s[:, 1], ends, "right") for s in (tokens.a, tokens.b)]
@@ -103,19 +107,34 @@ def _linked(tokens: Tokens, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, l
     # Each token of the first side with the run of tokens of its group on the second.
     per, first = np.repeat(n_b, n_a), np.repeat(begins[1], n_a)
     at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(first, per)
-    names = [list(map(str, v.tolist())) for v in ids]
-    spans = zip(*(v.tolist() for v in (begins[0], cuts[0], begins[1], cuts[1])))
-    texts = [",".join(names[0][i:j]) + "|" + ",".join(names[1][k:m]) for i, j, k, m in spans]
-    return np.repeat(ids[0], per) * PAIR + ids[1][at], np.repeat(np.arange(len(ends)), n_a * n_b), texts
+    order = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    for side, (mine, before) in enumerate(((ids[0], begins[1]), (ids[1], cuts[0]))):
+        n = (n_a, n_b)[side]
+        code = mine * 4 + 2 * side
+        code[cuts[side] - 1] += 1
+        order[np.arange(len(mine)) + np.repeat(before, n)] = code
+    return np.repeat(ids[0], per) * PAIR + ids[1][at], np.repeat(np.arange(len(ends)), n_a * n_b), order
+
+
+_NAMES: list[bytes] = []
+
+
+def _text(order: np.ndarray) -> bytes:
+    """The text of groups whose tokens are in order."""
+    if not len(order):
+        return b""
+    for k in range(len(_NAMES) // 4, int(order.max()) // 4 + 1):
+        _NAMES.extend(str(k).encode() + mark for mark in (b",", b"|", b",", b";"))
+    return b"".join(map(_NAMES.__getitem__, order.tolist()))[:-1]
 
 
 def groups_of(tokens: Tokens, ends: np.ndarray) -> Groups:
     """Groups of tokens that end at ``ends``, the last with the last token of both sides."""
     if not len(ends):
         return Groups()
-    linked, _, texts = _linked(tokens, ends)
+    linked, _, order = _linked(tokens, ends)
     pairs, times = np.unique(linked, return_counts=True)
-    return Groups(len(tokens.a), len(tokens.b), len(ends), ";".join(texts).encode(), pairs, times)
+    return Groups(len(tokens.a), len(tokens.b), len(ends), _text(order), pairs, times)
 
 
 @dataclass
@@ -131,7 +150,7 @@ class Fragment:
 
     @staticmethod
     def of(tokens: Tokens) -> Fragment:
-        ends = np.intersect1d(tokens.a[:, 1], tokens.b[:, 1])
+        ends = tokens.common_ends()
         if not len(ends):
             return Fragment(tokens)
         prefix, rest = tokens.until(ends[0])
@@ -140,7 +159,7 @@ class Fragment:
 
     def _sealed(self) -> Groups:
         """Groups of the fragment when a common end is right before it and one at its end."""
-        ends = np.intersect1d(self.prefix.a[:, 1], self.prefix.b[:, 1])
+        ends = self.prefix.common_ends()
         return groups_of(self.prefix, ends) + (self.closed or Groups())
 
     def __add__(self, other: Fragment) -> Fragment:
@@ -162,14 +181,11 @@ class Fragment:
 
 
 class Aligner:
-    """Encodes stretches with both tokenizers; remembers up to ``most`` of them: the ids and the closed groups of each.
-
-    A stretch of mean length takes some 400 bytes.
-    """
+    """Both tokenizers, and the bytes of their tokens."""
 
-    def __init__(self, byte_bpe: str, pieces: str, most: int = 300_000) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, byte_bpe: str, pieces: str) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.first = Tokenizer.from_file(byte_bpe)
@@ -183,6 +199,9 @@ class Aligner:
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_a[i] = token.encode() if token in special else bytes(byte_of[c] for c in token)
+        # The same vocabulary for a quicker encoder: merges are in the order of the ids they make.
+        ranks = {self.bytes_a[i]: i for token, i in vocab.items() if token not in special}
+        self.quick = tiktoken.Encoding("quick", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_b = []
         for i in range(self.second.get_piece_size()):
             piece = self.second.id_to_piece(i)
@@ -191,140 +210,50 @@ class Aligner:
                 raise ValueError("pieces must hold no space but at their begin, and no line feed")
         if len(self.bytes_b) > PAIR or len(self.bytes_a) * PAIR > 1 << 31:
             raise ValueError("ids do not fit into pairs")
-        self.most = most
-        self.known: dict[str, int] = {}
-        self.texts: list[bytes] = []
-        # Tokens of both sides, groups, whether bytes differ, how often met.
-        self.numbers = np.zeros((0, 5), np.int64)
-        # Of each stretch begin and number of its ids on both sides and of its pairs; and all of them, one behind the other.
-        self.places = {k: np.zeros((0, 2), np.int64) for k in ("a", "b", "pairs", "times")}
-        self.flat = {k: np.zeros(0, np.int32) for k in self.places}
-
-    def _keep(self, which: np.ndarray) -> None:
-        """Forget all stretches but these (places in order)."""
-        names = list(self.known) if self.known else []
-        self.known = {names[k]: n for n, k in enumerate(which.tolist())}
-        self.texts = [self.texts[k] for k in which.tolist()]
-        self.numbers = self.numbers[which]
-        for k, values in self.flat.items():
-            begins, sizes = self.places[k][which].T
-            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
-            self.flat[k] = values[at]
-            self.places[k] = np.stack([np.cumsum(sizes) - sizes, sizes], axis=1)
-
-    def _add(self, what: str, values: np.ndarray, sizes: np.ndarray) -> None:
-        begins = len(self.flat[what]) + np.cumsum(sizes) - sizes
-        self.places[what] = np.concatenate([self.places[what], np.stack([begins, sizes], axis=1).astype(np.int64)])
-        self.flat[what] = np.concatenate([self.flat[what], values.astype(np.int32)])
-
-    def learn(self, several: list[list[str]]) -> None:
-        """Align all stretches of ``several`` lists that are not known yet. If that would be too many, those met but once go
-        first, and then all but the ones in use."""
-        here = set().union(*several)
-        n_new = sum(s not in self.known for s in here)
-        if len(self.known) + n_new > self.most:
-            used = np.array([s in here for s in self.known], bool) if self.known else np.zeros(0, bool)
-            again = used | (self.numbers[:, 4] > 1)
-            few = again.sum() + n_new <= self.most // 2
-            self._keep(np.flatnonzero(again if few else used))
-        new = [s for s in here if s not in self.known]
-        if not new:
-            return
-        ids, good = self._encoded(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self._close([x if g else [] for (x, _), g in zip(ids, good)], [y if g else [] for (_, y), g in zip(ids, good)], np.array(good))
-
-    def _encoded(self, parts: list[str]) -> tuple[list[tuple[list[int], list[int]]], list[bool]]:
-        """Ids of both sides for each stretch, and whether both sides' token bytes are its own.
-
-        Stretches that end with no white space stay apart when they are put one behind the other, so many are encoded
-        together; the others, and those whose bytes may differ, are encoded one by one.
-        """
-        ids, good = [([], [])] * len(parts), [False] * len(parts)
-        group: list[int] = []
-        size = 0
-        for k in range(len(parts) + 1):
-            if k < len(parts) and _JOINS.fullmatch(parts[k]):
-                group.append(k)
-                size += len(parts[k])
-            if group and (size > _JOINED_CHARS or k == len(parts)):
-                data = [parts[g].encode() for g in group]
-                both, fits = self._encode("".join(parts[g] for g in group), b"".join(data))
-                if fits:
-                    cuts = np.cumsum([len(d) for d in data])
-                    split = []
-                    for side, table in zip(both, (self.bytes_a, self.bytes_b)):
-                        ends = np.cumsum(np.fromiter((len(table[i]) for i in side), np.int64, len(side)))
-                        edges = np.searchsorted(ends, cuts, "right").tolist()
-                        split.append([side[i:j] for i, j in zip([0, *edges], edges)])
-                    for g, x, y in zip(group, *split):
-                        ids[g], good[g] = (x, y), True
-                group, size = [], 0
-        for k in (k for k, g in enumerate(good) if not g):
-            ids[k], good[k] = self._encode(parts[k], parts[k].encode())
-        return ids, good
-
-    def _encode(self, part: str, data: bytes) -> tuple[tuple[list[int], list[int]], bool]:
-        a = self.first.encode(part, add_special_tokens=False).ids
+        self.lengths = [np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both sides for texts that begin with a space or a line feed; None if a side has other bytes than the text."""
         # Behind a line feed the second tokenizer adds no space; what it makes of the line feed is cut off.
-        b = self.second.encode("\n" + part)[2:]
-        return (a, b), all(b"".join(map(t.__getitem__, x)) == data for x, t in ((a, self.bytes_a), (b, self.bytes_b)))
-
-    def _close(self, a: list[list[int]], b: list[list[int]], good: np.ndarray) -> None:
-        """Groups of stretches, all at once: one behind the other they are a text with a common end behind each."""
-        sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
-        tokens = self._tokens(list(chain.from_iterable(a)), list(chain.from_iterable(b)), 0)
-        ends = np.intersect1d(tokens.a[:, 1], tokens.b[:, 1], assume_unique=True)
-        linked, of, texts = _linked(tokens, ends)
-        # The stretch of a group is that of its last token.
-        last = np.searchsorted(tokens.a[:, 1], ends, "left")
-        stretch = np.repeat(np.arange(len(a)), sizes[0])[last]
-        keys, times = np.unique((stretch[of] << 31) + linked, return_counts=True)
-        n_groups = np.bincount(stretch, minlength=len(a))
-        n_pairs = np.bincount(keys >> 31, minlength=len(a))
-        edges = np.cumsum([0, *n_groups.tolist()]).tolist()
-        self.texts += [";".join(texts[i:j]).encode() for i, j in zip(edges, edges[1:])]
-        numbers = np.stack([*sizes, n_groups, ~good, np.zeros(len(a), np.int64)], axis=1).astype(np.int64)
-        self.numbers = np.concatenate([self.numbers, numbers])
-        self._add("a", tokens.a[:, 0], sizes[0])
-        self._add("b", tokens.b[:, 0], sizes[1])
-        self._add("pairs", keys & ((1 << 31) - 1), n_pairs)
-        self._add("times", times, n_pairs)
-
-    def _tokens(self, a: list[int], b: list[int], offset: int) -> Tokens:
+        b = [ids[2:] for ids in self.second.encode(["\n" + s for s in texts], num_threads=1)] if texts else []
+        out = []
+        for s, y in zip(texts, b):
+            x = self.first.encode(s, add_special_tokens=False).ids if _BLANK.search(s) else self.quick.encode_ordinary(s)
+            data = s.encode()
+            good = all(b"".join(map(t.__getitem__, ids)) == data for ids, t in ((x, self.bytes_a), (y, self.bytes_b)))
+            out.append((x, y) if good else None)
+        return out
+
+    def tokens(self, several: list[tuple[list[int], list[int]]], offset: int = 0) -> Tokens:
+        """Tokens of texts one behind the other, the first at a byte offset."""
         sides = []
-        for ids, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            ends = offset + np.cumsum(np.fromiter((len(table[i]) for i in ids), np.int64, len(ids)))
-            sides.append(np.stack([np.array(ids, np.int64), ends], axis=1).reshape(-1, 2))
+        for side, lengths in enumerate(self.lengths):
+            n = sum(len(ids[side]) for ids in several)
+            flat = np.fromiter(chain.from_iterable(ids[side] for ids in several), np.int64, n)
+            sides.append(np.stack([flat, offset + np.cumsum(lengths[flat])], axis=1).reshape(-1, 2))
         return Tokens(*sides)
 
-    def _of(self, what: str, which: np.ndarray) -> np.ndarray:
-        begins, sizes = self.places[what][which].T
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
-        return self.flat[what][at].astype(np.int64)
-
-    def tokens(self, parts: list[str], offset: int) -> Tokens | None:
-        """Tokens of consecutive known stretches from a byte offset on; None if one has other bytes."""
-        at = np.array([self.known[s] for s in parts], np.int64)
-        if self.numbers[at, 3].any():
-            return None
-        return self._tokens(self._of("a", at).tolist(), self._of("b", at).tolist(), offset)
-
-    def whole(self, several: list[list[str]]) -> list[Groups | None]:
-        """Groups of texts that consist of known stretches."""
-        out = []
-        for parts in several:
-            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-            n_a, n_b, n, bad, _ = self.numbers[at].sum(axis=0).tolist()
-            used, repeats = np.unique(at, return_counts=True)
-            self.numbers[used, 4] += repeats
-            if bad:
-                out.append(None)
-                continue
-            pairs, where = np.unique(self._of("pairs", used), return_inverse=True)
-            weights = self._of("times", used) * np.repeat(repeats, self.places["pairs"][used, 1])
-            times = np.bincount(where, weights, len(pairs)).astype(np.int64)
-            out.append(Groups(n_a, n_b, n, b";".join(map(self.texts.__getitem__, at.tolist())), pairs, times))
+    def whole(self, texts: list[str | None]) -> list[Groups | None]:
+        """Groups of each text, a space put before it; None if a side has other bytes or there is no text."""
+        some = [k for k, t in enumerate(texts) if t]
+        encoded = dict(zip(some, self.encode([" " + texts[k] for k in some])))
+        some = [k for k in some if encoded[k] is not None]
+        out: list[Groups | None] = [None] * len(texts)
+        if not some:
+            return out
+        # One behind the other they are a text with a common end behind each.
+        tokens = self.tokens([encoded[k] for k in some])
+        ends = tokens.common_ends()
+        linked, of, order = _linked(tokens, ends)
+        n_a, n_b = (np.array([len(encoded[k][side]) for k in some]) for side in (0, 1))
+        last = np.searchsorted(tokens.a[:, 1], ends)
+        text = np.repeat(np.arange(len(some)), n_a)[last]
+        keys, times = np.unique((text[of] << 31) + linked, return_counts=True)
+        pairs, n_groups = keys & ((1 << 31) - 1), np.bincount(text, minlength=len(some))
+        pair_ends = np.cumsum(np.bincount(keys >> 31, minlength=len(some))).tolist()
+        token_ends = np.cumsum(n_a + n_b).tolist()
+        for n, (k, i, j, u, v) in enumerate(zip(some, [0, *pair_ends], pair_ends, [0, *token_ends], token_ends)):
+            out[k] = Groups(int(n_a[n]), int(n_b[n]), int(n_groups[n]), _text(order[u:v]), pairs[i:j], times[i:j])
         return out
 
 
@@ -338,11 +267,11 @@ def aligner(byte_bpe: str, pieces: str) -> Aligner:
     return _ALIGNERS[byte_bpe, pieces]
 
 
-def ranges_of(text: str, size: int) -> Iterator[tuple[int, int, int, list[str]]]:
-    """Byte ranges of ``text``: for each its begin and end, the byte offset of its first stretch, and its stretches.
+def ranges_of(text: str, size: int) -> Iterator[tuple[int, int, int, str]]:
+    """Byte ranges of ``text``: for each its begin and end, and the part of the text that holds its tokens with its offset.
 
-    Ends are multiples of ``size``, wherever they fall; the stretch that holds one is in both ranges. An end within a
-    stretch longer than ``size`` is left out, so no stretch is in more than two ranges.
+    Ends are multiples of ``size``, wherever they fall; the stretch that holds one is in both parts. An end within a
+    stretch longer than ``size`` is left out, so no stretch is in more than two parts.
     """
     parts = stretches(text)
     lengths = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
@@ -354,7 +283,7 @@ def ranges_of(text: str, size: int) -> Iterator[tuple[int, int, int, list[str]]]
     low = 0
     for high in [*borders.tolist(), int(ends[-1])]:
         i, j = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(begins, high, "left"))
-        yield low, high, int(begins[i]), parts[i:j]
+        yield low, high, int(begins[i]), "".join(parts[i:j])
         low = high
 
 
@@ -413,8 +342,8 @@ def composed(fragments: list[Fragment | None]) -> Fragment | None:
     return fragments[0]
 
 
-# Characters of text whose stretches are learned together.
-_GROUP_CHARS = 1 << 21
+# Characters of text that are aligned together.
+_GROUP_CHARS = 1 << 20
 
 
 def _short(byte_bpe: str, pieces: str, text: Column) -> Column:
@@ -426,10 +355,9 @@ def _short(byte_bpe: str, pieces: str, text: Column) -> Column:
         for texts in batches:
             found, group, size = [], [], 0
             for k, t in enumerate(texts.tolist()):
-                group.append(stretches(" " + t) if t else [])
+                group.append(t)
                 size += len(t) if t else 0
                 if size >= _GROUP_CHARS or k == len(texts) - 1:
-                    both.learn(group)
                     found += both.whole(group)
                     group, size = [], 0
             yield pd.DataFrame(_columns(found))
@@ -445,18 +373,16 @@ def _long(docs: DataFrame, byte_bpe: str, pieces: str, size: int, fan: int) -> D
             for row, text in zip(batch["row"], batch["text"]):
                 found = list(enumerate(ranges_of(" " + text, size)))
                 for k in range(0, len(found), 64):
-                    some = [(row, n, *r[:3], "".join(r[3])) for n, r in found[k : k + 64]]
+                    some = [(row, n, *r) for n, r in found[k : k + 64]]
                     yield pd.DataFrame(some, columns=["row", "part", "low", "high", "offset", "text"])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = aligner(byte_bpe, pieces)
         for batch in batches:
-            several = [stretches(t) for t in batch["text"]]
             made = []
-            for parts, low, high, offset in zip(several, batch["low"], batch["high"], batch["offset"]):
-                both.learn([parts])
-                tokens = both.tokens(parts, offset)
-                made.append(None if tokens is None else Fragment.of(tokens.until(low)[1].until(high)[0]))
+            for text, low, high, offset in zip(batch["text"], batch["low"], batch["high"], batch["offset"]):
+                ids = both.encode([text])[0]
+                made.append(None if ids is None else Fragment.of(both.tokens([ids], offset).until(low)[1].until(high)[0]))
             yield _fragments_frame(batch["row"], batch["part"], made)
 
     def reduce(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
