@@ -9,6 +9,7 @@ different tasks and composed by a tree reduction. Whole documents are closed fra
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -186,21 +187,19 @@ class Aligner:
     def __init__(self, byte_bpe: str, pieces: str) -> None:
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(byte_bpe)
-        self.first.encode_special_tokens = True
-        self.first.no_truncation()
-        self.first.no_padding()
+        self.path, self._exact = byte_bpe, None
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        with open(byte_bpe, encoding="utf-8") as f:
+            spec = json.load(f)
         byte_of = byte_characters()
-        special = {t.content for t in self.first.get_added_tokens_decoder().values()}
-        vocab = self.first.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.bytes_a = [b""] * (max(*vocab.values(), *special.values()) + 1)
         for token, i in vocab.items():
-            self.bytes_a[i] = token.encode() if token in special else bytes(byte_of[c] for c in token)
+            self.bytes_a[i] = bytes(byte_of[c] for c in token)
         # The same vocabulary for a quicker encoder: merges are in the order of the ids they make.
-        ranks = {self.bytes_a[i]: i for token, i in vocab.items() if token not in special}
+        ranks = {self.bytes_a[i]: i for i in vocab.values()}
         self.quick = tiktoken.Encoding("quick", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_b = []
         for i in range(self.second.get_piece_size()):
@@ -218,12 +217,22 @@ class Aligner:
         b = [ids[2:] for ids in self.second.encode(["\n" + s for s in texts], num_threads=1)] if texts else []
         out = []
         for s, y in zip(texts, b):
-            x = self.first.encode(s, add_special_tokens=False).ids if _BLANK.search(s) else self.quick.encode_ordinary(s)
+            x = self._exactly(s) if _BLANK.search(s) else self.quick.encode_ordinary(s)
             data = s.encode()
             good = all(b"".join(map(t.__getitem__, ids)) == data for ids, t in ((x, self.bytes_a), (y, self.bytes_b)))
             out.append((x, y) if good else None)
         return out
 
+    def _exactly(self, text: str) -> list[int]:
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+            self._exact.encode_special_tokens = True
+            self._exact.no_truncation()
+            self._exact.no_padding()
+        return self._exact.encode(text, add_special_tokens=False).ids
+
     def tokens(self, several: list[tuple[list[int], list[int]]], offset: int = 0) -> Tokens:
         """Tokens of texts one behind the other, the first at a byte offset."""
         sides = []
@@ -343,7 +352,7 @@ def composed(fragments: list[Fragment | None]) -> Fragment | None:
 
 
 # Characters of text that are aligned together.
-_GROUP_CHARS = 1 << 20
+_GROUP_CHARS = 1 << 18
 
 
 def _short(byte_bpe: str, pieces: str, text: Column) -> Column:
@@ -389,20 +398,19 @@ def _long(docs: DataFrame, byte_bpe: str, pieces: str, size: int, fan: int) -> D
         one = composed(_fragments_from(frame.sort_values("part")))
         return _fragments_frame([key[0]], [key[1]], [one])
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"row": batch["row"], **_columns([f and f.whole() for f in _fragments_from(batch)])})
+    def finish(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        one = composed(_fragments_from(frame.sort_values("part")))
+        return pd.DataFrame({"row": [key[0]], **_columns([one and one.whole()])})
 
     parts = docs.select("row", "text").mapInPandas(cut, "row long, part long, low long, high long, offset long, text string")
     fragments = staged(parts.repartition("row", "part").mapInPandas(make, _FRAGMENT))
     most = fragments.agg(F.max("part")).first()[0] or 0
-    while most > 0:
+    while most >= fan:
         up = fragments.withColumn("above", F.expr(f"part div {fan}"))
-        fragments = up.groupBy("row", "above").applyInPandas(
-            lambda key, frame: reduce(key, frame.drop(columns="above")), _FRAGMENT
-        )
-        most //= fan
-    return fragments.mapInPandas(finish, f"row long, {_GROUPS}")
+        up = up.groupBy("row", "above").applyInPandas(lambda key, frame: reduce(key, frame.drop(columns="above")), _FRAGMENT)
+        fragments, most = staged(up), most // fan
+    # Written, so that no task runs one Python function on what another gives and holds two processes.
+    return staged(fragments.groupBy("row").applyInPandas(finish, f"row long, {_GROUPS}"))
 
 
 def align(docs: DataFrame, byte_bpe: str, pieces: str, text: str = "text", range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
