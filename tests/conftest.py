@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
+import uuid
 
 import pytest
 
@@ -32,3 +34,19 @@ def spark():
     session = make_session()
     yield session
     session.stop()
+
+
+@pytest.fixture
+def counted_jobs(spark):
+    """Context in which Spark jobs are counted: ``with counted_jobs() as jobs: ...; jobs()``."""
+
+    @contextlib.contextmanager
+    def count():
+        context, group = spark.sparkContext, f"counted-{uuid.uuid4().hex}"
+        context.setJobGroup(group, group)
+        try:
+            yield lambda: len(context.statusTracker().getJobIdsForGroup(group))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    return count

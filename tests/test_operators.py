@@ -249,35 +249,56 @@ def uneven(spark):
     return pdf
 
 
-@pytest.mark.parametrize("limit", [50, 1_000_000])
-def test_quantiles_match_numpy(spark, uneven, limit):
+@pytest.mark.parametrize("accuracy", [5000, 50])
+def test_quantiles_match_numpy(spark, uneven, accuracy):
     df = spark.createDataFrame(uneven).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
     probs = (0.0, 0.025, 0.25, 0.5, 0.975, 1.0)
-    got = {(r.g, r.prob): r.quantile for r in ordering.group_quantiles(df, ["g"], "x", probs, limit=limit).collect()}
-    for g, part in uneven.dropna().groupby("g"):
-        for p in probs:
-            assert got[g, p] == pytest.approx(np.quantile(part.x, p), rel=1e-12)
-    assert len(got) == uneven.dropna().g.nunique() * len(probs)
-
-
-def test_ranges_stay_small_and_ordered(spark, uneven):
-    df = spark.createDataFrame(uneven.dropna())
-    pdf = ordering.ordered_bins(df, ["g"], "x", limit=50).toPandas()
-    spans = pdf.groupby(["g", "__bin"]).x.agg(["min", "max", "size", "nunique"]).reset_index()
-    assert ((spans["size"] <= 50) | (spans["nunique"] == 1)).all()
-    for _, part in spans.sort_values(["g", "__bin"]).groupby("g"):
-        assert (part["min"].to_numpy()[1:] > part["max"].to_numpy()[:-1]).all()
-
-
-@pytest.mark.parametrize("limit", [40, 1_000_000])
-def test_running_totals(spark, uneven, limit):
-    clean = uneven.dropna()
-    ties = clean.groupby(["g", "x"], as_index=False).agg(c=("s", "sum"))
-    got = ordering.running_totals(spark.createDataFrame(clean), ["g"], "x", {"c": F.col("s")}, limit).toPandas()
-    want = ties.sort_values(["g", "x"]).assign(c=lambda d: d.groupby("g").c.cumsum())
-    merged = got.merge(want, on=["g", "x"])
-    assert len(merged) == len(want) and (merged.c_x == merged.c_y).all()
-    assert (got.total_c == got.g.map(clean.groupby("g").s.sum())).all()
+    for by in (["g"], []):
+        found = ordering.group_quantiles(df, by, "x", probs, accuracy=accuracy).collect()
+        got = {(r.g if by else "all", r.prob): r.quantile for r in found}
+        clean = uneven.dropna() if by else uneven.dropna().assign(g="all")
+        for g, part in clean.groupby("g"):
+            for p in probs:
+                assert got[g, p] == pytest.approx(np.quantile(part.x, p), rel=1e-12)
+        assert len(found) == clean.g.nunique() * len(probs)
+
+
+def test_brackets_keep_few_rows_of_a_long_group(spark):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_000).cast("double").alias("x"))
+    stats = df.agg(*ordering.brackets("x", (0.025, 0.5), 1000))
+    above, inside = ordering.bracketed("x", 2)
+    counts = df.crossJoin(F.broadcast(stats)).groupBy(above.alias("a"), inside.alias("v")).count().collect()
+    kept = sorted(r.v for r in counts if r.v is not None)
+    assert len(kept) < 500 and 0 < min(kept) < 999 < max(kept) and len([r for r in counts if r.v is None]) == 3
+    assert ordering.group_quantiles(df, [], "x", (0.025, 0.5), accuracy=1000).orderBy("prob").collect()[0].quantile == 0.025 * 39_999
+
+
+def test_quantiles_of_nothing(spark, counted_jobs):
+    df = spark.createDataFrame([("a", None), (None, 1.0), (None, 3.0)], "g string, x double")
+    with counted_jobs() as jobs:
+        out = ordering.group_quantiles(df, ["g"], "x", (0.5,))
+        grid = distributions.density_grid(df, "x", [], points=3)
+        ks = distributions.ks_two_sample(df, [], "g", "x", "a", "b")
+    assert jobs() == 0
+    assert rows(out) == [(None, 0.5, 2.0)]
+    assert grid.count() == 3 and ks.count() == 0
+    assert ordering.group_quantiles(df.limit(0), [], "x", (0.5,)).count() == 0
+
+
+def test_running_extremes(spark, uneven):
+    clean = uneven.dropna().assign(step=lambda d: 2 * d.s - 1)
+    ties = clean.groupby(["g", "x"], as_index=False).step.sum()
+    df = spark.createDataFrame(ties).repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = ordering.running_extremes(ordering.range_pieces(df, ["g"], "x", ["step"]), ["g"], ["step"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {r.g: (r.low_step, r.high_step) for r in found}
+    for g, part in ties.sort_values(["g", "x"]).groupby("g"):
+        assert got[g] == (part.step.cumsum().min(), part.step.cumsum().max())
+    assert len(got) == ties.g.nunique()
 
 
 def ks_by_hand(a, b):

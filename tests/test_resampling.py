@@ -31,6 +31,39 @@ def test_draws_are_rows_of_the_stratum(spark, sample):
     assert (out.cnt_x == out.n).all() and out.groupby("g").replicate.nunique().eq(5).all()
 
 
+MASK = (1 << 64) - 1
+
+
+def hash64(base, counter):
+    z = (counter * rs.GOLDEN & MASK) ^ base
+    z = (z ^ z >> 30) * rs.MIX_1 & MASK
+    z = (z ^ z >> 27) * rs.MIX_2 & MASK
+    return z ^ z >> 31
+
+
+def positions(base, r, m, n):
+    """Row positions drawn in a replicate, by plain integers down the tree."""
+    depth = 0
+    while rs.LEAF << depth < n:
+        depth += 1
+    out = []
+
+    def go(level, j, c, before):
+        if level == depth:
+            for k in range(c):
+                v = hash64(base, r * m + before + k + 1) >> 32
+                out.append(((j << 32) + v) * n >> (depth + 32))
+            return
+        stream = hash64(base, rs.NODES + (1 << level) + j)
+        bits = sum(hash64(stream, r * -(-m // 64) + w + 1) << 64 * w for w in range(-(-c // 64)))
+        left = (bits & (1 << c) - 1).bit_count()
+        go(level + 1, 2 * j, left, before)
+        go(level + 1, 2 * j + 1, c - left, before + left)
+
+    go(0, 0, m, 0)
+    return out
+
+
 def by_hand(sample, seed, reps):
     """The same draws without Spark."""
     import hashlib
@@ -40,11 +73,53 @@ def by_hand(sample, seed, reps):
         x = part.sort_values("id").x.to_numpy()
         base = int(hashlib.md5(f"{seed}|{g}".encode()).hexdigest()[:15], 16)
         for r in range(reps):
-            idx = rs._draws(base, r * len(x), len(x), len(x))
-            want[g, r] = x[idx].sum()
+            want[g, r] = x[positions(base, r, len(x), len(x))].sum()
     return want
 
 
+@pytest.mark.parametrize("tile_rows", [1, 100, 500, 65_536])
+def test_replicates_are_the_same_for_tiles_of_any_size(spark, sample, tile_rows):
+    df = spark.createDataFrame(sample)
+    out = rs.resample(df, ["g"], "id", ["x"], reps=6, seed=9, tile_rows=tile_rows).collect()
+    want = by_hand(sample, 9, 6)
+    assert {(r.g, r.replicate) for r in out} == set(want) and len(out) == len(want)
+    for r in out:
+        assert r.sum_x == pytest.approx(want[r.g, r.replicate], rel=1e-12) and r.cnt_x == r.m == r.n
+
+
+@pytest.mark.parametrize("n,m,depth", [(1, 5, 0), (256, 300, 0), (257, 1, 1), (1000, 7, 2), (5000, 4000, 5), (5000, 9000, 3)])
+def test_tiles_of_a_depth_add_up_to_the_draws(n, m, depth):
+    x, base, reps = np.arange(1.0, n + 1), 123456789, 3
+    depth = min(depth, rs.leaf_depth(n))
+    node, counts = np.array([1]), np.full((reps, 1), m)
+    for _ in range(depth):
+        node, counts = rs._split(base, m, np.arange(reps), node, counts)
+    before = np.cumsum(counts, axis=1) - counts
+    total = np.zeros(reps)
+    for j in range(1 << depth):
+        rows = x[(j * n) >> depth : (((j + 1) * n - 1) >> depth) + 1]
+        total += rs._tile_sums([rows], n, depth, j, base, m, counts[:, j], before[:, j])[0]
+    assert total.tolist() == [float(sum(p + 1 for p in positions(base, r, m, n))) for r in range(reps)]
+
+
+def test_places_of_a_very_long_stratum():
+    # A tile deep in a stratum of 10^10 rows: positions stay inside it.
+    n, m = 10**10 + 7, 50
+    depth = rs.leaf_depth(n)
+    tile = (1 << depth) - 3
+    first, last = (tile * n) >> depth, ((tile + 1) * n - 1) >> depth
+    x = np.arange(last - first + 1, dtype=float)
+    sums = rs._tile_sums([x], n, depth, tile, 99, m, np.array([m]), np.array([0]))
+    assert 0 < sums[0][0] < m * (last - first) and sums[1][0] == m
+
+
+def test_left_counts_are_binomial():
+    n = np.full(4000, 900)
+    left = rs._left(77, 900, np.arange(4000), np.full(4000, 1), n)
+    assert left.mean() == pytest.approx(450, abs=1) and left.var() == pytest.approx(225, rel=0.1)
+    assert rs._left(77, 900, np.arange(5), np.full(5, 3), np.zeros(5, np.int64)).tolist() == [0] * 5
+
+
 def test_exact_draws(spark, sample):
     out = rs.resample(spark.createDataFrame(sample), ["g"], "id", ["x"], reps=4, seed=9).collect()
     want = by_hand(sample, 9, 4)
@@ -82,13 +157,31 @@ def test_split_strata_have_the_bootstrap_distribution(spark, sample, tile_rows):
         assert means.std() == pytest.approx(sd, rel=0.12)
 
 
-def test_small_batches_give_the_same_sums(spark, sample, monkeypatch):
-    row = rs._Row(__tiles=1, __first=0, __last=3, __m=50, __base=12345)
-    x = sample.x.to_numpy()[:50]
-    whole = [s[0] for _, s in rs._replicate_sums(row, [x])][0]
+def test_small_batches_give_the_same_sums(sample, monkeypatch):
+    x = sample.x.to_numpy()[:700]
+    args = ([x], 700, 0, 0, 12345, 650, np.full(4, 650), np.zeros(4, np.int64))
+    whole = rs._tile_sums(*args)
     monkeypatch.setattr(rs, "DRAW_BATCH", 8)
-    parts = np.concatenate([s[0] for _, s in rs._replicate_sums(row, [x])])
-    assert np.allclose(whole, parts)
+    parts = rs._tile_sums(*args)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+def test_packed_rows_are_drawn_from_again(spark, sample):
+    df = spark.createDataFrame(sample).withColumn("y", F.col("x") * 2)
+    packed = rs.pack_strata(df, ["g"], "id", ["x", "y"])
+    for values, draws in ((["x"], None), (["y", "x"], {"few": F.lit(3), "half": F.floor(F.col("n") / 2)})):
+        order = ["g", *(["design"] if draws else []), "replicate"]
+        got, want = (
+            rs.resample(df, ["g"], "id", values, 4, 2, draws=draws, packed=p).toPandas().sort_values(order).reset_index(drop=True) for p in (packed, None)
+        )
+        pd.testing.assert_frame_equal(got, want)
+
+
+def test_whole_table_and_empty_table(spark, sample):
+    df = spark.createDataFrame(sample)
+    got = rs.resample(df.withColumn("all", F.lit(None).cast("int")), ["all"], "id", ["x"], 3, 1, tile_rows=100).collect()
+    assert sorted(r.replicate for r in got) == [0, 1, 2] and all(r["all"] is None and r.n == 1300 for r in got)
+    assert rs.resample(df.limit(0), ["g"], "id", ["x"], 3, 1).count() == 0
 
 
 def test_missing_values_are_counted(spark):

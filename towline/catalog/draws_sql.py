@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from towline.operators.resampling import GOLDEN, MIX_1, MIX_2
+from towline.operators.resampling import GOLDEN, LEAF, MIX_1, MIX_2, NODES
 
 _LOW = 4294967295
 _WORD = 4294967296
@@ -31,17 +31,50 @@ def counter(source: str, keep: str, number: str) -> str:
     return _product(f"SELECT {keep}, ({number})::UBIGINT AS z FROM ({source})", keep, GOLDEN)
 
 
+def _product_list(values: str, factor: int) -> str:
+    """Each entry of a list of UBIGINT times a constant, modulo 2^64."""
+    low, high = factor & _LOW, factor >> 32
+    ours, upper = f"((z & {_LOW}::UBIGINT) * {low}::UBIGINT)", f"(((z >> 32) * {low}::UBIGINT) & {_LOW}::UBIGINT)"
+    carry = f"((({ours} >> 32) + {upper} + (((z & {_LOW}::UBIGINT) * {high}::UBIGINT) & {_LOW}::UBIGINT)) & {_LOW}::UBIGINT)"
+    return f"list_transform({values}, lambda z: {carry} * {_WORD}::UBIGINT + ({ours} & {_LOW}::UBIGINT))"
+
+
+def _hash_list(counters: str, base: str) -> str:
+    """The counter hash of stream ``base`` at a list of places."""
+    z = f"list_transform({_product_list(counters, GOLDEN)}, lambda z: xor(z, {base}))"
+    z = f"list_transform({z}, lambda z: xor(z, z >> 30))"
+    z = f"list_transform({_product_list(z, MIX_1)}, lambda z: xor(z, z >> 27))"
+    return f"list_transform({_product_list(z, MIX_2)}, lambda z: xor(z, z >> 31))"
+
+
+# Of the c draws of a node how many go left: ones among c bits of the node's stream.
+_WORDS = "list_transform(range(1, (c + 63) // 64 + 1), lambda w: (r * ((m + 63) // 64) + w)::UBIGINT)"
+_MASK = "(18446744073709551615::UBIGINT >> (64 - least(64, c - 64 * (w - 1)))::UBIGINT)"
+_LEFT = f"coalesce(list_sum(list_transform({_hash_list(_WORDS, 'stream')}, lambda z, w: bit_count((z & {_MASK})::HUGEINT))), 0)::BIGINT"
+
+
 def draws(strata: str, keep: str, reps: int) -> str:
     """Draws of every stratum and replicate.
 
     ``strata`` has the columns ``keep``, ``base`` (hash of the stratum), ``m`` (draws) and ``n``
-    (rows). Gives ``keep``, ``r`` and ``i``, the row position drawn.
+    (rows). Gives ``keep``, ``r`` and ``i``, the row position drawn. Draws are dealt down a tree that halves the stratum to
+    leaves of LEAF rows at most; ``o`` are those of a replicate to the left of a node.
     """
-    cols = f"{keep}, base, m, n, r"
-    grid = f"SELECT {keep}, base, m, n, r, k FROM ({strata}), range({reps}) a(r), LATERAL (SELECT unnest(range(m)) AS k)"
-    z = counter(grid, cols, "r * m + k + 1")
-    z = f"SELECT {cols}, xor(z, base::UBIGINT) AS z FROM ({z})"
-    return f"SELECT {keep}, m, n, r, (((z >> 24) * n::UBIGINT) >> 40)::BIGINT AS i FROM ({mixed(z, cols)})"
+    cols = f"{keep}, base, m, n, depth, r"
+    deep = f"CASE WHEN n <= {LEAF} THEN 0 ELSE ceil(log2(ceil(n / {LEAF}::DOUBLE)))::INTEGER END"
+    stream = _hash_list(f"[({NODES} + (1::BIGINT << level) + j)::UBIGINT]", "base::UBIGINT") + "[1]"
+    tree = f"""WITH RECURSIVE tree AS (
+        SELECT {keep}, base, m::BIGINT AS m, n::BIGINT AS n, {deep} AS depth, r, 0 AS level, 0::BIGINT AS j, m::BIGINT AS c, 0::BIGINT AS o
+        FROM ({strata}), range({reps}) a(r) WHERE m > 0
+        UNION ALL
+        SELECT {cols}, level + 1, 2 * j + side, CASE WHEN side = 0 THEN ahead ELSE c - ahead END, o + side * ahead
+        FROM (SELECT *, {_LEFT} AS ahead FROM (SELECT *, {stream} AS stream FROM tree WHERE level < depth AND c > 0)), (VALUES (0), (1)) s(side))
+      SELECT * FROM tree WHERE level = depth AND c > 0"""
+    grid = f"SELECT {cols}, j, o, k FROM ({tree}), LATERAL (SELECT unnest(range(c)) AS k)"
+    z = counter(grid, f"{cols}, j", "r * m + o + k + 1")
+    z = f"SELECT {cols}, j, xor(z, base::UBIGINT) AS z FROM ({z})"
+    drawn = f"SELECT {cols}, j, (z >> 32)::HUGEINT AS v, 1::HUGEINT << depth AS leaves FROM ({mixed(z, f'{cols}, j')})"
+    return f"SELECT {keep}, m, n, r, (((j * 4294967296::HUGEINT + v) * n) // (leaves * 4294967296::HUGEINT))::BIGINT AS i FROM ({drawn})"
 
 
 def base_hash(seed: int, *keys: str) -> str:

@@ -35,7 +35,7 @@ boot AS (
 SUMMARY_STATS = ("mean", "ll", "ul", "var", "cv")
 
 
-def boot(spark, sf, method="exact", reps=REPS):
+def boot(spark, sf, method="exact", reps=REPS, **how):
     return rs.bootstrap(
         base.haul_densities(spark, sf),
         ["district", "bed"],
@@ -45,6 +45,7 @@ def boot(spark, sf, method="exact", reps=REPS):
         reps=reps,
         seed=SEED,
         method=method,
+        **how,
     )
 
 
@@ -56,6 +57,15 @@ def b01(spark, sf):
     return tidy(boot(spark, sf))
 
 
+@query(
+    "b01_bootstrap_split",
+    tidy_sql(f"WITH {BOOT} SELECT district, bed, variable, replicate, dbar, total FROM boot", "dbar", "total"),
+)
+def b01_split(spark, sf):
+    """The same replicates from strata of many tiles."""
+    return tidy(boot(spark, sf, tile_rows=50))
+
+
 def _summary_sql(stat: str, suffix: str) -> str:
     return f"""avg({stat}) AS mean_{suffix}, quantile_cont({stat}, 0.025) AS ll_{suffix}, quantile_cont({stat}, 0.975) AS ul_{suffix},
       var_samp({stat}) AS var_{suffix}, 100 * stddev_samp({stat}) / avg({stat}) AS cv_{suffix}"""

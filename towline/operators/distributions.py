@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from towline.operators.joins import bounded_broadcast, null_safe_join
-from towline.operators.ordering import group_quantiles, running_totals
+from towline.operators.joins import null_safe_join
+from towline.operators.ordering import brackets, bracketed, range_pieces, running_extremes, select_quantiles, with_group_values
 
 # Rows that one step of the row expansion makes at most from one input row.
 EXPANSION_PIECE = 50_000
@@ -133,18 +133,11 @@ def histogram(
     return out.select(*by, "bin", (F.col("__start") + F.col("bin") * F.col("__size")).alias("low"), "n")
 
 
-def bandwidths(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
-    """Range, count and rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^-0.2 per group."""
-    value = F.col(x).cast("double")
-    stats = df.where(value.isNotNull()).groupBy(*by)
-    stats = stats.agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_samp(value).alias("sd")
-    )
-    quartiles = group_quantiles(df, by, x, (0.25, 0.75), "q")
-    iqr = quartiles.groupBy(*by).agg((F.max("q") - F.min("q")).alias("iqr"))
-    spread = F.coalesce(F.nullif(F.least(F.col("sd"), F.col("iqr") / 1.34), F.lit(0.0)), F.nullif("sd", F.lit(0.0)))
-    joined = null_safe_join(stats, iqr, by)
-    return joined.withColumn("bw", F.lit(0.9) * F.coalesce(spread, F.lit(1.0)) * F.pow("n", F.lit(-0.2)))
+def _bandwidth(n: Column, sd: Column, iqr: Column) -> Column:
+    """Rule of thumb 0.9 min(sd, IQR / 1.34) n^-0.2; for groups without spread as if it were 1."""
+    zero = F.lit(0.0)
+    spread = F.coalesce(F.nullif(F.least(sd, iqr / 1.34), zero), F.nullif(sd, zero), F.lit(1.0))
+    return F.lit(0.9) * spread * F.pow(n, F.lit(-0.2))
 
 
 def density_grid(
@@ -157,21 +150,28 @@ def density_grid(
 ) -> DataFrame:
     """Gaussian density curve per group on an even grid over the group's range: ``(*by, point, x, density)``.
 
-    Values are first counted in ``bins`` cells and each cell stands at its midpoint, so the
-    curve costs cells x points per group however many rows there are.
+    Values are first counted in ``bins`` cells and each cell stands at its midpoint, so the curve costs cells x points per
+    group however many rows there are. Two scans: the first takes counts, ranges, deviations and the brackets of the
+    quartiles, the second counts cells and bracketed values together. Without ``by`` the whole table is the group.
     """
-    by = list(by)
-    value = F.col(x).cast("double")
-    rows = df.select(*by, value.alias("__x")).where(F.col("__x").isNotNull())
-    if bw is None:
-        stats = bandwidths(rows, "__x", by).select(*by, "n", "lo", "hi", "bw")
-    else:
-        stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-        stats = stats.withColumn("bw", F.lit(float(bw)))
-    joined = null_safe_join(rows, bounded_broadcast(stats), by)
+    by, quartiles = list(by), (0.25, 0.75)
+    rows = df.select(*by, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    first = [F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.stddev_samp("__x").alias("sd")]
+    stats = rows.groupBy(*by).agg(*brackets("__x", quartiles), *first).where("n > 0")
+    joined = with_group_values(rows, stats, by)
     share = F.coalesce(F.try_divide(F.col("__x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     cell = F.least(F.floor(share * bins), F.lit(bins - 1))
-    cells = joined.groupBy(*by, "n", "lo", "hi", "bw", cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__c"))
+    group = [*by, "n", "lo", "hi", "sd"]
+    if bw is None:
+        above, inside = bracketed("__x", len(quartiles))
+        counts = joined.groupBy(*group, cell.alias("__cell"), above.alias("__above"), inside.alias("__inside")).agg(F.count(F.lit(1)).alias("__c"))
+        ranked = counts.groupBy(*by, "n", "__above", "__inside").agg(F.sum("__c").alias("__c"))
+        found = select_quantiles(ranked, by, quartiles, "q")
+        iqr = found.groupBy(*by).agg((F.max("q") - F.min("q")).alias("iqr"))
+        cells = counts.groupBy(*group, "__cell").agg(F.sum("__c").alias("__c"))
+        cells = with_group_values(cells, iqr, by).withColumn("bw", _bandwidth(F.col("n"), F.col("sd"), F.col("iqr")))
+    else:
+        cells = joined.groupBy(*group, cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__c")).withColumn("bw", F.lit(float(bw)))
     middle = F.col("lo") + (F.col("__cell") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     at = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
     spread = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
@@ -207,15 +207,22 @@ def min_group_size(df: DataFrame, by: Sequence[str], more_than: int) -> DataFram
 def ks_two_sample(df: DataFrame, by: Sequence[str], group: str, x: str, first: object, second: object) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per group and its asymptotic p-value.
 
-    Equal values are counted before they are ordered. Groups that lack one of the samples drop.
+    Equal values are counted before they are ordered. The distance is an extreme of the running sum of the samples' shares,
+    taken over pieces of range partitions, so no group is ordered in one task. Groups that lack one of the samples drop.
+    Without ``by`` the whole table is the group.
     """
     by = list(by)
     one, two = F.col(group) == F.lit(first), F.col(group) == F.lit(second)
-    counts = {"c1": F.when(one, 1).otherwise(0), "c2": F.when(two, 1).otherwise(0)}
-    steps = running_totals(df.where(one | two), by, x, counts)
-    both = steps.withColumnsRenamed({"total_c1": "n1", "total_c2": "n2"}).where("n1 > 0 and n2 > 0")
-    gap = F.abs(F.col("c1") / F.col("n1") - F.col("c2") / F.col("n2"))
-    d = both.groupBy(*by, "n1", "n2").agg(F.max(gap).alias("d"))
+    rows = df.where((one | two) & F.col(x).isNotNull()).select(*by, F.col(x).alias("__x"), one.cast("bigint").alias("c1"), two.cast("bigint").alias("c2"))
+    ties = rows.groupBy(*by, "__x").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    sizes = ties.groupBy(*by).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where("n1 > 0 and n2 > 0")
+    # Whole numbers: both shares are brought to the common denominator n1 * n2.
+    step = F.col("c1").cast("double") * F.col("n2") - F.col("c2").cast("double") * F.col("n1")
+    steps = with_group_values(ties, sizes, by).select(*by, "n1", "n2", "__x", step.alias("gap"))
+    keys = [*by, "n1", "n2"]
+    ends = running_extremes(range_pieces(steps, keys, "__x", ["gap"]), keys, ["gap"])
+    widest = F.greatest(F.abs("low_gap"), F.abs("high_gap"))
+    d = ends.select(*keys, (widest / (F.col("n1").cast("double") * F.col("n2"))).alias("d"))
     lam2 = F.col("d") * F.col("d") * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
     d = d.withColumn("__l", lam2)
     terms = F.transform(

@@ -1,108 +1,73 @@
-"""Ordered work on groups of any size: range binning, exact quantiles, running totals.
+"""Ordered work on groups of any size: exact quantiles, running sums in range partitions.
 
-A plain window sorts a whole group in one task. Here a crowded group is first cut into value
-ranges of a bounded number of rows; range totals are few, and rows are ordered within one range at
-a time. Groups that are short anyway stay whole.
+No group is ordered as a whole. Quantiles are selected in two passes: a sketch of known error brackets each wanted rank, and
+the second pass counts what lies outside and orders what lies inside the brackets. Running sums are taken over pieces of
+range partitions, which are short; a piece gives its sums and extremes, and only those are added up along the group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from towline.operators.joins import bounded_broadcast, null_safe_join
+from towline.operators.joins import null_safe_join
 
-# Rows that one range should hold at most.
-RANGE_ROWS = 200_000
-QUANTILE_ROWS = 50_000
-# Longest list of ranges that is broadcast.
-RANGES = 1_000_000
-# Parts one range is cut into at most, and how often ranges are cut again.
-MAX_PARTS = 1024
-MAX_LEVELS = 8
+# The functions that run in tasks travel with them, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A sketch's ranks are right to one part in so many of the group's rows.
+ACCURACY = 5000
 
-def _range_stats(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    value = F.col(x).cast("double")
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
-    )
-    return bounded_broadcast(stats, RANGES)
 
+def with_group_values(rows: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row per group; one row in all if there are no group keys."""
+    return null_safe_join(rows, values, by) if by else rows.crossJoin(F.broadcast(values))
 
-def _cuts(stats: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
-    """Ranges with the number of parts to cut each into and the number of its first part.
-
-    None if no range is too long. Copies of one value cannot be cut.
-    """
-    crowded = (F.col("__n") > limit) & (F.col("__lo") < F.col("__hi"))
-    if stats.where(crowded).limit(1).count() == 0:
-        return None
-    parts = F.least(F.lit(MAX_PARTS), F.ceil(F.col("__n") * 4 / limit))
-    split = stats.withColumn("__parts", F.when(crowded, parts).otherwise(1).cast("bigint"))
-    below = F.sum("__parts").over(Window.partitionBy(*by).orderBy("__bin")) - F.col("__parts")
-    return split.withColumn("__first", below)
-
-
-def _cut(rows: DataFrame, cuts: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """Renumber ``__bin`` by the cuts; rows in ranges that are not listed drop."""
-    joined = null_safe_join(rows, cuts, [*by, "__bin"])
-    share = F.try_divide(F.col(x).cast("double") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("__parts")), F.col("__parts") - 1)
-    return joined.withColumn("__bin", F.col("__first") + part).drop("__n", "__lo", "__hi", "__parts", "__first")
 
+def brackets(x: str, probs: Sequence[float], accuracy: int = ACCURACY) -> list[Column]:
+    """Aggregates of one pass: ``n``, and ``__low_<i>, __high_<i>`` between which the ranks of each quantile lie.
 
-def ordered_bins(df: DataFrame, by: Sequence[str], x: str, limit: int = RANGE_ROWS) -> DataFrame:
-    """Add ``__bin``, which never falls as ``x`` rises within the group.
-
-    A bin of more than ``limit`` rows is cut into equal parts of its range; if the values crowd in
-    one part, that part is cut again by its own range. Each cut is one pass that combines on the
-    map side. Only copies of a single value, or values apart by rounding alone, stay together.
+    The sketch's error is one ``accuracy``-th of n and the brackets are two to each side, which holds the ranks if n is
+    over twice the accuracy; groups of up to four times the accuracy are bracketed as a whole.
     """
-    rows = df.withColumn("__bin", F.lit(0).cast("bigint"))
-    for _ in range(MAX_LEVELS):
-        cuts = _cuts(_range_stats(rows, [*by, "__bin"], x), by, limit)
-        if cuts is None:
-            break
-        rows = _cut(rows, cuts, by, x)
-    return rows
+    margin, c = 2 / accuracy, F.col(x)
+    asked = [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+    found = F.percentile_approx(c, F.array(*[F.lit(a) for a in asked]), F.lit(accuracy))
+    few, out = F.count(c) <= 4 * accuracy, [F.count(c).alias("n")]
+    for i, p in enumerate(probs):
+        low = F.min(c) if p - margin <= 0 else F.when(few, F.min(c)).otherwise(found[2 * i])
+        high = F.max(c) if p + margin >= 1 else F.when(few, F.max(c)).otherwise(found[2 * i + 1])
+        out += [low.alias(f"__low_{i}"), high.alias(f"__high_{i}")]
+    return out
 
 
-def group_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    x: str,
-    probs: Sequence[float],
-    name: str = "quantile",
-    limit: int = QUANTILE_ROWS,
-) -> DataFrame:
-    """Exact quantiles by linear interpolation between order statistics: ``(*by, prob, <name>)``.
+def bracketed(x: str, count: int) -> tuple[Column, Column]:
+    """Order of a value among the brackets, and the value itself if it is inside one, else null.
 
-    Range sizes tell which ranges hold a wanted rank. Only those are cut further, and only their
-    rows are ordered in the end, with equal values counted first.
+    Values sort by the two, nulls last: outside values stand behind the brackets they are above of.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    rows = rows.withColumns({"__bin": F.lit(0).cast("bigint"), "__base": F.lit(0).cast("bigint")})
-    stats = _range_stats(rows, [*by, "__base", "__bin"], "__x")
-    wanted = stats.select(*by, _ranks(probs, F.col("__n")).alias("__wanted"))
-    hit = _hit(stats, wanted, by)
-    for _ in range(MAX_LEVELS):
-        cuts = _cuts(hit, by, limit)
-        if cuts is None:
-            break
-        cuts = cuts.select(*by, "__bin", "__lo", "__hi", "__n", "__parts", "__first", "__start")
-        rows = _cut(rows.drop("__base"), cuts, by, "__x").withColumnRenamed("__start", "__base")
-        hit = _hit(_range_stats(rows, [*by, "__base", "__bin"], "__x"), wanted, by)
-
-    values = null_safe_join(rows, hit.select(*by, "__bin"), [*by, "__bin"], "left_semi")
-    ties = values.groupBy(*by, "__bin", "__x").agg(F.count(F.lit(1)).alias("__c"))
-    within = Window.partitionBy(*by, "__bin").orderBy("__x")
-    ties = ties.withColumn("__upto", F.sum("__c").over(within))
-    ties = null_safe_join(ties, hit, [*by, "__bin"]).withColumn("__to", F.col("__start") + F.col("__upto"))
-    found = ties.select(*by, "__x", F.explode(_inside(F.col("__to") - F.col("__c"), F.col("__to"))).alias("__r"))
+    c = F.col(x)
+    above = reduce(lambda a, b: a + b, [F.when(c >= F.col(f"__low_{i}"), 1).otherwise(0) for i in range(count)])
+    inside = reduce(lambda a, b: a | b, [c.between(F.col(f"__low_{i}"), F.col(f"__high_{i}")) for i in range(count)])
+    return above, F.when(inside, c)
+
+
+def select_quantiles(counts: DataFrame, by: Sequence[str], probs: Sequence[float], name: str) -> DataFrame:
+    """``(*by, prob, <name>)`` from ``(*by, n, __above, __inside, __c)``, the rows counted by :func:`bracketed`."""
+    order = Window.partitionBy(*by).orderBy("__above", F.col("__inside").asc_nulls_last())
+    upto = counts.withColumn("__to", F.sum("__c").over(order))
+    held = F.filter(_ranks(probs, F.col("n")), lambda r: (r["rank"] >= F.col("__to") - F.col("__c")) & (r["rank"] < F.col("__to")))
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    value = F.when(F.col("__inside").isNull(), missed).otherwise(F.col("__inside"))
+    found = upto.select(*by, "__inside", F.explode(held).alias("__r")).select(*by, "__r", value.alias("__x"))
     low, high = F.min("__x"), F.max("__x")
     part = F.max("__r.pos") - F.floor(F.max("__r.pos"))
     return found.groupBy(*by, F.col("__r.prob").alias("prob")).agg((low + (high - low) * part).alias(name))
@@ -118,43 +83,74 @@ def _ranks(probs: Sequence[float], n: Column) -> Column:
     return F.array(*out)
 
 
-def _inside(start: Column, end: Column) -> Column:
-    return F.filter("__wanted", lambda r: (r["rank"] >= start) & (r["rank"] < end))
-
+def group_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    x: str,
+    probs: Sequence[float],
+    name: str = "quantile",
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """Exact quantiles by linear interpolation between order statistics: ``(*by, prob, <name>)``.
 
-def _hit(stats: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ranges that hold a wanted rank, with the number of rows below each."""
-    order = Window.partitionBy(*by, "__base").orderBy("__bin")
-    start = F.col("__base") + F.sum("__n").over(order) - F.col("__n")
-    placed = null_safe_join(stats.withColumn("__start", start), wanted, by)
-    kept = placed.where(F.size(_inside(F.col("__start"), F.col("__start") + F.col("__n"))) > 0)
-    return bounded_broadcast(kept.drop("__base"), RANGES)
+    Two scans and no job before the result is asked for. Without ``by`` the whole table is the group. Nulls are left out,
+    and groups without values with them.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    found = rows.groupBy(*by).agg(*brackets("__x", probs, accuracy)).where("n > 0")
+    above, inside = bracketed("__x", len(probs))
+    joined = with_group_values(rows, found, by)
+    counts = joined.groupBy(*by, "n", above.alias("__above"), inside.alias("__inside")).agg(F.count(F.lit(1)).alias("__c"))
+    return select_quantiles(counts, by, probs, name)
 
 
-def running_totals(
-    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, Column], limit: int = RANGE_ROWS
-) -> DataFrame:
-    """Sums per distinct ``order`` value, added up along it: ``(*by, order, <name>, total_<name>)``.
+def range_pieces(df: DataFrame, by: Sequence[str], order: str, steps: Sequence[str]) -> DataFrame:
+    """Sum, and extremes of the running sum, of columns ``steps`` over pieces of each group along ``order``.
 
-    Equal values are summed before they are ordered, and each range starts from the total of the
-    ranges below it. Rows without an ``order`` value are left out.
+    Range partitions of (group, order) deal a group over as many tasks as its share of the rows takes; a piece is what an
+    Arrow batch has of a group. Returns ``(*by, __part, __piece, sum_<step>, low_<step>, high_<step>)``; pieces of a group
+    follow each other by the two numbers. Rows of equal ``order`` may be in two pieces, so sum them up before.
     """
-    by, names = list(by), list(columns)
-    rows = df.where(F.col(order).isNotNull()).select(*by, order, *[c.alias(n) for n, c in columns.items()])
-    binned = ordered_bins(rows, by, order, limit)
-    totals = binned.groupBy(*by, "__bin").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
-    group = Window.partitionBy(*by)
-    before = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by,
-        "__bin",
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names],
-        *[F.sum(f"__t_{n}").over(group).alias(f"total_{n}") for n in names],
-    )
-    ties = binned.groupBy(*by, "__bin", order).agg(*[F.sum(n).alias(n) for n in names])
-    within = Window.partitionBy(*by, "__bin").orderBy(order)
-    local = ties.select(*by, "__bin", order, *[F.sum(n).over(within).alias(n) for n in names])
-    joined = null_safe_join(local, bounded_broadcast(offsets, RANGES), [*by, "__bin"])
-    return joined.select(
-        *by, order, *[(F.col(n) + F.col(f"__o_{n}")).alias(n) for n in names], *[f"total_{n}" for n in names]
-    )
+    by, steps = list(by), list(steps)
+    code = F.xxhash64(F.lit(0), *by, *[F.isnull(k) for k in by]).alias("__code")
+    rows = df.select(*by, order, code, *[F.col(s).cast("double") for s in steps])
+    rows = rows.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, piece = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("__code").to_numpy()
+            begins = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+            columns = {k: batch.column(k).take(pa.array(begins)) for k in by}
+            columns |= {"__part": pa.array(np.full(len(begins), partition, np.int32)), "__piece": pa.array(np.full(len(begins), piece))}
+            piece += 1
+            sizes = np.diff(np.append(begins, len(codes)))
+            for s in steps:
+                x = batch.column(s).to_numpy()
+                total = np.cumsum(x)
+                running = total - np.repeat(total[begins] - x[begins], sizes)
+                ends = begins + sizes - 1
+                columns |= {f"sum_{s}": pa.array(running[ends])}
+                columns |= {f"low_{s}": pa.array(np.minimum.reduceat(running, begins)), f"high_{s}": pa.array(np.maximum.reduceat(running, begins))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = T.StructType([rows.schema[k] for k in by]).add("__part", T.IntegerType()).add("__piece", T.LongType())
+    for s in steps:
+        for name in ("sum", "low", "high"):
+            schema.add(f"{name}_{s}", T.DoubleType())
+    return rows.mapInArrow(run, schema)
+
+
+def running_extremes(pieces: DataFrame, by: Sequence[str], steps: Sequence[str]) -> DataFrame:
+    """``(*by, low_<step>, high_<step>)``: extremes of the running sum along the whole group."""
+    along = Window.partitionBy(*by).orderBy("__part", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"__before_{s}": F.coalesce(F.sum(f"sum_{s}").over(along), F.lit(0.0)) for s in steps}
+    placed = pieces.withColumns(before)
+    ends = []
+    for s in steps:
+        ends.append(F.min(F.col(f"__before_{s}") + F.col(f"low_{s}")).alias(f"low_{s}"))
+        ends.append(F.max(F.col(f"__before_{s}") + F.col(f"high_{s}")).alias(f"high_{s}"))
+    return placed.groupBy(*by).agg(*ends)

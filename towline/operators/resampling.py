@@ -1,10 +1,14 @@
 """Bootstrap within strata and the sample-size study.
 
-A stratum is packed into tiles of a bounded number of rows, each an array in one row. Draws are
-made inside the task that holds the tile, so no draw is ever shuffled; what leaves a task is one
-partial sum per (tile, replicate). A stratum of several tiles first splits its draws over the
-tiles by a multinomial, which leaves the joint distribution that of drawing rows one by one. A hot
-stratum is thus many tiles, spread over many tasks.
+Rows are ordered by stratum and key in range partitions, so a stratum of any size is dealt over tasks, and packed into
+tiles: stretches of a stratum's rows, each an array in one row. Draws are made inside the task that holds the tile, so no
+draw is ever shuffled; what leaves a task is one partial sum per (tile, replicate).
+
+How many draws of a replicate fall to which part of a stratum is read from a splitting tree. Its nodes halve the unit
+interval, which stands for the stratum's rows in order, down to leaves of ``LEAF`` rows at most; of the c draws of a node
+as many go left as there are ones among c bits of the counter hash. Within a leaf a draw is one number of the same hash.
+The tree depends on the number of rows only. A tile is a node of it, so the replicates are the same whatever the size of
+tiles, and a stratum of one leaf is the tree of depth 0.
 
 Every random number is a hash of (seed, stratum, replicate, draw), so a result depends neither on
 partitioning nor on retries.
@@ -18,27 +22,29 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from towline.functions import units
-from towline.operators.joins import bounded_broadcast, null_safe_join
+from towline.operators.joins import null_safe_join
+from towline.session import cut_lineage
 
 # The functions that run in tasks travel with them, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of a leaf of the splitting tree at most; other leaves mean other draws.
+LEAF = 256
+# Rows of a tile at most; tiles are smaller where that fills more tasks.
 TILE_ROWS = 65_536
-# Draws that one task row should make, so a few strata still fill a cluster.
-DRAWS_PER_BLOCK = 2_000_000
-# Draws held in memory at once; small enough to stay in a processor's cache.
-DRAW_BATCH = 65_536
-# Longest lists of tile sizes, and of tiles with the sizes of their peers, that are broadcast.
-TILES = 1_000_000
-SPLITS = 10_000
-# Partial results put into one output frame.
-FRAME_PARTS = 200
+# Draws of one task, about.
+DRAWS_PER_TASK = 20_000_000
+# Draws, and words of random bits, held in memory at once.
+DRAW_BATCH = 1 << 17
+# Numbers of the counter hash from which on those of the tree's nodes stand.
+NODES = 1 << 62
 
 # Increment and multipliers of the SplitMix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -46,10 +52,6 @@ MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
 
-class _Row(dict):
-    __getattr__ = dict.__getitem__
-
-
 def mix64(z: np.ndarray) -> np.ndarray:
     """SplitMix64 output function on unsigned 64-bit arrays; works in place."""
     z ^= z >> np.uint64(30)
@@ -67,123 +69,207 @@ def stratum_hash(seed: int, keys: Sequence[str | Column]) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def _draws(base: int, start: int, count: int, rows: int) -> np.ndarray:
-    """Row positions of draws ``start`` to ``start + count - 1`` of a stratum.
-
-    The upper 40 bits of the hash pick the position, for up to 2^24 rows.
-    """
-    z = np.arange(start + 1, start + count + 1, dtype=np.uint64)
+def counter_hash(base: int | np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Numbers of the stream ``base`` at the given places."""
+    z = counter.astype(np.uint64)
     z *= np.uint64(GOLDEN)
-    z ^= np.uint64(base)
-    z = mix64(z)
-    z >>= np.uint64(24)
-    z *= np.uint64(rows)
-    z >>= np.uint64(40)
-    return z.view(np.int64)
+    z ^= np.asarray(base).astype(np.uint64)
+    return mix64(z)
+
+
+def _flat(sizes: np.ndarray, most: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Cells of these sizes laid end to end, about ``most`` places at a time: the cells met, how much of each, and the
+    place within its cell of every entry."""
+    ends = np.cumsum(sizes)
+    total, a = int(ends[-1]) if len(ends) else 0, 0
+    while a < total:
+        b = min(total, a + most)
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1
+        begin = ends[i:j] - sizes[i:j]
+        low, high = np.maximum(begin, a), np.minimum(ends[i:j], b)
+        part = high - low
+        yield slice(i, j), part, np.arange(a, b) - np.repeat(begin, part)
+        a = b
+
+
+def _left(base: int, m: int, replicate: np.ndarray, node: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of ``count`` draws in a node of the tree how many go left, for each entry: ones among as many random bits."""
+    per_replicate = -(-m // 64)
+    stream = counter_hash(base, node.astype(np.uint64) + np.uint64(NODES))
+    left = np.zeros(len(count), np.int64)
+    for cells, part, word in _flat(-(-count // 64), DRAW_BATCH):
+        of = np.repeat(np.arange(cells.start, cells.stop), part)
+        z = counter_hash(stream[of], replicate[of] * per_replicate + word + 1)
+        bits = np.minimum(count[of] - 64 * word, 64).astype(np.uint64)
+        z &= np.uint64(2**64 - 1) >> (np.uint64(64) - bits)
+        left += np.bincount(of, np.bitwise_count(z), len(count)).astype(np.int64)
+    return left
+
+
+def _split(base: int, m: int, replicate: np.ndarray, node: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next level of the tree below ``node``: its nodes, and ``counts`` (replicates down, nodes across) in them."""
+    shape = counts.shape
+    left = _left(base, m, np.repeat(replicate, shape[1]), np.tile(node, shape[0]), counts.ravel()).reshape(shape)
+    below = np.stack([left, counts - left], axis=2).reshape(shape[0], -1)
+    return np.stack([2 * node, 2 * node + 1], axis=1).ravel(), below
+
+
+def leaf_depth(n: int, leaf: int = LEAF) -> int:
+    """Depth at which nodes of a stratum of ``n`` rows are leaves."""
+    return max(0, math.ceil(n / leaf) - 1).bit_length()
+
+
+def _tile_sums(
+    values: list[np.ndarray], n: int, depth: int, tile: int, base: int, m: int, counts: np.ndarray, offsets: np.ndarray
+) -> list[np.ndarray]:
+    """Per replicate the sum of the drawn values, and how many were not missing, for each of ``values``.
+
+    ``counts`` are the draws that fall to the tile, ``offsets`` those that fall to the left of it.
+    """
+    leaves = leaf_depth(n)
+    whole, rest, first = n >> leaves, n & ((1 << leaves) - 1), (tile * n) >> depth
+    start, ahead = divmod((tile << (leaves - depth)) * n, 1 << leaves)
+    begin = ahead + np.arange(1 << (leaves - depth)) * n
+    begin, rem = (begin >> leaves) + start - first, (begin & ((1 << leaves) - 1)).astype(np.uint64) << np.uint64(32)
+    missing = [np.isnan(v) for v in values]
+    clean = [np.where(gone, 0.0, v) for v, gone in zip(values, missing)]
+    out = [np.zeros(len(counts)) for _ in range(2 * len(values))]
+    a, ends = 0, np.cumsum(counts)
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + DRAW_BATCH, "right")))
+        replicate, node, cells = np.arange(a, b), np.array([(1 << depth) + tile]), counts[a:b, None]
+        for _ in range(leaves - depth):
+            node, cells = _split(base, m, replicate, node, cells)
+        before = offsets[a:b, None] + np.cumsum(cells, axis=1) - cells
+        counter = (replicate[:, None] * m + before + 1).ravel()
+        of_replicate, leaf = (x.ravel() for x in np.indices(cells.shape))
+        for some, part, place in _flat(cells.ravel(), DRAW_BATCH):
+            of = np.repeat(np.arange(some.start, some.stop), part)
+            v = counter_hash(base, counter[of] + place) >> np.uint64(32)
+            at = v * np.uint64(whole) + ((rem[leaf[of]] + v * np.uint64(rest)) >> np.uint64(leaves))
+            row = begin[leaf[of]] + (at >> np.uint64(32)).astype(np.int64)
+            to = of_replicate[of]
+            for k, (x, gone) in enumerate(zip(clean, missing)):
+                out[2 * k][a:b] += np.bincount(to, x[row], b - a)
+                out[2 * k + 1][a:b] += np.bincount(to, ~gone[row], b - a) if gone.any() else np.bincount(to, minlength=b - a)
+        a = b
+    return out
 
 
-def _allot(total: int, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    return rng.multinomial(total, sizes / sizes.sum())
+def _pack(by: list[str], values: list[str]):
+    """Consecutive rows of a stratum as one row of arrays, with the partition and the rows before it there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, last, done = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column("__code").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]])
+            sizes, local = np.diff(edges), np.zeros(len(edges) - 1, np.int64)
+            if code[0] == last:
+                local[0] = done
+            last, done = code[-1], int(local[-1] + sizes[-1])
+            firsts = pa.array(edges[:-1])
+            columns = {k: batch.column(k).take(firsts) for k in by}
+            columns |= {"__part": pa.array(np.full(len(sizes), partition, np.int32)), "__local": pa.array(local), "__size": pa.array(sizes)}
+            offsets = pa.array(edges.astype(np.int32))
+            columns |= {f"__v_{v}": pa.ListArray.from_arrays(offsets, batch.column(f"__v_{v}")) for v in values}
+            yield pa.RecordBatch.from_pydict(columns)
 
+    return run
 
-def _tile_share(row, replicate: int) -> int:
-    """Draws that fall to this tile: first split over groups of tiles, then within the group."""
-    base, group = int(row.__base), int(row.__group)
-    outer = np.random.Generator(np.random.Philox(key=[base, replicate]))
-    share = _allot(int(row.__m), np.asarray(row.__groups, dtype=float), outer)[group]
-    inner = np.random.Generator(np.random.Philox(key=[base ^ (group + 1), replicate]))
-    return int(_allot(int(share), np.asarray(row.__peers, dtype=float), inner)[int(row.__slot)])
 
+def _share(by: list[str]):
+    """Draws of each tile, replicate by replicate, of strata of several tiles; an entry of the input is a block of replicates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, r in enumerate(batch.select(["__depth", "__index", "m", "__base", "__first", "__last"]).to_pylist()):
+                replicate = np.arange(r["__first"], r["__last"])
+                node, counts = np.array([1]), np.full((len(replicate), 1), r["m"], np.int64)
+                for _ in range(r["__depth"]):
+                    node, counts = _split(r["__base"], r["m"], replicate, node, counts)
+                offsets = np.cumsum(counts, axis=1) - counts
+                tiles = len(node)
+                columns = {c: batch.column(c).take(pa.array(np.full(tiles, k))) for c in by}
+                columns |= {
+                    "__tile": pa.array(np.arange(tiles)),
+                    "__index": pa.array(np.full(tiles, r["__index"], np.int32)),
+                    "__first": pa.array(np.full(tiles, r["__first"], np.int64)),
+                }
+                lists = pa.array((np.arange(tiles + 1) * len(replicate)).astype(np.int32))
+                for name, x in (("__counts", counts), ("__offsets", offsets)):
+                    columns[name] = pa.ListArray.from_arrays(lists, pa.array(np.ascontiguousarray(x.T).ravel()))
+                yield pa.RecordBatch.from_pydict(columns)
 
-def _sums(values: list[np.ndarray], idx: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:
-    """Per replicate the sum of the drawn values and how many of them were not missing."""
-    out = []
-    for v in values:
-        missing = np.isnan(v)
-        if missing.any():
-            out.append(np.where(missing, 0.0, v)[idx].reshape(shape).sum(axis=1))
-            out.append((~missing)[idx].reshape(shape).sum(axis=1))
-        else:
-            out.append(v[idx].reshape(shape).sum(axis=1))
-            out.append(np.full(shape[0], shape[1]))
-    return out
+    return run
 
 
-def _replicate_sums(row, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Replicate numbers of the block with the sums of this tile, some replicates at a time."""
-    first, last = int(row.__first), int(row.__last)
-    rows, m, base = len(values[0]), int(row.__m), int(row.__base)
-    if row.__tiles == 1 and m <= DRAW_BATCH:
-        step = max(1, DRAW_BATCH // m)
-        for r in range(first, last, step):
-            k = min(step, last - r)
-            yield np.arange(r, r + k), _sums(values, _draws(base, r * m, k * m, rows), (k, m))
-        return
-    for r in range(first, last):
-        if row.__tiles == 1:
-            share, start = m, r * m
-        else:
-            share, start = _tile_share(row, r), 0
-            seeds = np.array([int(row.__base) + 2 * int(row.__tile) + 1, r], dtype=np.uint64)
-            base = int(mix64(seeds).sum(dtype=np.uint64))
-        total = [np.zeros(1) for _ in range(2 * len(values))]
-        for done in range(0, share, DRAW_BATCH):
-            k = min(DRAW_BATCH, share - done)
-            part = _sums(values, _draws(base, start + done, k, rows), (1, k))
-            total = [a + b for a, b in zip(total, part)]
-        yield np.array([r]), total
-
-
-def _kernel(keys: list[str], values: list[str]):
+def _kernel(keys: list[str], values: list[str], reps: int):
     stats = [f"{p}_{v}" for v in values for p in ("sum", "cnt")]
 
-    def frame(recs: list[_Row], reps: list[np.ndarray], sums: list[list[np.ndarray]]) -> pd.DataFrame:
-        sizes = [len(r) for r in reps]
-        data = {k: pd.Series([rec[k] for rec in recs]).repeat(sizes).array for k in keys}
-        data["replicate"] = np.concatenate(reps)
-        data.update({name: np.concatenate([s[i] for s in sums]) for i, name in enumerate(stats)})
-        return pd.DataFrame(data)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recs, reps, sums = [], [], []
-        for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                rec = _Row(zip(pdf.columns, row))
-                arrays = [np.asarray(rec[f"__v_{v}"], dtype=float) for v in values]
-                for ids, part in _replicate_sums(rec, arrays):
-                    recs.append(rec)
-                    reps.append(ids)
-                    sums.append(part)
-                if len(reps) >= FRAME_PARTS:
-                    yield frame(recs, reps, sums)
-                    recs, reps, sums = [], [], []
-        if reps:
-            yield frame(recs, reps, sums)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(f"__v_{v}") for v in values]
+            plain = batch.select(["n", "__depth", "__tile", "__designs", "__shares"]).to_pylist()
+            for k, r in enumerate(plain):
+                x = [a[k].values.to_numpy(zero_copy_only=False) for a in arrays]
+                shares = {}
+                for s in sorted(r["__shares"] or [], key=lambda s: s["__first"]):
+                    shares.setdefault(s["__index"], []).append(s)
+                for d in r["__designs"]:
+                    if r["__depth"]:
+                        mine = shares[d["__index"]]
+                        counts, offsets = (np.concatenate([s[c] for s in mine]).astype(np.int64) for c in ("__counts", "__offsets"))
+                    else:
+                        counts, offsets = np.full(reps, d["m"], np.int64), np.zeros(reps, np.int64)
+                    sums = _tile_sums(x, r["n"], r["__depth"], r["__tile"], d["__base"], d["m"], counts, offsets)
+                    columns = {c: batch.column(c).take(pa.array(np.full(reps, k))) for c in keys}
+                    columns |= {"__index": pa.array(np.full(reps, d["__index"], np.int32)), "m": pa.array(np.full(reps, d["m"], np.int64))}
+                    columns["replicate"] = pa.array(np.arange(reps))
+                    for name, v in zip(stats, sums):
+                        columns[name] = pa.array(v.astype(np.int64) if name.startswith("cnt_") else v)
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _tile_splits(rows: DataFrame, by: Sequence[str], tile: str) -> DataFrame:
-    """For strata of several tiles: sizes of the tile groups, and of the tiles in each group.
+def pack_strata(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str]) -> DataFrame:
+    """Rows of each stratum in order of ``key``, packed and written to the checkpoint folder: one pass over ``df``.
 
-    Both lists have about the square root of the number of tiles as length.
+    Range partitions deal a stratum over as many tasks as its share of the rows takes. Several calls of :func:`resample`
+    may draw from one packing. Returns ``(*by, __part, __local, __size, __v_<value>...)``.
     """
-    counts = rows.groupBy(*by, "__tiles", tile).agg(F.count(F.lit(1)).alias("__c"))
-    counts = bounded_broadcast(counts, TILES)
-    span = F.ceil(F.sqrt("__tiles")).cast("bigint")
-    counts = counts.withColumn("__gid", F.floor(F.col(tile) / span))
-    peers = counts.groupBy(*by, "__gid").agg(
-        F.sum("__c").alias("__gc"), F.sort_array(F.collect_list(F.struct(tile, "__c"))).alias("__list")
-    )
-    groups = peers.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__gid", "__gc"))).alias("__glist"))
-    both = null_safe_join(peers, groups, by)
-    return both.select(
-        *by,
-        F.col("__glist.__gc").alias("__groups"),
-        (F.array_position(F.col("__glist.__gid"), F.col("__gid")) - 1).cast("int").alias("__group"),
-        F.col("__list.__c").alias("__peers"),
-        F.posexplode(f"__list.{tile}").alias("__slot", tile),
-    )
+    by, values = list(by), list(values)
+    code = F.xxhash64(F.lit(0), *by, *[F.isnull(k) for k in by])
+    # Missing values travel as NaN, so the arrays reach Python as plain double arrays.
+    cells = [F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(f"__v_{v}") for v in values]
+    rows = df.select(*by, F.col(key).alias("__key"), code.alias("__code"), *cells)
+    order = [*by, "__key"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__key")
+    schema = T.StructType([rows.schema[k] for k in by])
+    schema.add("__part", T.IntegerType()).add("__local", T.LongType()).add("__size", T.LongType())
+    for v in values:
+        schema.add(f"__v_{v}", T.ArrayType(T.DoubleType()))
+    return cut_lineage(rows.mapInArrow(_pack(by, values), schema))
+
+
+def _tiles(pieces: DataFrame, runs: DataFrame, by: list[str], values: list[str], tasks: int) -> DataFrame:
+    """``(*by, n, __depth, __tile, __v_<value>...)``: the rows of each node of the tree at a stratum's tile depth."""
+    placed = null_safe_join(pieces, runs, [*by, "__part"]).withColumn("__at", F.col("__before") + F.col("__local"))
+    # Tile j has the rows that meet the part of the unit interval from j / 2^depth on; a row at a border is in two tiles.
+    first = "(__at << __depth) div n"
+    last = "(((__at + __size) << __depth) - 1) div n"
+    placed = placed.withColumn("__tile", F.explode(F.expr(f"sequence({first}, {last})")))
+    low = F.expr("greatest(__at, (__tile * n) >> __depth)")
+    high = F.expr("least(__at + __size, (((__tile + 1) * n - 1) >> __depth) + 1)")
+    cut = [F.slice(f"__v_{v}", (low - F.col("__at") + 1).cast("int"), (high - low).cast("int")).alias(f"__v_{v}") for v in values]
+    placed = placed.select(*by, "n", "__depth", "__tile", low.alias("__low"), *cut).repartition(tasks, *by, "__tile")
+    parts = F.sort_array(F.collect_list(F.struct("__low", *[f"__v_{v}" for v in values])))
+    grouped = placed.groupBy(*by, "n", "__depth", "__tile").agg(parts.alias("__parts"))
+    flat = [F.flatten(F.col(f"__parts.__v_{v}")).alias(f"__v_{v}") for v in values]
+    return grouped.select(*by, "n", "__depth", "__tile", *flat)
 
 
 def resample(
@@ -198,84 +284,85 @@ def resample(
     attributes: DataFrame | None = None,
     on: Sequence[str] = (),
     tile_rows: int = TILE_ROWS,
+    packed: DataFrame | None = None,
 ) -> DataFrame:
     """Draw rows with replacement within each stratum, ``reps`` times, and sum the values drawn.
 
     ``key`` is unique within a stratum and fixes the row order. By default a replicate draws as
     many rows as the stratum has. ``draws`` gives other sizes instead, as ``{label: size}``; every
-    label is drawn in the same job and named in column ``design``. Sizes are made of ``n`` (rows in
+    label is drawn from the same tiles and named in column ``design``. Sizes are made of ``n`` (rows in
     the stratum) and of the columns of ``attributes``, a table that is unique in ``on``, some of
-    the stratum's keys.
+    the stratum's keys. ``packed`` is the result of :func:`pack_strata`, to draw from it again in place of ``df``. Tiles of
+    any size give the same replicates; ``tile_rows`` bounds the memory of a task.
 
     Returns ``(*by, [design], n, *attributes, m, replicate, sum_<value>, cnt_<value>)`` where ``m`` is
     the number of draws and ``cnt`` the drawn values that were not missing.
     """
-    if not 0 < tile_rows <= 1 << 22:
-        raise ValueError("tile_rows is between 1 and 4194304")
+    if tile_rows < 1:
+        raise ValueError("tile_rows is 1 or more")
     by, values = list(by), list(values)
-    spark = df.sparkSession
-    n = F.count(F.lit(1))
-    sizes = bounded_broadcast(df.groupBy(*by).agg(n.alias("n")))
-    largest, rows_all = sizes.agg(F.max("n"), F.sum("n")).first()
-    split = (largest or 0) > tile_rows
-    columns = {v: F.col(v).cast("double") for v in values}
-    entry = F.struct(F.col(key).alias("__key"), *[c.alias(f"__x_{v}") for v, c in columns.items()])
-    packed = F.sort_array(F.collect_list(entry))
-    if split:
-        sizes = sizes.withColumn("__tiles", F.ceil(F.col("n") / tile_rows).cast("bigint"))
-        rows = null_safe_join(df.select(*by, key, *[v for v in values if v != key]), sizes.select(*by, "__tiles"), by)
-        rows = rows.withColumn("__tile", F.pmod(F.xxhash64(key), F.col("__tiles")))
-        tiled = null_safe_join(rows.groupBy(*by, "__tile").agg(packed.alias("__rows")), sizes, by)
-        splits = bounded_broadcast(_tile_splits(rows.filter("__tiles > 1"), by, "__tile"), SPLITS)
-        tiled = null_safe_join(tiled, splits, [*by, "__tile"], "left")
-    else:
-        tiled = df.groupBy(*by).agg(packed.alias("__rows"), n.alias("n"))
-        tiled = tiled.withColumns({"__tile": F.lit(0).cast("bigint"), "__tiles": F.lit(1).cast("bigint")})
-    # Missing values travel as NaN, so the arrays reach Python as plain double arrays.
-    arrays = {
-        f"__v_{v}": F.transform(F.col(f"__rows.__x_{v}"), lambda x: F.coalesce(x, F.lit(float("nan")))) for v in values
-    }
-    tiled = tiled.withColumns(arrays).drop("__rows")
-
+    pieces = pack_strata(df, by, key, values) if packed is None else packed
+    context = pieces.sparkSession.sparkContext
+    total = pieces.agg(F.sum("__size")).first()[0] or 0
+    tasks = max(context.defaultParallelism, total * reps * len(draws or "1") // DRAWS_PER_TASK)
+    tile = max(1, min(tile_rows, max(LEAF, total // (4 * context.defaultParallelism))))
+    deep = lambda rows: F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / rows))).cast("int")
+
+    stratum = Window.partitionBy(*by)
+    runs = pieces.groupBy(*by, "__part").agg(F.sum("__size").alias("__rows"))
+    runs = runs.withColumn("n", F.sum("__rows").over(stratum))
+    runs = runs.withColumn("__before", F.sum("__rows").over(stratum.orderBy("__part")) - F.col("__rows")).drop("__rows")
+    runs = runs.withColumn("__depth", F.least(deep(tile), deep(LEAF)))
+
+    strata = runs.select(*by, "n", "__depth").distinct()
     extra = []
     if attributes is not None:
         extra = [c for c in attributes.columns if c not in on]
-        tiled = null_safe_join(tiled, bounded_broadcast(attributes), on, "left")
-
-    keys = [*by, "n", *extra, "m"]
-    hashed: list[str] = list(by)
-    if draws is None:
-        plan = tiled.withColumn("m", F.col("n"))
-    else:
-        sizes_of = [F.struct(F.lit(k).alias(design), c.cast("bigint").alias("m")) for k, c in draws.items()]
-        plan = tiled.select("*", F.inline(F.array(*sizes_of)))
-        keys.insert(len(by), design)
-        hashed.append(design)
-    plan = plan.filter("m > 0").withColumn("__m", F.col("m"))
-    plan = plan.withColumn("__base", stratum_hash(seed, hashed))
-    blocks = F.least(F.lit(reps), F.ceil(F.col("m") / F.col("__tiles") * reps / DRAWS_PER_BLOCK)).cast("int")
-    plan = plan.withColumn("__blocks", F.greatest(blocks, F.lit(1)))
-    plan = plan.withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    edge = lambda b: F.floor(b * F.lit(reps) / F.col("__blocks")).cast("int")
-    plan = plan.withColumn("__first", edge(F.col("__block"))).withColumn("__last", edge(F.col("__block") + 1))
-    # A fixed number of partitions, as adaptive merging goes by bytes and these rows are small but costly.
-    work = (rows_all or 0) * reps * len(draws or "1") // DRAWS_PER_BLOCK
-    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tasks = max(spark.sparkContext.defaultParallelism, min(work, most))
-    plan = plan.repartition(tasks, *hashed, "__tile", "__block")
-
-    kept = [*keys, *[f"__v_{v}" for v in values], "__m", "__base", "__tiles", "__tile", "__first", "__last"]
-    kept += ["__groups", "__group", "__peers", "__slot"] if split else []
-    plan = plan.select(*kept)
-    schema = T.StructType([plan.schema[k] for k in keys])
-    schema.add("replicate", T.LongType())
+        strata = null_safe_join(strata, attributes, on, "left")
+    sizes = {None: F.col("n")} if draws is None else dict(draws)
+    designs = [
+        F.struct(
+            F.lit(i).alias("__index"),
+            size.cast("bigint").alias("m"),
+            stratum_hash(seed, by if draws is None else [*by, F.lit(label)]).alias("__base"),
+        )
+        for i, (label, size) in enumerate(sizes.items())
+    ]
+    strata = strata.withColumn("__designs", F.filter(F.array(*designs), lambda d: d["m"] > 0)).where(F.size("__designs") > 0)
+
+    keys = [*by, "n", *extra]
+    tiles = _tiles(pieces, runs, by, values, tasks)
+    tiles = null_safe_join(tiles, strata.drop("n", "__depth"), by)
+    shares = _shares(strata.where("__depth > 0"), by, reps, tasks)
+    tiles = null_safe_join(tiles, shares, [*by, "__tile"], "left")
+    schema = T.StructType([tiles.schema[k] for k in keys])
+    schema.add("__index", T.IntegerType()).add("m", T.LongType()).add("replicate", T.LongType())
     for v in values:
         schema.add(f"sum_{v}", T.DoubleType()).add(f"cnt_{v}", T.LongType())
-    out = plan.mapInPandas(_kernel(keys, values), schema)
-    if split:
-        sums = [F.sum(f"{p}_{v}").alias(f"{p}_{v}") for v in values for p in ("sum", "cnt")]
-        out = out.groupBy(*keys, "replicate").agg(*sums)
-    return out
+    plan = tiles.select(*keys, "__depth", "__tile", "__designs", "__shares", *[f"__v_{v}" for v in values])
+    out = plan.mapInArrow(_kernel(keys, values, reps), schema)
+    sums = [F.sum(f"{p}_{v}").alias(f"{p}_{v}") for v in values for p in ("sum", "cnt")]
+    out = out.groupBy(*keys, "__index", "m", "replicate").agg(*sums)
+    label = [] if draws is None else [F.element_at(F.array(*[F.lit(k) for k in sizes]), F.col("__index") + 1).alias(design)]
+    return out.select(*by, *label, "n", *extra, "m", "replicate", *[f"{p}_{v}" for v in values for p in ("sum", "cnt")])
+
+
+def _shares(strata: DataFrame, by: list[str], reps: int, tasks: int) -> DataFrame:
+    """``(*by, __tile, __shares)``: draws that fall to each tile and to the left of it, by design and replicate."""
+    one = strata.select(*by, "__depth", F.inline("__designs"))
+    # A replicate costs its draws / 32 words, and as many counts as there are tiles.
+    cost = F.greatest(F.col("m") / 32, F.pow(F.lit(2.0), F.col("__depth")))
+    per = F.greatest(F.lit(1), F.least(F.lit(reps), F.floor(F.lit(DRAWS_PER_TASK) / cost))).cast("bigint")
+    one = one.withColumn("__per", per).withColumn("__first", F.explode(F.expr(f"sequence(0L, {reps - 1}L, __per)")))
+    one = one.withColumn("__last", F.least(F.col("__first") + F.col("__per"), F.lit(reps).cast("bigint")))
+    schema = T.StructType([one.schema[k] for k in by])
+    schema.add("__tile", T.LongType()).add("__index", T.IntegerType()).add("__first", T.LongType())
+    schema.add("__counts", T.ArrayType(T.LongType())).add("__offsets", T.ArrayType(T.LongType()))
+    one = one.select(*by, "__depth", "__index", "m", "__base", "__first", "__last").repartition(tasks, *by, "__index", "__first")
+    dealt = one.mapInArrow(_share(by), schema)
+    return dealt.groupBy(*by, "__tile").agg(
+        F.collect_list(F.struct("__index", "__first", "__counts", "__offsets")).alias("__shares")
+    )
 
 
 def drawn_mean(value: str, na_rm: bool = False) -> Column:
@@ -314,7 +401,7 @@ def bootstrap(
     else:
         raise ValueError("method is 'exact' or 'poisson'")
     cells = F.array(*[F.struct(F.lit(v).alias("variable"), c.alias("dbar")) for v, c in means.items()])
-    placed = null_safe_join(sums, bounded_broadcast(areas.select(*on, "area")), on, "left")
+    placed = null_safe_join(sums, areas.select(*on, "area"), on, "left")
     long = placed.select(*strata, F.col("area").cast("double").alias("area"), "replicate", F.inline(cells))
     return long.select(
         *strata, "variable", "replicate", "dbar", (F.col("area") * F.col("dbar")).alias("total")

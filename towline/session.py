@@ -22,6 +22,8 @@ def build_session(app: str = "towline", master: str | None = None, **conf: objec
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Files of checkpoint() go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Recording the call site of every column expression makes long plans slow to build.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
