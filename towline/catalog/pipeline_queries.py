@@ -7,135 +7,109 @@ from pyspark.sql import functions as F
 from towline.catalog import base, draws_sql
 from towline.catalog.base import query, tidy, tidy_sql
 from towline.catalog.estimator_queries import LEVELS, _levels_sql
-from towline.catalog.resampling_queries import BOOT, REPS, SEED, _rows, _summary_sql, boot
-from towline.functions import units
-from towline.operators import estimators as est
-from towline.operators import resampling as rs
-from towline.operators.joins import complete_with_zero
-from towline.operators.reshape import pivot_sum
-
-KEYS = ["district", "bed"]
-
-
-def _drawn(name: str, value: str, area: str = "") -> str:
-    """CTEs that draw the rows of ``<name>rows`` within district and bed, up to ``<name>drawn``."""
-    more = f"max({area}) AS {area}, " if area else ""
-    keep = f"district, bed, {area}" if area else "district, bed"
-    return f"""{name}strata AS MATERIALIZED (SELECT district, bed, {more}{draws_sql.base_hash(SEED, "district", "bed")} AS base,
-  count(*) AS m, count(*) AS n FROM {name}rows GROUP BY district, bed),
-{name}drawn AS ({draws_sql.draws(f"SELECT {keep}, base, m, n FROM {name}strata", keep, REPS)}),
-{name}means AS MATERIALIZED (
-  SELECT d.district, d.bed, d.r, {f"any_value(d.{area}) * " if area else ""}avg(w.{value}) AS value
-  FROM {name}drawn d JOIN {name}rows w ON d.district = w.district AND d.bed = w.bed AND d.i = w.i GROUP BY d.district, d.bed, d.r)"""
-
-
-NUMBERS = f"{BOOT}, numbers AS (SELECT district, bed, {_summary_sql('total', 'n')} FROM boot WHERE variable = 'large' GROUP BY district, bed)"
+from towline.catalog.resampling_queries import REPS, SEED, _rows, _summary_sql
+from towline.operators.estimators import haul_frame
+from towline.plans.harvest import HarvestAnalysis
+
+STRATA = "year, district, bed"
+
+
+def _means(name: str, values: tuple[str, ...], factor: str = "") -> str:
+    """CTEs that draw the rows of ``<name>_rows`` within the strata; ``<name>_means`` has the mean of each value by replicate."""
+    keep = f"{STRATA}, {factor}" if factor else STRATA
+    more = f"max({factor}) AS {factor}, " if factor else ""
+    times = f"any_value(d.{factor}) * " if factor else ""
+    means = ", ".join(f"{times}avg(w.{v}) AS {v}" for v in values)
+    keys = " AND ".join(f"d.{k} = w.{k}" for k in STRATA.split(", "))
+    return f"""{name}_strata AS MATERIALIZED (
+  SELECT {STRATA}, {more}{draws_sql.base_hash(SEED, *STRATA.split(", "))} AS base, count(*) AS m, count(*) AS n
+  FROM {name}_rows GROUP BY {STRATA}),
+{name}_drawn AS ({draws_sql.draws(f"SELECT {keep}, base, m, n FROM {name}_strata", keep, REPS)}),
+{name}_means AS MATERIALIZED (
+  SELECT {", ".join(f"d.{k}" for k in STRATA.split(", "))}, d.r, {means} FROM {name}_drawn d JOIN {name}_rows w ON {keys} AND d.i = w.i GROUP BY ALL)"""
+
+
+# One row per haul, numbers and weights drawn together.
+TOTALS = f"""{base.LOCATED}, {base.AREAS}, {base.CATCH},
+sums AS (
+  SELECT haul, sum(count) FILTER (WHERE size_class = 'F') AS number, sum(weight) FILTER (WHERE size_class = 'F') AS grams,
+         sum(count) FILTER (WHERE cond = 'R') AS dead, sum(weight) FILTER (WHERE cond = 'R') AS dead_grams, avg(weight) AS mean_wt
+  FROM catch GROUP BY haul),
+tows AS (
+  SELECT l.haul, l.year, l.district, l.bed, a.area, s.mean_wt, {", ".join(
+      f"coalesce(s.{c}, 0) / (l.effort * 0.00131663 * 0.83) AS {c}" for c in ("number", "grams", "dead", "dead_grams"))}
+  FROM located l LEFT JOIN sums s ON l.haul = s.haul LEFT JOIN areas a ON l.bed = a.bed),
+haul_rows AS MATERIALIZED ({_rows("area, number, grams", "tows", STRATA, "haul")}),
+{_means("haul", ("number", "grams"), "area")},
+totals AS (
+  SELECT {STRATA}, {_summary_sql("number", "n")}, {_summary_sql("grams * 0.00220462", "w")} FROM haul_means GROUP BY {STRATA})"""
 RATIOS = f"""animals AS (
-  SELECT l.district, l.bed, 1 - i.l_discount AS ratio, (i.l_orderkey * 8 + i.l_linenumber) * 1000000 + i.l_partkey AS animal, i.l_suppkey
+  SELECT l.year, l.district, l.bed, 1 - i.l_discount AS ratio, (i.l_orderkey * 8 + i.l_linenumber) * 1000000 + i.l_partkey AS animal, i.l_suppkey
   FROM lineitem i JOIN located l ON i.l_orderkey = l.haul),
-arows AS MATERIALIZED ({_rows("ratio", "animals", "district, bed", "animal, l_suppkey, ratio")}),
-{_drawn("a", "ratio")},
-ratios AS (SELECT district, bed, avg(value) AS mean_ratio FROM ameans GROUP BY district, bed)"""
-GRAMS = f"""wcatch AS (SELECT haul, sum(CASE WHEN size_class = 'F' THEN weight ELSE 0 END) AS large FROM catch GROUP BY haul),
-wdensities AS (
-  SELECT l.haul, l.district, l.bed, a.area, coalesce(c.large, 0) / (l.effort * 0.00131663 * 0.83) AS large
-  FROM located l LEFT JOIN wcatch c ON l.haul = c.haul LEFT JOIN areas a ON l.bed = a.bed),
-wrows AS MATERIALIZED ({_rows("area, large", "wdensities", "district, bed", "haul")}),
-{_drawn("w", "large", "area")},
-pounds AS (SELECT district, bed, {_summary_sql('value * 0.00220462', 'w')} FROM wmeans GROUP BY district, bed)"""
-DEAD = """dead AS (SELECT haul, sum(count) AS c, sum(weight) AS wt FROM catch WHERE cond = 'R' GROUP BY haul),
-gone AS (
-  SELECT l.district, l.bed, count(*) AS n, max(a.area) * avg(coalesce(d.c, 0) / (l.effort * 0.00131663 * 0.83)) AS total_c,
-         max(a.area) * avg(coalesce(d.wt, 0) / (l.effort * 0.00131663 * 0.83)) * 0.00220462 AS total_lb
-  FROM located l LEFT JOIN dead d ON l.haul = d.haul LEFT JOIN areas a ON l.bed = a.bed GROUP BY l.district, l.bed)"""
-
-
-def numbers(spark, sf):
-    large = boot(spark, sf).where(F.col("variable") == "large")
-    return rs.bootstrap_summary(large, KEYS, {"n": "total"})
-
-
-def pounds(spark, sf):
-    """Bootstrap summary of the round weight of the large class, in pounds."""
-    frame = est.haul_frame(base.located_hauls(spark, sf), "effort")
-    grams = pivot_sum(base.catch(spark, sf), ["haul"], "size_class", "weight", base.CLASSES)
-    dense = est.add_density(complete_with_zero(grams, frame, ["haul"], ["large", "small"], how="frame"), ["large", "small"])
-    drawn = rs.bootstrap(dense, KEYS, "haul", ["large"], base.bed_areas(spark, sf), reps=REPS, seed=SEED)
-    return rs.bootstrap_summary(drawn.withColumn("lb", F.col("total") * units.POUNDS_PER_GRAM), KEYS, {"w": "lb"})
-
-
-def ratios(spark, sf):
-    line, located = base.read(spark, sf, "lineitem"), base.located_hauls(spark, sf).select("haul", *KEYS)
-    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
-    ratio = 1 - F.col("l_discount")
-    animal = F.struct(number.alias("number"), "l_suppkey", ratio.alias("ratio"))
-    animals = line.join(located, line.l_orderkey == located.haul).select(*KEYS, ratio.alias("ratio"), animal.alias("animal"))
-    drawn = rs.bootstrap_ratio(animals, KEYS, "animal", "ratio", REPS, SEED)
-    return drawn.groupBy(*KEYS).agg(F.avg("ratio").alias("mean_ratio"))
+animal_rows AS MATERIALIZED ({_rows("ratio", "animals", STRATA, "animal, l_suppkey, ratio")}),
+{_means("animal", ("ratio",))},
+ratios AS (SELECT {STRATA}, avg(ratio) AS mean_ratio FROM animal_means GROUP BY {STRATA})"""
 
 
-def mean_weights(spark, sf):
-    animals = base.individuals(spark, sf).join(base.located_hauls(spark, sf).select("haul", *KEYS), "haul")
-    return est.mean_of_means(animals, ["haul", *KEYS], KEYS, "weight", "mean_wt")
+def analysis(spark, sf):
+    """Hauls with their records; line items are the records and the measured animals."""
+    line = base.read(spark, sf, "lineitem")
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
+    ratio = 1 - F.col("l_discount")
+    frame = haul_frame(base.located_hauls(spark, sf), "effort").select("haul", "year", "district", "bed", "ai")
+    records = frame.join(line, frame.haul == line.l_orderkey, "left").select(
+        F.col("haul").alias("event"),
+        "year",
+        "district",
+        "bed",
+        "ai",
+        (F.col("l_linestatus") == "F").alias("live"),
+        (F.col("l_returnflag") == "R").alias("dead"),
+        F.col("l_quantity").alias("count"),
+        F.col("l_extendedprice").alias("grams"),
+        ratio.alias("ratio"),
+        F.struct(number.alias("number"), "l_suppkey", ratio.alias("ratio")).alias("animal"),
+    )
+    return HarvestAnalysis(records, base.bed_areas(spark, sf), reps=REPS, seed=SEED)
 
 
 @query(
     "w01_number_harvest",
     tidy_sql(
-        f"""WITH {NUMBERS}, {RATIOS}, {base.INDIVIDUALS},
-            weights AS (SELECT district, bed, avg(m) AS mean_wt FROM (
-              SELECT l.haul, l.district, l.bed, avg(i.weight) AS m FROM located l JOIN individuals i ON l.haul = i.haul
-              GROUP BY l.haul, l.district, l.bed) GROUP BY district, bed)
-            SELECT district, bed, {_levels_sql(*[f'mean_ratio * {c} * mean_wt / 453.592' for c in ('ll_n', 'mean_n', 'ul_n')])}
-            FROM numbers JOIN ratios USING (district, bed) JOIN weights USING (district, bed)""",
+        f"""WITH {TOTALS}, {RATIOS}, weights AS (SELECT {STRATA}, avg(mean_wt) AS mean_wt FROM tows GROUP BY {STRATA})
+            SELECT {STRATA}, {_levels_sql(*[f'mean_ratio * {c} * mean_wt / 453.592' for c in ('ll_n', 'mean_n', 'ul_n')])}
+            FROM totals JOIN ratios USING ({STRATA}) JOIN weights USING ({STRATA}) WHERE mean_wt IS NOT NULL""",
         *LEVELS,
     ),
 )
 def w01(spark, sf):
-    joined = numbers(spark, sf).join(ratios(spark, sf), KEYS).join(mean_weights(spark, sf), KEYS)
-    ends = {"ll": "ll_n", "meat": "mean_n", "ul": "ul_n"}
-    return tidy(est.number_harvest(joined, "mean_ratio", "mean_wt", ends, keep=KEYS))
+    return tidy(analysis(spark, sf).number_harvest())
 
 
 @query(
     "w02_weight_harvest",
     tidy_sql(
-        f"""WITH {base.LOCATED}, {base.AREAS}, {base.CATCH}, {RATIOS}, {GRAMS}
-            SELECT district, bed, {_levels_sql(*[f'mean_ratio * {c}' for c in ('ll_w', 'mean_w', 'ul_w')])}
-            FROM pounds JOIN ratios USING (district, bed)""",
+        f"""WITH {TOTALS}, {RATIOS}
+            SELECT {STRATA}, {_levels_sql(*[f'mean_ratio * {c}' for c in ('ll_w', 'mean_w', 'ul_w')])} FROM totals JOIN ratios USING ({STRATA})""",
         *LEVELS,
     ),
 )
 def w02(spark, sf):
-    ends = {"ll": "ll_w", "meat": "mean_w", "ul": "ul_w"}
-    return tidy(est.weight_harvest(pounds(spark, sf).join(ratios(spark, sf), KEYS), "mean_ratio", ends, keep=KEYS))
+    return tidy(analysis(spark, sf).weight_harvest())
 
 
 @query(
     "w03_clapper_summary",
     tidy_sql(
-        f"""WITH {NUMBERS}, {GRAMS}, {DEAD}
-            SELECT district, bed, g.n, 100 * total_c / (mean_n + total_c) AS percent_clap, 100 * total_lb / (mean_w + total_lb) AS percent_clap_wt
-            FROM gone g LEFT JOIN numbers USING (district, bed) LEFT JOIN pounds USING (district, bed)""",
+        f"""WITH {TOTALS}, gone AS (
+              SELECT {STRATA}, count(*) AS n, max(area) * avg(dead) AS total_c, max(area) * avg(dead_grams) * 0.00220462 AS total_lb
+              FROM tows GROUP BY {STRATA})
+            SELECT {STRATA}, g.n, 100 * total_c / nullif(mean_n + total_c, 0) AS percent_clap,
+                   100 * total_lb / nullif(mean_w + total_lb, 0) AS percent_clap_wt
+            FROM gone g LEFT JOIN totals USING ({STRATA})""",
         "percent_clap",
         "percent_clap_wt",
     ),
 )
 def w03(spark, sf):
-    """Share of dead shells in number and weight against the bootstrap means of the large class."""
-    dead = base.catch(spark, sf).where(F.col("cond") == "R")
-    per = dead.groupBy("haul").agg(F.sum("count").alias("c"), F.sum("weight").alias("wt"))
-    frame = est.haul_frame(base.located_hauls(spark, sf), "effort")
-    dense = est.add_density(complete_with_zero(per, frame, ["haul"], ["c", "wt"], how="frame"), ["c", "wt"], total=None)
-    gone = est.expand_estimate_wide(dense, KEYS, {"c": "c", "wt": "wt"}, base.bed_areas(spark, sf))
-    live = numbers(spark, sf).select(*KEYS, "mean_n")
-    joined = gone.join(live, KEYS, "left").join(pounds(spark, sf).select(*KEYS, "mean_w"), KEYS, "left")
-    dead_lb = F.col("total_wt") * units.POUNDS_PER_GRAM
-    return tidy(
-        joined.select(
-            *KEYS,
-            "n",
-            est.share_of_total("total_c", "mean_n").alias("percent_clap"),
-            est.share_of_total(dead_lb, "mean_w").alias("percent_clap_wt"),
-        )
-    )
+    return tidy(analysis(spark, sf).clapper_share())
