@@ -244,6 +244,19 @@ def a18(spark, sf):
     return crosstab(spark, sf)
 
 
+@query(
+    "a18_crosstab_many_classes",
+    """WITH seen AS (SELECT l_returnflag, l_orderkey * 8 + l_linenumber AS record FROM lineitem)
+       SELECT f.l_returnflag, v.record, count(s.record) AS n FROM (SELECT DISTINCT l_returnflag FROM seen) f
+       CROSS JOIN (SELECT DISTINCT record FROM seen) v LEFT JOIN seen s ON s.l_returnflag = f.l_returnflag AND s.record = v.record
+       GROUP BY ALL""",
+)
+def a18_many(spark, sf):
+    """A class for nearly every row of the table."""
+    line = base.read(spark, sf, "lineitem").withColumn("record", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return reshape.crosstab(line, "record", ["l_returnflag"])
+
+
 @query(
     "a18_crosstab_compound",
     f"""WITH {base.LOCATED}, {base.CATCH}, seen AS (

@@ -16,6 +16,7 @@ from towline.operators.cleaning import meat_ratio
 from towline.operators.joins import complete_with_zero
 from towline.operators.reshape import pivot_sum
 from towline.plans.population import population_tables, used_tows
+from towline.session import cut_lineage
 
 STRATA = ["year", "district", "bed"]
 MEASURES = ["large", "small", "all"]
@@ -203,9 +204,13 @@ l AS (
   FROM j JOIN k ON k.bed = lower(trim(j.bed)) AND k.year = j.year)"""
 
 
-def chain(spark, sf):
-    """Inputs of the population plan made from the test tables, in the survey's own schema."""
+def chain(spark, sf, once: bool = False):
+    """Inputs of the population plan made from the test tables, in the survey's own schema.
+
+    ``once`` writes the hauls with their strata first, of which the survey's hauls and recovery records are both made.
+    """
     located = base.located_hauls(spark, sf)
+    located = cut_lineage(located) if once else located
     bed = F.concat_ws("-", "bed", "segment")
     hauls = located.select(
         F.col("year").alias("YEAR"),
@@ -356,7 +361,7 @@ REPORT = {**REPORT_NUMBERS, **REPORT_TEXTS}
 )
 def e14(spark, sf):
     """All columns of the report; texts are read back as numbers, so that both sides round alike."""
-    report = chain(spark, sf)[1]["report"]
+    report = chain(spark, sf, once=True)[1]["report"]
     texts = {c: F.replace(c, F.lit(","), F.lit("")).cast("double") for c in REPORT_TEXTS}
     numbers = {c: F.col(c).cast("double") for c in REPORT_NUMBERS}
     return tidy(report.withColumns(texts | numbers))

@@ -233,5 +233,5 @@ def j13(spark, sf):
         FROM hauls, range(50) t(r) GROUP BY priority, r""",
 )
 def j14(spark, sf):
-    copies = joins.replicates(base.hauls(spark, sf).select("priority", "haul"), 50)
-    return whole(copies.groupBy("priority", "replicate").agg(F.count(F.lit(1)).alias("n"), F.max("haul").alias("last")))
+    per = base.hauls(spark, sf).groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.max("haul").alias("last"))
+    return whole(joins.replicates(per, 50))

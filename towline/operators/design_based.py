@@ -16,8 +16,12 @@ from towline.operators.joins import join_on_normalised, with_t_quantile
 WIDTHS_PER_NMI = units.FEET_PER_NMI / units.DREDGE_WIDTH_FEET
 
 
-def tow_summary(df: DataFrame, by: Sequence[str], length: str, count: str, weight: str) -> DataFrame:
-    """Ten aggregates per stratum from one row per tow with raw catch and tow length."""
+def tow_summary(df: DataFrame, by: Sequence[str], length: str, count: str, weight: str, codes: Sequence[str] = ()) -> DataFrame:
+    """Ten aggregates per stratum from one row per tow with raw catch and tow length.
+
+    ``codes`` are columns whose distinct values in the stratum are kept too, as an array of structs of that name; null is a
+    value. A stratum has few of them.
+    """
     per_length = F.try_divide(F.lit(1.0), F.col(length))
     std_count, std_weight = F.col(count) * per_length, F.col(weight) * per_length
     return df.groupBy(*by).agg(
@@ -31,6 +35,7 @@ def tow_summary(df: DataFrame, by: Sequence[str], length: str, count: str, weigh
         F.avg(std_weight).alias("mean_wt_kg_per_nm"),
         F.var_samp(std_count).alias("var_of_count"),
         F.var_samp(std_weight).alias("var_of_wt"),
+        *([F.collect_set(F.struct(*codes)).alias("codes")] if codes else []),
     )
 
 

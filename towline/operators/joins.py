@@ -85,5 +85,9 @@ def join_on_normalised(
 
 
 def replicates(df: DataFrame, count: int, name: str = "replicate") -> DataFrame:
-    """Each row once per replicate number 0..count-1, generated row by row."""
+    """Each row once per replicate number 0..count-1, generated row by row.
+
+    For rows of strata. Facts are summed up per stratum first: what does not depend on the replicate need not be repeated
+    before, and what does is drawn inside tasks (``resampling``).
+    """
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name))

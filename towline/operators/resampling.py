@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,9 @@ TILE_ROWS = 65_536
 # Draws of one task, about.
 DRAWS_PER_TASK = 20_000_000
 # Draws, and words of random bits, held in memory at once.
-DRAW_BATCH = 1 << 17
+DRAW_BATCH = 1 << 15
+# Leaves of replicates whose draws are counted together.
+CELLS = 1 << 16
 # Numbers of the counter hash from which on those of the tree's nodes stand.
 NODES = 1 << 62
 
@@ -134,9 +136,8 @@ def _tile_sums(
     missing = [np.isnan(v) for v in values]
     clean = [np.where(gone, 0.0, v) for v, gone in zip(values, missing)]
     out = [np.zeros(len(counts)) for _ in range(2 * len(values))]
-    a, ends = 0, np.cumsum(counts)
-    while a < len(counts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + DRAW_BATCH, "right")))
+    for a in range(0, len(counts), max(1, CELLS >> (leaves - depth))):
+        b = min(len(counts), a + max(1, CELLS >> (leaves - depth)))
         replicate, node, cells = np.arange(a, b), np.array([(1 << depth) + tile]), counts[a:b, None]
         for _ in range(leaves - depth):
             node, cells = _split(base, m, replicate, node, cells)
@@ -144,15 +145,27 @@ def _tile_sums(
         counter = (replicate[:, None] * m + before + 1).ravel()
         of_replicate, leaf = (x.ravel() for x in np.indices(cells.shape))
         for some, part, place in _flat(cells.ravel(), DRAW_BATCH):
-            of = np.repeat(np.arange(some.start, some.stop), part)
-            v = counter_hash(base, counter[of] + place) >> np.uint64(32)
-            at = v * np.uint64(whole) + ((rem[leaf[of]] + v * np.uint64(rest)) >> np.uint64(leaves))
-            row = begin[leaf[of]] + (at >> np.uint64(32)).astype(np.int64)
-            to = of_replicate[of]
+            v = counter_hash(base, np.repeat(counter[some], part) + place)
+            v >>= np.uint64(32)
+            if leaves:
+                at = v * np.uint64(rest)
+                at += np.repeat(rem[leaf[some]], part)
+                at >>= np.uint64(leaves)
+                v *= np.uint64(whole)
+                v += at
+                v >>= np.uint64(32)
+                row = v.view(np.int64) + np.repeat(begin[leaf[some]], part)
+            else:
+                v *= np.uint64(whole)
+                v >>= np.uint64(32)
+                row = v.view(np.int64)
+            to = of_replicate[some]
+            drawn = np.bincount(to - to[0], part).astype(np.int64)
+            met = np.flatnonzero(drawn)
+            starts, to = (np.cumsum(drawn) - drawn)[met], a + to[0] + met
             for k, (x, gone) in enumerate(zip(clean, missing)):
-                out[2 * k][a:b] += np.bincount(to, x[row], b - a)
-                out[2 * k + 1][a:b] += np.bincount(to, ~gone[row], b - a) if gone.any() else np.bincount(to, minlength=b - a)
-        a = b
+                out[2 * k][to] += np.add.reduceat(x[row], starts)
+                out[2 * k + 1][to] += np.add.reduceat(~gone[row], starts, dtype=np.int64) if gone.any() else drawn[met]
     return out
 
 
@@ -255,9 +268,11 @@ def pack_strata(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str
     return cut_lineage(rows.mapInArrow(_pack(by, values), schema))
 
 
-def _tiles(pieces: DataFrame, runs: DataFrame, by: list[str], values: list[str], tasks: int) -> DataFrame:
-    """``(*by, n, __depth, __tile, __v_<value>...)``: the rows of each node of the tree at a stratum's tile depth."""
-    placed = null_safe_join(pieces, runs, [*by, "__part"]).withColumn("__at", F.col("__before") + F.col("__local"))
+def _tiles(placed: DataFrame, keys: list[str], by: list[str], values: list[str], tasks: int) -> DataFrame:
+    """``(*keys, __depth, __designs, __tile, __v_<value>...)``: the rows of each node of the tree at a stratum's tile depth.
+
+    ``placed`` are pieces with ``keys``, the tile depth and the number ``__at`` of their first row in the stratum.
+    """
     # Tile j has the rows that meet the part of the unit interval from j / 2^depth on; a row at a border is in two tiles.
     first = "(__at << __depth) div n"
     last = "(((__at + __size) << __depth) - 1) div n"
@@ -265,11 +280,13 @@ def _tiles(pieces: DataFrame, runs: DataFrame, by: list[str], values: list[str],
     low = F.expr("greatest(__at, (__tile * n) >> __depth)")
     high = F.expr("least(__at + __size, (((__tile + 1) * n - 1) >> __depth) + 1)")
     cut = [F.slice(f"__v_{v}", (low - F.col("__at") + 1).cast("int"), (high - low).cast("int")).alias(f"__v_{v}") for v in values]
-    placed = placed.select(*by, "n", "__depth", "__tile", low.alias("__low"), *cut).repartition(tasks, *by, "__tile")
-    parts = F.sort_array(F.collect_list(F.struct("__low", *[f"__v_{v}" for v in values])))
-    grouped = placed.groupBy(*by, "n", "__depth", "__tile").agg(parts.alias("__parts"))
+    placed = placed.select(*keys, "__depth", "__designs", "__tile", low.alias("__low"), *cut).repartition(tasks, *by, "__tile")
+    rest = [c for c in [*keys, "__depth", "__designs"] if c not in by]
+    grouped = placed.groupBy(*by, "__tile").agg(
+        *[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_list(F.struct("__low", *[f"__v_{v}" for v in values]))).alias("__parts")
+    )
     flat = [F.flatten(F.col(f"__parts.__v_{v}")).alias(f"__v_{v}") for v in values]
-    return grouped.select(*by, "n", "__depth", "__tile", *flat)
+    return grouped.select(*keys, "__depth", "__designs", "__tile", *flat)
 
 
 def resample(
@@ -302,19 +319,14 @@ def resample(
         raise ValueError("tile_rows is 1 or more")
     by, values = list(by), list(values)
     pieces = pack_strata(df, by, key, values) if packed is None else packed
-    context = pieces.sparkSession.sparkContext
-    total = pieces.agg(F.sum("__size")).first()[0] or 0
-    tasks = max(context.defaultParallelism, total * reps * len(draws or "1") // DRAWS_PER_TASK)
-    tile = max(1, min(tile_rows, max(LEAF, total // (4 * context.defaultParallelism))))
+    parallel = pieces.sparkSession.sparkContext.defaultParallelism
+    n_strata, largest, total = (x or 0 for x in _sizes(pieces, by).agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first())
+    tasks = max(parallel, total * reps * len(draws or "1") // DRAWS_PER_TASK)
+    # Few strata are cut finer, so that they fill the tasks.
+    tile = tile_rows if n_strata >= 4 * parallel else min(tile_rows, max(LEAF, total // (4 * parallel)))
+    split = largest > max(tile, LEAF)
     deep = lambda rows: F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / rows))).cast("int")
-
-    stratum = Window.partitionBy(*by)
-    runs = pieces.groupBy(*by, "__part").agg(F.sum("__size").alias("__rows"))
-    runs = runs.withColumn("n", F.sum("__rows").over(stratum))
-    runs = runs.withColumn("__before", F.sum("__rows").over(stratum.orderBy("__part")) - F.col("__rows")).drop("__rows")
-    runs = runs.withColumn("__depth", F.least(deep(tile), deep(LEAF)))
-
-    strata = runs.select(*by, "n", "__depth").distinct()
+    strata = _sizes(pieces, by).withColumn("__depth", F.least(deep(tile), deep(LEAF)) if split else F.lit(0))
     extra = []
     if attributes is not None:
         extra = [c for c in attributes.columns if c not in on]
@@ -331,22 +343,34 @@ def resample(
     strata = strata.withColumn("__designs", F.filter(F.array(*designs), lambda d: d["m"] > 0)).where(F.size("__designs") > 0)
 
     keys = [*by, "n", *extra]
-    tiles = _tiles(pieces, runs, by, values, tasks)
-    tiles = null_safe_join(tiles, strata.drop("n", "__depth"), by)
-    shares = _shares(strata.where("__depth > 0"), by, reps, tasks)
-    tiles = null_safe_join(tiles, shares, [*by, "__tile"], "left")
+    # Rows of the stratum in partitions before that of a piece, and before it there.
+    earlier = F.filter("__runs", lambda r: r["__part"] < F.col("__part"))
+    placed = null_safe_join(pieces, strata, by)
+    placed = placed.withColumn("__at", F.aggregate(earlier, F.col("__local"), lambda at, r: at + r["__rows"]))
+    tiles = _tiles(placed, keys, by, values, tasks)
+    if split:
+        tiles = null_safe_join(tiles, _shares(strata.where("__depth > 0"), by, reps, tasks), [*by, "__tile"], "left")
+    else:
+        tiles = tiles.withColumn("__shares", F.lit(None).cast("array<struct<__index: int, __first: bigint, __counts: array<bigint>, __offsets: array<bigint>>>"))
     schema = T.StructType([tiles.schema[k] for k in keys])
     schema.add("__index", T.IntegerType()).add("m", T.LongType()).add("replicate", T.LongType())
     for v in values:
         schema.add(f"sum_{v}", T.DoubleType()).add(f"cnt_{v}", T.LongType())
     plan = tiles.select(*keys, "__depth", "__tile", "__designs", "__shares", *[f"__v_{v}" for v in values])
     out = plan.mapInArrow(_kernel(keys, values, reps), schema)
-    sums = [F.sum(f"{p}_{v}").alias(f"{p}_{v}") for v in values for p in ("sum", "cnt")]
-    out = out.groupBy(*keys, "__index", "m", "replicate").agg(*sums)
+    if split:
+        sums = [F.sum(f"{p}_{v}").alias(f"{p}_{v}") for v in values for p in ("sum", "cnt")]
+        out = out.groupBy(*keys, "__index", "m", "replicate").agg(*sums)
     label = [] if draws is None else [F.element_at(F.array(*[F.lit(k) for k in sizes]), F.col("__index") + 1).alias(design)]
     return out.select(*by, *label, "n", *extra, "m", "replicate", *[f"{p}_{v}" for v in values for p in ("sum", "cnt")])
 
 
+def _sizes(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, n, __runs)``: rows of each stratum, and how many of them each partition of the packing has."""
+    runs = pieces.groupBy(*by, "__part").agg(F.sum("__size").alias("__rows"))
+    return runs.groupBy(*by).agg(F.sum("__rows").alias("n"), F.collect_list(F.struct("__part", "__rows")).alias("__runs"))
+
+
 def _shares(strata: DataFrame, by: list[str], reps: int, tasks: int) -> DataFrame:
     """``(*by, __tile, __shares)``: draws that fall to each tile and to the left of it, by design and replicate."""
     one = strata.select(*by, "__depth", F.inline("__designs"))

@@ -7,6 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from towline.session import cut_lineage
+
+# Classes of a block.
+LEVEL_BLOCK = 5_000
+
+
 def pivot_sum(
     df: DataFrame, ids: Sequence[str], column: str, value: str | Column, levels: Mapping[object, str]
 ) -> DataFrame:
@@ -32,15 +38,22 @@ def crosstab(df: DataFrame, row: str, by: Sequence[str], levels: Sequence | None
     """Counts of ``row`` classes within ``by``, absent cells 0, rows with a null left out.
 
     Long form ``(*by, row, n)``. With declared ``levels`` all cells of a column group come from one aggregate. Otherwise
-    the observed classes, however many, complete the grid of each column group; they never reach the driver.
+    the observed classes, however many, complete the grid of each column group: counts are written to the checkpoint folder
+    once, classes are packed into blocks of some ``LEVEL_BLOCK``, and every column group meets the blocks by a join on their
+    number. No array of all classes is made, in a task or on the driver.
     """
     kept = df.where(F.col(row).isNotNull())
     for b in by:
         kept = kept.where(F.col(b).isNotNull())
     if levels is None:
         counts = kept.groupBy(*by, row).agg(F.count(F.lit(1)).alias("n"))
-        observed = counts.agg(F.sort_array(F.collect_set(row))).scalar()
-        grid = counts.select(*by).distinct().select(*by, F.explode(observed).alias(row))
+        counts = cut_lineage(counts)
+        classes = counts.select(row).distinct()
+        blocks = classes.select(F.ceil(F.count(F.lit(1)) / LEVEL_BLOCK)).scalar()
+        dealt = classes.withColumn("__block", F.pmod(F.xxhash64(row), blocks))
+        packed = dealt.groupBy("__block").agg(F.collect_list(row).alias("__classes"))
+        groups = counts.select(*by).distinct().withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        grid = groups.join(packed, "__block").select(*by, F.explode("__classes").alias(row))
         return grid.join(counts, [*by, row], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     levels = list(levels)
     cells = [F.count(F.when(F.col(row) == F.lit(v), F.lit(1))).alias(f"__{i}") for i, v in enumerate(levels)]
@@ -56,10 +69,13 @@ def col_percent(counts: DataFrame, by: Sequence[str], n: str = "n", digits: int
 
 
 def with_margin(percents: DataFrame, row: str, by: Sequence[str], n: str = "n", margin: str = "n") -> DataFrame:
-    """Percent table as text-labelled long form plus one margin row of counts per column group."""
-    cells = percents.select(*by, F.col(row).cast("string").alias(row), F.col("percent").alias("value"))
-    totals = percents.groupBy(*by).agg(F.sum(n).cast("double").alias("value"))
-    return cells.unionByName(totals.select(*by, F.lit(margin).alias(row), "value"))
+    """Percent table as text-labelled long form plus one margin row of counts per column group, by grouping sets."""
+    sets = percents.groupingSets([[*by, row], list(by)], *by, row).agg(
+        F.grouping(row).alias("__margin"), F.max("percent").alias("__percent"), F.sum(n).cast("double").alias("__n")
+    )
+    is_margin = F.col("__margin") == 1
+    label = F.when(is_margin, F.lit(margin)).otherwise(F.col(row).cast("string"))
+    return sets.select(*by, label.alias(row), F.when(is_margin, F.col("__n")).otherwise(F.col("__percent")).alias("value"))
 
 
 def rollup_to(

@@ -54,7 +54,8 @@ def population_tables(
     stratum; the rest joins tables of one row per stratum.
     """
     tows = tow_catch(hauls, catch, species, condition, after_year)
-    summary = db.tow_summary(tows, STRATA, "length", "count", "weight")
+    # Projects of a stratum come with its sums from one aggregate, so tows are read once.
+    summary = db.tow_summary(tows, STRATA, "length", "count", "weight", codes=["project_code"])
     cells = stations.withColumns({"area": norm_key("SURVEY_AREA"), "bed": norm_key("BED")})
     frame = db.stratum_frame(cells, ["area", "bed"], "Area_Sq_NM")
     total = db.population_estimate(db.with_stratum_frame(summary, frame, ["area", "bed"]))
@@ -62,8 +63,8 @@ def population_tables(
     by_year = recovery.withColumn("year", trailing("SURVEY_AND_YEAR", 4).try_cast("int"))
     rates = db.recovery_rates(by_year, ["bed", "year"], "WHOLE_WT_KG", "MEAT_WT_KG")
     with_meat = db.recovery_estimate(interval, rates, ["bed"], ["year"])
-    projects = tows.select(*STRATA, "project_code").distinct()
-    final = db.final_report(with_meat.join(projects, list(STRATA)), ["year", "project_code", "area", "bed"])
+    by_project = with_meat.select("*", F.inline("codes"))
+    final = db.final_report(by_project, ["year", "project_code", "area", "bed"])
     return {
         "tows": tows,
         "summary": summary,
