@@ -48,6 +48,37 @@ def test_names_of_sections_inside_an_article(page):
     assert main_blocks(page) == TEXT
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"])
+@pytest.mark.parametrize(
+    "other",
+    [
+        f"<div class='comment-list'>{SIDE}{SIDE}{SIDE}</div>",
+        f"<section class='comments-area' id='user-comments'>{SIDE}{SIDE}</section>",
+        f"<div class='ad-slot'>{SIDE}</div>",
+        f"<div class='newsletter-box'>{SIDE}{SIDE}</div>",
+        f"<div class='sidebar-left'>{SIDE}{SIDE}</div>",
+        f"<p class='advert'>{SIDE[3:]}",
+        f"<p class='sponsored'>{SIDE[3:]}",
+        "<h3 class='newsletter'>Get our letter, every week, with all that is new and of note</h3>",
+        f"<div id=commentThread><div>{SIDE}</div></div>",
+        f"<ul class='breadcrumb-trail'><li>{SIDE}</ul>",
+        f"<div class='cookie-message'>{SIDE}</div>",
+        f"<div class='google-ads'>{SIDE}</div><div id='ad_2'>{SIDE}</div>",
+        f"<div class='discussion'><div><span class='user'>A</span>{SIDE}</div><div><span class='user'>B</span>{SIDE}</div></div>",
+        f"<section id='respond'><ol><li><time>today</time>{SIDE}<li><time>now</time>{SIDE}</ol></section>",
+        "<div class='notice'>The shop of this site is closed on Mondays, Tuesdays and on all holidays, from now on, until further word</div>",
+    ],
+)
+def test_comments_adverts_and_sidebars_inside_an_article(around, other):
+    assert main_blocks(f"<body>{around.format(BODY + other)}</body>") == TEXT
+    assert main_blocks(f"<body>{around.format(other + BODY)}</body>") == TEXT
+
+
+def test_names_that_sections_bear_are_kept_at_any_length():
+    page = "<article><p>{}</p><section id='notice'><h2>Notice</h2><p>Yes.</p></section><section class='ad-hoc-groups'><p>No.</p></section></article>"
+    assert main_blocks(page.format(PARAS[0])) == [TEXT[0], "Notice", "Yes.", "No."]
+
+
 def test_headings_and_articles_side_by_side():
     page = f"<main><h1>Title</h1><p>lead</p><article><h2 id='Related_work'>One</h2>{BODY}</article><article>part two</article><nav>menu</nav></main>"
     assert main_blocks(page) == ["Title", "lead", "One", *TEXT, "part two"]

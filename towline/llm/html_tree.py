@@ -59,7 +59,31 @@ DOUBTFUL_NAMES = set(
     " sharing promotion copyright disclaimer consent cookie cookies skip menu subscription head navigation"
     " aside banner overlay".split()
 )
-DOUBTFUL_CHARS, DOUBTFUL_LINKS = 80, 0.33  # a doubtful element with fewer characters or a larger share in links is left out
+DOUBTFUL_LINKS = 0.33  # a doubtful element with a larger share of its text in links is left out
+# Parts of a name that tell what an element is wherever they stand in it, inside an article too.
+CERTAIN_PARTS = set(
+    "advert adverts advertisement advertising sponsored sidebar sidebars breadcrumb breadcrumbs newsletter cookie cookies gdpr"
+    " disqus outbrain taboola masthead navbar topbar toolbar pagination pager popup modal signup".split()
+)
+# Parts that tell it together with another part, or (LAST_PARTS) at the end of a name.
+CERTAIN_PAIRS = {
+    **dict.fromkeys(
+        ("comment", "comments", "reply", "replies"),
+        set("list area thread threads form respond section wrapper wrap box block body item author meta container feed count holder stream text entry user".split()),
+    ),
+    **dict.fromkeys(
+        ("ad", "ads", "adv"),
+        set("slot box unit units container banner wrapper wrap block space frame top bottom left right side inline label holder zone area rail leaderboard".split()),
+    ),
+    **dict.fromkeys(("share", "sharing", "social", "subscribe"), set("button buttons link links bar tools icon icons widget box media form".split())),
+    **dict.fromkeys(("related", "recommended"), set("post posts article articles story stories news item items link links list box widget videos products".split())),
+    **dict.fromkeys(("notice", "notices", "notification", "alert", "consent", "promo"), set("bar banner popup overlay".split())),
+}
+LAST_PARTS = {"comments", "ad", "ads"}
+# Names of what stands with each of several comments: who, when, and an answer.
+MARK_NAMES = set("author avatar user username reply time date timestamp posted permalink".split())
+# Elements whose own text reads as text and not as a label or a button.
+TEXT_TAGS = {"p", "li", "dd", "dt", "td", "th", "blockquote", "pre", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADER_NAMES = {"header", "head", "top"}
 TEXT_NAMES = set("article post entry story content main text body page title headline".split())
 
@@ -76,6 +100,7 @@ class Node:
     link_chars: int = 0
     links: int = 0
     doubt: bool = False  # named as something else, but inside an article or main element
+    mark: bool = False  # says who wrote something or when, or answers it
 
 
 @dataclass
@@ -88,6 +113,25 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
+def _certain(name: str) -> bool:
+    """Whether a class or id can only mean something other than main text."""
+    parts = [p.lower() for p in _NAME_PARTS.findall(name)]
+    if not parts:
+        return False
+    if parts[-1] in LAST_PARTS or parts == ["comment"]:
+        return True
+    return any(p in CERTAIN_PARTS or p in CERTAIN_PAIRS and not CERTAIN_PAIRS[p].isdisjoint(parts) for p in parts)
+
+
+def _is_mark(tag: str, raw: str) -> bool:
+    if tag == "time":
+        return True
+    if not raw:
+        return False
+    a = _attributes(raw)
+    return not MARK_NAMES.isdisjoint(p.lower() for p in _NAME_PARTS.findall(f"{a.get('class', '')} {a.get('rel', '')}"))
+
+
 def _is_out(tag: str, raw: str, in_text: bool) -> bool | None:
     """Whether an element is something other than main text; null if its own text must decide."""
     if tag in NOT_TEXT:
@@ -101,6 +145,9 @@ def _is_out(tag: str, raw: str, in_text: bool) -> bool | None:
         return True
     if a.get("role", "").lower() in NOT_TEXT_ROLES:
         return True
+    # The id of a heading or an article is where links to it lead, made of its words.
+    if any(map(_certain, f"{a.get('class', '')} {'' if tag in HEADINGS or tag == 'article' else a.get('id', '')}".split())):
+        return True
     if in_text:
         whole = {w.lower() for w in f"{a.get('class', '')} {a.get('id', '')}".split()} - DOUBTFUL_NAMES
         if tag in ("article", "main"):
@@ -195,7 +242,7 @@ def parse(source: str) -> Page:
             continue
         in_text = parent.in_text or tag in ("article", "main")
         out = parent.out or _is_out(tag, raw, parent.in_text)
-        nodes.append(Node(tag, stack[-1], bool(out), in_text, parent.link or tag == "a", doubt=out is None))
+        nodes.append(Node(tag, stack[-1], bool(out), in_text, parent.link or tag == "a", doubt=out is None, mark=_is_mark(tag, raw)))
         if tag == "a":
             parent.links += 1
         if tag in RAW:
@@ -229,6 +276,28 @@ def _score(page: Page) -> None:
         up.links += nodes[k].links
 
 
+def _read_as_text(page: Page) -> list[bool]:
+    """Whether an element of doubtful name reads as a part of the text: it has paragraphs, headings, items or cells that are
+    no links, and no two neighbours that each say who wrote them or when, as comments do."""
+    nodes = page.nodes
+    reads, marked, thread = ([False] * len(nodes) for _ in range(3))
+    repeated = [0] * len(nodes)
+    for owner, text, link_chars in page.blocks:
+        if nodes[owner].tag in TEXT_TAGS and 3 * link_chars < len(text):
+            reads[owner] = True
+    for k in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        n, up = nodes[k], nodes[k].parent
+        marked[k] |= n.mark
+        thread[k] |= repeated[k] > 1
+        if up >= 0:
+            reads[up] |= reads[k]
+            thread[up] |= thread[k]
+            if marked[k]:
+                marked[up] = True
+                repeated[up] += n.tag not in INLINE
+    return [r and not t for r, t in zip(reads, thread)]
+
+
 def _density(n: Node) -> float:
     return n.link_chars / n.chars if n.chars else 0.0
 
@@ -272,10 +341,10 @@ def main_blocks(source: str) -> list[str]:
                     ):
                         kept.add(k)
     # From the top down: whether an element is in what is kept, and not in a list of links.
-    taken = [False] * len(nodes)
+    taken, reads = [False] * len(nodes), _read_as_text(page)
     for k, n in enumerate(nodes):
         links = n.tag in ("ul", "ol", "div", "table", "section", "p") and n.links >= 3 and _density(n) > 0.66 and k not in kept
-        other = n.doubt and (n.chars < DOUBTFUL_CHARS or _density(n) > DOUBTFUL_LINKS)
+        other = n.doubt and (not reads[k] or _density(n) > DOUBTFUL_LINKS)
         taken[k] = (k in kept or n.parent >= 0 and taken[n.parent]) and not links and not other
     return [text for owner, text, _ in page.blocks if taken[owner]]
 
