@@ -32,12 +32,12 @@ _HALF = np.uint64(32)
 class Setting:
     word_base: float = 1.3  # levels of word counts: level L stands for base ** (L - 1) up to base ** L
     pair_base: float = 1.5
-    min_pair: int = 2  # bigrams seen less often in training are left to the word model
+    min_pair: int = 1  # bigrams seen less often in training are left to the word model
     discount: float = 0.75  # taken from the count of every kept bigram
     share_steps: int = 32
     bits_per_entry: int = 10
-    probes: int = 6
-    most_bytes: int = 256 << 20  # of a filter that is broadcast; a larger one is asked shard by shard
+    probes: int = 4
+    most_bytes: int = 64 << 20  # of a filter that is broadcast; a larger one is asked shard by shard
     shard_tokens: int = 1 << 21  # training tokens per shard of the bigram counts
     buffer: int = 1 << 21  # bigrams that a task holds before it adds them up
 
