@@ -19,7 +19,7 @@ def brute(docs, unit, min_words):
             w = tuple(m[0].encode().lower().split())
             if not w:
                 continue
-            if w in seen and run and run[-1][1] == m.start():
+            if w in seen and run:  # a unit that is new has ended the run
                 run.append((m.start(), m.end(), len(w), *seen[w]))
             else:
                 out += [run] if run else []
@@ -69,6 +69,16 @@ def test_planted_passage_inside_paragraphs(spark):
     assert sorted(got) == [(k, 63, 1) for k in (3, 5, 7, 9)]
 
 
+def test_passages_go_over_blank_lines(spark):
+    paragraphs = [" ".join(f"p{k}w{j}" for j in range(20)) for k in range(5)]
+    for between in ("\n", "\n\n", "\n \n\t\n"):
+        text = between.join(paragraphs)
+        got = rows(repeated_passages(documents(spark, [text, "Own words first.\n" + text])))
+        assert got == [(1, 17, 17 + len(text), 100, 0, 0)]
+    apart = f"{paragraphs[0]}\n\nown words\n\n{paragraphs[1]}"
+    assert rows(repeated_passages(documents(spark, ["\n".join(paragraphs), apart]))) == []
+
+
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     long = " ".join(f"w{k}" for k in range(40)) + ".\n"
     docs = documents(spark, [long, long, long, None, "", long], ids=[None, 2, 2, 3, 4, 5])

@@ -26,9 +26,10 @@ UNITS = {
 
 
 def digests(df: DataFrame, doc_id: str, text: str, unit: str) -> DataFrame:
-    """``doc_id, start, end, words, h1, h2``: units with offsets in characters and a 128-bit digest of their words.
+    """``doc_id, unit, start, end, words, h1, h2``: units with offsets in characters and a 128-bit digest of their words.
 
-    Normalised: A-Z lower-cased, ASCII white space between words as one space. Units without words are left out.
+    Normalised: A-Z lower-cased, ASCII white space between words as one space. Units without words are left out; the others
+    are numbered in order, so those on both sides of a blank line are neighbours.
     """
     pattern = re.compile(UNITS[unit])
 
@@ -36,15 +37,17 @@ def digests(df: DataFrame, doc_id: str, text: str, unit: str) -> DataFrame:
         for batch in batches:
             rows = []
             for i, t in zip(batch["doc_id"].tolist(), batch["text"]):
+                n = 0
                 for m in pattern.finditer(t):
                     words = words_of(m[0])
                     if words:
+                        n += 1
                         h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        rows.append((i, m.start(), m.end(), len(words), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "words", "h1", "h2"])
+                        rows.append((i, n, m.start(), m.end(), len(words), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "end", "words", "h1", "h2"])
 
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text != ''")
-    return texts.mapInPandas(cut, "doc_id long, start int, end int, words int, h1 long, h2 long")
+    return texts.mapInPandas(cut, "doc_id long, unit int, start int, end int, words int, h1 long, h2 long")
 
 
 def repeats(units: DataFrame) -> DataFrame:
@@ -62,14 +65,15 @@ def repeats(units: DataFrame) -> DataFrame:
 
 
 def passages(repeated: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, start, end, words, from_doc, from_start``: maximal runs of adjoining repeats with ``min_words`` words or more.
+    """``doc_id, start, end, words, from_doc, from_start``: maximal runs of neighbouring repeats with ``min_words`` words or more.
 
-    Where two rows share an id, their equal units count once. ``from_doc`` and ``from_start`` tell where the first unit
+    Blank lines do not end a run. Where two rows share an id, their equal units count once. ``from_doc`` and ``from_start`` tell where the first unit
     of the run stays.
     """
-    unit = repeated.dropDuplicates(["doc_id", "start", "end"])
+    unit = repeated.dropDuplicates(["doc_id", "unit", "start", "end"])
     by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
-    begins = (F.col("start") != F.lag("end").over(by_doc)) | F.lag("end").over(by_doc).isNull()
+    before = F.lag("unit").over(by_doc)
+    begins = (F.col("unit") != before + 1) | before.isNull()
     numbered = unit.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(by_doc))
     runs = numbered.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"),
@@ -101,7 +105,7 @@ def repeated_passages(
     """``doc_id, start, end, words, from_doc, from_start``: passages to remove, offsets in characters of the original text.
 
     The earliest occurrence of every unit, by document id and offset, is not among them, so nothing is lost from the
-    corpus. Null and empty texts and null ids have none. Rows that share an id are one document: a row is no copy of
+    corpus. A passage may go over blank lines; runs of repeats of fewer than ``min_words`` words stay in the corpus. Null and empty texts and null ids have none. Rows that share an id are one document: a row is no copy of
     itself. Other columns are not looked at.
     """
     return passages(repeats(digests(df, doc_id, text, unit)), min_words)

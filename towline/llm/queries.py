@@ -229,14 +229,16 @@ placed AS (
                                            '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM pieces),
 units AS (
-  SELECT doc_id, CAST(stop - size AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, w, len(w) AS words FROM placed WHERE len(w) > 0),
+  SELECT doc_id, CAST(stop - size AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, w, len(w) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY stop) AS unit
+  FROM placed WHERE len(w) > 0),
 firsts AS (SELECT w, min((doc_id, start)) AS f FROM units GROUP BY w),
 repeated AS (
-  SELECT doc_id, start, stop, words, f[1] AS first_doc, f[2] AS first_start
+  SELECT doc_id, unit, start, stop, words, f[1] AS first_doc, f[2] AS first_start
   FROM units JOIN firsts USING (w) WHERE (doc_id, start) > f),
 runs AS (
-  SELECT *, sum(CASE WHEN start = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run
-  FROM (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM repeated))
+  SELECT *, sum(CASE WHEN unit = before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run
+  FROM (SELECT *, lag(unit) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM repeated))
 SELECT doc_id, min(start) AS start, max(stop) AS "end", CAST(sum(words) AS INTEGER) AS words,
        arg_min(first_doc, start) AS from_doc, arg_min(first_start, start) AS from_start
 FROM runs GROUP BY doc_id, run HAVING sum(words) >= 25"""
