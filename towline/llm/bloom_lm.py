@@ -37,7 +37,7 @@ class Setting:
     share_steps: int = 32
     bits_per_entry: int = 10
     probes: int = 4
-    most_bytes: int = 64 << 20  # of a filter that is broadcast; a larger one is asked shard by shard
+    most_bytes: int = 128 << 20  # of a filter that is broadcast; a larger one is asked shard by shard
     shard_tokens: int = 1 << 21  # training tokens per shard of the bigram counts
     buffer: int = 1 << 21  # bigrams that a task holds before it adds them up
 
