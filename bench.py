@@ -43,6 +43,8 @@ HEADLINE = (
     "w01_number_harvest",
     "w02_weight_harvest",
     "w03_clapper_summary",
+    "w04_class_table",
+    "w05_sample_size_study",
 )
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from towline.catalog import base, draws_sql
 from towline.catalog.base import query, tidy, tidy_sql
 from towline.catalog.estimator_queries import LEVELS, _levels_sql
-from towline.catalog.resampling_queries import REPS, SEED, _rows, _summary_sql
+from towline.catalog.resampling_queries import DESIGN, REPS, SEED, STUDY, _rows, _summary_sql
 from towline.operators.estimators import haul_frame
+from towline.plans.biology import MEAT_LABELS, class_table
 from towline.plans.harvest import HarvestAnalysis
+from towline.plans.sample_size import bed_areas, sample_size_tables, study_tows
 
 STRATA = "year, district, bed"
 
@@ -113,3 +115,63 @@ def w02(spark, sf):
 )
 def w03(spark, sf):
     return tidy(analysis(spark, sf).clapper_share())
+
+
+@query(
+    "w04_class_table",
+    f"""WITH {base.LOCATED}, {base.CATCH},
+        seen AS (SELECT l.bed, CASE c.cond WHEN 'A' THEN 'Good' WHEN 'R' THEN 'Weak' END AS class FROM catch c JOIN located l ON c.haul = l.haul),
+        counts AS (
+          SELECT b.bed, v.class, count(s.class) AS n FROM (SELECT DISTINCT bed FROM seen WHERE class IS NOT NULL) b
+          CROSS JOIN (VALUES ('Good'), ('Weak')) v(class) LEFT JOIN seen s ON s.bed = b.bed AND s.class = v.class GROUP BY ALL)
+        SELECT bed, class, round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY bed), 2) AS value FROM counts
+        UNION ALL SELECT bed, 'n', sum(n)::DOUBLE FROM counts GROUP BY bed""",
+)
+def w04(spark, sf):
+    """Meat classes of all records by bed, with the row of counts; records of no class are left out."""
+    code = F.when(F.col("cond") == "A", 1).when(F.col("cond") == "R", 2)
+    bio = base.catch(spark, sf).join(base.located_hauls(spark, sf).select("haul", "bed"), "haul").withColumn("code", code)
+    return class_table(bio, "code", "bed", MEAT_LABELS)
+
+
+# The study on tow rules: one district under another name, designated lengths that differ from the field's by up to 14 %.
+FAR = "ASIA"
+_DESIGNATED = "l.effort * (1 + l.haul % 3 * 0.07)"
+TOW_STUDY = STUDY.replace("l.district,", f"CASE WHEN l.district = '{FAR}' THEN 'Far' ELSE l.district END AS district,").replace(
+    "(l.effort *", f"(CASE WHEN abs(l.effort - {_DESIGNATED}) > l.effort * 0.10 THEN l.effort ELSE {_DESIGNATED} END *"
+)
+
+
+@query(
+    "w05_sample_size_study",
+    tidy_sql(
+        f"""WITH {DESIGN.replace(STUDY, TOW_STUDY)}
+            SELECT district AS area_name, bed, year, fraction, m, p_mean, p_sd, p_var FROM study""",
+        "p_mean",
+        "p_sd",
+        "p_var",
+    ),
+)
+def w05(spark, sf):
+    """Used tows by the rule of the two lengths, standardised counts, and the precision of each design."""
+    located = base.located_hauls(spark, sf)
+    hauls = located.select(
+        F.col("year").alias("YEAR"),
+        F.col("haul").alias("EVENT_ID"),
+        F.col("district").alias("SURVEY_AREA"),
+        F.concat(F.lit(" "), "bed").alias("BED"),
+        F.col("effort").alias("TOW_LENGTH_FIELD"),
+        (F.col("effort") * (1 + F.col("haul") % 3 * 0.07)).alias("TOW_LENGTH_DESIGNATED"),
+        F.lit("YES").alias("USED_IN_ESTIMATE"),
+    )
+    records = base.catch(spark, sf).select(
+        F.col("haul").alias("EVENT_ID"),
+        F.lit(850).alias("SPECIES_CODE"),
+        F.lit(1).alias("CONDITION_CODE"),
+        F.col("count").alias("COUNT"),
+        F.col("weight").alias("SAMPLE_WT_KG"),
+    )
+    area = F.when(F.col("district") == FAR, "Far").otherwise(F.col("district"))
+    cells = base.stations(spark, sf).select(area.alias("SURVEY_AREA"), F.col("bed").alias("BED"), F.lit(1.0).alias("Area_Sq_NM"))
+    tows = study_tows(hauls, records, {FAR: "Far"}, 850)
+    return tidy(sample_size_tables(tows, bed_areas(cells), REPS, SEED, na_rm=True)["study"])
