@@ -283,7 +283,8 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", s: Setting =
     shares = shares.join(halves, "raw").select("raw", (F.col("mass") / F.col("c")).alias("x"))
     words = packed_entries(counts.select(F.col("token").alias("raw"), F.col("c").alias("x")), WORD, shards, s)
     words = words.unionByName(packed_entries(shares, SHARE, shards, s).withColumn("mass", F.lit(0.0)))
-    entries = staged(words.unionByName(pairs.select("shard", "keys", "levels", "entries", F.lit(0.0).alias("mass"))))
+    # The bigrams are written already; only what is new is written here.
+    entries = staged(words).unionByName(pairs.select("shard", "keys", "levels", "entries", F.lit(0.0).alias("mass")))
     total, mass = entries.agg(F.sum("entries"), F.sum("mass")).first()
     size = int(total or 0) * s.bits_per_entry
     shard_bits = max(64, -(-size // shards // 8) * 8)
