@@ -92,7 +92,7 @@ def test_filter_gives_the_model_of_exact_tables(spark):
 def test_bound_of_the_filter_holds(spark):
     df = documents(spark, corpus(60, 4))
     model = lm.train(df, lm.word_counts(df, "text"), s=lm.Setting(most_bytes=2048, shard_tokens=400))
-    assert model.shards > 3 and len(model.bits) <= 2048 + 8 * model.shards
+    assert model.shards > 3 and len(model.bits) <= 2048 + 16 * model.shards
 
 
 def test_a_filter_beyond_the_bound_keeps_its_bits_and_scores(spark):
@@ -102,7 +102,7 @@ def test_a_filter_beyond_the_bound_keeps_its_bits_and_scores(spark):
     counts = lm.word_counts(learned, "text").cache()
     whole, parted = (lm.train(learned, counts, s=lm.Setting(shard_tokens=1000, most_bytes=m)) for m in (1 << 20, 512))
     assert whole.stored is None and parted.stored is not None and len(parted.bits) == 0
-    assert parted.entries == whole.entries and parted.shard_bits * parted.shards >= 10 * parted.entries
+    assert parted.entries == whole.entries and (parted.word_bits + parted.pair_bits) * parted.shards >= 10 * parted.entries
     a, b = (sorted(rows(lm.score(df, m, counts, most_frequent=3)), key=str) for m in (whole, parted))
     assert len(a) == len(b) == len(texts)
     for x, y in zip(a, b):
@@ -121,8 +121,12 @@ def test_packing_round_trip():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.int64).astype(np.uint64) << np.uint64(1))
     counts = rng.integers(1, 99, len(keys))
-    k, c = lm.unsqueezed(lm.squeezed(keys, counts))
+    k, c = lm.unsqueezed_pairs(lm.squeezed_pairs(keys, counts))
     assert np.array_equal(k, keys) and np.array_equal(c, counts)
+    inner, levels = lm.unsqueezed_entries(lm.squeezed_entries(keys, counts))
+    order = np.argsort(keys >> np.uint64(24), kind="stable")
+    assert np.array_equal(inner, np.sort(keys >> np.uint64(24))) and np.array_equal(levels, counts[order])
+    assert all(len(x) == 0 for x in lm.unsqueezed_entries(lm.squeezed_entries(keys[:0], counts[:0])))
 
 
 def test_nulls_empty_tables_repeats_and_clashing_columns(spark):

@@ -3,8 +3,10 @@
 The model is an interpolated bigram model. The filter holds counts on a logarithmic scale: an n-gram of level L is entered
 as L members (n-gram, 1) .. (n-gram, L), and its level is read back by asking for ever higher members until one is missing.
 Three families are in it: counts of words, counts of bigrams, and for each history the share of its mass that kept bigrams
-take, which is what the rest of the words must be discounted by. The filter has the same bits an entry at every size. Up to
-a bound it is broadcast; beyond that its shards stay in the shared folder and n-grams are sent to the shard that has them.
+take, which is what the rest of the words must be discounted by. The filter has the same bits an entry at every size. Its
+shards hold a bounded number of entries, those of words and shares apart from those of bigrams, so 40 bits of an n-gram's
+hash tell it from the others of its shard. Up to a bound the filter is broadcast; beyond that its shards stay in the shared
+folder and n-grams are sent to the shard that has them.
 Exact word counts for a baseline come from a join.
 """
 
@@ -26,6 +28,7 @@ from towline.llm.common import hashed_words, mix, staged
 BOUNDARY = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 WORD, PAIR, SHARE = 1, 2, 3  # families of the filter
 _HALF = np.uint64(32)
+_INNER = np.uint64(24)  # bits of a key that only choose its shard
 
 
 @dataclass(frozen=True)
@@ -72,17 +75,47 @@ def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def squeezed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys with counts in few bytes: differences of the upper halves repeat, most counts are 1."""
-    high = np.diff((keys >> _HALF).astype("<u4"), prepend=np.uint32(0))
-    low = keys.astype("<u4")  # the lower half
-    data = b"".join(x.tobytes() for x in (high.astype("<u4"), low, counts.astype("<u4")))
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length in few bytes: the first bytes of all values, then the second ones, and so on."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def unsqueezed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").reshape(3, -1)
-    return np.cumsum(x[0], dtype=np.uint32).astype(np.uint64) << _HALF | x[1].astype(np.uint64), x[2].astype(np.int64)
+def unsqueezed(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns of :func:`squeezed`, given their types."""
+    flat, sizes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(flat) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
+
+
+def steps_of(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys, which take fewer bytes; ``np.cumsum`` gives the keys again."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
+
+
+def squeezed_pairs(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted bigrams with counts: the histories repeat, most counts are 1."""
+    return squeezed(steps_of((keys >> _HALF).astype("<u4")), keys.astype("<u4"), counts.astype("<u4"))
+
+
+def unsqueezed_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    high, low, counts = unsqueezed(data, "<u4", "<u4", "<u4")
+    return np.cumsum(high, dtype=np.uint32).astype(np.uint64) << _HALF | low, counts.astype(np.int64)
+
+
+def squeezed_entries(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    """What the filter needs to know of the keys of one shard, with their levels."""
+    inner = keys >> _INNER
+    order = np.argsort(inner)
+    return squeezed(steps_of(inner[order]), levels[order].astype(np.uint8))
+
+
+def unsqueezed_entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, levels = unsqueezed(data, "<u8", "u1")
+    return np.cumsum(steps, dtype=np.uint64), levels
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
@@ -103,7 +136,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
 
 
 def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFrame:
-    """``shard, keys, levels, histories, shares``: bigrams seen ``min_pair`` times or more, a row per shard.
+    """``shard, data, entries, histories, shares``: bigrams seen ``min_pair`` times or more, a row per shard.
 
     A task adds up what it has read before it deals the bigrams to shards by their hash, so the bigrams of one very
     frequent history are spread over all shards. ``shares`` has the discounted counts of each history in the shard.
@@ -117,7 +150,7 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
             shard = (mix(keys, PAIR) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
             ends = np.searchsorted(shard[order], np.arange(1, shards + 1))
-            out = [(k, squeezed(keys[part], counts[part])) for k, part in enumerate(np.split(order, ends[:-1])) if len(part)]
+            out = [(k, squeezed_pairs(keys[part], counts[part])) for k, part in enumerate(np.split(order, ends[:-1])) if len(part)]
             return pd.DataFrame(out, columns=["shard", "data"])
 
         for batch in batches:
@@ -130,7 +163,7 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
             yield rows()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unsqueezed(d) for d in group["data"]]
+        parts = [unsqueezed_pairs(d) for d in group["data"]]
         keys, counts = added_up(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         keep = counts >= s.min_pair
         keys, levels = keys[keep], level(counts[keep], s.pair_base)
@@ -140,8 +173,7 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
         return pd.DataFrame(
             {
                 "shard": [int(group["shard"].iloc[0])],
-                "keys": [mix(keys, PAIR).tobytes()],
-                "levels": [entered.astype(np.uint8).tobytes()],
+                "data": [squeezed_entries(mix(keys, PAIR), entered)],
                 "entries": [int(entered.sum())],
                 "histories": [histories.astype(np.int64)],
                 "shares": [np.bincount(where, weights=mass, minlength=len(histories))],
@@ -149,7 +181,7 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
         )
 
     dealt = texts.select(text).mapInPandas(deal, "shard int, data binary")
-    schema = "shard int, keys binary, levels binary, entries long, histories array<long>, shares array<double>"
+    schema = "shard int, data binary, entries long, histories array<long>, shares array<double>"
     return dealt.groupBy("shard").applyInPandas(merge, schema)
 
 
@@ -162,31 +194,36 @@ def pair_floor(s: Setting) -> int:
 class Model:
     """The filter with what turns levels into probabilities."""
 
-    bits: np.ndarray  # bytes of all shards; none if they stay in ``stored``
-    shards: int
-    shard_bits: int
+    bits: np.ndarray  # bytes of all shards, those of words first; none if they stay in ``stored``
+    shards: int  # of words and shares, and as many of bigrams
+    word_bits: int  # bits of a shard of words and shares
+    pair_bits: int
     mass: float  # sum of what word levels stand for, plus vocabulary, plus one
     setting: Setting
     entries: int
     stored: DataFrame | None = None  # ``shard, bits`` of a filter too large to broadcast
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key in the filter at hand."""
-        return levels_in(self.bits, keys, keys % np.uint64(self.shards) * np.uint64(self.shard_bits), self.shard_bits, self.setting)
+    def levels(self, keys: np.ndarray, pairs_from: int) -> np.ndarray:
+        """Level of each key of :func:`asked` in the filter at hand; bigrams begin at ``pairs_from``."""
+        shards, out = np.uint64(self.shards), []
+        for part, first, size in (keys[:pairs_from], 0, self.word_bits), (keys[pairs_from:], self.shards * self.word_bits, self.pair_bits):
+            base = part % shards * np.uint64(size) + np.uint64(first)
+            out.append(levels_in(self.bits, part >> _INNER, base, size, self.setting))
+        return np.concatenate(out)
 
-    def log10(self, tokens: np.ndarray, starts: np.ndarray, words: np.ndarray, word_at: np.ndarray, told: np.ndarray | None = None) -> np.ndarray:
-        """Log10 probability of each text of :func:`tokens_of`, given the distinct tokens and where they are.
+    def log10(self, tokens: np.ndarray, starts: np.ndarray, word_at: np.ndarray, pair_at: np.ndarray, end: int, told: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text of :func:`tokens_of`.
 
-        ``told`` has the levels of :func:`asked` if they come from elsewhere.
+        ``word_at`` and ``pair_at`` tell which of the distinct words and bigrams each token is and ends, ``end`` which word
+        is the boundary, ``told`` the levels of :func:`asked`.
         """
-        s, pairs = self.setting, pairs_of(tokens, starts)
-        distinct, pair_at = np.unique(pairs, return_inverse=True)
-        keys = asked(words, distinct)
-        word_level, share_level, pair_level = np.split(self.levels(keys) if told is None else told, [len(words), 2 * len(words)])
+        s = self.setting
+        n = int(word_at.max(initial=-1)) + 1
+        word_level, share_level, pair_level = np.split(told, [n, 2 * n])
         count = np.where(word_level > 0, s.word_base ** (word_level - 1.0), 0.0)
         alone = ((count + 1) / self.mass)[word_at]
         before = np.roll(word_at, 1)
-        before[starts[:-1]] = np.searchsorted(words, BOUNDARY)
+        before[starts[:-1]] = end
         seen = (word_level > 0)[before]
         history_count = s.word_base ** word_level[before].astype(float)  # not under the true count
         share = np.minimum(share_level, s.share_steps)[before] / s.share_steps
@@ -201,8 +238,15 @@ def asked(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(words, WORD), mix(words >> _HALF, SHARE), mix(pairs, PAIR)])
 
 
+def dealt(keys: np.ndarray, pairs_from: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each key of :func:`asked` (words' first), and the order by shard and by what is asked within it."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    shard[pairs_from:] += shards
+    return shard, np.lexsort((keys >> _INNER, shard))
+
+
 def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits: int, s: Setting) -> np.ndarray:
-    """Level of each key by probing members 1, 2, .. until one is missing; its shard begins at bit ``base``."""
+    """Level of each key within its shard, by probing members 1, 2, .. until one is missing; the shard begins at bit ``base``."""
     out, live, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
     while len(live) and step < 256:
         here, stride = start_of(keys[live], step)
@@ -217,16 +261,13 @@ def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits:
 
 
 def start_of(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and stride of the probes for member ``step`` of each key, modulo the bits of a shard.
-
-    All members of a key lie in shard ``key % shards``.
-    """
+    """First place and stride of the probes for member ``step`` of each key within its shard, modulo the bits of the shard."""
     f = mix(keys ^ np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     return f, mix(f, 1) | np.uint64(1)
 
 
 def packed_entries(rows: DataFrame, family: int, shards: int, s: Setting) -> DataFrame:
-    """``shard, keys, levels, entries, mass`` of rows ``raw, x``: word counts or shares. ``mass`` is what word levels stand for."""
+    """``shard, data, entries, mass`` of rows ``raw, x``: word counts or shares. ``mass`` is what word levels stand for."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -236,39 +277,55 @@ def packed_entries(rows: DataFrame, family: int, shards: int, s: Setting) -> Dat
             order = np.argsort(shard, kind="stable")
             parts = np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
             out = [
-                (k, keys[p].tobytes(), lev[p].astype(np.uint8).tobytes(), int(lev[p].sum()), float((s.word_base ** (lev[p] - 1.0)).sum()))
+                (k, squeezed_entries(keys[p], lev[p]), int(lev[p].sum()), float((s.word_base ** (lev[p] - 1.0)).sum()))
                 for k, p in enumerate(parts)
                 if len(p)
             ]
-            yield pd.DataFrame(out, columns=["shard", "keys", "levels", "entries", "mass"])
+            yield pd.DataFrame(out, columns=["shard", "data", "entries", "mass"])
 
     return rows.select("raw", F.col("x").cast("double").alias("x")).mapInPandas(
-        pack, "shard int, keys binary, levels binary, entries long, mass double"
+        pack, "shard int, data binary, entries long, mass double"
     )
 
 
-def filter_shards(entries: DataFrame, shard_bits: int, s: Setting) -> DataFrame:
-    """``shard, bits`` of the filter, made shard by shard in tasks and written to the shared folder."""
+def entered(parts, shard_bits: int, s: Setting) -> bytes:
+    """Bits of a shard with the entries of all parts."""
+    bits = np.zeros(shard_bits, bool)
+    for data in parts:
+        keys, lev = unsqueezed_entries(data)
+        for step in range(1, int(lev.max(initial=0)) + 1):
+            here, stride = start_of(keys[lev >= step], step)
+            for _ in range(s.probes):
+                bits[here % np.uint64(shard_bits)] = True
+                here = here + stride
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def filter_shards(words: DataFrame, pairs: DataFrame, shards: int, word_bits: int, pair_bits: int, s: Setting) -> DataFrame:
+    """``shard, bits`` of the filter, made shard by shard in tasks and written to the shared folder.
+
+    Parts of ``words`` meet by shard. ``pairs`` has a row per shard already, whose bits are made where it is read.
+    """
+
+    def of_words(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "bits": [entered(group["data"], word_bits, s)]})
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(shard_bits, bool)
-        for k, lev in zip(group["keys"], group["levels"]):
-            keys, lev = np.frombuffer(k, np.uint64), np.frombuffer(lev, np.uint8)
-            for step in range(1, int(lev.max(initial=0)) + 1):
-                here, stride = start_of(keys[lev >= step], step)
-                for _ in range(s.probes):
-                    bits[here % np.uint64(shard_bits)] = True
-                    here = here + stride
-        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    def of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, data in zip(batch["shard"].tolist(), batch["data"]):
+                yield pd.DataFrame({"shard": [shard + shards], "bits": [entered([data], pair_bits, s)]})
 
-    return staged(entries.groupBy("shard").applyInPandas(build, "shard int, bits binary"))
+    a = words.select("shard", "data").groupBy("shard").applyInPandas(of_words, "shard int, bits binary")
+    return staged(a.unionByName(pairs.select("shard", "data").mapInPandas(of_pairs, "shard int, bits binary")))
 
 
-def filter_bits(built: DataFrame, shards: int, shard_bits: int) -> np.ndarray:
+def filter_bits(built: DataFrame, shards: int, word_bits: int, pair_bits: int) -> np.ndarray:
     """All shards of :func:`filter_shards` in one array on the driver."""
-    out = np.zeros(shards * shard_bits // 8, np.uint8)
+    out = np.zeros(shards * (word_bits + pair_bits) // 8, np.uint8)
     for r in built.toLocalIterator():  # read from the folder, so shards are built side by side
-        out[r["shard"] * shard_bits // 8 : (r["shard"] + 1) * shard_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+        k = r["shard"]
+        at = (k * word_bits if k < shards else shards * word_bits + (k - shards) * pair_bits) // 8
+        out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -283,15 +340,14 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", s: Setting =
     shares = shares.join(halves, "raw").select("raw", (F.col("mass") / F.col("c")).alias("x"))
     words = packed_entries(counts.select(F.col("token").alias("raw"), F.col("c").alias("x")), WORD, shards, s)
     words = words.unionByName(packed_entries(shares, SHARE, shards, s).withColumn("mass", F.lit(0.0)))
-    # The bigrams are written already; only what is new is written here.
-    entries = staged(words).unionByName(pairs.select("shard", "keys", "levels", "entries", F.lit(0.0).alias("mass")))
-    total, mass = entries.agg(F.sum("entries"), F.sum("mass")).first()
-    size = int(total or 0) * s.bits_per_entry
-    shard_bits = max(64, -(-size // shards // 8) * 8)
+    words = staged(words)
+    (word_entries, mass), pair_entries = words.agg(F.sum("entries"), F.sum("mass")).first(), pairs.agg(F.sum("entries")).first()[0]
+    word_bits, pair_bits = (max(64, -(-int(e or 0) * s.bits_per_entry // shards // 8) * 8) for e in (word_entries, pair_entries))
     vocabulary = counts.count()
-    built, short = filter_shards(entries, shard_bits, s), size <= s.most_bytes * 8
-    bits = filter_bits(built, shards, shard_bits) if short else np.zeros(0, np.uint8)
-    return Model(bits, shards, shard_bits, (mass or 0.0) + vocabulary + 1, s, int(total or 0), None if short else built)
+    built, short = filter_shards(words, pairs, shards, word_bits, pair_bits, s), (word_bits + pair_bits) * shards <= s.most_bytes * 8
+    bits = filter_bits(built, shards, word_bits, pair_bits) if short else np.zeros(0, np.uint8)
+    entries = int(word_entries or 0) + int(pair_entries or 0)
+    return Model(bits, shards, word_bits, pair_bits, (mass or 0.0) + vocabulary + 1, s, entries, None if short else built)
 
 
 def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
@@ -300,7 +356,7 @@ def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
     Each batch sends its keys to the shards that have them. A task reads a shard's bits first and then the keys that ask
     it, so it holds one shard and one Arrow batch of keys, whatever the corpus.
     """
-    shards, shard_bits, s = model.shards, model.shard_bits, model.setting
+    shards, word_bits, pair_bits, s = model.shards, model.word_bits, model.pair_bits, model.setting
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -313,11 +369,13 @@ def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for batch, texts in zip(b["batch"], b["texts"]):
                 tokens, starts = tokens_of(texts)
-                keys = asked(np.unique(tokens), np.unique(pairs_of(tokens, starts)))
-                shard = (keys % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                parts = np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
-                out = [(k, batch, keys[p].tobytes()) for k, p in enumerate(parts) if len(p)]
+                words = np.unique(tokens)
+                keys = asked(words, np.unique(pairs_of(tokens, starts)))
+                shard, order = dealt(keys, 2 * len(words), shards)
+                inner = keys[order] >> _INNER
+                ends = np.searchsorted(shard[order], np.arange(2 * shards + 1))
+                parts = enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                out = [(k, batch, squeezed(steps_of(inner[i:j]))) for k, (i, j) in parts if j > i]
                 yield pd.DataFrame(out, columns=["shard", "batch", "data"])
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,13 +386,14 @@ def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
                 if pd.isna(batch):
                     here, bits = shard, np.frombuffer(data, np.uint8)
                     continue
-                keys = np.frombuffer(data, np.uint64)
+                keys = np.cumsum(unsqueezed(data, "<u8")[0], dtype=np.uint64)
+                size = word_bits if shard < shards else pair_bits
                 # A shard without bits has no entries.
-                told = levels_in(bits, keys, np.zeros(len(keys), np.uint64), shard_bits, s) if shard == here else np.zeros(len(keys))
-                out.append((int(batch), shard, told.astype(np.uint8).tobytes()))
+                told = levels_in(bits, keys, np.zeros(len(keys), np.uint64), size, s) if shard == here else np.zeros(len(keys))
+                out.append((int(batch), shard, squeezed(told.astype(np.uint8))))
             yield pd.DataFrame(out, columns=["batch", "shard", "told"])
 
-    packed = staged(numbered.mapInPandas(pack, "batch long, rows array<long>, doc_ids array<long>, texts array<string>"))
+    packed = staged(numbered.mapInPandas(pack, "batch long, rows array<long>, doc_ids array<long>, texts array<string>"), "zstd")
     keys = packed.select("batch", "texts").mapInPandas(deal, "shard int, batch long, data binary")
     bits = model.stored.select("shard", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("data"))
     met = bits.unionByName(keys).repartition("shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first())
@@ -373,28 +432,31 @@ def score(
     shared, top = spark.sparkContext.broadcast(replace(model, stored=None)), spark.sparkContext.broadcast(frequent(counts, most_frequent))
     columns = ["row", "doc_id", "token", "tf", "known", "logs", "n_tokens", "score"]
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray | None]]:
-        """Batches of texts, with levels if shards were asked for them."""
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list | None]]:
+        """Batches of texts, with the parts of their levels if shards were asked for them."""
         for b in batches:
             if "told" not in b:
                 yield b, None
                 continue
             for rows, ids, texts, parts in zip(b["rows"], b["doc_ids"], b["texts"], b["told"]):
-                tokens, starts = tokens_of(texts)
-                keys = asked(np.unique(tokens), np.unique(pairs_of(tokens, starts)))
-                order = np.argsort((keys % np.uint64(shared.value.shards)).astype(np.int64), kind="stable")
-                told = np.zeros(len(keys), np.int64)
-                told[order] = np.frombuffer(b"".join(p["told"] for p in parts), np.uint8)
                 ids = pd.array([pd.NA if pd.isna(i) else int(i) for i in ids], "Int64")
-                yield pd.DataFrame({"row": np.asarray(rows, np.int64), "doc_id": ids, "text": pd.Series(list(texts), dtype=object)}), told
+                yield pd.DataFrame({"row": np.asarray(rows, np.int64), "doc_id": ids, "text": pd.Series(list(texts), dtype=object)}), parts
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, known_counts = top.value
         logs_of = np.append(np.log10(known_counts + 1.0), 0.0)
-        for batch, told in apart(batches):
+        for batch, parts in apart(batches):
             tokens, starts = tokens_of(batch["text"])
             words, where = np.unique(tokens, return_inverse=True)
-            scores = shared.value.log10(tokens, starts, words, where, told)
+            bigrams, pair_at = np.unique(pairs_of(tokens, starts), return_inverse=True)
+            keys = asked(words, bigrams)
+            if parts is None:
+                told = shared.value.levels(keys, 2 * len(words))
+            else:
+                told = np.zeros(len(keys), np.int64)
+                order = dealt(keys, 2 * len(words), shared.value.shards)[1]
+                told[order] = np.concatenate([np.zeros(0, np.uint8), *(unsqueezed(p["told"], "u1")[0] for p in parts)])
+            scores = shared.value.log10(tokens, starts, where, pair_at, int(np.searchsorted(words, BOUNDARY)), told)
             distinct = words.view(np.int64)
             at = np.searchsorted(known, distinct)
             found = np.append(known, 0)[at] == distinct
