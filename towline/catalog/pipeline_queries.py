@@ -1,4 +1,4 @@
-"""Whole analyses: harvest levels from bootstrap intervals and ratios, and the share of dead shells."""
+"""Whole analyses: harvest levels from bootstrap intervals and ratios, dead shells, expanded sizes, printed tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from towline.catalog import base, draws_sql
 from towline.catalog.base import query, tidy, tidy_sql
-from towline.catalog.estimator_queries import LEVELS, _levels_sql
+from towline.catalog.estimator_queries import LEVELS, LONG, _levels_sql, estimates
 from towline.catalog.resampling_queries import DESIGN, REPS, SEED, STUDY, _rows, _summary_sql
 from towline.operators.estimators import haul_frame
-from towline.plans.biology import MEAT_LABELS, class_table
+from towline.operators.report import print_table, survey_totals
+from towline.plans.biology import MEAT_LABELS, class_table, expanded_heights
 from towline.plans.harvest import HarvestAnalysis
 from towline.plans.sample_size import bed_areas, sample_size_tables, study_tows
 
@@ -175,3 +176,78 @@ def w05(spark, sf):
     cells = base.stations(spark, sf).select(area.alias("SURVEY_AREA"), F.col("bed").alias("BED"), F.lit(1.0).alias("Area_Sq_NM"))
     tows = study_tows(hauls, records, {FAR: "Far"}, 850)
     return tidy(sample_size_tables(tows, bed_areas(cells), REPS, SEED, na_rm=True)["study"])
+
+
+@query(
+    "w06_expanded_heights",
+    f"""WITH {base.LOCATED}, {base.INDIVIDUALS}, {base.CATCH},
+        seen AS (
+          SELECT l.bed, i.haul, i.size_class, round(i.height * 10)::BIGINT AS tenths
+          FROM individuals i JOIN located l ON i.haul = l.haul WHERE i.stage <> 'R'),
+        caught AS (SELECT haul, size_class, sum(count)::BIGINT AS total FROM catch WHERE cond <> 'R' GROUP BY ALL),
+        bins AS (SELECT bed, haul, size_class, tenths, count(*) AS measured FROM seen GROUP BY ALL),
+        sized AS (SELECT b.*, total, (sum(measured) OVER (PARTITION BY haul, size_class))::BIGINT AS m FROM bins b JOIN caught USING (haul, size_class)),
+        needed AS (SELECT *, CASE WHEN total > 0 AND m > 1 AND total - m > 1 THEN total - m ELSE 0 END AS need FROM sized),
+        placed AS (
+          SELECT *, need * measured // m AS base,
+                 row_number() OVER (PARTITION BY haul, size_class ORDER BY need * measured % m DESC, tenths) AS place,
+                 need - sum(need * measured // m) OVER (PARTITION BY haul, size_class) AS rest
+          FROM needed)
+        SELECT bed, size_class, tenths // 10 AS bin, sum(measured)::BIGINT AS measured,
+               sum(base + CASE WHEN place <= rest THEN 1 ELSE 0 END)::BIGINT AS added
+        FROM placed GROUP BY ALL""",
+)
+def w06(spark, sf):
+    """Size distribution of each bed and class in whole units: animals measured, and those added up to the catch."""
+    animals = base.individuals(spark, sf).select(
+        F.col("haul").alias("event"),
+        F.lit(850).alias("species"),
+        F.when(F.col("stage") == "R", 1).alias("clapper"),
+        "size_class",
+        "height",
+    )
+    records = base.catch(spark, sf).select(
+        F.col("haul").alias("event"), F.lit(850).alias("species"), F.when(F.col("cond") == "R", 2).otherwise(1).alias("cond"), "size_class", "count"
+    )
+    hauls = base.located_hauls(spark, sf).select(F.col("haul").alias("event"), "bed")
+    counts = expanded_heights(animals, records, hauls, 850)["counts"]
+    bins = counts.groupBy("bed", "size_class", F.expr("bin_units div 10").alias("bin"))
+    return bins.agg(F.sum("measured").alias("measured"), F.sum("added").alias("added"))
+
+
+# Beds in the order of the printed table; the others follow without a place.
+PRINTED = ("CANADA", "BRAZIL", "PERU", "ARGENTINA", "KENYA", "JAPAN")
+_TEXT = "format('{{:,.{digits}f}}', round_even({value}, {digits}))"
+
+
+@query(
+    "w07_printed_estimates",
+    f"""WITH {LONG} SELECT year, bed, variable, {_TEXT.format(value="total", digits=0)} AS "Abundance",
+          {_TEXT.format(value="total - 2 * sd_total", digits=0)} AS "Lower", {_TEXT.format(value="total + 2 * sd_total", digits=0)} AS "Upper",
+          {_TEXT.format(value="cv", digits=1)} AS "CV"
+        FROM estimates WHERE sd_total IS NOT NULL AND total > 0""",
+)
+def w07(spark, sf):
+    """The estimates of all beds and years as they are printed."""
+    half = F.lit(2) * F.col("sd_total")
+    found = estimates(spark, sf).where("sd_total IS NOT NULL AND total > 0")
+    found = found.withColumns({"low": F.col("total") - half, "high": F.col("total") + half})
+    numbers = {"Abundance": ("total", 0), "Lower": ("low", 0), "Upper": ("high", 0), "CV": ("cv", 1)}
+    return print_table(found, ["year", "bed", "variable"], numbers, "bed", PRINTED)
+
+
+@query(
+    "w08_survey_totals",
+    tidy_sql(
+        f"""WITH {LONG} SELECT sum(total) AS total, min(total - 2 * sd_total) AS low, max(total + 2 * sd_total) AS high
+            FROM estimates WHERE bed IN {PRINTED}""",
+        "total",
+        "low",
+        "high",
+    ),
+)
+def w08(spark, sf):
+    """Total over the printed beds and the range of their intervals."""
+    half = F.lit(2) * F.col("sd_total")
+    ends = estimates(spark, sf).withColumns({"low": F.col("total") - half, "high": F.col("total") + half})
+    return tidy(survey_totals(ends, PRINTED, "bed", ["total"], ["low"], ["high"]))
