@@ -166,6 +166,41 @@ def test_small_batches_give_the_same_sums(sample, monkeypatch):
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
 
 
+def test_draws_of_tiles_are_never_broadcast(spark, sample):
+    df = spark.createDataFrame(sample)
+    out = rs.resample(df, ["g"], "id", ["x"], reps=50, seed=3, tile_rows=100)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above, below = plan[: plan.rindex("_share")], plan[plan.rindex("_share") :]
+    # Two maps: draws of the strata are dealt to tiles, and tiles are drawn from. Nothing is joined between them.
+    assert plan.count("MapInArrow") == 2 and below and "Join" not in above[above.index("MapInArrow") : above.index("Union")]
+
+
+def test_tiles_of_a_task_leave_it_as_one_sum(sample):
+    import pyarrow as pa
+
+    x, n, depth, reps, base = sample.x.to_numpy()[:900], 900, 2, 4, 4711
+    node, counts = np.array([1]), np.full((reps, 1), n)
+    for _ in range(depth):
+        node, counts = rs._split(base, n, np.arange(reps), node, counts)
+    before = np.cumsum(counts, axis=1) - counts
+    rows = [
+        {
+            "g": "hot",
+            "n": n,
+            "__depth": depth,
+            "__tile": j,
+            "__designs": [{"__index": 0, "m": n, "__base": base}],
+            "__shares": [{"__index": 0, "__first": 0, "__counts": counts[:, j].tolist(), "__offsets": before[:, j].tolist()}],
+            "__v_x": x[(j * n) >> depth : (((j + 1) * n - 1) >> depth) + 1].tolist(),
+        }
+        for j in range(1 << depth)
+    ]
+    out = list(rs._kernel(["g", "n"], ["x"], reps)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert sum(b.num_rows for b in out) == reps
+    assert out[0].column("sum_x").to_pylist() == pytest.approx([sum(x[p] for p in positions(base, r, n, n)) for r in range(reps)], rel=1e-12)
+
+
 def test_packed_rows_are_drawn_from_again(spark, sample):
     df = spark.createDataFrame(sample).withColumn("y", F.col("x") * 2)
     packed = rs.pack_strata(df, ["g"], "id", ["x", "y"])
