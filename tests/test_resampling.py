@@ -276,3 +276,16 @@ def test_design_sizes_and_study(spark):
     assert len(diff) == 8 and set(diff.type) == {"mean", "sd"} and (diff.value >= 0).all()
     want = np.mean([100 * abs((wide[0.5][y] - wide[0.2][y]) / wide[0.5][y]) for y in (1, 2)])
     assert diff[(diff.fraction == 0.2) & (diff.type == "sd")].value.iloc[0] == pytest.approx(want)
+
+
+def test_designs_without_a_complete_replicate_are_left_out(spark):
+    rows = [("a", y, i, None if y == 1 and i < 29 else 1.0 + i % 5) for y in (1, 2) for i in range(30)]
+    rows += [("b", 1, i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "bed string, year int, id int, d double")
+    areas = spark.createDataFrame([("a", 90.0), ("b", 90.0)], "bed string, area double")
+    study = rs.design_study(df, ["bed", "year"], "id", "d", areas, ["bed"], reps=20, seed=1, na_rm=True)
+    assert {(r.bed, r.year) for r in study.collect()} == {("a", 2)}
+    diff = rs.compare_designs(study, ["bed", "year"], ["year"]).collect()
+    assert {r.bed for r in diff} == {"a"} and all(r.value is not None for r in diff)
+    whole = rs.design_study(df, ["bed", "year"], "id", "d", areas, ["bed"], reps=20, seed=1).collect()
+    assert len(whole) == 15 and all((r.p_mean is None) == ((r.bed, r.year) != ("a", 2)) for r in whole)
