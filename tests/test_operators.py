@@ -385,3 +385,14 @@ def test_fit(spark):
     r = distributions.log_log_fit(df, "w", "h", ["m"]).first()
     assert (r.n, r.r2) == (40, pytest.approx(1)) and r.slope == pytest.approx(2.9)
     assert math.exp(r.intercept) == pytest.approx(0.001)
+
+
+def test_allocation_is_spread_over_tasks(spark):
+    # Few bytes would be merged into one partition, in which all sorts of all groups are held at once.
+    measured = spark.range(400).select((F.col("id") % 100).alias("h"), (F.col("id") * 0.1).alias("height"))
+    totals = spark.range(100).select(F.col("id").alias("h"), F.lit(50).alias("total"))
+    counts = distributions.allocate_lengths(measured, totals, ["h"], "height", "total")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    assert counts.rdd.getNumPartitions() == tasks
+    out = distributions.reconcile_totals(counts, totals, ["h"], F.col("measured") + F.col("added"), "total").collect()
+    assert len(out) == 100 and all(r.difference == 0 for r in out)

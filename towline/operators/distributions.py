@@ -14,6 +14,13 @@ from towline.operators.ordering import brackets, bracketed, range_pieces, runnin
 EXPANSION_PIECE = 50_000
 
 
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by ``keys`` to a fixed number of partitions, which adaptive execution does not merge."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def allocate_lengths(
     measured: DataFrame,
     totals: DataFrame,
@@ -39,6 +46,9 @@ def allocate_lengths(
         .agg(F.count(F.lit(1)).alias("measured"))
     )
     joined = null_safe_join(bins, totals.select(*keys, F.col(total).cast("bigint").alias("__total")), keys, "left")
+    # Several sorts of a group's rows are held at once here and in what follows on the keys, several times the bytes by which
+    # adaptive execution would merge partitions.
+    joined = _spread(joined, keys)
     group = Window.partitionBy(*keys)
     need = F.col("__total") - F.col("__m")
     grown = (F.col("__total") > 0) & (F.col("__m") > 1) & (need > 1)
