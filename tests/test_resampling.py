@@ -176,6 +176,15 @@ def test_draws_of_tiles_are_never_broadcast(spark, sample):
     assert plan.count("MapInArrow") == 2 and below and "Join" not in above[above.index("MapInArrow") : above.index("Union")]
 
 
+def test_tasks_that_deal_draws_are_fewer_than_those_that_draw(spark, sample, monkeypatch):
+    # Many tasks on both sides of the shuffle of tiles would make blocks by the square of the rows.
+    monkeypatch.setattr(rs, "DRAWS_PER_TASK", 100)
+    df = spark.createDataFrame(sample)
+    plan = rs.resample(df, ["g"], "id", ["x"], reps=8, seed=3, tile_rows=100)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(line.split("REPARTITION_BY_NUM")[0].rsplit("), ", 1)[0].rsplit(", ", 1)[-1]) for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert sorted(dealt)[-1] == 1300 * 8 // 100 and sorted(dealt)[0] <= 1300 * 8 // 100 // 8
+
+
 def test_tiles_of_a_task_leave_it_as_one_sum(sample):
     import pyarrow as pa
 
