@@ -54,7 +54,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text they decode to."""
     bound_batches(spark)
     path = vocabulary_path()
-    decoded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    decoded = bpe.round_trip(docs, path)
     return decoded.select(
         "doc_id",
         "lang",

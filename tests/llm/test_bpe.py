@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import regex
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from helpers import documents, rows
 from towline.llm import bpe
-from towline.llm.queries import vocabulary_path
+from towline.llm.queries import QUERIES, vocabulary_path
 
 PATH = vocabulary_path()
 ODD = [
@@ -88,3 +89,13 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     assert out == [(0, "", 2), (0, "", 2), (1, "hi", 2), (1, "hi", 2)]
     assert bpe.encode(docs.limit(0), PATH).count() == 0
     assert rows(bpe.decode(docs.select(F.lit(None).cast("binary").alias("ids")).limit(1), PATH), "decoded") == [(None,)]
+
+
+def test_round_trip_is_encode_and_decode_by_one_python_function(spark, sf_dir):
+    docs = documents(spark, [*ODD, None], ids=[*range(len(ODD)), None]).withColumns({"ids": F.lit(1), "both": F.lit("x")})
+    out = bpe.round_trip(docs, PATH)
+    columns = ["doc_id", "both", "text", "ids", "n_tokens", "decoded"]
+    assert rows(out, *columns) == rows(bpe.decode(bpe.encode(docs, PATH), PATH), *columns)
+    stage = dict(corpus_pipeline.STAGES)["BPE encoding and decoding"]
+    for df in (stage(spark, docs, sf_dir), QUERIES["op3_bpe_round_trip"](spark, sf_dir)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from towline.llm.common import temporary_name
+
 # The public pattern of byte-level BPE that cuts text into words before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same pattern for the standard library's quicker engine. Its classes agree with the ones above on the
@@ -283,3 +285,22 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of packed token ids (null for null)."""
     return df.withColumn(text, decode_column(F.col(ids), vocabulary))
+
+
+def round_trip(
+    df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded"
+) -> DataFrame:
+    """:func:`encode` and then :func:`decode` by one Python function, so a task holds one process with one vocabulary."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        e = encoder(vocabulary)
+        for texts in batches:
+            packed = list(e.packed([t or "" for t in texts]))
+            yield pd.DataFrame({"ids": packed, "decoded": [e.decode(p) for p in packed]}, dtype=object)
+        e.known = {}  # as in encode_column
+
+    both = temporary_name(df, "both")
+    out = df.withColumn(both, run.asNondeterministic()(F.col(text)))
+    named = {ids: F.col(both).getField("ids"), decoded: F.col(both).getField("decoded")}
+    return out.withColumns(named | {count: (F.octet_length(F.col(both).getField("ids")) / 4).cast("long")}).drop(both)

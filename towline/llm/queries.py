@@ -60,8 +60,7 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     path = vocabulary_path()
-    encoded = bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), path)
-    decoded = bpe.decode(encoded.drop("text"), path)
+    decoded = bpe.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return decoded.select(
         "doc_id",
         "n_tokens",
