@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import glob
 import math
+import os
 import random
+import tempfile
 import zlib
 from collections import Counter
 
@@ -11,8 +14,9 @@ from pyspark.sql import functions as F
 
 from helpers import documents, rows
 from towline.llm import bloom_lm as lm
-from towline.llm.common import fold, hashed_words, words_of
+from towline.llm.common import fold, hashed_words, staged, words_of
 from towline.llm.queries import QUERIES
+from towline.session import checkpoint_folder
 
 
 def tokens(text):
@@ -155,3 +159,29 @@ def test_query_covers_the_table(spark, sf_dir):
     assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     held = out.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
+
+
+def test_what_is_done_with_is_off_the_disk(spark):
+    df = documents(spark, corpus(200, 8))
+    counts = lm.word_counts(df, "text").cache()
+    before = stage_folders(spark)
+    model = lm.train(df, counts, s=lm.Setting(shard_tokens=500, most_bytes=512))
+    filters = stage_folders(spark) - before
+    assert model.stored is not None and len(filters) == 1  # bigrams and word entries are in the filter now
+    lm.score(df, model, counts).count()
+    assert stage_folders(spark) > before | filters
+    # The shuffle of a staged write goes with it; the session is as it was.
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, wrote = spark.conf.get(setting, None), shuffle_files(spark)
+    staged(spark.range(1000).repartition(7, "id"), cleanup=True)
+    assert spark.conf.get(setting, None) == was and not shuffle_files(spark) - wrote
+
+
+def stage_folders(spark):
+    return set(glob.glob(f"{checkpoint_folder(spark).removeprefix('file:')}/stage-*"))
+
+
+def shuffle_files(spark):
+    context = spark.sparkContext
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or context.getConf().get("spark.local.dir", tempfile.gettempdir())
+    return set(glob.glob(f"{folder}/**/blockmgr-*/*/shuffle_*.data", recursive=True))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from towline.llm.common import hashed_words, mix, staged
+from towline.llm.common import discard, hashed_words, mix, staged
 
 # Stands before the first word and behind the last one; no word has a line feed in it.
 BOUNDARY = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -69,7 +69,7 @@ def level(count: np.ndarray, base: float) -> np.ndarray:
 
 
 def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -146,8 +146,8 @@ def pair_shards(texts: DataFrame, text: str, shards: int, s: Setting) -> DataFra
         waiting, size = [], 0
 
         def rows() -> pd.DataFrame:
-            keys, counts = added_up(np.concatenate(waiting), np.ones(size, np.int64))
-            shard = (mix(keys, PAIR) % np.uint64(shards)).astype(np.int64)
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            shard = (mix(keys, PAIR) % np.uint64(shards)).astype(np.min_scalar_type(shards))  # small types sort quicker
             order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
             ends = np.searchsorted(shard[order], np.arange(1, shards + 1))
             out = [(k, squeezed_pairs(keys[part], counts[part])) for k, part in enumerate(np.split(order, ends[:-1])) if len(part)]
@@ -242,7 +242,8 @@ def dealt(keys: np.ndarray, pairs_from: int, shards: int) -> tuple[np.ndarray, n
     """Shard of each key of :func:`asked` (words' first), and the order by shard and by what is asked within it."""
     shard = (keys % np.uint64(shards)).astype(np.int64)
     shard[pairs_from:] += shards
-    return shard, np.lexsort((keys >> _INNER, shard))
+    # What is asked has 40 bits, so one number has both; equal ones ask the same.
+    return shard, np.argsort(shard.astype(np.uint64) << (np.uint64(64) - _INNER) | keys >> _INNER)
 
 
 def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits: int, s: Setting) -> np.ndarray:
@@ -251,7 +252,7 @@ def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits:
     while len(live) and step < 256:
         here, stride = start_of(keys[live], step)
         for _ in range(s.probes):
-            at = base[live] + here % np.uint64(shard_bits)
+            at = base[live] + place_of(here, shard_bits)
             hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             live, stride = live[hit], stride[hit]
             here = here[hit] + stride
@@ -261,11 +262,16 @@ def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits:
 
 
 def start_of(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and stride of the probes for member ``step`` of each key within its shard, modulo the bits of the shard."""
+    """Start and stride of the probes for member ``step`` of each key, for :func:`place_of`."""
     f = mix(keys ^ np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     return f, mix(f, 1) | np.uint64(1)
 
 
+def place_of(here: np.ndarray, shard_bits: int) -> np.ndarray:
+    """Place of a probe among the bits of a shard (under ``2**32``), by its upper half and without a division."""
+    return (here >> _HALF) * np.uint64(shard_bits) >> _HALF
+
+
 def packed_entries(rows: DataFrame, family: int, shards: int, s: Setting) -> DataFrame:
     """``shard, data, entries, mass`` of rows ``raw, x``: word counts or shares. ``mass`` is what word levels stand for."""
 
@@ -296,7 +302,7 @@ def entered(parts, shard_bits: int, s: Setting) -> bytes:
         for step in range(1, int(lev.max(initial=0)) + 1):
             here, stride = start_of(keys[lev >= step], step)
             for _ in range(s.probes):
-                bits[here % np.uint64(shard_bits)] = True
+                bits[place_of(here, shard_bits)] = True
                 here = here + stride
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -316,7 +322,7 @@ def filter_shards(words: DataFrame, pairs: DataFrame, shards: int, word_bits: in
                 yield pd.DataFrame({"shard": [shard + shards], "bits": [entered([data], pair_bits, s)]})
 
     a = words.select("shard", "data").groupBy("shard").applyInPandas(of_words, "shard int, bits binary")
-    return staged(a.unionByName(pairs.select("shard", "data").mapInPandas(of_pairs, "shard int, bits binary")))
+    return staged(a.unionByName(pairs.select("shard", "data").mapInPandas(of_pairs, "shard int, bits binary")), cleanup=True)
 
 
 def filter_bits(built: DataFrame, shards: int, word_bits: int, pair_bits: int) -> np.ndarray:
@@ -333,18 +339,20 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", s: Setting =
     """Model of training texts, given their :func:`word_counts`."""
     n = counts.agg(F.sum("c")).first()[0] or 0
     shards = max(1, -(-n // s.shard_tokens))
-    pairs = staged(pair_shards(texts, text, shards, s))
+    pairs = staged(pair_shards(texts, text, shards, s), cleanup=True)
     shares = pairs.select(F.explode(F.arrays_zip("histories", "shares")).alias("x")).select("x.histories", "x.shares")
     shares = shares.groupBy(F.col("histories").alias("raw")).agg(F.sum("shares").alias("mass"))
     halves = counts.groupBy(F.shiftrightunsigned("token", 32).alias("raw")).agg(F.sum("c").alias("c"))
     shares = shares.join(halves, "raw").select("raw", (F.col("mass") / F.col("c")).alias("x"))
     words = packed_entries(counts.select(F.col("token").alias("raw"), F.col("c").alias("x")), WORD, shards, s)
     words = words.unionByName(packed_entries(shares, SHARE, shards, s).withColumn("mass", F.lit(0.0)))
-    words = staged(words)
+    words = staged(words, cleanup=True)
     (word_entries, mass), pair_entries = words.agg(F.sum("entries"), F.sum("mass")).first(), pairs.agg(F.sum("entries")).first()[0]
     word_bits, pair_bits = (max(64, -(-int(e or 0) * s.bits_per_entry // shards // 8) * 8) for e in (word_entries, pair_entries))
     vocabulary = counts.count()
     built, short = filter_shards(words, pairs, shards, word_bits, pair_bits, s), (word_bits + pair_bits) * shards <= s.most_bytes * 8
+    discard(pairs)
+    discard(words)
     bits = filter_bits(built, shards, word_bits, pair_bits) if short else np.zeros(0, np.uint8)
     entries = int(word_entries or 0) + int(pair_entries or 0)
     return Model(bits, shards, word_bits, pair_bits, (mass or 0.0) + vocabulary + 1, s, entries, None if short else built)
@@ -382,22 +390,29 @@ def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
         here, bits = None, None
         for b in batches:
             out = []
-            for shard, batch, data in zip(b["shard"].tolist(), b["batch"], b["data"]):
-                if pd.isna(batch):
-                    here, bits = shard, np.frombuffer(data, np.uint8)
+            for shard, part in b.groupby("shard"):
+                own = part["batch"].isna()
+                if own.any():
+                    here, bits = shard, np.frombuffer(part.loc[own, "data"].iloc[0], np.uint8)
+                part = part[~own]
+                if not len(part):
                     continue
-                keys = np.cumsum(unsqueezed(data, "<u8")[0], dtype=np.uint64)
+                each = [np.cumsum(unsqueezed(data, "<u8")[0], dtype=np.uint64) for data in part["data"]]
+                # Batches ask much the same; what several of them ask is looked up once.
+                keys, where = np.unique(np.concatenate(each), return_inverse=True)
                 size = word_bits if shard < shards else pair_bits
                 # A shard without bits has no entries.
                 told = levels_in(bits, keys, np.zeros(len(keys), np.uint64), size, s) if shard == here else np.zeros(len(keys))
-                out.append((int(batch), shard, squeezed(told.astype(np.uint8))))
+                parts = np.split(told.astype(np.uint8)[where], np.cumsum([len(e) for e in each])[:-1])
+                out += [(int(batch), int(shard), squeezed(p)) for batch, p in zip(part["batch"], parts)]
             yield pd.DataFrame(out, columns=["batch", "shard", "told"])
 
     packed = staged(numbered.mapInPandas(pack, "batch long, rows array<long>, doc_ids array<long>, texts array<string>"), "zstd")
     keys = packed.select("batch", "texts").mapInPandas(deal, "shard int, batch long, data binary")
     bits = model.stored.select("shard", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("data"))
     met = bits.unionByName(keys).repartition("shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first())
-    told = met.mapInPandas(look, "batch long, shard int, told binary")
+    # Staged, so that the keys are off the disk before the texts are shuffled.
+    told = staged(met.mapInPandas(look, "batch long, shard int, told binary"), cleanup=True)
     told = told.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("shard", "told"))).alias("told"))
     return packed.join(told, "batch")
 

@@ -45,7 +45,7 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the model and under word counts, learned outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     learned = docs.where(fold("doc_id", 7) != 2)
-    counts = staged(bloom_lm.word_counts(learned, "text"))
+    counts = staged(bloom_lm.word_counts(learned, "text"), cleanup=True)
     scored = bloom_lm.score(docs, bloom_lm.train(learned, counts), counts)
     return scored.withColumn("held_out", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
 
