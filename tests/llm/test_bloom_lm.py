@@ -177,6 +177,62 @@ def test_what_is_done_with_is_off_the_disk(spark):
     assert spark.conf.get(setting, None) == was and not shuffle_files(spark) - wrote
 
 
+def test_texts_that_ask_together_send_each_key_once(spark):
+    texts = [*corpus(200, 9), "", None, "é \U0001f600 " * 300, "w1 w2"]
+    df = documents(spark, texts).coalesce(1)
+    counts = lm.word_counts(df, "text").cache()
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    before, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")  # small batches reach Python
+    try:
+        for name, ask, part in ("together", 1 << 20, 400), ("apart", 1, 1 << 20):
+            model = lm.train(df, counts, s=lm.Setting(shard_tokens=1000, most_bytes=0, ask_bytes=ask, slice_bytes=part))
+            levels = lm.with_levels(numbered, model).select("texts", F.expr("transform(told, x -> x.told)").alias("told")).collect()
+            told = sum(len(lm.unsqueezed(t, "u1")[0]) for r in levels for t in r["told"])
+            got[name] = len(levels), told, sorted(rows(lm.score(df, model, counts, most_frequent=3)), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got["together"][0] == 1 and got["apart"][0] == -(-len(texts) // 25)
+    words, pairs = (len(set(x)) for x in zip(*((w, p) for t in texts for w, p in zip(tokens(t), zip([b"\n", *tokens(t)], tokens(t))))))
+    assert got["together"][1] == 2 * words + pairs < got["apart"][1]
+    assert got["together"][2] == got["apart"][2]
+
+
+def test_texts_and_distinct_values_round_trip():
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("ab é\U0001f600\x00\n", k=rng.choice([0, 1, 30]))) for _ in range(100)] + ["x" * 500, ""]
+    for most in 1, 40, 1 << 20:
+        parts = list(lm.unsqueezed_texts(lm.squeezed_texts([t.encode() for t in texts]), most))
+        assert [t for p in parts for t in p] == texts
+        assert all(len(p) == 1 or sum(len(t.encode()) for t in p) <= most for p in parts)
+    assert list(lm.unsqueezed_texts(lm.squeezed_texts([]), 9)) == []
+    x = np.random.default_rng(2).integers(0, 50, 300).astype(np.uint64)
+    assert np.array_equal(lm.distinct(x), np.unique(x)) and len(lm.distinct(x[:0])) == 0
+
+
+def test_long_ids_beside_a_null_stay_whole(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = documents(spark, ["a b", "b c", "c a"], ids=ids).coalesce(1)
+    counts = lm.word_counts(df, "text").cache()
+    for s in lm.SETTING, lm.APART:
+        out = rows(lm.score(df, lm.train(df, counts, s=s), counts), "doc_id")
+        assert sorted(out, key=str) == sorted([(i,) for i in ids], key=str)
+
+
+def test_query_takes_one_way_at_every_size(spark, sf_dir, monkeypatch):
+    score, models, before = lm.score, [], stage_folders(spark)
+    monkeypatch.setattr(lm, "score", lambda df, model, counts: models.append(model) or score(df, model, counts))
+    out = QUERIES["op1_lm_scores"](spark, sf_dir)
+    assert models[0].stored is not None and len(models[0].bits) == 0  # the filter was not on the driver
+    assert len(stage_folders(spark) - before) == 3  # counts, texts and levels; the filter has been asked
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = docs.where(fold("doc_id", 7) != 2)
+    counts = lm.word_counts(learned, "text").cache()
+    whole = score(docs, lm.train(learned, counts), counts)
+    a, b = (sorted(rows(x.select("doc_id", "n_tokens", "n_known", "score"))) for x in (out, whole))
+    assert a == b
+
+
 def stage_folders(spark):
     return set(glob.glob(f"{checkpoint_folder(spark).removeprefix('file:')}/stage-*"))
 

@@ -12,7 +12,7 @@ Exact word counts for a baseline come from a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,6 +29,7 @@ BOUNDARY = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 WORD, PAIR, SHARE = 1, 2, 3  # families of the filter
 _HALF = np.uint64(32)
 _INNER = np.uint64(24)  # bits of a key that only choose its shard
+_BITS = np.uint64(40)  # the other ones
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,13 @@ class Setting:
     most_bytes: int = 128 << 20  # of a filter that is broadcast; a larger one is asked shard by shard
     shard_tokens: int = 1 << 21  # training tokens per shard of the bigram counts
     buffer: int = 1 << 21  # bigrams that a task holds before it adds them up
+    ask_bytes: int = 8 << 20  # of texts that ask the shards together; what they share is sent once
+    slice_bytes: int = 4 << 20  # of texts that are scored at once
 
 
 SETTING = Setting()
+# Asks shards whatever the size of the filter: no step in what a growing corpus takes, and no filter on the driver.
+APART = Setting(most_bytes=0)
 
 
 def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +73,12 @@ def level(count: np.ndarray, base: float) -> np.ndarray:
     return np.where(count > 0, 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(base) + 1e-9), 0).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; ``np.unique`` without counts goes by a hash table, which takes many times as long."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -118,6 +129,25 @@ def unsqueezed_entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), levels
 
 
+def squeezed_texts(texts: list[bytes]) -> bytes:
+    """Texts in few bytes, given in UTF-8."""
+    sizes = np.array([len(texts), *map(len, texts)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes, *texts]))
+
+
+def unsqueezed_texts(data: bytes, most: int) -> Iterator[list[str]]:
+    """The texts of :func:`squeezed_texts` in lists of up to ``most`` bytes, of one text at least."""
+    flat = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(flat[:4], "little")
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(flat, "<u4", n + 1)[1:], dtype=np.int64)
+    begin, i = 4 * (n + 1), 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, begin + most, side="right")))
+        starts = [begin, *ends[i : j - 1].tolist()]
+        yield [flat[a:b].decode() for a, b in zip(starts, ends[i:j].tolist())]
+        begin, i = int(ends[j - 1]), j
+
+
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """``token, c``: training count of each token hash (64 bits; equal hashes of different words add up)."""
 
@@ -238,12 +268,21 @@ def asked(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(words, WORD), mix(words >> _HALF, SHARE), mix(pairs, PAIR)])
 
 
-def dealt(keys: np.ndarray, pairs_from: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each key of :func:`asked` (words' first), and the order by shard and by what is asked within it."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    shard[pairs_from:] += shards
-    # What is asked has 40 bits, so one number has both; equal ones ask the same.
-    return shard, np.argsort(shard.astype(np.uint64) << (np.uint64(64) - _INNER) | keys >> _INNER)
+def placed(keys: np.ndarray, pairs_from: int, shards: int) -> np.ndarray:
+    """Shard of each key of :func:`asked` (words' first) and the 40 bits asked within it, in one number; equal ones ask the same."""
+    shard = keys % np.uint64(shards)
+    shard[pairs_from:] += np.uint64(shards)
+    return shard << _BITS | keys >> _INNER
+
+
+def asks_of(data: bytes, shards: int, s: Setting) -> np.ndarray:
+    """What all texts of :func:`squeezed_texts` ask: their :func:`placed` keys, distinct and sorted."""
+    asks = [np.zeros(0, np.uint64)]
+    for texts in unsqueezed_texts(data, s.slice_bytes):
+        tokens, starts = tokens_of(texts)
+        words = distinct(tokens)
+        asks.append(placed(asked(words, distinct(pairs_of(tokens, starts))), 2 * len(words), shards))
+    return distinct(np.concatenate(asks))
 
 
 def levels_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, shard_bits: int, s: Setting) -> np.ndarray:
@@ -359,31 +398,40 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", s: Setting =
 
 
 def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
-    """``batch, rows, doc_ids, texts, told``: batches of texts with the levels of their :func:`asked` keys, parts by shard.
+    """``batch, rows, doc_ids, texts, told``: batches of squeezed texts with the levels of their :func:`asked` keys, parts by shard.
 
-    Each batch sends its keys to the shards that have them. A task reads a shard's bits first and then the keys that ask
-    it, so it holds one shard and one Arrow batch of keys, whatever the corpus.
+    Each batch sends its keys to the shards that have them, each key once. A task reads a shard's bits first and then the
+    keys that ask it, so it holds one shard and one Arrow batch of keys, whatever the corpus. Texts are staged and shuffled
+    squeezed.
     """
     shards, word_bits, pair_bits, s = model.shards, model.word_bits, model.pair_bits, model.setting
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, ids, texts, size = [], [], [], 0
+
+        def packed() -> pd.DataFrame:
+            return pd.DataFrame({"batch": [rows[0]], "rows": [rows], "doc_ids": [ids], "texts": [squeezed_texts(texts)]})
+
         for b in batches:
-            if len(b):
-                one = {"batch": [int(b["row"].iloc[0])], "rows": [b["row"].tolist()], "texts": [b["text"].tolist()]}
-                ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
-                yield pd.DataFrame(one | {"doc_ids": [ids]})[["batch", "rows", "doc_ids", "texts"]]
+            rows += b["row"].tolist()
+            ids += b["doc_id"].tolist()
+            data = [t.encode() if t else b"" for t in b["text"]]
+            texts += data
+            size += sum(map(len, data))
+            if size >= s.ask_bytes:
+                yield packed()
+                rows, ids, texts, size = [], [], [], 0
+        if rows:
+            yield packed()
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for batch, texts in zip(b["batch"], b["texts"]):
-                tokens, starts = tokens_of(texts)
-                words = np.unique(tokens)
-                keys = asked(words, np.unique(pairs_of(tokens, starts)))
-                shard, order = dealt(keys, 2 * len(words), shards)
-                inner = keys[order] >> _INNER
-                ends = np.searchsorted(shard[order], np.arange(2 * shards + 1))
+            for batch, data in zip(b["batch"], b["texts"]):
+                asks = asks_of(data, shards, s)
+                ends = np.searchsorted(asks, np.arange(2 * shards + 1, dtype=np.uint64) << _BITS)
+                asks &= (np.uint64(1) << _BITS) - np.uint64(1)
                 parts = enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))
-                out = [(k, batch, squeezed(steps_of(inner[i:j]))) for k, (i, j) in parts if j > i]
+                out = [(k, batch, squeezed(steps_of(asks[i:j]))) for k, (i, j) in parts if j > i]
                 yield pd.DataFrame(out, columns=["shard", "batch", "data"])
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -407,7 +455,7 @@ def with_levels(numbered: DataFrame, model: Model) -> DataFrame:
                 out += [(int(batch), int(shard), squeezed(p)) for batch, p in zip(part["batch"], parts)]
             yield pd.DataFrame(out, columns=["batch", "shard", "told"])
 
-    packed = staged(numbered.mapInPandas(pack, "batch long, rows array<long>, doc_ids array<long>, texts array<string>"), "zstd")
+    packed = staged(numbered.mapInPandas(pack, "batch long, rows array<long>, doc_ids array<string>, texts binary"))
     keys = packed.select("batch", "texts").mapInPandas(deal, "shard int, batch long, data binary")
     bits = model.stored.select("shard", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("data"))
     met = bits.unionByName(keys).repartition("shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first())
@@ -447,44 +495,47 @@ def score(
     shared, top = spark.sparkContext.broadcast(replace(model, stored=None)), spark.sparkContext.broadcast(frequent(counts, most_frequent))
     columns = ["row", "doc_id", "token", "tf", "known", "logs", "n_tokens", "score"]
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list | None]]:
-        """Batches of texts, with the parts of their levels if shards were asked for them."""
-        for b in batches:
-            if "told" not in b:
-                yield b, None
-                continue
-            for rows, ids, texts, parts in zip(b["rows"], b["doc_ids"], b["texts"], b["told"]):
-                ids = pd.array([pd.NA if pd.isna(i) else int(i) for i in ids], "Int64")
-                yield pd.DataFrame({"row": np.asarray(rows, np.int64), "doc_id": ids, "text": pd.Series(list(texts), dtype=object)}), parts
+    def slices(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Callable]]:
+        """Texts to score at once, with what tells the levels of their :func:`asked` keys."""
+        if "told" not in batch:
+            yield batch, shared.value.levels
+            return
+        shards, s = shared.value.shards, shared.value.setting
+        for rows, ids, data, parts in zip(batch["rows"], batch["doc_ids"], batch["texts"], batch["told"]):
+            # The parts answer what all texts of the batch ask, in its order.
+            asks, answers = asks_of(data, shards, s), np.concatenate([unsqueezed(p["told"], "u1")[0] for p in parts])
+
+            def told(keys: np.ndarray, pairs_from: int) -> np.ndarray:
+                return answers[np.searchsorted(asks, placed(keys, pairs_from, shards))].astype(np.int64)
+
+            at = 0
+            for texts in unsqueezed_texts(data, s.slice_bytes):
+                own = slice(at, at + len(texts))
+                yield pd.DataFrame({"row": rows[own], "doc_id": ids[own], "text": texts}), told
+                at += len(texts)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, known_counts = top.value
         logs_of = np.append(np.log10(known_counts + 1.0), 0.0)
-        for batch, parts in apart(batches):
+        for batch, levels in (one for b in batches for one in slices(b)):
             tokens, starts = tokens_of(batch["text"])
             words, where = np.unique(tokens, return_inverse=True)
             bigrams, pair_at = np.unique(pairs_of(tokens, starts), return_inverse=True)
-            keys = asked(words, bigrams)
-            if parts is None:
-                told = shared.value.levels(keys, 2 * len(words))
-            else:
-                told = np.zeros(len(keys), np.int64)
-                order = dealt(keys, 2 * len(words), shared.value.shards)[1]
-                told[order] = np.concatenate([np.zeros(0, np.uint8), *(unsqueezed(p["told"], "u1")[0] for p in parts)])
+            told = levels(asked(words, bigrams), 2 * len(words))
             scores = shared.value.log10(tokens, starts, where, pair_at, int(np.searchsorted(words, BOUNDARY)), told)
-            distinct = words.view(np.int64)
-            at = np.searchsorted(known, distinct)
-            found = np.append(known, 0)[at] == distinct
+            learned = words.view(np.int64)
+            at = np.searchsorted(known, learned)
+            found = np.append(known, 0)[at] == learned
             found &= at < len(known)
             at = np.where(found, at, len(known))
             row_of = np.repeat(np.arange(len(batch)), np.diff(starts))
             # The other words of each text, once per text.
             rest = ~found[where]
-            pairs, tf = np.unique(row_of[rest] * len(distinct) + where[rest], return_counts=True)
+            pairs, tf = np.unique(row_of[rest] * len(learned) + where[rest], return_counts=True)
             rows = batch["row"].to_numpy(np.int64)
             texts = {
                 "row": rows,
-                "doc_id": batch["doc_id"].astype("Int64"),
+                "doc_id": batch["doc_id"],
                 "token": mix(rows.view(np.uint64)).view(np.int64),
                 "tf": np.zeros(len(rows), np.int64),
                 "known": np.bincount(row_of, weights=found[where], minlength=len(rows)).astype(np.int64),
@@ -493,17 +544,19 @@ def score(
                 "score": scores,
             }
             yield pd.DataFrame(texts, columns=columns)
-            others = {"row": rows[pairs // len(distinct)], "token": distinct[pairs % len(distinct)], "tf": tf}
-            none = {"doc_id": pd.array([pd.NA] * len(pairs), "Int64"), "known": 0, "logs": 0.0, "n_tokens": 0, "score": 0.0}
+            others = {"row": rows[pairs // len(learned)], "token": learned[pairs % len(learned)], "tf": tf}
+            none = {"doc_id": None, "known": 0, "logs": 0.0, "n_tokens": 0, "score": 0.0}
             yield pd.DataFrame(others | none, columns=columns)
 
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Ids pass Python as text: a null beside them would make floats of longs there.
+    ids = F.col(doc_id).cast("long").cast("string").alias("doc_id")
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), ids, F.col(text).alias("text"))
     # A row per text, with no words (tf 0) under a token spread at random, and one per text and other word.
     texts = numbered if model.stored is None else with_levels(numbered, model)
-    flat = texts.mapInPandas(look, "row long, doc_id long, token long, tf int, known long, logs double, n_tokens long, score double")
+    flat = texts.mapInPandas(look, "row long, doc_id string, token long, tf int, known long, logs double, n_tokens long, score double")
     met = flat.join(counts, "token", "left").withColumn("tf", F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))
     total = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
+        F.max("doc_id").cast("long").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("known") + F.sum("tf")).alias("n_known"),
         (F.sum("logs") + F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("logs"),

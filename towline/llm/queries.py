@@ -24,7 +24,7 @@ from towline.llm import (
     simhash,
     token_counts,
 )
-from towline.llm.common import fold, read_table, staged
+from towline.llm.common import discard, fold, read_table, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,7 +46,9 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     learned = docs.where(fold("doc_id", 7) != 2)
     counts = staged(bloom_lm.word_counts(learned, "text"), cleanup=True)
-    scored = bloom_lm.score(docs, bloom_lm.train(learned, counts), counts)
+    model = bloom_lm.train(learned, counts, s=bloom_lm.APART)
+    scored = bloom_lm.score(docs, model, counts)
+    discard(model.stored)  # has been asked
     return scored.withColumn("held_out", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
 
 
