@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
-from towline.llm.bit_sliced import Block, at_least, kth_largest, top_k
+from towline.llm.bit_sliced import Block, at_least, kth_largest, packed, top_k, unpacked
 
 
 def brute(data, queries, k):
@@ -68,3 +71,45 @@ def test_sums_are_exact_without_quantising():
     slices = block.sums(q.tolist())
     sums = np.array([sum((s >> r & 1) << b for b, s in enumerate(slices)) for r in range(40)])
     assert np.array_equal(sums - sums[0], v @ q - v[0] @ q)
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(6)
+    for top in (0.49, 100.0, 65000.0):  # blocks of one, two and four bytes a value
+        data = [(i, [float(np.float32(x)) for x in rng.uniform(-top, top, 5)]) for i in range(40)]
+        df = table(spark, data)
+        got = top_k(df.where("vec_id % 8 = 0"), df, 3, "vec_id", "embedding", block_rows=15, query_rows=2)
+        assert sorted(rows(got)) == brute(data, lambda i: i % 8 == 0, 3)
+    for values in ([-128, 127], [-129, 0], [0, 128], [-32768, 32767], [32768, 0], [-(1 << 31), 5], [1 << 31, 5], [-(1 << 62), 1]):
+        ids, back = unpacked(np.arange(1).tobytes(), packed(np.array([values])), 2)
+        assert ids.tolist() == [0] and back.tolist() == [values]
+
+
+MANY_QUERIES = """
+import numpy as np
+from towline.llm.bit_sliced import top_k
+from towline.session import build_session
+
+conf = {"spark.driver.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": 2}
+spark = build_session("many-queries", "local[2]", **conf)
+spark.sparkContext.setLogLevel("OFF")
+df = spark.range(16384).selectExpr("id AS vec_id", "transform(sequence(1, 64), j -> CAST(hash(id, j) % 256 / 512 AS FLOAT)) AS embedding")
+found = top_k(df.where("vec_id < 200"), df, 5, "vec_id", "embedding", query_rows=1)
+got = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+plan = found._jdf.queryExecution().executedPlan().toString()
+assert "Join" not in plan and "Broadcast" not in plan, plan
+v = np.floor(np.array([r.embedding for r in df.orderBy("vec_id").collect()]) * 256).astype(np.int64)
+want = []
+for i in range(200):
+    best = [j for j in np.argsort(-(v @ v[i]), kind="stable").tolist() if j != i][:5]
+    want += [(i, n + 1, j, int(v[i] @ v[j])) for n, j in enumerate(best)]
+assert got == want
+"""
+
+
+def test_memory_does_not_grow_with_the_blocks_of_queries():
+    """200 blocks of queries meet a block of the index in a process of 512 MB; as rows of a join they hold 1.7 GB."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", MANY_QUERIES], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from towline.llm.common import staged
+from towline.llm.common import ARROW_BYTES, staged
 
 
 @dataclass
@@ -128,27 +129,48 @@ def quantised(vector: Column | str, scale: int = 256) -> Column:
     return F.when(v.isNotNull() & (F.size(v) > 0) & fine, whole)
 
 
-def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """``dims, <name>_ids, <name>``: rows ``id, v`` packed into blocks of at most ``rows`` of equal length."""
+def packed(values: np.ndarray) -> bytes:
+    """Integers in as few bytes each as hold all of them."""
+    size = next(s for s in (1, 2, 4, 8) if s == 8 or -(1 << 8 * s - 1) <= values.min() and values.max() < 1 << 8 * s - 1)
+    return values.astype(f"<i{size}").tobytes()
+
+
+def unpacked(ids: bytes, data: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block."""
+    rows = np.frombuffer(ids, "<i8")
+    size = len(data) // (len(rows) * dims)
+    return rows, np.frombuffer(data, f"<i{size}").reshape(len(rows), dims).astype(np.int64)
+
+
+def blocks(vectors: DataFrame, rows: int, places: int | None = None) -> DataFrame:
+    """``dims, ids, data, place``: rows ``id, v`` packed into blocks of at most ``rows`` of equal length.
+
+    A block's place is its partition, or it is sent to each of ``places`` places.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[int, list] = {}
+        here = TaskContext.get().partitionId()
 
-        def one(dims: int) -> pd.DataFrame:
+        def one(dims: int) -> Iterator[pd.DataFrame]:
             ids, vs = zip(*waiting.pop(dims))
-            data = np.asarray(vs, "<i8").tobytes()
-            return pd.DataFrame({"dims": [dims], f"{name}_ids": [np.array(ids, "<i8").tobytes()], name: [data]})
+            i, data = np.array(ids, "<i8").tobytes(), packed(np.asarray(vs, "<i8"))
+            goals = [here] if places is None else range(places)
+            step = max(1, ARROW_BYTES // (len(i) + len(data)))  # copies leave a few at a time
+            for first in range(0, len(goals), step):
+                some = goals[first : first + step]
+                yield pd.DataFrame({"dims": dims, "ids": [i] * len(some), "data": [data] * len(some), "place": some})
 
         for batch in batches:
             for i, v in zip(batch["id"], batch["v"]):
                 group = waiting.setdefault(len(v), [])
                 group.append((i, v))
                 if len(group) >= rows:
-                    yield one(len(v))
+                    yield from one(len(v))
         for dims in list(waiting):
-            yield one(dims)
+            yield from one(dims)
 
-    return vectors.mapInPandas(pack, f"dims int, {name}_ids binary, {name} binary")
+    return vectors.mapInPandas(pack, "dims int, ids binary, data binary, place int")
 
 
 def top_k(
@@ -168,28 +190,34 @@ def top_k(
 
     candidates = valid(vectors)
     n = max(1, -(-candidates.count() // block_rows))
-    index = staged(blocks(candidates.repartition(n), block_rows, "v").withColumn("place", F.spark_partition_id()))
+    index = staged(blocks(candidates.repartition(n), block_rows))
     # A block of queries goes to every place of the index: the stated query set against all rows.
     once = valid(queries).groupBy("id").agg(F.min("v").alias("v"))
-    asked = blocks(once, query_rows, "q").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = index.join(asked, ["dims", "place"])
+    asked = blocks(once, query_rows, places=n)
+    # They follow the place's block in one stream. As a join Spark may broadcast them, by the size they had before they were
+    # sent to every place, or pairs each with a copy of the block and holds all pairs of a block at once.
+    both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    met = both.repartitionById(n, "place").sortWithinPartitions("place", "dims", "asks")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, block = None, None
+        at, here = None, []
         for batch in batches:
             for r in batch.itertuples():
-                if r.v_ids != last:
-                    ids = np.frombuffer(r.v_ids, "<i8")
-                    last, block = r.v_ids, Block.of(ids, np.frombuffer(r.v, "<i8").reshape(len(ids), r.dims), bits)
-                ids = np.frombuffer(r.q_ids, "<i8")
-                found = [(i, *block.top(q, i, k)) for i, q in zip(ids.tolist(), np.frombuffer(r.q, "<i8").reshape(len(ids), r.dims))]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(ids, [len(x[1]) for x in found]),
-                        "vec_id": np.concatenate([x[1] for x in found]),
-                        "score": np.concatenate([x[2] for x in found]),
-                    }
-                )
+                if (r.place, r.dims) != at:
+                    at, here = (r.place, r.dims), []
+                ids, values = unpacked(r.ids, r.data, r.dims)
+                if not r.asks:
+                    here.append(Block.of(ids, values, bits))
+                    continue
+                for block in here:
+                    found = [block.top(q, i, k) for i, q in zip(ids.tolist(), values)]
+                    yield pd.DataFrame(
+                        {
+                            "query_id": np.repeat(ids, [len(x[0]) for x in found]),
+                            "vec_id": np.concatenate([x[0] for x in found]),
+                            "score": np.concatenate([x[1] for x in found]),
+                        }
+                    )
 
     best = met.mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
